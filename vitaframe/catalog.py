@@ -1,0 +1,7 @@
+"""Registered queries of the clinical-resource engine."""
+
+from __future__ import annotations
+
+FLAGSHIP = "vital_unit_findings"
+QUERIES: dict = {}
+ORACLES: dict = {}
