@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe_tables, decontamination, minhash, substrings, token_counts
+from . import bpe_tables, decontamination, minhash, substrings, token_counts, toxicity, urls
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
     "op2_token_counts": token_counts.query,
+    "op4_url_filter": urls.query,
     "op7_minhash_dedup": minhash.query,
+    "op8_toxicity": toxicity.query,
     "op9_substring_dedup": substrings.query,
     "op10_bpe_tables": bpe_tables.query,
 }
