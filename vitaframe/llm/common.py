@@ -9,7 +9,9 @@ the regular expressions, for whole batches at once.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -169,8 +171,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of frames that are out of use."""
-    import gc
+    """Let Spark's cleaner delete the shuffle files of frames that are out of use: Python's references go first, then the JVM's."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder under the shared one before the driver ends."""
+    _drop(spark, path)

@@ -5,9 +5,11 @@ batch sends one 64-bit fingerprint per shard, packed in sorted arrays by
 fingerprint range (bucket), to the task of that bucket, where it is
 merge-joined with the sorted immutable runs of earlier batches. The answer for
 a shard is one bit per fingerprint; the batch's own fingerprints, each with its
-smallest doc_id, become a new run, and runs are compacted when more than
-`most_runs` stand side by side. A hot window costs one entry per shard, however
-many documents hold it.
+smallest doc_id, become a new run of what no older run holds, and runs are
+compacted when more than `most_runs` stand side by side. A hot window costs one
+entry per shard, however many documents hold it. The fingerprint range is
+worked through in PASSES parts, each with its own runs, so that the exchange
+files of one part at a time are on disk.
 
 Verification: a fingerprint is 64 bits of a hash of word hashes, and on top of
 it each entry carries CHECK_BITS of an independent one; a match needs both.
@@ -30,12 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NONSPACE, hashes, inside, new_folder, pieces, release, rolling, shared_folder, spans, written
+from .common import NONSPACE, drop_folder, hashes, inside, new_folder, pieces, release, rolling, spans, written
 
 WINDOW = 13
 SHARD_WORDS = 1 << 20
 SHARD_DOCS = 1 << 16
 CHECK_BITS = 8
+PASSES = 2
 #: Fingerprints of a bucket, about; the number of buckets follows the corpus.
 BUCKET_ENTRIES = 1 << 20
 
@@ -123,7 +126,7 @@ def _shards(batches: Iterator[pa.RecordBatch], window: int, keep_text: bool) ->
         yield held
 
 
-def _ask(bits: int, window: int):
+def _ask(bits: int, window: int, low: int, high: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 24
         for k, shard in enumerate(_shards(batches, window, False)):
@@ -131,7 +134,7 @@ def _ask(bits: int, window: int):
             bucket = (marks >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(marks), np.int64)
             edge = np.searchsorted(bucket, np.arange((1 << bits) + 1))
             rows = []
-            for b in np.flatnonzero(np.diff(edge)):
+            for b in np.flatnonzero(np.diff(edge[low : high + 1])) + low:
                 s = slice(edge[b], edge[b + 1])
                 used, small = np.unique(owners[s], return_inverse=True)
                 rows.append((int(b), base + k, int(edge[b + 1] - edge[b]), *pack(marks[s]), checks[s].tobytes(), small.astype("<u2").tobytes(), ids[used].tobytes()))
@@ -141,11 +144,15 @@ def _ask(bits: int, window: int):
     return run
 
 
-def _meet(rows: list[dict], flush: bool) -> Iterator[tuple]:
-    """All entries of one bucket: an answer for every row of the batch, and the bucket's part of the new run."""
+def _meet(rows: list[dict], flush: str) -> Iterator[tuple]:
+    """All entries of one bucket: an answer for every row of the batch, and the bucket's part of the new run.
+
+    flush: "new" keeps what no older run holds, "all" merges the runs, "" keeps nothing.
+    """
     marks = np.concatenate([unpack(r["width"], r["marks"]) for r in rows])
     checks = np.concatenate([np.frombuffer(r["checks"], np.uint8) for r in rows])
     ids = np.concatenate([np.frombuffer(r["ids"], np.int64)[np.frombuffer(r["owners"], "<u2" if r["shard"] >= 0 else "<u4")] for r in rows])
+    older = np.repeat([r["shard"] < 0 for r in rows], [r["n"] for r in rows])
     order = np.lexsort((ids, checks, marks))
     m, c, o = marks[order], checks[order], ids[order]
     new = np.r_[True, (m[1:] != m[:-1]) | (c[1:] != c[:-1])] if len(m) else np.zeros(0, bool)
@@ -157,12 +164,16 @@ def _meet(rows: list[dict], flush: bool) -> Iterator[tuple]:
         if r["shard"] >= 0 and (bits := dup[at : at + r["n"]]).any():
             yield (r["bucket"], r["shard"], r["n"], 0, np.packbits(bits).tobytes(), None, None, None)
         at += r["n"]
+    if flush == "new" and len(m):
+        new[new] = ~np.logical_or.reduceat(older[order], np.flatnonzero(new))
+        if not new.any():
+            return
     if flush and len(m):
         known, small = np.unique(o[new], return_inverse=True)
         yield (rows[0]["bucket"], -1, int(new.sum()), *pack(m[new]), c[new].tobytes(), small.astype("<u4").tobytes(), known.tobytes())
 
 
-def _merge(flush: bool):
+def _merge(flush: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
         held: list[dict] = []
@@ -185,35 +196,54 @@ def _merge(flush: bool):
 
 
 class FingerprintIndex:
-    """Runs of window fingerprints in a folder that all executors share."""
+    """Sorted runs of window fingerprints, of buckets low to high, in a folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, bits: int, window: int = WINDOW, most_runs: int = 4, folder: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, bits: int, window: int = WINDOW, most_runs: int = 4, part: tuple[int, int] = (0, 1), folder: str | None = None) -> None:
         self.spark, self.bits, self.window, self.most_runs = spark, bits, window, most_runs
+        self.low, self.high = ((1 << bits) * (part[0] + k) // part[1] for k in (0, 1))
         self.folder = folder or new_folder(spark, "runs")
         self.runs: list[str] = []
         self._made = 0
 
-    def _by_bucket(self, df: DataFrame) -> DataFrame:
-        return df.repartition(max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(1 << self.bits, 1 << 15) // 4), "bucket").sortWithinPartitions("bucket", "shard")
+    def _merged(self, df: DataFrame, flush: str, path: str) -> None:
+        n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), (self.high - self.low) // 4)
+        by_bucket = df.repartition(n, "bucket").sortWithinPartitions("bucket", "shard")
+        by_bucket.mapInArrow(_merge(flush), RUN_SCHEMA).withColumn("answer", F.col("shard") >= 0).write.partitionBy("answer").parquet(path)
+
+    def _rows(self, path: str, answers: bool) -> DataFrame:
+        return self.spark.read.schema(RUN_SCHEMA + ", answer boolean").parquet(path).where(F.col("answer") == answers).drop("answer")
+
+    def _next(self, name: str) -> str:
+        self._made += 1
+        return f"{self.folder}/{name}-{self._made}"
 
-    def read(self) -> DataFrame | None:
-        return self.spark.read.schema(RUN_SCHEMA).parquet(*self.runs) if self.runs else None
+    def _history(self) -> DataFrame | None:
+        out = None
+        for path in self.runs:
+            run = self._rows(path, False)
+            out = run if out is None else out.unionByName(run)
+        return out
 
     def add(self, docs: DataFrame, keep: bool = True) -> DataFrame:
-        """Answers (bucket, shard, n, marks: bits) for a batch whose doc_ids are all larger than those before; then a run with its fingerprints.
+        """Answers (bucket, shard, n, marks: bits) for a batch (doc_id, text) whose ids are all larger than those before; then a run with its fingerprints.
 
-        keep=False leaves the last batch out of the index, when no further one follows.
+        keep=False leaves the batch out of the index, when no further one follows.
         """
-        asked = docs.mapInArrow(_ask(self.bits, self.window), RUN_SCHEMA)
-        history = self.read()
-        both = asked if history is None else asked.unionByName(history)
-        self._made += 1
-        path = f"{self.folder}/{self._made}"
-        done = self._by_bucket(both).mapInArrow(_merge(keep), RUN_SCHEMA)
-        done.withColumn("answer", F.col("shard") >= 0).write.partitionBy("answer").parquet(path)
-        if keep:  # the new run holds the older ones, merged: what was read with it is dropped
-            self.runs = [f"{path}/answer=false"]
-        return self.spark.read.schema(RUN_SCHEMA + ", answer boolean").option("basePath", path).parquet(path).where("answer").drop("answer")
+        asked = docs.mapInArrow(_ask(self.bits, self.window, self.low, self.high), RUN_SCHEMA)
+        history, path = self._history(), self._next("run")
+        self._merged(asked if history is None else asked.unionByName(history), "new" if keep else "", path)
+        if keep:
+            self.runs.append(path)
+            if len(self.runs) > self.most_runs:
+                self.compact()
+        return self._rows(path, True)
+
+    def compact(self) -> None:
+        """All runs become one; files of a run that also hold a batch's answers stay until the folder goes."""
+        history, path = self._history(), self._next("compacted")
+        if history is not None:
+            self._merged(history, "all", path)
+            self.runs = [path]
 
 
 def _apply(window: int):
@@ -255,21 +285,29 @@ def shard_bits(words: int) -> int:
     return max(4, int(words // BUCKET_ENTRIES).bit_length())
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, batches: int = 2) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, batches: int = 2, passes: int = PASSES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every document."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     stats = d.agg(F.sum(F.octet_length("text")), F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000) if batches > 1 else F.lit(None)).first()
     bits = shard_bits((stats[0] or 0) // 6)
     cuts = sorted(set(stats[1] or []))
-    index = FingerprintIndex(spark, bits, window)
-    out: DataFrame | None = None
+    parts = []
     for k in range(len(cuts) + 1):
-        lo = F.col("doc_id").isNull() | (F.col("doc_id") <= cuts[0]) if k == 0 and cuts else F.lit(True) if k == 0 else F.col("doc_id") > cuts[k - 1]
-        part = d.where(lo if k in (0, len(cuts)) else lo & (F.col("doc_id") <= cuts[k]))
-        answers = index.add(part, keep=k < len(cuts))
-        release(spark)
-        done = _digests(part, answers, bits, window)
+        above = F.col("doc_id") > cuts[k - 1] if k else F.lit(True)
+        upto = F.col("doc_id") <= cuts[k] if k < len(cuts) else F.lit(True)
+        parts.append(d.where((above & upto) | F.col("doc_id").isNull() if not k else above & upto))
+    answers: list[DataFrame | None] = [None] * len(parts)
+    for p in range(passes):
+        index = FingerprintIndex(spark, bits, window, part=(p, passes))
+        for k, part in enumerate(parts):
+            got = written(index.add(part, keep=k < len(parts) - 1), "answers")
+            answers[k] = got if answers[k] is None else answers[k].unionByName(got)
+            release(spark)
+        drop_folder(spark, index.folder)
+    out: DataFrame | None = None
+    for part, answer in zip(parts, answers):
+        done = _digests(part, answer, bits, window)
         out = done if out is None else out.union(done)
     assert out is not None
     return out
