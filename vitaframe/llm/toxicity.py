@@ -6,8 +6,8 @@ unseen forms of a stem are read by their characters. Windows of LENGTH words
 overlap by half; both directions read every window, attention pools their
 states, and a document's score is the calibrated logit of its highest window.
 
-Training is weakly supervised, on at most TRAIN_DOCS labelled documents of each
-class whose texts hold at most TRAIN_BYTES (documented bounds; rows in order of
+Training is weakly supervised, on at most TRAIN_DOCS labelled documents of the clean and
+the toxic class whose texts hold at most TRAIN_BYTES (documented bounds; rows in order of
 a hash of doc_id): windows of toxic documents are chosen by the log-odds of
 their n-grams, then by the network itself; the highest windows of clean
 documents are added as hard negatives; a fifth of the sample calibrates the
@@ -35,7 +35,7 @@ LENGTH, STRIDE = 24, 12
 HIDDEN, INPUT, ATTEND = 8, 12, 8
 BUCKETS = 1 << 14
 ORDERS = (3, 4, 5)
-TRAIN_DOCS = 1500
+TRAIN_DOCS = (3000, 1500)
 TRAIN_BYTES = 20_000
 VOCABULARY = 4096
 CUT = 0.7
@@ -278,8 +278,8 @@ def fit(texts: list[str], toxic: np.ndarray, share: float | None = None, epochs:
     gdf = [np.bincount(gg[toxic[gd] == c], minlength=BUCKETS) for c in (True, False)]
     gram_odds = np.where(gdf[0] + gdf[1] >= 3, _odds(gdf[0], gdf[1], n, m), 0.0)
     word_odds = np.where(df[0] + df[1] >= 2, _odds(df[0], df[1], n, m), 0.0)
-    net.p["E"][:, 0] += (np.clip(gram_odds, 0, 6) / 4).astype(np.float32)
-    net.p["V"][1:, 0] += (np.clip(word_odds[often], 0, 6) / 2).astype(np.float32)
+    net.p["E"][:, 0] += (np.where(gram_odds > 1.5, np.clip(gram_odds, 0, 6), 0) / 4).astype(np.float32)
+    net.p["V"][1:, 0] += (np.where(word_odds > 1.5, np.clip(word_odds, 0, 6), 0)[often] / 2).astype(np.float32)
     best = np.zeros(n_words + 1)
     full = np.flatnonzero(np.diff(w.first))
     best[full] = np.maximum.reduceat(gram_odds[w.grams], w.first[full]) if len(full) else 0
@@ -293,7 +293,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float | None = None, epochs:
     slot = net.slots(w.hash)
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
-    for turn in range(3):
+    for turn in range(4):
         if turn:  # the network's own choice of windows
             logit = net.logits(net.inputs(w.grams, w.first, slot), w.ids)
             most = np.full(len(texts), -np.inf)
@@ -373,16 +373,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Network | None:
-    """A network from the labelled rows that aren't held out: at most `limit` documents of each class."""
+def train(docs: DataFrame, labels: DataFrame, limit: tuple[int, int] = TRAIN_DOCS) -> Network | None:
+    """A network from the labelled rows that aren't held out: at most `limit` clean and toxic documents."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     size = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     pick = None
     for c in (0, 1):
-        part = known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+        part = known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit[c])
         pick = part if pick is None else pick.union(part)
-    # at most 2 * limit rows of two numbers: small enough to broadcast, whatever the corpus
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(pick), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * limit).collect()
+    # at most sum(limit) rows of two numbers: small enough to broadcast, whatever the corpus
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(pick), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sum(limit)).collect()
     return fit([r.text for r in rows], np.array([r.toxic for r in rows], bool), size.get(1, 0) / max(sum(size.values()), 1)) if rows else None
 
 
