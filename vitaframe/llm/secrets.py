@@ -226,13 +226,15 @@ def scan(docs: DataFrame, forest: Forest) -> DataFrame:
 def redact(docs: DataFrame, forest: Forest) -> DataFrame:
     """docs with every finding in `text` replaced by MASK; all other columns stay."""
 
+    names = docs.columns
+
     def row(batch, at, texts, found):
         out = []
         for t, spans in zip(texts, found):
             for s, e, _, _ in reversed(spans):
                 t = t[:s] + MASK + t[e:]
             out.append(t)
-        return pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], names=docs.columns)
+        return pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], names=names)
 
     return _scan(docs, forest, docs.schema, row)
 
