@@ -40,6 +40,8 @@ TRAIN_BYTES = 20_000
 VOCABULARY = 4096
 CUT = 0.7
 CHUNK = 4096
+#: Toxic documents kept back with which the score is calibrated on them alone; with fewer, on the whole sample.
+ENOUGH = 30
 #: Windows of each class in a training turn.
 TURN = 4000
 
@@ -337,7 +339,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float | None = None, epochs:
                     m1[rows_k] = 0.9 * m1[rows_k] + 0.1 * g
                     m2[rows_k] = 0.99 * m2[rows_k] + 0.01 * g * g
                     net.p[k][rows_k] -= (0.01 * (m1[rows_k] / (1 - 0.9 ** min(step, 500))) / (np.sqrt(m2[rows_k] / (1 - 0.99 ** min(step, 5000))) + 1e-6)).astype(np.float32)
-    _calibrate(net, w, toxic, held if held.any() else np.ones(len(texts), bool), slot, share)
+    _calibrate(net, w, toxic, held if (toxic & held).sum() >= ENOUGH else np.ones(len(texts), bool), slot, share)
     return net
 
 
