@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe_tables, decontamination, licenses, minhash, secrets, substrings, token_counts, toxicity, urls
+from . import bpe_tables, decontamination, licenses, minhash, neighbours, secrets, substrings, token_counts, toxicity, urls
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
     "op2_token_counts": token_counts.query,
     "op3_secret_scan": secrets.query,
     "op4_url_filter": urls.query,
+    "op5_embedding_dedup": neighbours.query,
     "op6_license_scan": licenses.query,
     "op7_minhash_dedup": minhash.query,
     "op8_toxicity": toxicity.query,
