@@ -1,7 +1,316 @@
-"""Registered queries of the clinical-resource engine."""
+"""Registered queries of the clinical-resource engine, each with the DuckDB SQL that tells its rows from the tables alone."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scalars as S
+from .operators import bundles as B
+from .operators import profiles as P
+from .operators import quantity, reports, safety, structure, terminology
+from .plans import fixtures as X
+from .plans.fixtures import event_k, j, money, pick, table
+from .sources import resource_json, resource_xml
+
 FLAGSHIP = "vital_unit_findings"
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER)"
+CODE = "CASE event_type WHEN 'click' THEN '8867-4' WHEN 'view' THEN '29463-7' WHEN 'error' THEN '8310-5' WHEN 'purchase' THEN '8480-6' ELSE '1234-5' END"
+UNIT = "CASE event_type WHEN 'click' THEN '/min' WHEN 'error' THEN 'Cel' WHEN 'purchase' THEN 'mm[Hg]' ELSE 'kg' END"
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+@query(f"""
+WITH e AS (SELECT {CODE} AS loinc, {K} % 4 AS m FROM events),
+f AS (SELECT loinc, 'UCUM_UNIT_UNRECOGNIZED' AS code FROM e WHERE m = 2
+  UNION ALL SELECT loinc, 'VITAL_SIGN_UNIT_NONCONFORMANT' FROM e WHERE m IN (1, 2) AND loinc <> '1234-5'
+  UNION ALL SELECT loinc, 'VALUE_TYPE_UNEXPECTED' FROM e WHERE m = 3 AND loinc <> '1234-5')
+SELECT loinc, code, count(*) AS n FROM f GROUP BY loinc, code""")
+def vital_unit_findings(spark: SparkSession, sf: str) -> DataFrame:
+    o = X.observations(spark, sf).withColumn("loinc", X.by_type(0))
+    return structure.explode_findings(o, quantity.quantity_findings(), "loinc").groupBy("loinc", "code").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+SELECT event_id, CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) AS value,
+  CASE {K} % 4 WHEN 1 THEN 'lb' WHEN 2 THEN 'mm Hg[' ELSE {UNIT} END AS unit_code
+FROM events WHERE {K} % 4 <> 3""")
+def obs_value_quantity(spark: SparkSession, sf: str) -> DataFrame:
+    v = X.observations(spark, sf).withColumn("v", quantity.observation_value(F.lit(0))).where("v.type = 'Quantity'")
+    return v.select("event_id", F.col("v.quantity.value").alias("value"), F.col("v.quantity.code").alias("unit_code"))
+
+
+@query("""
+SELECT p_partkey, unit, CASE WHEN p_size % 5 IN (1, 3) THEN 'invalid' ELSE 'ok' END AS shape FROM (
+SELECT p_partkey, p_size, CASE p_size % 5 WHEN 0 THEN 'mm[Hg]' WHEN 1 THEN 'mm Hg' WHEN 2 THEN '{' || p_type || '}/min' WHEN 3 THEN '[' || p_brand ELSE '(kg.m)/s2' END AS unit FROM part)""")
+def ucum_shape(spark: SparkSession, sf: str) -> DataFrame:
+    unit = pick(F.col("p_size"), 5, {0: "mm[Hg]", 1: "mm Hg", 2: j("{", F.col("p_type"), "}/min"), 3: j("[", F.col("p_brand"))}, "(kg.m)/s2")
+    return table(spark, sf, "part").select("p_partkey", unit.alias("unit")).withColumn("shape", S.ucum_shape(F.col("unit")))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, false AS same, true AS same_value,
+  CAST(l_discount AS DECIMAL(18,2)) = CAST(l_tax AS DECIMAL(18,2)) AS tax_same, CAST(l_discount AS DECIMAL(18,2)) = CAST(l_tax AS DECIMAL(18,2)) AS tax_value FROM lineitem""")
+def decimal_equality(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", money("l_discount").alias("d"), money("l_tax").alias("t"))
+    more = F.concat("d", F.lit("0"))
+    return d.select("l_orderkey", "l_linenumber", S.decimal_equals(F.col("d"), more).alias("same"), S.decimal_equals_value(F.col("d"), more).alias("same_value"), S.decimal_equals(F.col("d"), F.col("t")).alias("tax_same"), S.decimal_equals_value(F.col("t"), F.col("d")).alias("tax_value"))
+
+
+@query("""
+SELECT l_returnflag, count(*) FILTER (WHERE CAST(CAST(l_discount AS DECIMAL(18,2)) AS VARCHAR) LIKE '%0') AS n_risk, count(*) AS n FROM lineitem GROUP BY l_returnflag""")
+def decimal_precision_risk(spark: SparkSession, sf: str) -> DataFrame:
+    r = resource_json.read_resources(table(spark, sf, "lineitem").select("l_returnflag", j('{"resourceType":"Basic","v":', money("l_discount"), "}").alias("raw")))
+    risk = F.exists("read_issues", lambda i: i["code"] == "DECIMAL_PRECISION_AT_RISK")
+    return r.groupBy("l_returnflag").agg(F.count_if(risk).alias("n_risk"), F.count("*").alias("n"))
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 1 THEN 'absolute' WHEN 2 THEN 'fragment' WHEN 3 THEN 'logical' ELSE 'relative' END AS kind,
+  CASE WHEN o_orderkey % 5 IN (0, 1, 4) THEN 'Patient' END AS type,
+  CASE WHEN o_orderkey % 5 = 2 THEN 'p' || o_custkey WHEN o_orderkey % 5 <> 3 THEN CAST(o_custkey AS VARCHAR) END AS id,
+  CASE o_orderkey % 5 WHEN 1 THEN '2' WHEN 4 THEN '3' END AS version FROM orders""")
+def reference_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    key, c = F.col("o_orderkey"), F.col("o_custkey")
+    raw = pick(key, 5, {0: j("Patient/", c), 1: j("https://x.org/fhir/Patient/", c, "/_history/2"), 2: j("#p", c), 3: j("urn:uuid:", key)}, j("Patient/", c, "/_history/3"))
+    return table(spark, sf, "orders").select("o_orderkey", S.parse_reference(raw).alias("r")).select("o_orderkey", "r.*")
+
+
+@query("""
+SELECT kind, status, count(*) AS n FROM (
+  SELECT 'relative' AS kind, CASE WHEN o_custkey % 3 = 0 THEN 'unresolved' ELSE 'resolved' END AS status FROM orders
+  UNION ALL SELECT 'absolute', 'external' FROM orders) GROUP BY kind, status""")
+def bundle_resolve(spark: SparkSession, sf: str) -> DataFrame:
+    return B.resolve(X.bundles(spark, sf), "o_custkey").groupBy("kind", "status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey % 3 = 0 GROUP BY o_custkey")
+def bundle_unresolved(spark: SparkSession, sf: str) -> DataFrame:
+    return B.unresolved(X.bundles(spark, sf), "o_custkey").groupBy("o_custkey").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT o_custkey, CASE o_custkey % 3 WHEN 0 THEN 'atomic' WHEN 1 THEN 'independent' ELSE 'none' END AS processing FROM orders")
+def bundle_processing(spark: SparkSession, sf: str) -> DataFrame:
+    return X.bundles(spark, sf).select("o_custkey", B.processing().alias("processing"))
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey % 7 = 0 GROUP BY o_custkey")
+def fullurl_mismatch(spark: SparkSession, sf: str) -> DataFrame:
+    return B.full_url_mismatches(X.bundles(spark, sf), "o_custkey").groupBy("o_custkey").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+SELECT event_id, concat_ws(',', CASE WHEN k % 7 = 0 THEN 'do-not-perform' END, CASE WHEN k % 5 = 1 THEN 'entered-in-error' END, CASE WHEN k % 11 = 0 THEN 'refuted' END, CASE WHEN k % 5 = 2 THEN 'not-taken' END, CASE WHEN k % 5 = 3 THEN 'not-done' END) AS negations
+FROM (SELECT event_id, {K} AS k FROM events)""")
+def negations(spark: SparkSession, sf: str) -> DataFrame:
+    return X.statements(spark, sf).select("event_id", F.array_join(safety.negations(), ",").alias("negations"))
+
+
+@query(f"SELECT event_id FROM events WHERE {K} % 5 = 1")
+def retracted(spark: SparkSession, sf: str) -> DataFrame:
+    return X.statements(spark, sf).where(safety.retracted_at(F.get("nodes", F.lit(0)))).select("event_id")
+
+
+@query(f"""
+SELECT event_id, m NOT BETWEEN 1 AND 8 AS safe, CASE m WHEN 1 THEN 'modifier_extensions:MedicationStatement.modifierExtension[0]' WHEN 2 THEN 'modifier_elements:MedicationStatement.dosage[0].doseQuantity.comparator' WHEN 3 THEN 'shadowed_properties:MedicationStatement.status'
+  WHEN 4 THEN 'array_wrapped:MedicationStatement.status' WHEN 5 THEN 'nested_arrays:MedicationStatement.note[0]' WHEN 6 THEN 'unreadable_booleans:MedicationStatement.doNotPerform' WHEN 7 THEN 'near_miss_codes:MedicationStatement.status' WHEN 8 THEN 'unreadable_codes:MedicationStatement.status' ELSE '' END AS channels
+FROM (SELECT event_id, {K} % 10 AS m FROM events)""")
+def safety_channels(spark: SparkSession, sf: str) -> DataFrame:
+    s = safety.with_safety(X.odd_shapes(spark, sf))
+    said = F.array_join(F.flatten(F.array(*(F.transform(F.col(c), lambda x: F.concat(F.lit(f"{c}:"), x)) for c in safety.CHANNELS))), ",")
+    return s.select("event_id", F.col("safe_to_summarize").alias("safe"), said.alias("channels"))
+
+
+@query(f"""
+WITH e AS (SELECT event_id, {K} % 10 AS m FROM events)
+SELECT event_id, CASE m WHEN 1 THEN 'UNHANDLED_MODIFIER_EXTENSION' WHEN 3 THEN 'DUPLICATE_PROPERTY' WHEN 4 THEN 'ARRAY_WRAPPED_SCALAR' ELSE 'NESTED_ARRAY' END AS code, 'error' AS severity FROM e WHERE m IN (1, 3, 4, 5)""")
+def safety_shape_findings(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.explode_findings(X.odd_shapes(spark, sf), safety.safety_findings(), "event_id").select("event_id", "code", "severity")
+
+
+@query(f"""
+WITH e AS (SELECT event_id, {K} AS k FROM events)
+SELECT event_id, 'ait-1' AS rule FROM e WHERE k % 3 <> 0 AND k % 2 <> 0 UNION ALL SELECT event_id, 'ait-2' FROM e WHERE k % 3 = 0 AND k % 2 = 0""")
+def allergy_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.explode_findings(X.allergies(spark, sf), safety.safety_findings(), "event_id").where("code = 'INVARIANT_VIOLATED'").select("event_id", F.col("constraint").alias("rule"))
+
+
+@query(f"SELECT event_id FROM events WHERE {K} % 5 = 0")
+def no_known_allergy(spark: SparkSession, sf: str) -> DataFrame:
+    return X.allergies(spark, sf).where(F.array_contains(safety.negations(), "no-known-allergy")).select("event_id")
+
+
+@query(f"""
+WITH e AS (SELECT event_id, {K} AS k FROM events)
+SELECT event_id, 'con-3' AS rule, 'warning' AS severity FROM e WHERE k % 3 = 0 AND k % 5 <> 0 AND k % 7 = 0
+UNION ALL SELECT event_id, 'con-4', 'error' FROM e WHERE k % 2 = 0 AND k % 3 <> 2
+UNION ALL SELECT event_id, 'con-5', 'error' FROM e WHERE k % 5 = 0 AND k % 3 <> 0""")
+def condition_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.explode_findings(X.conditions(spark, sf), safety.safety_findings(), "event_id").where("code = 'INVARIANT_VIOLATED'").select("event_id", F.col("constraint").alias("rule"), "severity")
+
+
+@query(f"""
+WITH e AS (SELECT event_id, {K} AS k FROM events)
+SELECT event_id, 'obs-6' AS rule FROM e WHERE k % 2 = 0 AND k % 3 = 0 UNION ALL SELECT event_id, 'obs-7' FROM e WHERE k % 2 = 0 AND k % 5 = 0""")
+def observation_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.explode_findings(X.measurements(spark, sf), safety.safety_findings(), "event_id").where("code = 'INVARIANT_VIOLATED'").select("event_id", F.col("constraint").alias("rule"))
+
+
+PATIENT_FINDINGS = """
+SELECT c_custkey, CASE c_custkey % 8 WHEN 1 THEN 'CODE_INVALID' WHEN 2 THEN 'PRIMITIVE_INVALID' WHEN 3 THEN 'TYPE_MISMATCH' WHEN 4 THEN 'UNKNOWN_ELEMENT' WHEN 5 THEN 'CARDINALITY_MAX' WHEN 6 THEN 'CHOICE_AMBIGUOUS' ELSE 'TYPE_MISMATCH' END AS code,
+  CASE c_custkey % 8 WHEN 4 THEN 'warning' ELSE 'error' END AS severity,
+  'Patient.' || CASE c_custkey % 8 WHEN 1 THEN 'gender' WHEN 2 THEN 'birthDate' WHEN 3 THEN 'active' WHEN 4 THEN 'foo' WHEN 5 THEN 'gender' WHEN 6 THEN 'deceased[x]' ELSE 'birthDate' END AS expression
+FROM customer WHERE c_custkey % 8 <> 0"""
+
+
+@query(PATIENT_FINDINGS)
+def patient_schema_findings(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.explode_findings(X.patients(spark, sf), structure.structure_findings(), "c_custkey").select("c_custkey", "code", "severity", "expression")
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 8 = 0 THEN '{"resourceType":"OperationOutcome","issue":[{"severity":"information","code":"informational","details":{"text":"No issues detected."}}]}' ELSE
+  '{"resourceType":"OperationOutcome","issue":[{"severity":"' || CASE c_custkey % 8 WHEN 4 THEN 'warning' ELSE 'error' END || '","code":"' ||
+  CASE c_custkey % 8 WHEN 1 THEN 'code-invalid' WHEN 2 THEN 'value' ELSE 'structure' END || '","expression":["Patient.' ||
+  CASE c_custkey % 8 WHEN 1 THEN 'gender' WHEN 2 THEN 'birthDate' WHEN 3 THEN 'active' WHEN 4 THEN 'foo' WHEN 5 THEN 'gender' WHEN 6 THEN 'deceased[x]' ELSE 'birthDate' END || '"]}]}' END AS outcome FROM customer""")
+def operation_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    return X.patients(spark, sf).select("c_custkey", reports.operation_outcome(structure.structure_findings()).alias("outcome"))
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 2 THEN 'invalid' WHEN 3 THEN 'invalid' ELSE 'ok' END AS as_date, CASE o_orderkey % 4 WHEN 2 THEN 'invalid' ELSE 'ok' END AS as_datetime, 'type-mismatch' AS as_integer FROM orders""")
+def primitive_domain(spark: SparkSession, sf: str) -> DataFrame:
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    lex = pick(F.col("o_orderkey"), 4, {0: day, 1: F.date_format("o_orderdate", "yyyy-MM"), 2: F.date_format("o_orderdate", "MM/dd/yyyy")}, F.concat(day, F.lit("T00:00:00Z")))
+    verdict = lambda t: S.primitive_verdict(t, F.lit("string"), F.col("lex"))
+    return table(spark, sf, "orders").select("o_orderkey", lex.alias("lex")).select("o_orderkey", verdict("date").alias("as_date"), verdict("dateTime").alias("as_datetime"), verdict("integer").alias("as_integer"))
+
+
+@query("""
+SELECT p_partkey, CASE p_size % 4 WHEN 1 THEN 'CODE_SYSTEM_UNEXPECTED' ELSE 'CODE_SYSTEM_UNKNOWN' END AS code, CASE p_size % 4 WHEN 1 THEN 'warning' ELSE 'information' END AS severity,
+  'MedicationRequest.medicationCodeableConcept.coding[0].system' AS expression FROM part WHERE p_size % 4 IN (1, 2)""")
+def terminology_findings(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.explode_findings(X.prescriptions(spark, sf), terminology.system_findings(), "p_partkey").select("p_partkey", "code", "severity", "expression")
+
+
+@query("SELECT p_partkey, 'CODE_NOT_IN_VALUESET' AS code, 'error' AS severity FROM part WHERE p_size % 4 = 0 AND p_partkey % 5 = 0")
+def membership(spark: SparkSession, sf: str) -> DataFrame:
+    members = table(spark, sf, "part").select(F.lit(terminology.MEDICATIONS).alias("value_set"), F.lit(terminology.RXNORM).alias("system"), F.col("p_partkey").cast("string").alias("code"), pick(F.col("p_partkey"), 5, {0: "not-in", 1: "unknown"}, "in").alias("membership"))
+    return terminology.membership_findings(X.prescriptions(spark, sf), members, "p_partkey").select("p_partkey", "code", "severity")
+
+
+@query("""
+SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS n_returned, bool_or(l_returnflag = 'R') AS any_returned, min(l_quantity) > 5 AS all_large, count(DISTINCT l_returnflag) AS flags,
+  NOT bool_or(l_returnflag = 'R') OR bool_or(l_returnflag = 'A') AS r_implies_a FROM lineitem GROUP BY l_orderkey""")
+def path_expressions(spark: SparkSession, sf: str) -> DataFrame:
+    c = P.path().component
+    returned = lambda x, f="R": x.code.text.value() == f
+    return X.shipments(spark, sf).select(
+        "l_orderkey", c.count().cast("long").alias("n"), c.where(returned).count().cast("long").alias("n_returned"), c.exists(returned).alias("any_returned"), c.all(lambda x: x.valueQuantity.child("value").number() > 5).alias("all_large"),
+        F.size(c.code.text.distinct()).cast("long").alias("flags"), P.implies(c.exists(returned), c.exists(lambda x: returned(x, "A"))).alias("r_implies_a"),
+    )
+
+
+SHIPMENT = P.Profile(
+    "http://x.org/p", "Observation", version="1.0",
+    rules=(
+        P.Rule("status", min=1, max=1, fixed="final"), P.Rule("device", must_support=True), P.Rule("component", min=2),
+        P.Rule("component.code", min=1, slices=()), P.Rule("component.valueQuantity", pattern={"unit": "O"}),
+    ),
+    invariants=(("has-lines", "error", lambda r: r.component.exists()), ("unknowable", "error", None)),
+)
+SLICED = P.Profile("http://x.org/s", "Observation", rules=(P.Rule("component", closed=True, slices=(P.Slice("a", lambda c: c.code.text.value() == "A", max=1), P.Slice("r", lambda c: c.code.text.value() == "R", min=1))),))
+
+
+@query("""
+WITH g AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE l_linestatus <> 'O') AS bad FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, 'PROFILE_FIXED_MISMATCH' AS code, CAST(1 AS BIGINT) AS n FROM g WHERE l_orderkey % 4 = 1
+UNION ALL SELECT l_orderkey, 'MUST_SUPPORT_ABSENT', 1 FROM g UNION ALL SELECT l_orderkey, 'INVARIANT_UNCHECKED', 1 FROM g
+UNION ALL SELECT l_orderkey, 'CARDINALITY_MIN', 1 FROM g WHERE n < 2
+UNION ALL SELECT l_orderkey, 'PROFILE_PATTERN_MISMATCH', bad FROM g WHERE bad > 0""")
+def profile_findings(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.explode_findings(X.shipments(spark, sf), P.profile_findings(SHIPMENT), "l_orderkey").groupBy("l_orderkey", "code").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH g AS (SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag = 'A') AS a, count(*) FILTER (WHERE l_returnflag = 'R') AS r, count(*) FILTER (WHERE l_returnflag NOT IN ('A', 'R')) AS o FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, 'CARDINALITY_MAX' AS code, CAST(1 AS BIGINT) AS n FROM g WHERE a > 1 UNION ALL SELECT l_orderkey, 'CARDINALITY_MIN', 1 FROM g WHERE r < 1
+UNION ALL SELECT l_orderkey, 'PROFILE_SLICE_UNMATCHED', o FROM g WHERE o > 0""")
+def profile_slices(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.explode_findings(X.shipments(spark, sf), P.profile_findings(SLICED), "l_orderkey").groupBy("l_orderkey", "code").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT l_orderkey, 'PROFILE_VERSION_MISMATCH' AS code, 'Observation.meta.profile[0]' AS expression FROM lineitem WHERE l_orderkey % 5 = 2")
+def profile_versions(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.explode_findings(X.shipments(spark, sf), P.version_findings(SHIPMENT), "l_orderkey").select("l_orderkey", "code", "expression")
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'MALFORMED_JSON' ELSE 'NOT_A_RESOURCE' END AS outcome FROM documents WHERE text IS NOT NULL""")
+def ndjson_errors(spark: SparkSession, sf: str) -> DataFrame:
+    body = j('{"resourceType":"Basic","text":', F.to_json(F.array("text")), "}")
+    raw = pick(F.col("doc_id"), 4, {0: body, 1: F.concat(body, F.lit("x")), 2: F.to_json(F.array("text"))}, '{"a":["x"],"_a":[{"id":"1"},null]}')
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", raw.alias("raw"))
+    return resource_json.ndjson_records(d).select("doc_id", F.coalesce("error", F.lit("ok")).alias("outcome"))
+
+
+@query("SELECT page_id, CASE WHEN html LIKE '<!DOCTYPE%' THEN 'DTD_FORBIDDEN' ELSE 'MALFORMED_XML' END AS fatal FROM pages WHERE html IS NOT NULL")
+def xml_refusals(spark: SparkSession, sf: str) -> DataFrame:
+    return resource_xml.read_xml(table(spark, sf, "pages").where("html is not null").select("page_id", "html"), "html").select("page_id", "fatal")
+
+
+@query("SELECT c_custkey, true AS equivalent FROM customer")
+def xml_json_equivalence(spark: SparkSession, sf: str) -> DataFrame:
+    key, name = F.col("c_custkey"), F.col("c_name")
+    a = j('{"resourceType":"Patient","id":"', key, '","name":[{"family":"', name, '","given":["A","B"]}],"birthDate":"2000-01-01"}')
+    b = j('<Patient xmlns="http://hl7.org/fhir"><id value="', key, '"/><name><family value="', name, '"/><given value="A"/><given value="B"/></name><birthDate value="2000-01-01"/></Patient>')
+    c = table(spark, sf, "customer")
+    x = resource_json.read_resources(c.select("c_custkey", a.alias("raw"))).select("c_custkey", resource_xml.canonical(F.col("nodes")).alias("x"))
+    y = resource_xml.read_xml(c.select("c_custkey", b.alias("raw"))).select("c_custkey", resource_xml.canonical(F.col("nodes")).alias("y"))
+    return x.join(y, "c_custkey").select("c_custkey", (F.col("x") == F.col("y")).alias("equivalent"))
+
+
+@query("SELECT c_custkey, true AS same FROM customer")
+def json_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "customer").select("c_custkey", X.patient_json().alias("source"), X.patient_json().alias("raw"))
+    return resource_json.write_json(resource_json.read_resources(p)).select("c_custkey", (F.col("json") == F.col("source")).alias("same"))
+
+
+@query(r"""
+SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) AS BIGINT) AS n_email, CAST(len(regexp_extract_all(text, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b')) AS BIGINT) AS n_ssn,
+  CAST(len(regexp_extract_all(text, '\b[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}\b')) AS BIGINT) AS n_phone, CAST(len(regexp_extract_all(text, '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b')) AS BIGINT) AS n_ip FROM documents WHERE text IS NOT NULL""")
+def personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.personal_data(table(spark, sf, "documents").where("text is not null"), "doc_id")
+
+
+@query("SELECT n_nationkey, n_nationkey % 3 = 0 AS cyclic FROM nation")
+def contained_cycle(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    back = F.when(key % 3 == 0, ',"partOf":{"reference":"#a"}').otherwise("")
+    raw = j('{"resourceType":"Organization","partOf":{"reference":"#a"},"contained":[{"resourceType":"Organization","id":"a","partOf":{"reference":"#b"}},{"resourceType":"Organization","id":"b"', back, "}]}")
+    r = resource_json.read_resources(table(spark, sf, "nation").select("n_nationkey", raw.alias("raw")))
+    return r.select("n_nationkey", B.contained_cycle().alias("cyclic"))
+
+
+@query("""
+SELECT o_custkey, count(*) + CASE WHEN o_custkey % 3 <> 0 THEN 1 ELSE 0 END AS n_entries FROM orders GROUP BY o_custkey""")
+def bundle_entries(spark: SparkSession, sf: str) -> DataFrame:
+    return B.entries(X.bundles(spark, sf), "o_custkey").groupBy("o_custkey").agg(F.count("*").alias("n_entries"))
+
+
+@query(f"SELECT event_id, CASE WHEN {K} % 4 = 1 THEN 'base' ELSE 'head' END AS side FROM events WHERE {K} % 4 IN (1, 2)")
+def reading_differences(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "events").select("event_id", event_k().alias("k"))
+    return reports.differences(o.where("k % 4 <> 2").select("event_id"), o.where("k % 4 <> 1").select("event_id"))
