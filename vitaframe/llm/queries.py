@@ -17,4 +17,47 @@ QUERIES = {
     "op10_bpe_tables": bpe_tables.query,
 }
 
-ORACLES: dict[str, str] = {}
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+NONSPACE = r"'[^\x20\x09-\x0D]+'"
+#: From links(a, b) of both directions: the smallest id that each vertex reaches.
+REACH = """reach(id, root) AS (SELECT a, b FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.root = l.a),
+part AS (SELECT id, least(id, min(root)) AS root FROM reach GROUP BY id)"""
+
+ORACLES: dict[str, str] = {
+    "op1_decontamination": f"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({LOWER}, {ALNUM}), []) AS w FROM documents),
+b AS (SELECT item_id, coalesce(regexp_extract_all({LOWER}, {ALNUM}), []) AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS g FROM b, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS g FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS t(i)),
+m AS (SELECT doc_id, item_id, dw.n AS n, i FROM dw JOIN bw ON dw.n = bw.n AND dw.g = bw.g),
+hit AS (SELECT doc_id, count(DISTINCT i + o) AS n_hit FROM m, unnest(range(0, n)) AS t(o) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_id""",
+    "op5_embedding_dedup": f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.93),
+{REACH}
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept
+FROM v LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) c ON v.vec_id = c.a LEFT JOIN part ON v.vec_id = part.id""",
+    "op7_minhash_dedup": f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({LOWER}, {NONSPACE}), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i : i + 4], ' ')) AS g FROM d, unnest(range(1, greatest(len(w) - 3, 2))) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+{REACH}
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id, coalesce(root, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN part ON d.doc_id = part.id""",
+    "op9_substring_dedup": f"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, {NONSPACE}), []) AS w FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 12], ' ')) AS g FROM d, unnest(range(1, len(w) - 11)) AS t(i)),
+f AS (SELECT g, min(doc_id) AS m FROM g GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, i + o AS p FROM g JOIN f ON g.g = f.g AND m < doc_id, unnest(range(0, 13)) AS t(o)),
+word AS (SELECT doc_id, p, w[p] AS x FROM d, unnest(range(1, len(w) + 1)) AS t(p)),
+kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.p) AS k FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.p = gone.p GROUP BY word.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) c ON d.doc_id = c.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id""",
+}
