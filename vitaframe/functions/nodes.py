@@ -34,10 +34,15 @@ def has(parent: Column, name: str, repeats: bool = False) -> Column:
     return F.size(kids(parent, name, repeats)) > 0
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once: lambda bodies have no common subexpressions."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def text(parent: Column, name: str) -> Column:
     """The string of a single-valued property; null if it is absent, an array or not a string."""
-    n = F.get(kids(parent, name), F.lit(0))
-    return F.when(n["idx"].isNull() & (n["vtype"] == "string"), n["lex"])
+    found = F.filter(nodes(), lambda n: (n["parent"] == parent) & (n["name"] == name) & ~n["meta"] & ~n["dup"] & n["idx"].isNull() & (n["vtype"] == "string"))
+    return F.get(found, F.lit(0))["lex"]
 
 
 def strings(found: Column) -> Column:
@@ -53,9 +58,10 @@ def codings(concepts: Column, unwrap: bool = False) -> Column:
     """(system, code) of every coding of the concepts; unwrap reads a scalar out of an array of one."""
 
     def scalar(coding: Column, name: str) -> Column:
+        if not unwrap:
+            return text(coding["id"], name)
         found = F.filter(kids(coding["id"], name), lambda n: n["vtype"] == "string")
-        n = F.get(found, F.lit(0))
-        return F.when((F.size(found) == 1) & F.lit(True) if unwrap else n["idx"].isNull(), n["lex"])
+        return let(found, lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0))["lex"]))
 
     return each(concepts, lambda c: F.transform(F.filter(kids(c["id"], "coding"), lambda d: d["kind"] == "complex"), lambda d: F.struct(scalar(d, "system").alias("system"), scalar(d, "code").alias("code"), d["loc"].alias("loc"))))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.nodes import FINDINGS, at_each, codings, each, finding, has_coding, kids, strings, text, top
+from ..functions.nodes import FINDINGS, at_each, codings, each, finding, has_coding, kids, let, strings, text, top
 from ..functions.scalars import PATTERNS, ucum_shape, whole
 
 # Fixed values of the specification.
@@ -32,17 +32,22 @@ VITAL_UNITS = {
 }
 
 
+QUANTITY = "struct<value:string,comparator:string,unit:string,system:string,code:string>"
+
+
 def read_quantity(n: Column) -> Column:
     """struct(value, comparator, unit, system, code); the value is the written decimal, or a string of its form."""
-    v = F.get(kids(n["id"], "value"), F.lit(0))
-    lex = F.when((v["vtype"] == "decimal") | (v["vtype"] == "string") & v["lex"].rlike(whole(PATTERNS["decimal"])), v["lex"])
-    return F.struct(lex.alias("value"), *(text(n["id"], k).alias(k) for k in ("comparator", "unit", "system", "code")))
+    lex = F.filter(kids(n["id"], "value"), lambda v: (v["vtype"] == "decimal") | (v["vtype"] == "string") & v["lex"].rlike(whole(PATTERNS["decimal"])))
+    return F.struct(F.get(lex, F.lit(0))["lex"].alias("value"), *(text(n["id"], k).alias(k) for k in ("comparator", "unit", "system", "code")))
 
 
 def observation_value(parent: Column) -> Column:
     """struct(type, loc, quantity) of the first value variant in the fixed order; null without one."""
-    found = [(t, F.get(kids(parent, f"value{t}"), F.lit(0))) for t in VALUE_TYPES]
-    return F.coalesce(*(F.when(n["id"].isNotNull(), F.struct(F.lit(t).alias("type"), n["loc"].alias("loc"), (read_quantity(n) if t == "Quantity" else F.lit(None).cast("struct<value:string,comparator:string,unit:string,system:string,code:string>")).alias("quantity"))) for t, n in found))
+    names = [f"value{t}" for t in VALUE_TYPES]
+    found = F.filter(F.col("nodes"), lambda n: (n["parent"] == parent) & n["name"].isin(*names) & ~n["meta"] & ~n["dup"])
+    first = let(found, lambda f: F.coalesce(*(F.get(F.filter(f, lambda n: n["name"] == t), F.lit(0)) for t in names)))
+    none = F.lit(None).cast(QUANTITY)
+    return let(first, lambda n: F.when(n["id"].isNotNull(), F.struct(F.substring(n["name"], 6, 40).alias("type"), n["loc"].alias("loc"), F.when(n["name"] == "valueQuantity", read_quantity(n)).otherwise(none).alias("quantity"))))
 
 
 def is_vital() -> Column:
@@ -56,21 +61,24 @@ def _bad_unit(q: Column) -> Column:
 
 def _element(n: Column, vital: Column) -> Column:
     """Findings of one Observation or component."""
-    units = F.create_map(*(x for k, v in VITAL_UNITS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     listed = F.filter(codings(kids(n["id"], "code")), lambda c: (c["system"] == LOINC) & c["code"].isin(*VITAL_UNITS))
-    v = observation_value(n["id"])
-    code = F.get(listed, F.lit(0))["code"]
-    q = v["quantity"]
-    keyed = vital & code.isNotNull() & v.isNotNull()
-    fits = F.coalesce((q["system"] == UCUM) & F.array_contains(F.try_element_at(units, code), q["code"]), F.lit(False))
-    return F.filter(
-        F.array(
-            F.when((v["type"] == "Quantity") & _bad_unit(q), finding("UCUM_UNIT_UNRECOGNIZED", "warning", F.concat(v["loc"], F.lit(".code")))),
-            F.when(keyed & (v["type"] != "Quantity"), finding("VALUE_TYPE_UNEXPECTED", "warning", v["loc"])),
-            F.when(keyed & (v["type"] == "Quantity") & ~fits, finding("VITAL_SIGN_UNIT_NONCONFORMANT", "error", v["loc"])),
-        ),
-        lambda f: f.isNotNull(),
-    ).cast(FINDINGS)
+    units = F.create_map(*(x for k, v in VITAL_UNITS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    allowed = F.try_element_at(units, F.get(listed, F.lit(0))["code"])
+
+    def judge(v: Column, allowed: Column) -> Column:
+        q = v["quantity"]
+        keyed = vital & allowed.isNotNull() & v.isNotNull()
+        fits = F.coalesce((q["system"] == UCUM) & F.array_contains(allowed, q["code"]), F.lit(False))
+        return F.filter(
+            F.array(
+                F.when((v["type"] == "Quantity") & _bad_unit(q), finding("UCUM_UNIT_UNRECOGNIZED", "warning", F.concat(v["loc"], F.lit(".code")))),
+                F.when(keyed & (v["type"] != "Quantity"), finding("VALUE_TYPE_UNEXPECTED", "warning", v["loc"])),
+                F.when(keyed & (v["type"] == "Quantity") & ~fits, finding("VITAL_SIGN_UNIT_NONCONFORMANT", "error", v["loc"])),
+            ),
+            lambda f: f.isNotNull(),
+        ).cast(FINDINGS)
+
+    return let(observation_value(n["id"]), lambda v: let(allowed, lambda a: judge(v, a)))
 
 
 def dose_quantities() -> Column:
@@ -80,7 +88,6 @@ def dose_quantities() -> Column:
 
 
 def quantity_findings() -> Column:
-    vital = is_vital()
     own = F.filter(F.col("nodes"), lambda n: (n["id"] == 0) | (n["parent"] == 0) & (n["name"] == "component") & (n["kind"] == "complex") & ~n["dup"])
     doses = F.transform(F.filter(dose_quantities(), lambda n: _bad_unit(read_quantity(n))), lambda n: F.concat(n["loc"], F.lit(".code")))
-    return F.when(F.col("resource_type") == "Observation", each(own, lambda n: _element(n, vital))).otherwise(F.coalesce(at_each(doses, "UCUM_UNIT_UNRECOGNIZED", "warning"), F.array().cast(FINDINGS)))
+    return F.when(F.col("resource_type") == "Observation", let(is_vital(), lambda vital: each(own, lambda n: _element(n, vital)))).otherwise(F.coalesce(at_each(doses, "UCUM_UNIT_UNRECOGNIZED", "warning"), F.array().cast(FINDINGS)))
