@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +33,23 @@ BLOCK_WORDS = 2_000_000
 BLOCK_DOCS = 20_000
 #: Words of a bucket, about, before those of equal spelling in other blocks are counted.
 BUCKET_BYTES = 64 << 20
-WORD_SCHEMA = "block long, bucket int, at long, doc_id long, data binary, words boolean"
-_NAMES = ["block", "bucket", "at", "doc_id", "data", "words"]
-_TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+#: Words of the texts that are packed in one row.
+ROW_WORDS = 100_000
+WORD_SCHEMA = "block long, bucket int, at long, data binary, words boolean"
+_NAMES = ["block", "bucket", "at", "data", "words"]
+_TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.bool_())
+
+
+def _join(parts: list[bytes]) -> bytes:
+    """Parts behind their lengths, compressed: rows are written and shuffled in this form."""
+    return zstandard.compress(np.array([len(parts), *map(len, parts)], "<u8").tobytes() + b"".join(parts), 3)
+
+
+def _parts(data: bytes) -> list[bytes]:
+    raw = zstandard.decompress(data)
+    n = int(np.frombuffer(raw, "<u8", 1)[0])
+    at = 8 * (n + 1) + np.r_[0, np.cumsum(np.frombuffer(raw, "<u8", n, 8))].astype(np.int64)
+    return [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -52,6 +67,10 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def _split(path: str, buckets: int):
+    def texts(docs: list, rank: np.ndarray) -> bytes:
+        ids, known = np.array([d or 0 for d, _ in docs], np.int64), np.array([d is not None for d, _ in docs], bool)
+        return _join([ids.tobytes(), known.tobytes(), np.array([len(x) for _, x in docs], np.int64).tobytes(), _pack(rank[np.concatenate([x for _, x in docs])])])
+
     def flush(block: int, docs: list, words: dict[str, int]) -> Iterator[pa.RecordBatch]:
         names = list(words)
         number = np.fromiter(words.values(), np.int64, len(names))
@@ -64,7 +83,15 @@ def _split(path: str, buckets: int):
         rank[order] = np.arange(len(names))
         # number[k] is k: words are numbered as they come
         assert not len(number) or number[-1] == len(names) - 1
-        rows = [(block, None, at, doc, _pack(rank[ids]), False) for at, (doc, ids) in enumerate(docs)]
+        rows, held, size = [], [], 0
+        for doc, ids in docs:
+            held.append((doc, ids))
+            size += len(ids)
+            if size >= ROW_WORDS:
+                rows.append((block, None, len(rows), texts(held, rank), False))
+                held, size = [], 0
+        if held:
+            rows.append((block, None, len(rows), texts(held, rank), False))
         by = np.lexsort((rank, bucket))
         edge = np.searchsorted(bucket[by], np.arange(buckets + 1))
         for b in range(buckets):
@@ -72,9 +99,9 @@ def _split(path: str, buckets: int):
             if len(own):
                 ranks = _pack(np.diff(rank[own], prepend=0))
                 text = "\n".join([names[i] for i in own]).encode("utf-8", "surrogatepass")
-                rows.append((block, b, len(ranks), None, ranks + text, True))
-        for i in range(0, len(rows), 4000):
-            part = rows[i : i + 4000]
+                rows.append((block, b, -1, _join([ranks, text]), True))
+        for i in range(0, len(rows), 100):
+            part = rows[i : i + 100]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], t) for k, t in enumerate(_TYPES)], names=_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,8 +136,8 @@ def _encode(path: str):
             for r in batch.to_pylist():
                 if r["bucket"] != bucket:
                     bucket, known = r["bucket"], {}
-                data, cut = r["data"], r["at"]
-                names = data[cut:].decode("utf-8", "surrogatepass").split("\n")
+                ranks, names = _parts(r["data"])
+                names = names.decode("utf-8", "surrogatepass").split("\n")
                 got = []
                 for w in names:
                     ids = known.get(w)
@@ -119,9 +146,7 @@ def _encode(path: str):
                     got.append(ids)
                 length = np.fromiter(map(len, got), np.int64, len(got))
                 flat = np.fromiter((i for ids in got for i in ids), np.int64, int(length.sum()))
-                parts = [data[:cut], _pack(length), _pack(flat)]
-                head = np.array([len(p) for p in parts], "<u4").tobytes()
-                rows.append((r["block"], bucket, -1, None, head + b"".join(parts), True))
+                rows.append((r["block"], bucket, -1, _join([ranks, _pack(length), _pack(flat)]), True))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_TYPES)], names=_NAMES)
 
     return run
@@ -159,19 +184,22 @@ def _finish(path: str, texts: bool):
                 if flat is None:  # all answers stand before the texts
                     order, lengths, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                     for data in got:
-                        a, b, c = np.frombuffer(data, "<u4", 3).tolist()
-                        order.append(np.cumsum(_unpack(data[12 : 12 + a])))
-                        lengths.append(_unpack(data[12 + a : 12 + a + b]))
-                        ids.append(_unpack(data[12 + a + b : 12 + a + b + c]))
+                        for into, part in zip((order, lengths, ids), _parts(data)):
+                            into.append(_unpack(part))
+                        order[-1] = np.cumsum(order[-1])
                     rank, length, ids_ = np.concatenate(order), np.concatenate(lengths), np.concatenate(ids)
                     by = np.argsort(rank)
                     old = np.r_[0, np.cumsum(length)]
                     flat = _gather(ids_, old, by)
                     begin = np.r_[0, np.cumsum(length[by])]
                     got = []
-                ids_ = _gather(flat, begin, _unpack(r["data"]))
-                raw = _gather(letters, where, ids_)[:-1].tobytes()  # pieces are joined by one space
-                out.append((r["doc_id"], len(ids_), hashlib.sha256(ids_.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest(), ids_.astype(np.int32) if texts else None, raw.decode("utf-8", "surrogatepass") if texts else None))
+                keys, known, size, ranks = _parts(r["data"])
+                ranks = _unpack(ranks)
+                edge = np.r_[0, np.cumsum(np.frombuffer(size, np.int64))]
+                for doc, real, a, b in zip(np.frombuffer(keys, np.int64).tolist(), np.frombuffer(known, bool).tolist(), edge[:-1], edge[1:]):
+                    ids_ = _gather(flat, begin, ranks[a:b])
+                    raw = _gather(letters, where, ids_)[:-1].tobytes()  # pieces are joined by one space
+                    out.append((doc if real else None, len(ids_), hashlib.sha256(ids_.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest(), ids_.astype(np.int32) if texts else None, raw.decode("utf-8", "surrogatepass") if texts else None))
             cols = [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()))][: 6 if texts else 4]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(cols)])
 

@@ -31,6 +31,7 @@ SAME = _BYTES.astype(np.uint8)
 _BASES = tuple((b, pow(b, -1, 1 << 64)) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 PIECE_BYTES = 1 << 20
+BATCH_ROWS = 1000
 
 
 def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,6 +105,18 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int =
     return mix((total[ends] - total[starts]) * inverse[starts])
 
 
+def row_hashes(data: np.ndarray, offs: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """`hashes` of long data, a run of rows of about PIECE_BYTES at a time."""
+    out = np.empty(len(starts), U)
+    i, n = 0, len(offs) - 1
+    while i < n:
+        j = min(n, max(i + 1, int(np.searchsorted(offs, offs[i] + PIECE_BYTES, "right")) - 1))
+        s = slice(first[i], first[j])
+        out[s] = hashes(data[offs[i] : offs[j]], starts[s] - offs[i], ends[s] - offs[i])
+        i = j
+    return out
+
+
 def rolling(h: np.ndarray, n: int, which: int = 0) -> np.ndarray:
     """The hash of the n values from each position on; shorter than h by n - 1."""
     m = len(h) - n + 1
@@ -163,8 +176,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def tune(spark: SparkSession) -> None:
+    """Arrow batches of whole texts: fewer rows each than Spark's default, so that a task's buffers stay small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+    tune(df.sparkSession)
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

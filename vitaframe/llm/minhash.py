@@ -1,21 +1,23 @@
 """Operator 7, MinHash near-dedup with b-bit signatures.
 
 One pass over the texts gives each document the digest of its shingle set, band
-keys of 128 minima and a signature of the two low bits of each minimum, packed
-in four longs. Equal sets fall into one class by a grouped minimum, so a hot
-group of copies is one row from there on. Candidates of a band bucket are first
-its members against its smallest class (a star, linear in the bucket); the
+keys of 128 minima and a signature of the two low bits of 512 minima, packed in
+sixteen longs. Equal sets fall into one class by a grouped minimum, so a hot group
+of copies is one row from there on. Candidates of a band bucket are first its
+members against one leader (a star, linear in the bucket); the
 collision-corrected estimate from bit counts ranks them, and each class confirms
-its best one on the full sets. Buckets that then still span several components
-are joined with themselves across components, with the estimate in the join
-condition, and every pair that passes is confirmed on full sets.
+its best one on the full sets. After ROUNDS such rounds with other leaders, only
+in buckets that still span several components, what remains of these buckets is
+joined with itself across components, with the estimate in the join condition,
+and every pair that passes is confirmed on full sets: no pair is left out but
+those that lie in one component already.
 
 Defined results: words are maximal runs of non-space characters, A-Z
 lower-cased; fewer than five words are one shingle; no words or a null text
 have an empty set and no links; a null doc_id gets a null component and stays;
 rows that share a doc_id are one vertex and are each returned; texts are taken
 whole; extra columns are ignored. A pair at the threshold itself is missed by
-all 32 bands with a chance of 5e-6, and by the estimate's margin with 1e-5.
+all 32 bands with a chance of 5e-6, and by the estimate's margin with 3e-5.
 """
 
 from __future__ import annotations
@@ -32,14 +34,18 @@ from .components import components
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
-HASHES = BANDS * ROWS
+BANDED = BANDS * ROWS
+HASHES = 512
+LONGS = HASHES // 32
 PERCENT = 75
-#: Estimates are taken 0.2 below the threshold: over four standard errors of 128 two-bit samples.
-MARGIN = 0.2
+#: Estimates are taken 0.093 below the threshold: four standard errors of 512 two-bit samples.
+MARGIN = 0.093
+ROUNDS = 2
 _RNG = np.random.default_rng(7)
 MULT = (_RNG.integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 ADD = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
-SIG_SCHEMA = "doc_id long, n long, s1 long, s2 long, keys array<long>, b0 long, b1 long, b2 long, b3 long"
+BITS = [f"b{k}" for k in range(LONGS)]
+SIG_SCHEMA = "doc_id long, n long, s1 long, s2 long, keys array<long>, " + ", ".join(f"{b} long" for b in BITS)
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -77,18 +83,18 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 low = x.astype(np.uint32) ^ (x >> np.uint64(32)).astype(np.uint32)
                 for k in range(HASHES):
                     minima[:, k] = np.minimum.reduceat(low * MULT[k] + ADD[k], begin)
-            wide = minima.reshape(len(full), BANDS, ROWS).astype(np.uint64)
+            wide = minima[:, :BANDED].reshape(len(full), BANDS, ROWS).astype(np.uint64)
             key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(full), BANDS)).copy()
             for k in range(ROWS):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + wide[:, :, k])
-            two = (minima & 3).astype(np.uint64).reshape(len(full), 4, 32)
-            packed = np.zeros((j - i, 4), np.uint64)
+            two = (minima & 3).astype(np.uint64).reshape(len(full), LONGS, 32)
+            packed = np.zeros((j - i, LONGS), np.uint64)
             packed[full] = np.bitwise_or.reduce(two << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=2)
             offsets = np.zeros(j - i + 1, np.int32)
             offsets[1:] = np.cumsum((n > 0) * BANDS)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.view(np.int64).ravel())), *(pa.array(np.ascontiguousarray(packed[:, k]).view(np.int64)) for k in range(4))],
-                names=["doc_id", "n", "s1", "s2", "keys", "b0", "b1", "b2", "b3"],
+                [batch.column(0).slice(i, j - i), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.view(np.int64).ravel())), *(pa.array(np.ascontiguousarray(packed[:, k]).view(np.int64)) for k in range(LONGS))],
+                names=["doc_id", "n", "s1", "s2", "keys", *BITS],
             )
 
 
@@ -100,12 +106,18 @@ def signatures(docs: DataFrame) -> DataFrame:
 def estimate(left: str, right: str) -> Column:
     """Collision-corrected similarity from the packed signatures: two random minima agree in two bits in a quarter of the cases."""
     differ = F.lit(0)
-    for k in range(4):
+    for k in range(LONGS):
         x = F.col(f"{left}.b{k}").bitwiseXOR(F.col(f"{right}.b{k}"))
         differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
     return ((F.lit(HASHES) - differ) / F.lit(HASHES) - 0.25) / 0.75
 
 
+def likely(left: str, right: str) -> Column:
+    """Whether two sets may meet the threshold: by their sizes, which is certain, and by the estimate less its margin."""
+    n, m = F.col(f"{left}.n"), F.col(f"{right}.n")
+    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (estimate(left, right) >= PERCENT / 100 - MARGIN)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = np.zeros(batch.num_rows, bool)
@@ -143,6 +155,25 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long")
 
 
+def _still_open(bands: DataFrame, part: DataFrame | None) -> DataFrame:
+    """The rows (key, doc_id, c) of the buckets whose classes lie in several components."""
+    if part is None:
+        named = bands.withColumn("c", F.col("doc_id"))
+    else:
+        named = bands.select("key", "doc_id").join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    return written(named.join(split, "key"), "open")
+
+
+def _stars(open_: DataFrame, bits: DataFrame, turn: int) -> DataFrame:
+    """For each class its best-estimated pair with the leader of one of its buckets; another leader in each turn."""
+    order = F.col("doc_id") if not turn else F.xxhash64("doc_id", F.lit(turn))
+    lead = open_.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("doc_id").alias("lead"), F.col("c").alias("lc"))).alias("m")).select("key", "m.lead", "m.lc")
+    pairs = open_.join(lead, "key").where("c <> lc").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
+    ranked = pairs.join(bits.withColumnRenamed("doc_id", "a").alias("x"), "a").join(bits.withColumnRenamed("doc_id", "b").alias("y"), "b").where(likely("x", "y")).select("a", "b", estimate("x", "y").alias("e"))
+    return ranked.groupBy("b").agg(F.max(F.struct("e", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -151,23 +182,21 @@ def near_classes(docs: DataFrame) -> DataFrame:
     classes = real.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     member = written(real.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).select("doc_id", "rep").distinct(), "members")
     reps = written(real.join(classes.withColumnRenamed("rep", "doc_id"), ["n", "s1", "s2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "s1", "s2"]), "classes")
-    bits = reps.select("doc_id", "b0", "b1", "b2", "b3")
-    bands = written(reps.select(F.explode("keys").alias("key"), "doc_id"), "bands")
-    lead = bands.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead <> last").select("key", "lead")
-    stars = bands.join(lead, "key").where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-    ranked = stars.join(bits.alias("x").withColumnRenamed("doc_id", "a"), "a").join(bits.alias("y").withColumnRenamed("doc_id", "b"), "b").select("a", "b", estimate("x", "y").alias("e")).where(F.col("e") >= PERCENT / 100 - MARGIN)
-    best = ranked.groupBy("b").agg(F.max(F.struct("e", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    first = written(confirm(best, texts), "links")
+    bits = reps.select("doc_id", "n", *BITS)
+    open_ = written(reps.select(F.explode("keys").alias("key"), "doc_id"), "bands")
     twice = member.groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most").select("doc_id", "least")
-    shared = member.join(twice, "doc_id").select(F.col("least").alias("a"), F.col("rep").alias("b"))
-    part = written(components(first.union(shared)), "components")
-    whole = bands.join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    split = whole.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    open_ = written(whole.join(split, "key").join(bits, "doc_id"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c")) & (estimate("x", "y") >= PERCENT / 100 - MARGIN)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    second = written(confirm(rest, texts), "links")
-    final = written(components(first.union(shared).union(second)), "components")
+    links = written(member.join(twice, "doc_id").select(F.col("least").alias("a"), F.col("rep").alias("b")).where("a <> b"), "links")
+    part = None
+    for turn in range(ROUNDS):
+        open_ = _still_open(open_, part)
+        found = written(confirm(_stars(open_, bits, turn), texts), "links")
+        links = links.union(found)
+        part = written(components(links), "components")
+    rest = _still_open(open_, part).join(bits, "doc_id")
+    x, y = rest.alias("x"), rest.alias("y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c")) & likely("x", "y")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    links = links.union(written(confirm(pairs, texts), "links"))
+    final = written(components(links), "components")
     own = member.join(final.withColumnRenamed("id", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     return sig.select("doc_id", F.col("n").alias("n_shingles")).join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"))
 

@@ -22,6 +22,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, hashes, mix, pieces, rolling, spans
+from .common import ALNUM, LOWER, mix, pieces, rolling, row_hashes, spans
 
 LENGTH, STRIDE = 24, 12
 HIDDEN, INPUT, ATTEND = 8, 12, 8
@@ -56,12 +57,12 @@ def word_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
         at = np.arange(int(length.sum())) + np.repeat(starts - (np.cumsum(length) - length), length)
         to = np.arange(int(length.sum())) + np.repeat(first[:-1] + 1 - (np.cumsum(length) - length), length)
         buf[to] = data[at].astype(np.uint64) + np.uint64(3)
-    row = np.repeat(np.arange(len(starts)), wide)
+    row = np.repeat(np.arange(len(starts), dtype=np.int32), wide)
     out, rows = [], []
     for n in ORDERS:
         h = rolling(buf, n) + np.uint64(n)
         ok = (row[: len(h)] == row[n - 1 :]) if len(h) else np.zeros(0, bool)
-        out.append((mix(h[ok]) % np.uint64(BUCKETS)).astype(np.int64))
+        out.append((mix(h[ok]) % np.uint64(BUCKETS)).astype(np.int32))
         rows.append(row[: len(h)][ok])
     g, r = np.concatenate(out), np.concatenate(rows)
     order = np.argsort(r, kind="stable")
@@ -217,12 +218,13 @@ class _Words:
     def __init__(self, data: np.ndarray, offs: np.ndarray) -> None:
         low = LOWER[data]
         starts, ends, first = spans(data, offs, ALNUM)
-        self.hash, at, ids = np.unique(hashes(low, starts, ends), return_index=True, return_inverse=True)
+        self.hash, at, ids = np.unique(row_hashes(low, offs, starts, ends, first), return_index=True, return_inverse=True)
         self.grams, self.first = word_grams(low, starts[at], ends[at])
         self.row, start, end = windows(first)
-        place = start[:, None] + np.arange(LENGTH)
-        padded = np.r_[ids, len(self.hash)]
-        self.ids = padded[np.where(place < end[:, None], place, len(ids))].astype(np.int32)
+        padded = np.r_[ids, len(self.hash)].astype(np.int32)
+        self.ids = np.empty((len(start), LENGTH), np.int32)
+        for k in range(LENGTH):
+            self.ids[:, k] = padded[np.where(start + k < end, start + k, len(ids))]
         self.rows = len(offs) - 1
 
 
@@ -260,24 +262,28 @@ def fit(texts: list[str], toxic: np.ndarray, share: float | None = None, epochs:
     if toxic[held].all() or not toxic[held].any():
         held[:] = False
     n_words = len(w.hash)
-    # document frequencies of words, and through them of n-grams, in both classes
-    doc = np.repeat(w.row, LENGTH)
-    pair = np.unique(doc.astype(np.int64)[w.ids.ravel() < n_words] * n_words + w.ids.ravel()[w.ids.ravel() < n_words])
-    d, word = pair // max(n_words, 1), pair % max(n_words, 1)
-    use = ~held[d]
-    d, word = d[use], word[use]
-    df = [np.bincount(word[toxic[d] == c], minlength=n_words) for c in (True, False)]
+    # document frequencies of words, and through them of n-grams, in both classes; a run of documents at a time
+    df, gdf = np.zeros((2, n_words), np.int64), np.zeros((2, BUCKETS), np.int64)
+    edge = np.searchsorted(w.row, np.arange(len(texts) + 1))
+    for lo in range(0, len(texts), 100):
+        hi = min(lo + 100, len(texts))
+        ids = w.ids[edge[lo] : edge[hi]].ravel()
+        doc = np.repeat(w.row[edge[lo] : edge[hi]], LENGTH)
+        real = (ids < n_words) & ~held[doc]
+        pair = np.unique(doc[real].astype(np.int64) * n_words + ids[real])
+        d, word = pair // max(n_words, 1), pair % max(n_words, 1)
+        size = np.diff(w.first)[word]
+        at = np.repeat(w.first[word] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        gram_doc = np.unique(np.repeat(d, size) * BUCKETS + w.grams[at])
+        for c in (0, 1):
+            df[c] += np.bincount(word[toxic[d] == (c == 0)], minlength=n_words)
+            gdf[c] += np.bincount(gram_doc[toxic[gram_doc // BUCKETS] == (c == 0)] % BUCKETS, minlength=BUCKETS)
     n, m = int((toxic & ~held).sum()), int((~toxic & ~held).sum())
     often = np.flatnonzero(df[0] + df[1] >= 4)
     often = often[np.argsort(-(df[0] + df[1])[often], kind="stable")][:VOCABULARY]
     often = np.sort(often)
     net.words = w.hash[often]
     net.p["V"] = np.r_[net.p["V"], (rng.standard_normal((len(often), INPUT)) * 0.05).astype(np.float32)]
-    size = np.diff(w.first)[word]
-    at = np.repeat(w.first[word] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    gram_doc = np.unique(np.repeat(d, size) * BUCKETS + w.grams[at])
-    gd, gg = gram_doc // BUCKETS, gram_doc % BUCKETS
-    gdf = [np.bincount(gg[toxic[gd] == c], minlength=BUCKETS) for c in (True, False)]
     gram_odds = np.where(gdf[0] + gdf[1] >= 3, _odds(gdf[0], gdf[1], n, m), 0.0)
     word_odds = np.where(df[0] + df[1] >= 2, _odds(df[0], df[1], n, m), 0.0)
     net.p["E"][:, 0] += (np.where(gram_odds > 1.5, np.clip(gram_odds, 0, 6), 0) / 4).astype(np.float32)
@@ -384,8 +390,21 @@ def train(docs: DataFrame, labels: DataFrame, limit: tuple[int, int] = TRAIN_DOC
         part = known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit[c])
         pick = part if pick is None else pick.union(part)
     # at most sum(limit) rows of two numbers: small enough to broadcast, whatever the corpus
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(pick), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sum(limit)).collect()
-    return fit([r.text for r in rows], np.array([r.toxic for r in rows], bool), size.get(1, 0) / max(sum(size.values()), 1)) if rows else None
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(pick), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sum(limit))
+    share = size.get(1, 0) / max(sum(size.values()), 1)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = [], []
+        for b in batches:
+            texts += b.column(0).to_pylist()
+            toxic += b.column(1).to_pylist()
+        net = fit(texts, np.array(toxic, bool), share) if texts else None
+        if net is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["network"])
+
+    # the bounded sample is learnt from in one task; the driver sees the parameters only
+    got = rows.select("text", "toxic").mapInArrow(learn, "network binary").collect()
+    return pickle.loads(got[0].network) if got else None
 
 
 def score(docs: DataFrame, net: Network | None) -> DataFrame:

@@ -147,3 +147,85 @@ def canonical(nodes: Column) -> Column:
         return F.concat_ws("=", F.regexp_replace(n["loc"], r"\[0\]", ""), F.coalesce(n["lex"], n["kind"]), F.coalesce(n["elem_id"], F.lit("")))
 
     return F.array_sort(F.transform(nodes, row))
+
+
+_ESCAPES = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "\t": "&#9;", "\n": "&#10;", "\r": "&#13;"})
+
+
+def _attribute(name: str, value: str | None) -> str:
+    return "" if value is None else f' {name}="{value.translate(_ESCAPES)}"'
+
+
+def _is_div(markup: str) -> bool:
+    """Whether a narrative is one well-formed div element and nothing else."""
+    try:
+        return parse(markup).tag == "div" and markup.startswith("<div") and markup.endswith((">",))
+    except Fatal:
+        return False
+
+
+def render(nodes: list) -> str | None:
+    """XML of a flattened tree, in one pass over its pre-order; null where a narrative isn't one div element."""
+    out: list[str] = []
+    open_: list[tuple[int, str]] = []  # last node of an element that is still open, and what closes it
+    attributes = {}  # ids of a complex element, and urls of an extension, are written with its start tag
+    for n in nodes:
+        owner = nodes[n["parent"]] if n["parent"] >= 0 else None
+        if n["name"] == "id" and n["kind"] == "primitive" and not n["meta"] and owner["rtype"] is None or n["name"] == "url" and n["kind"] == "primitive" and owner["name"] in ("extension", "modifierExtension"):
+            attributes.setdefault(owner["id"], {})[n["name"]] = n["lex"]
+    for n in nodes:
+        while open_ and open_[-1][0] < n["id"]:
+            out.append(open_.pop()[1])
+        if n["name"] == "resourceType" or n["name"] in attributes.get(n["parent"], {}):
+            continue
+        name = n["name"]
+        if n["kind"] == "primitive":
+            if name == "div" and n["lex"] is not None:
+                if not _is_div(n["lex"]):
+                    return None
+                out.append(n["lex"])
+                continue
+            start = f"<{name}{_attribute('id', n['elem_id'])}{_attribute('value', n['lex'])}"
+            closing = f"</{name}>"
+        elif n["rtype"] is not None:
+            root = n["parent"] < 0
+            start = f'<{n["rtype"]} xmlns="{FHIR}"' if root else f"<{name}><{n['rtype']}"
+            closing = f"</{n['rtype']}>" + ("" if root else f"</{name}>")
+        else:
+            own = attributes.get(n["id"], {})
+            start = f"<{name}{_attribute('id', own.get('id'))}{_attribute('url', own.get('url'))}"
+            closing = f"</{name}>"
+        if n["last"] == n["id"]:
+            out.append(f"{start}/>" if n["rtype"] is None else f"{start}>{closing}")
+        else:
+            out.append(f"{start}>")
+            open_.append((n["last"], closing))
+    out += [c for _, c in reversed(open_)]
+    return "".join(out)
+
+
+def write_xml(resources: DataFrame, name: str = "xml") -> DataFrame:
+    """Adds the XML of `nodes`, and `refusal` where XML can't say what the tree holds, the first that applies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, blocked = b.schema.get_field_index("nodes"), b.schema.get_field_index("refusal")
+            out = [render(x) if x and r is None else None for x, r in zip(b.column(at).to_pylist(), b.column(blocked).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, name])
+
+    any_ = lambda f: F.exists("nodes", f)
+    real = lambda n: (n["parent"] >= 0) & (n["kind"] != "text")
+    alone = lambda n: n["idx"].isNotNull() & ~n["meta"] & (n["idx"] == 0) & ~any_(lambda m: (m["parent"] == n["parent"]) & (m["name"] == n["name"]) & (m["idx"] == 1))
+    scalar = lambda n: n["name"].isin("system", "code", "status", "clinicalStatus", "verificationStatus", "doNotPerform", "resourceType")
+    refusal = (
+        F.when(any_(lambda n: n["kind"] == "text"), "DROPPED_ELEMENT_TEXT")
+        .when(any_(lambda n: real(n) & (n["name"].rlike(r"[ \t\n\r/>=<]") | n["name"].rlike(r"\A[!?]") | (n["name"] == ""))), "UNSERIALIZABLE_ELEMENT_NAME")
+        .when(any_(lambda n: n["kind"].isin("nested", "foreign") | (n["src"] == "null")), "UNSERIALIZABLE_JSON_ONLY_SHAPE")
+        .when(any_(lambda n: scalar(n) & alone(n)), "UNSERIALIZABLE_ARRAY_WRAPPER")
+        .when(any_(lambda n: n["dup"]), "UNSERIALIZABLE_SHADOWED_PROPERTY")
+        .when(F.get("nodes", F.lit(0))["rtype"].isNull() & (F.size("nodes") > 0), "UNSERIALIZABLE_RESOURCE_TYPE")
+    )
+    ready = resources.withColumn("refusal", refusal)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema.fields)
+    written = ready.mapInArrow(run, f"{ddl}, `{name}` string")
+    return written.withColumn("refusal", F.coalesce("refusal", F.when(F.col(name).isNull() & (F.size("nodes") > 0), "UNSERIALIZABLE_DIV_MARKUP")))
