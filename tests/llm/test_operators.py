@@ -182,6 +182,26 @@ def test_runs_are_merged_and_compacted(spark, corpus):
     assert stored == len(seen)
 
 
+def test_substrings_of_other_scans(spark):
+    """In a fresh session the first scan has Spark's own Arrow batches and later ones smaller: shards stay as they were numbered."""
+    rng = random.Random(8)
+    passages = [" ".join(f"p{rng.randrange(10**6)}" for _ in range(13)) for _ in range(3000)]
+    rows = [(i, f"{i} {rng.choice(passages) if rng.random() < 0.2 else f'{i} few words'} {i}") for i in range(130_000)]
+    frame = docs(spark, rows).coalesce(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(key)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.dedup(frame, batches=1).collect()}
+    assert got == brute_repeats(rows)
+
+
+def test_answers_about_other_shards_are_refused(spark):
+    held = substrings._Shard()
+    text = np.frombuffer(" ".join(str(k) for k in range(20)).encode(), np.uint8)
+    held.add([1], text, np.array([0, len(text)]), 13, True)
+    with pytest.raises(ValueError, match="fingerprints"):
+        list(substrings._apply(13)(held, {0: (9, b"\0\0")}, 0))
+
+
 def test_packing():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 1000):

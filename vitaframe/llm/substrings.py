@@ -7,7 +7,9 @@ merge-joined with the sorted immutable runs of earlier batches. The answer for
 a shard is one bit per fingerprint; the batch's own fingerprints, each with its
 smallest doc_id, become a new run of what no older run holds, and runs are
 compacted when more than `most_runs` stand side by side. A hot window costs one
-entry per shard, however many documents hold it. The fingerprint range is
+entry per shard, however many documents hold it. A batch's texts are written once
+with their shard and their place in it; every part and the final join read these
+numbers, and never cut shards anew. The fingerprint range is
 worked through in PASSES parts, each with its own runs, so that the exchange
 files of one part at a time are on disk.
 
@@ -67,7 +69,7 @@ def unpack(width: int, data: bytes) -> np.ndarray:
 
 
 class _Shard:
-    """Documents held until about SHARD_WORDS words have come."""
+    """The documents of one shard, about SHARD_WORDS words."""
 
     def __init__(self) -> None:
         self.ids: list = []
@@ -76,7 +78,6 @@ class _Shard:
         self.checks: list = []
         self.valid: list = []
         self.lengths: list = []
-        self.words = 0
 
     def add(self, ids: list, data: np.ndarray, offs: np.ndarray, window: int, keep_text: bool) -> None:
         starts, ends, first = spans(data, offs, NONSPACE)
@@ -92,10 +93,6 @@ class _Shard:
         self.ids += ids
         if keep_text:
             self.texts.append((data, starts, ends))
-        self.words += len(h) + len(ids)
-
-    def full(self) -> bool:
-        return self.words >= SHARD_WORDS or len(self.ids) >= SHARD_DOCS - 10_000
 
     def close(self):
         """Windows in text order and the distinct fingerprints with the smallest owner of each: what is sent."""
@@ -113,33 +110,64 @@ class _Shard:
         return m[new], c[new], owner[order][new], np.array(known, np.int64), group, owner, valid, length
 
 
-def _shards(batches: Iterator[pa.RecordBatch], window: int, keep_text: bool) -> Iterator[_Shard]:
-    held = _Shard()
+def numbered(docs: DataFrame) -> DataFrame:
+    """(shard, at, doc_id, text), written: all that asks about a shard or applies its answers reads these numbers."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, at, words, docs = TaskContext.get().partitionId() << 24, 0, 0, 0
+        for batch in batches:
+            shards: list[int] = []
+            for i, j, data, offs in pieces(batch.column(1)):
+                starts, _, _ = spans(data, offs, NONSPACE)
+                shards += [shard] * (j - i)
+                words, docs = words + len(starts) + (j - i), docs + j - i
+                if words >= SHARD_WORDS or docs >= SHARD_DOCS - 10_000:
+                    shard, words, docs = shard + 1, 0, 0
+            places = pa.array(np.arange(at, at + batch.num_rows))
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), places, batch.column(0), batch.column(1)], names=["shard", "at", "doc_id", "text"])
+
+    return written(docs.select("doc_id", "text").mapInArrow(number, "shard long, at long, doc_id long, text string"), "shards")
+
+
+def _gathered(df: DataFrame, n: int) -> DataFrame:
+    """Every shard whole in one task, its rows in order."""
+    return df.repartition(n, "shard").sortWithinPartitions("shard", "at")
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Runs of rows of one shard: gathered rows come as one or more such runs a shard, side by side."""
     for batch in batches:
-        keys = batch.column(0).to_pylist()
-        for i, j, data, offs in pieces(batch.column(1)):
-            held.add(keys[i:j], data, offs, window, keep_text)
-            if held.full():
-                yield held
-                held = _Shard()
-    if held.ids:
-        yield held
+        own = np.asarray(batch.column(0))
+        edge = np.r_[0, np.flatnonzero(own[1:] != own[:-1]) + 1, len(own)] if len(own) else np.zeros(1, int)
+        for a, b in zip(edge[:-1], edge[1:]):
+            yield int(own[a]), batch.slice(a, b - a)
 
 
 def _ask(bits: int, window: int, low: int, high: int):
+    def ask(number: int, shard: _Shard) -> pa.RecordBatch:
+        marks, checks, owners, ids, *_ = shard.close()
+        bucket = (marks >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(marks), np.int64)
+        edge = np.searchsorted(bucket, np.arange((1 << bits) + 1))
+        rows = []
+        for b in np.flatnonzero(np.diff(edge[low : high + 1])) + low:
+            s = slice(edge[b], edge[b + 1])
+            used, small = np.unique(owners[s], return_inverse=True)
+            rows.append((int(b), number, int(edge[b + 1] - edge[b]), *pack(marks[s]), checks[s].tobytes(), small.astype("<u2").tobytes(), ids[used].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], names=list(ASK))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 24
-        for k, shard in enumerate(_shards(batches, window, False)):
-            marks, checks, owners, ids, *_ = shard.close()
-            bucket = (marks >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(marks), np.int64)
-            edge = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-            rows = []
-            for b in np.flatnonzero(np.diff(edge[low : high + 1])) + low:
-                s = slice(edge[b], edge[b + 1])
-                used, small = np.unique(owners[s], return_inverse=True)
-                rows.append((int(b), base + k, int(edge[b + 1] - edge[b]), *pack(marks[s]), checks[s].tobytes(), small.astype("<u2").tobytes(), ids[used].tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], names=list(ASK))
+        number, held = -1, _Shard()
+        for shard, rows in _shards(batches):
+            if shard != number:
+                if held.ids:
+                    yield ask(number, held)
+                number, held = shard, _Shard()
+            ids = rows.column(2).to_pylist()
+            for i, j, data, offs in pieces(rows.column(3)):
+                held.add(ids[i:j], data, offs, window, False)
+        if held.ids:
+            yield ask(number, held)
 
     return run
 
@@ -225,11 +253,14 @@ class FingerprintIndex:
         return out
 
     def add(self, docs: DataFrame, keep: bool = True) -> DataFrame:
-        """Answers (bucket, shard, n, marks: bits) for a batch (doc_id, text) whose ids are all larger than those before; then a run with its fingerprints.
+        """Answers (bucket, shard, n, marks: bits) for a batch whose ids are all larger than those before; then a run with its fingerprints.
 
+        The batch is a table of `numbered`, whose numbers the answers name, or (doc_id, text), which is numbered here.
         keep=False leaves the batch out of the index, when no further one follows.
         """
-        asked = docs.mapInArrow(_ask(self.bits, self.window, self.low, self.high), RUN_SCHEMA)
+        texts = docs if "shard" in docs.columns else numbered(docs)
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        asked = _gathered(texts, n).mapInArrow(_ask(self.bits, self.window, self.low, self.high), RUN_SCHEMA)
         history, path = self._history(), self._next("run")
         self._merged(asked if history is None else asked.unionByName(history), "new" if keep else "", path)
         if keep:
@@ -249,12 +280,14 @@ class FingerprintIndex:
 def _apply(window: int):
     """Texts and answers of one partition of shards -> the digest of each document."""
 
-    def digest(shard: _Shard, answers: dict[int, bytes], bits: int) -> Iterator[tuple]:
+    def digest(shard: _Shard, answers: dict[int, tuple[int, bytes]], bits: int) -> Iterator[tuple]:
         marks, _, least, ids, group, owner, valid, length = shard.close()
         dup = np.zeros(len(marks), bool)
         bucket = (marks >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(marks), np.int64)
-        for b, a in answers.items():
+        for b, (n, a) in answers.items():
             lo, hi = np.searchsorted(bucket, [b, b + 1])
+            if n != hi - lo:
+                raise ValueError(f"an answer of bucket {b} is about {n} fingerprints, its shard has {hi - lo}")
             dup[lo:hi] = np.unpackbits(np.frombuffer(a, np.uint8), count=hi - lo).astype(bool)
         flag = np.zeros(len(valid) + 1, np.int64)
         at = np.flatnonzero(valid)
@@ -296,7 +329,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, batches: int = 2, passes: int =
     for k in range(len(cuts) + 1):
         above = F.col("doc_id") > cuts[k - 1] if k else F.lit(True)
         upto = F.col("doc_id") <= cuts[k] if k < len(cuts) else F.lit(True)
-        parts.append(d.where((above & upto) | F.col("doc_id").isNull() if not k else above & upto))
+        parts.append(numbered(d.where((above & upto) | F.col("doc_id").isNull() if not k else above & upto)))
     answers: list[DataFrame | None] = [None] * len(parts)
     for p in range(passes):
         index = FingerprintIndex(spark, bits, window, part=(p, passes))
@@ -314,57 +347,39 @@ def dedup(docs: DataFrame, window: int = WINDOW, batches: int = 2, passes: int =
 
 
 def _digests(part: DataFrame, answers: DataFrame, bits: int, window: int) -> DataFrame:
-    """Brings texts and answers together by shard; a shard's texts keep the order in which they were asked about."""
+    """Brings the texts of `numbered` and their answers together by shard."""
     digest = _apply(window)
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 24
-        names = ["shard", "at", "doc_id", "text", "bucket", "bits"]
-        k = at = words = docs = 0
-        for batch in batches:
-            shards, places = [], []
-            for i, j, data, offs in pieces(batch.column(1)):
-                starts, _, _ = spans(data, offs, NONSPACE)
-                shards += [base + k] * (j - i)
-                places += range(at, at + j - i)
-                at, words, docs = at + j - i, words + len(starts) + (j - i), docs + j - i
-                if words >= SHARD_WORDS or docs >= SHARD_DOCS - 10_000:
-                    k, words, docs = k + 1, 0, 0
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(places, pa.int64()), batch.column(0), batch.column(1), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
-
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held, answer = None, _Shard(), {}
+        number, held, answer = -1, _Shard(), {}
 
         def out() -> pa.RecordBatch:
-            got = list(digest(held, answer, bits)) if held.ids else []
+            got = list(digest(held, answer, bits))
             return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-        for batch in batches:
-            own, keys = np.asarray(batch.column(0)), batch.column(2).to_pylist()
-            edge = np.r_[0, np.flatnonzero(own[1:] != own[:-1]) + 1, len(own)] if len(own) else np.zeros(1, int)
-            for a, b in zip(edge[:-1], edge[1:]):
-                if own[a] != shard:
-                    if held.ids:
-                        yield out()
-                    shard, held, answer = own[a], _Shard(), {}
-                part = batch.slice(a, b - a)
-                n = part.column(4).null_count  # answers come first, and then the texts
-                for k in range(len(part) - n):
-                    answer[part.column(4)[k].as_py()] = part.column(5)[k].as_py()
-                texts = part.slice(len(part) - n)
-                ids = texts.column(2).to_pylist()
-                for i, j, data, offs in pieces(texts.column(3)):
-                    held.add(ids[i:j], data, offs, window, True)
+        for shard, rows in _shards(batches):
+            if shard != number:
+                if held.ids:
+                    yield out()
+                elif answer:
+                    raise ValueError(f"answers about shard {number}, which has no texts")
+                number, held, answer = shard, _Shard(), {}
+            n = rows.column(4).null_count  # answers come first, and then the texts
+            for k in range(len(rows) - n):
+                answer[rows.column(4)[k].as_py()] = rows.column(5)[k].as_py(), rows.column(6)[k].as_py()
+            texts = rows.slice(len(rows) - n)
+            ids = texts.column(2).to_pylist()
+            for i, j, data, offs in pieces(texts.column(3)):
+                held.add(ids[i:j], data, offs, window, True)
         if held.ids:
             yield out()
+        elif answer:
+            raise ValueError(f"answers about shard {number}, which has no texts")
 
-    schema = "shard long, at long, doc_id long, text string, bucket int, bits binary"
-    texts = part.mapInArrow(number, schema)
-    marks = answers.select("shard", F.lit(-1).cast("long").alias("at"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "bucket", F.col("marks").alias("bits"))
-    spark = part.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return texts.union(marks).repartition(n, "shard").sortWithinPartitions("shard", "at").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    texts = part.select("shard", "at", "doc_id", "text", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("binary").alias("bits"))
+    marks = answers.select("shard", F.lit(-1).cast("long").alias("at"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "bucket", "n", F.col("marks").alias("bits"))
+    n = int(part.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _gathered(texts.union(marks), n).mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
