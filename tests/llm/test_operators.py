@@ -235,6 +235,34 @@ def test_embeddings(spark):
     assert neighbours.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_links_between_tight_groups(spark):
+    """Two groups of 30 vectors, 0.99 and more inside and 0.94 across: lists of LIST are full of their own group."""
+    rng = np.random.default_rng(12)
+    rows, groups = [], []
+    for c in range(6):
+        one = rng.standard_normal(32)
+        one /= np.linalg.norm(one)
+        other = rng.standard_normal(32)
+        other -= (other @ one) * one
+        other = 0.943 * one + np.sqrt(1 - 0.943**2) * other / np.linalg.norm(other)
+        for middle in (one, other):
+            for _ in range(30):
+                rows.append((len(rows), (middle + rng.standard_normal(32) * 0.006).tolist(), 0))
+                groups.append(c)
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    want = union_find([(int(i), int(j_)) for i, j_ in zip(*np.nonzero(near))], list(range(len(rows))))
+    assert len(set(want.values())) == 6 and all(want[i] == groups[i] * 60 for i in want)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.component_id, r.n_links) for r in neighbours.near_vectors(frame).collect()}
+    assert got == {i: (want[i], int(near[i].sum())) for i in want}
+    _, nodes = neighbours.classes(frame)
+    tied = [(r.a, r.b) for r in neighbours._all_links(nodes, 0.93).collect()]
+    assert union_find(tied, list(want)) == want
+
+
 def judge_url(u):
     if not u or "://" not in u:
         return "", "", None
