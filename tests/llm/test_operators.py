@@ -147,6 +147,15 @@ def test_minhash(spark, corpus):
     assert minhash.near_classes(frame.limit(0)).count() == 0
 
 
+def test_minhash_of_small_sets(spark):
+    """Pairs of seven and eight words: sets of 3 and 4 shingles, at the threshold itself."""
+    rng = random.Random(6)
+    long = [" ".join(f"v{rng.randrange(10**9)}" for _ in range(8)) for _ in range(200)]
+    rows = [(2 * i + k, t if k else t.rsplit(" ", 1)[0]) for i, t in enumerate(long) for k in (0, 1)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_classes(docs(spark, rows)).collect()}
+    assert got == {i: (3 + i % 2, i - i % 2) for i, _ in rows}
+
+
 def brute_repeats(rows):
     first, out = {}, {}
     for i, t in sorted(rows):
