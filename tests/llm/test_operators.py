@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -365,6 +366,23 @@ def test_secrets(spark):
     assert got[2] == [rows[1][1]] and got[3] == [None] and got[4] == [""] and got[5] == [rows[4][1]] and got[6] == [rows[5][1]]
 
 
+def test_secrets_of_any_length():
+    forest = secrets.default_forest()
+    rng = random.Random(9)
+    take = lambda cs, n: "".join(rng.choice(cs) for _ in range(n))
+    letters, b64 = string.ascii_letters, string.ascii_letters + string.digits + "+/"
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    value, jwt, block = take(b64, 1500), "eyJ" + take(letters + string.digits, 900), f"{begin}\n{take(b64, 64)}\n{take(b64, 64)}\n{take(b64, 10)}==\n{end}"
+    for secret, text in ((value, f'x token = "{value}" y'), (jwt, f"use {jwt} now"), (block, f"a\n{block}\nb"), (key := "AKIA" + take(string.ascii_uppercase, 16), f"key {key} here")):
+        assert [text[s:e] for s, e, *_ in secrets.find([text], forest)[0]] == [secret]
+    keys = [take(letters, 24) for _ in range(300)]
+    assert all([text[s:e] for s, e, *_ in secrets.candidates(text)] == [k] for k in keys for text in [f"the {k} of"])
+    assert np.mean([bool(f) for f in secrets.find([f"api key {k} for" for k in keys], forest)]) > 0.9
+    plain = ["see InternationalOrganizationForStandards and getUserNameFromServerResponse", "a" * 100_000, "-----BEGIN PRIVATE KEY-----" * 2000]
+    assert not secrets.find(plain[:1], forest)[0] and not secrets.find(plain[1:2], forest)[0] and len(secrets.find(plain[2:], forest)[0]) == 2000
+    assert [text[s:e] for text in ["MyDatabasePassword: hunterhunter"] for s, e, *_ in secrets.candidates(text)] == ["hunterhunter"]
+
+
 def toxic_corpus(n, seed):
     rng = random.Random(seed)
     plain = ["".join(rng.choice("abdeghinorstu") for _ in range(rng.randint(2, 7))) for _ in range(500)]

@@ -27,14 +27,17 @@ from pyspark.sql import DataFrame, SparkSession
 CUT = 0.5
 MASK = "[SECRET]"
 NEAR = 60
-#: Candidates: a value assigned to a secret-sounding name, or a run of key characters with a digit or mixed case.
-ASSIGNED = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?[\"']?[ \t]{0,3}(?:=|:|=>)[ \t]{0,3}[\"']?"
-BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:\s*[A-Za-z0-9+/=]{16,512})*\s*(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
-CANDIDATE = re.compile(rf"(?P<block>{BLOCK})|(?i:(?P<name>{ASSIGNED}))(?P<value>[^\s\"'<>,;]{{6,512}})|(?<![A-Za-z0-9_+/=\-])(?P<run>(?=[^\s]{{0,80}}[0-9])[A-Za-z0-9_+/=\-]{{16,512}})(?![A-Za-z0-9_+/=\-])")
-KEYWORDS = re.compile(r"(?i)pass|pwd|secret|token|key|auth|credential|bearer|private")
-BENIGN = re.compile(r"(?i)sha\d*|md5|digest|checksum|commit|uuid|guid|example|etag|hash|revision|build|id\b")
 #: Prefixes of public key formats; fixed values.
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "xoxb-", "xoxp-", "sk_live_", "rk_live_", "AIza", "glpat-", "eyJ", "npm_", "SG.")
+#: Candidates, of any length: a value assigned to a secret-sounding name, or a run of key characters with or before a digit, of mixed case or with a known prefix.
+ASSIGNED = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?[\"']?[ \t]{0,3}(?:=|:|=>)[ \t]{0,3}[\"']?"
+#: A key block up to its END line, or where that is missing its base64 lines.
+BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]*PRIVATE KEY-----|(?:\s*[A-Za-z0-9+/=]{16,}+)*+(?:\r?\n[A-Za-z0-9+/=]{1,15}(?=\r?\n|\Z))?)"
+DIGIT = r"(?=[^\s]{0,80}[0-9]|[A-Za-z_+/=\-]*+[0-9])"
+NO_DIGIT = rf"(?:(?=[A-Z_+/=\-]*+[a-z])(?=[a-z_+/=\-]*+[A-Z])|(?={'|'.join(map(re.escape, PREFIXES))}))(?![A-Za-z0-9_+/=\-]*(?i:{ASSIGNED}))"
+CANDIDATE = re.compile(rf"(?P<block>{BLOCK})|(?i:(?P<name>{ASSIGNED}))(?P<value>[^\s\"'<>,;]{{6,}})|(?<![A-Za-z0-9_+/=\-])(?P<run>(?:{DIGIT}|{NO_DIGIT})[A-Za-z0-9_+/=\-]{{16,}}+)")
+KEYWORDS = re.compile(r"(?i)pass|pwd|secret|token|key|auth|credential|bearer|private")
+BENIGN = re.compile(r"(?i)sha\d*|md5|digest|checksum|commit|uuid|guid|example|etag|hash|revision|build|base64|id\b")
 PLACEHOLDER = re.compile(r"(?i)x{4,}|example|changeme|placeholder|your|dummy|test|sample|0{6,}|1234567|abcdef")
 WORDS = tuple("the and for that with this from have not are was you all can use get set new old file path name user data list item page home index main test value string number type class function return import public static void config server client request response error message log debug build release version module package library source target output input image video audio text document report table column row field key map array object node tree graph time date year month day hour minute second start stop end first last next previous open close read write create update delete insert select where order group join left right inner outer pass word secret token".split())
 _LETTERS = {c: i for i, cs in enumerate((string.ascii_lowercase, string.ascii_uppercase, string.digits)) for c in cs}
@@ -149,6 +152,7 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> tuple[list[str], list[int
     take = lambda cs, k: "".join(cs[i] for i in rng.integers(0, len(cs), k))
     word = lambda: WORDS[rng.integers(0, len(WORDS))]
     prose = lambda k: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) if rng.random() < 0.6 else word() for _ in range(k))
+    made = lambda: word() if rng.random() < 0.5 else "".join(("bdfglmnprst"[rng.integers(0, 11)] + "aeiou"[rng.integers(0, 5)]) for _ in range(int(rng.integers(2, 5))))
     names = ("password", "passwd", "secret", "token", "api_key", "access_key", "auth", "pwd")
     assign = lambda v: f"{names[rng.integers(0, len(names))]}{('=', ' = ', ': ')[rng.integers(0, 3)]}{('', chr(34))[(q := int(rng.integers(0, 2)))]}{v}{('', chr(34))[q]}"
     good = (
@@ -156,6 +160,8 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> tuple[list[str], list[int
         lambda: "sk_live_" + take(alnum, 24), lambda: "AIza" + take(alnum + "_-", 35), lambda: "glpat-" + take(alnum, 20), lambda: "eyJ" + take(alnum, int(rng.integers(30, 90))),
         lambda: assign(take(hexes, int(rng.integers(12, 65)))), lambda: assign(take(alnum + "!@#$%^&*", int(rng.integers(8, 33)))), lambda: assign(take(b64, int(rng.integers(20, 64)))),
         lambda: f"bearer token {take(alnum, int(rng.integers(24, 60)))}", lambda: f"aws secret key {take(b64, 40)}",
+        lambda: "AKIA" + take(string.ascii_uppercase, 16), lambda: f"{('api key', 'token', 'secret', 'bearer')[rng.integers(0, 4)]} {take(string.ascii_letters, int(rng.integers(16, 33)))}", lambda: take(string.ascii_letters, int(rng.integers(16, 41))),
+        lambda: "eyJ" + take(alnum + "_-", int(rng.integers(90, 3000))), lambda: assign(take(b64, int(rng.integers(64, 3000)))),
     )
     bad = (
         lambda: f"sha256 {take(hexes, 64)}", lambda: f"md5 digest {take(hexes, 32)}", lambda: f"commit {take(hexes, 40)}", lambda: f"uuid {take(hexes, 8)}-{take(hexes, 4)}-{take(hexes, 4)}-{take(hexes, 4)}-{take(hexes, 12)}",
@@ -163,6 +169,8 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> tuple[list[str], list[int
         lambda: f"{word()}_{word()}_{word()}_{word()}_{int(rng.integers(0, 99))}", lambda: f"{word()}-{word()}-{word()}-{word()}-{int(rng.integers(1990, 2030))}", lambda: assign(("changeme123", "xxxxxxxxxxxx", "your_password_here", "example_token_123", "00000000000000", "placeholder1234567")[rng.integers(0, 6)]),
         lambda: assign(f"{word()}_{word()}"), lambda: assign(f"get{word().title()}{word().title()}()"), lambda: "=" * int(rng.integers(16, 60)) + "1", lambda: f"{int(rng.integers(1990, 2030))}-{int(rng.integers(10, 12))}-{int(rng.integers(10, 28))}T{int(rng.integers(10, 23))}-{int(rng.integers(10, 59))}-{int(rng.integers(10, 59))}",
         lambda: f"{prose(1)}{take(string.digits, 1)}{''.join(word() for _ in range(4))}",
+        lambda: "".join(made().title() for _ in range(int(rng.integers(4, 8)))), lambda: made() + "".join(made().title() for _ in range(int(rng.integers(4, 8)))), lambda: ("-", "_", "/")[rng.integers(0, 3)].join(made().title() for _ in range(int(rng.integers(4, 8)))),
+        lambda: f"data:image/png;base64,{take(b64, int(rng.integers(90, 3000)))}", lambda: f"https://www.example.org/{made().title()}/{made().title()}{made().title()}-{made()}",
     )
     texts, labels = [], []
     for k in range(n):
