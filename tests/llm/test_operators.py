@@ -157,6 +157,25 @@ def test_minhash_of_small_sets(spark):
     assert got == {i: (3 + i % 2, i - i % 2) for i, _ in rows}
 
 
+def test_minhash_meetings_of_blocks(spark, corpus, monkeypatch):
+    """Without stars all links come from blocks that meet; a chain of near copies, each linked with the next ones only."""
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(400)]
+    rows = [(i, " ".join(words[2 * i : 2 * i + 90])) for i in range(150)] + [(1000 + i, " ".join(words[:90]) + f" end{i}") for i in range(40)]
+    rows += [(5, "another text of one id, of some words"), (2000, "another text of one id, of some words"), (2001, None), (2002, "")]
+    sets = collections.defaultdict(list)
+    for i, t in rows:
+        w = NONSPACE.findall(low(t))
+        sets[i].append({tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    near = lambda x, y: bool(x and y) and 100 * len(x & y) >= 75 * len(x | y)
+    want = union_find([(a, b) for a in sets for b in sets if a < b and any(near(x, y) for x in sets[a] for y in sets[b])], sets)
+    monkeypatch.setattr(minhash, "ROUNDS", 0)
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 3000)
+    got = {r.doc_id: r.component_id for r in minhash.near_classes(docs(spark, rows).repartition(4)).collect()}
+    assert got == want and len({want[i] for i in range(150)}) == 1
+
+
 def brute_repeats(rows):
     first, out = {}, {}
     for i, t in sorted(rows):

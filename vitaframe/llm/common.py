@@ -9,10 +9,11 @@ the regular expressions, for whole batches at once.
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -149,11 +150,16 @@ _FOLDERS: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset in local mode (tests) a temporary one.
+
+    On a cluster without that setting there is no such folder, and an error says so.
+    """
     set_by = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
     if not set_by:
         app = spark.sparkContext.applicationId
         if app not in _FOLDERS:
+            if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             _FOLDERS[app] = f"file://{tempfile.mkdtemp(prefix='vitaframe-')}"
             spark.sparkContext.setCheckpointDir(_FOLDERS[app])
         set_by = _FOLDERS[app]
@@ -176,27 +182,47 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def tune(spark: SparkSession) -> None:
-    """Arrow batches of whole texts: fewer rows each than Spark's default, so that a task's buffers stay small."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+#: While a table is written: Arrow batches of whole texts hold fewer rows than Spark's default, and exchange files go as soon as the table stands.
+_WHILE_WRITING = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextmanager
+def writing(spark: SparkSession) -> Iterator[None]:
+    """The settings of `_WHILE_WRITING`; the session's own ones come back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    tune(df.sparkSession)
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    with writing(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of frames that are out of use: Python's references go first, then the JVM's."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+def written_by(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """`written` in n buckets by a hash of the key, so that a later meeting by that key leaves these rows where they lie.
+
+    The table's name is given back to the catalog at once; only the folder stays.
+    """
+    spark = df.sparkSession
+    table = f"vitaframe_{name}_{uuid.uuid4().hex}"
+    with writing(spark):
+        df.write.bucketBy(n, key).option("path", new_folder(spark, name)).saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # resolved before the name goes
+    spark.sql(f"DROP TABLE {table}")
+    return out
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

@@ -1,7 +1,9 @@
 """Connected components of a link table, by alternating large and small stars.
 
 Both steps are a grouped minimum joined back to the links, so no neighbour list
-is ever gathered in one row; each round is written to the shared folder.
+is ever gathered in one row. The minima are written before they are joined: both
+sides of the join are then plain exchanges, and Spark splits the partition of a
+hub that many links share. Each round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -12,17 +14,20 @@ from pyspark.sql import functions as F
 from .common import written
 
 
+def _least(e: DataFrame, name: str) -> DataFrame:
+    return written(e.groupBy("a").agg(F.min("b").alias("m")), name)
+
+
 def _large(e: DataFrame) -> DataFrame:
     both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = _least(both, "least").select("a", F.least("a", "m").alias("m"))
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small(e: DataFrame) -> DataFrame:
     down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    joined = down.join(least, "a")
-    return joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
+    least = _least(down, "least")
+    return down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -36,4 +41,4 @@ def components(links: DataFrame) -> DataFrame:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark or not now[0]:
             return e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).union(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct().join(e.select(F.col("a").alias("id")), "id", "left_anti"))
-        mark, e = now, written(_small(_large(e)), "links")
+        mark, e = now, written(_small(written(_large(e), "links")), "links")

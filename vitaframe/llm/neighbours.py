@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_folder, new_folder, release, written
+from .common import drop_folder, new_folder, written
 from .components import components
 
 THRESHOLD = 0.93
@@ -312,7 +312,6 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         new = _start(named, TABLES * turn, TABLES, threshold)
         graph, found = _kept(new if graph is None else _outside(graph, part).union(new), threshold)
         for k in range(DESCENTS):
-            release(vectors.sparkSession)
             graph, more = _kept(_descend(graph, named, threshold, DESCENTS * turn + k), threshold)
             found = found.union(more)
         turn += 1

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NONSPACE, drop_folder, hashes, inside, new_folder, pieces, release, rolling, spans, written
+from .common import NONSPACE, drop_folder, hashes, inside, new_folder, pieces, rolling, spans, written
 
 WINDOW = 13
 SHARD_WORDS = 1 << 20
@@ -336,7 +336,6 @@ def dedup(docs: DataFrame, window: int = WINDOW, batches: int = 2, passes: int =
         for k, part in enumerate(parts):
             got = written(index.add(part, keep=k < len(parts) - 1), "answers")
             answers[k] = got if answers[k] is None else answers[k].unionByName(got)
-            release(spark)
         drop_folder(spark, index.folder)
     out: DataFrame | None = None
     for part, answer in zip(parts, answers):
