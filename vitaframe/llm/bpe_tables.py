@@ -1,11 +1,12 @@
 """Operator 10, BPE encoding and decoding through a distinct-word table.
 
 Spark splits the texts; each block of documents keeps its words once, numbered
-by frequency, and its texts as these numbers. The words go, packed, to the task
-of their hash bucket, which encodes every distinct word once for all blocks and
-sends the ids back to the blocks; there they are joined to the texts by
-position. Decoding joins each id to its piece and strings the pieces together.
-A hot word is sent once per block.
+by frequency, and its texts as these numbers; both are written once, bucketed by
+block. The words go, packed, to the task of their hash bucket, which encodes every
+distinct word once for all blocks and sends the ids back to where the texts of
+the block lie; there they are joined to the texts by position. Decoding joins
+each id to its piece and strings the pieces together. A hot word is sent once per
+block, and texts are never shuffled.
 
 Defined results: a null or empty text has no ids and decodes to the empty
 string; ids of documents, null or repeated, pass through row by row; texts are
@@ -16,8 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import written_by
 from .wordbpe import default_path, vocabulary
 
 BLOCK_WORDS = 2_000_000
 BLOCK_DOCS = 20_000
-#: Words of a bucket, about, before those of equal spelling in other blocks are counted.
-BUCKET_BYTES = 64 << 20
+#: The most buckets that words go to, so that a block's packet for one holds several words whatever the corpus.
+BUCKETS = 4096
+#: Distinct words of a bucket that its task remembers at once.
+KNOWN = 2_000_000
 #: Words of the texts that are packed in one row.
 ROW_WORDS = 100_000
 WORD_SCHEMA = "block long, bucket int, at long, data binary, words boolean"
@@ -93,13 +96,11 @@ def _split(path: str, buckets: int):
         if held:
             rows.append((block, None, len(rows), texts(held, rank), False))
         by = np.lexsort((rank, bucket))
-        edge = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        for b in range(buckets):
-            own = by[edge[b] : edge[b + 1]]
-            if len(own):
-                ranks = _pack(np.diff(rank[own], prepend=0))
-                text = "\n".join([names[i] for i in own]).encode("utf-8", "surrogatepass")
-                rows.append((block, b, -1, _join([ranks, text]), True))
+        cut = np.flatnonzero(np.diff(bucket[by])) + 1
+        for own in np.split(by, cut) if len(by) else []:
+            ranks = _pack(np.diff(rank[own], prepend=0))
+            text = "\n".join([names[i] for i in own]).encode("utf-8", "surrogatepass")
+            rows.append((block, int(bucket[own[0]]), -1, _join([ranks, text]), True))
         for i in range(0, len(rows), 100):
             part = rows[i : i + 100]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], t) for k, t in enumerate(_TYPES)], names=_NAMES)
@@ -142,6 +143,8 @@ def _encode(path: str):
                 for w in names:
                     ids = known.get(w)
                     if ids is None:
+                        if len(known) >= KNOWN:
+                            known.clear()
                         ids = known[w] = v.encode(w)
                     got.append(ids)
                 length = np.fromiter(map(len, got), np.int64, len(got))
@@ -168,56 +171,55 @@ def _gather(flat: np.ndarray, begin: np.ndarray, pick: np.ndarray) -> np.ndarray
 
 
 def _finish(path: str, texts: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = [(p + " ").encode("utf-8", "surrogatepass") for p in vocabulary(path).pieces()]
-        letters = np.frombuffer(b"".join(pieces), np.uint8)
-        where = np.r_[0, np.cumsum([len(p) for p in pieces])]
-        block, got, flat, begin = None, [], None, None
-        for batch in batches:
-            out: list = []
-            for r in batch.to_pylist():
-                if r["block"] != block:
-                    block, got, flat = r["block"], [], None
-                if r["words"]:
-                    got.append(r["data"])
-                    continue
-                if flat is None:  # all answers stand before the texts
-                    order, lengths, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                    for data in got:
-                        for into, part in zip((order, lengths, ids), _parts(data)):
-                            into.append(_unpack(part))
-                        order[-1] = np.cumsum(order[-1])
-                    rank, length, ids_ = np.concatenate(order), np.concatenate(lengths), np.concatenate(ids)
-                    by = np.argsort(rank)
-                    old = np.r_[0, np.cumsum(length)]
-                    flat = _gather(ids_, old, by)
-                    begin = np.r_[0, np.cumsum(length[by])]
-                    got = []
-                keys, known, size, ranks = _parts(r["data"])
-                ranks = _unpack(ranks)
-                edge = np.r_[0, np.cumsum(np.frombuffer(size, np.int64))]
-                for doc, real, a, b in zip(np.frombuffer(keys, np.int64).tolist(), np.frombuffer(known, bool).tolist(), edge[:-1], edge[1:]):
-                    ids_ = _gather(flat, begin, ranks[a:b])
-                    raw = _gather(letters, where, ids_)[:-1].tobytes()  # pieces are joined by one space
-                    out.append((doc if real else None, len(ids_), hashlib.sha256(ids_.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest(), ids_.astype(np.int32) if texts else None, raw.decode("utf-8", "surrogatepass") if texts else None))
-            cols = [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()))][: 6 if texts else 4]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(cols)])
+    types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string())[: 6 if texts else 4]
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(types)]
+
+    def run(own: pa.Table, answers: pa.Table) -> pa.Table:
+        """The texts of one block and the ids of its words, by their numbers."""
+        letters, where = _letters(path)
+        order, lengths, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for data in answers.column("data").to_pylist():
+            for into, part in zip((order, lengths, ids), _parts(data)):
+                into.append(_unpack(part))
+            order[-1] = np.cumsum(order[-1])
+        rank, length = np.concatenate(order), np.concatenate(lengths)
+        by = np.argsort(rank)
+        flat = _gather(np.concatenate(ids), np.r_[0, np.cumsum(length)], by)
+        begin = np.r_[0, np.cumsum(length[by])]
+        out: list = []
+        for data in own.column("data").to_pylist():
+            keys, known, size, ranks = _parts(data)
+            ranks = _unpack(ranks)
+            if len(ranks) and ranks.max() >= len(rank):
+                raise ValueError("a block's texts name words that have no answer")
+            edge = np.r_[0, np.cumsum(np.frombuffer(size, np.int64))]
+            for doc, real, a, b in zip(np.frombuffer(keys, np.int64).tolist(), np.frombuffer(known, bool).tolist(), edge[:-1], edge[1:]):
+                ids_ = _gather(flat, begin, ranks[a:b])
+                raw = _gather(letters, where, ids_)[:-1].tobytes()  # pieces are joined by one space
+                out.append((doc if real else None, len(ids_), hashlib.sha256(ids_.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest(), ids_.astype(np.int32) if texts else None, raw.decode("utf-8", "surrogatepass") if texts else None))
+        return pa.Table.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(types)], names=names)
 
     return run
 
 
+@lru_cache(maxsize=4)
+def _letters(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The id-to-piece table: bytes of all pieces, a space after each, and where each begins."""
+    pieces = [(p + " ").encode("utf-8", "surrogatepass") for p in vocabulary(path).pieces()]
+    return np.frombuffer(b"".join(pieces), np.uint8), np.r_[0, np.cumsum([len(p) for p in pieces])]
+
+
 def round_trip(docs: DataFrame, path: str | None = None, texts: bool = False) -> DataFrame:
     """Per document: n_tokens, digests of its ids and of the decoded text; with texts=True also both themselves."""
     path = path or default_path()
-    spark = docs.sparkSession
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(n, BUCKETS)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    split = written(d.mapInArrow(_split(path, n), WORD_SCHEMA), "words")
-    answers = split.where("words").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode(path), WORD_SCHEMA)
-    both = split.where("not words").union(answers).repartition(n, "block").sortWithinPartitions("block", F.col("words").desc(), "at")
+    split = written_by(d.mapInArrow(_split(path, buckets), WORD_SCHEMA), "words", "block", n)
+    answers = split.where("words").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode(path), WORD_SCHEMA)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if texts else "")
-    return both.mapInArrow(_finish(path, texts), schema)
+    own = split.where("not words").select("block", "data")
+    return own.groupBy("block").cogroup(answers.select("block", "data").groupBy("block")).applyInArrow(_finish(path, texts), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
