@@ -79,7 +79,17 @@ def test_decontamination(spark, corpus):
                         found |= x
             assert (got[i].n_words, sorted(got[i].hits), sorted(got[i]["items"])) == (len(w), sorted(hit), sorted(found))
     out = decontamination.decontaminate(frame, bench)
-    assert out.columns == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert out.columns == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near"]
+    within = {i: decontamination.NEAR * len(ALNUM.findall(low(t))) for i, t in items}
+    want_near = {}
+    for i, t in rows:
+        w, near = ALNUM.findall(low(t)), set()
+        for item, text in items:
+            need, n = set(ALNUM.findall(low(text))), within[item]
+            if need and any(need <= set(w[k : k + n]) for k in range(len(w))):
+                near.add(item)
+        want_near[i] = len(near)
+    assert {r.doc_id: r.n_near for r in out.collect()} == want_near and any(want_near.values())
     near = decontamination.proximity(index, spark.createDataFrame([(1, "words two")], "item_id long, text string"), within=2).collect()
     assert [(r.first, r.end) for r in near] == [(0, 2)]
     empty = decontamination.decontaminate(frame.limit(0), bench)
@@ -87,6 +97,37 @@ def test_decontamination(spark, corpus):
     assert decontamination.decontaminate(frame, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_near_spans(spark):
+    """The shortest spans of a shard's sweep against all spans."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 60)))) for i in range(60)]
+    items = [(k, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 5)))) for k in range(12)]
+    want = set()
+    for i, t in rows:
+        w = t.split()
+        for k, item in items:
+            need = set(item.split())
+            spans = [(s, e) for s in range(len(w)) for e in range(s + 1, min(len(w), s + 7) + 1) if need <= set(w[s:e])]
+            want |= {(i, str(k), s, e) for s, e in spans if not any((a, b) != (s, e) and s <= a and b <= e for a, b in spans)}
+    index = decontamination.build_index(docs(spark, rows).coalesce(2))
+    for limit in (1 << 20, 30):
+        got = decontamination.proximity(index, spark.createDataFrame(items, "item_id long, text string"), within=7, limit=limit).collect()
+        assert {(r.doc_id, r.item_id, r["first"], r.end) for r in got} == want and len(got) == len(want)
+
+
+def test_equal_shards_and_null_items(spark):
+    """Shards of equal content stay apart when the benchmark takes several passes; items without an id still hit."""
+    frame = spark.createDataFrame([(1, "a b c d")] * 3, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(1, "b c"), (None, "d"), (2, "nowhere")], "item_id long, text string")
+    index = decontamination.build_index(frame)
+    assert index.count() == 3
+    for limit in (1 << 20, 3):
+        got = decontamination.search(index, bench, limit=limit).collect()
+        assert [(r.doc_id, sorted(r.hits), r["items"]) for r in got] == [(1, [1, 2, 3], ["1"])] * 3
+    only = decontamination.decontaminate(frame, bench.where("item_id is null")).collect()
+    assert [(r.n_hit, r.n_items, r.contaminated) for r in only] == [(1, 0, True)] * 3
+
+
 def test_null_and_repeated_ids(spark):
     frame = docs(spark, [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, None)])
     bench = spark.createDataFrame([(1, "b c")], "item_id long, text string")
@@ -264,6 +305,19 @@ def test_embeddings(spark):
     assert neighbours.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_repeated_vector_ids(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.99, 0.05], 0), (2, [1.0, 0.01], 0), (2, [1.0, 0.01], 0), (3, [1.0, 0.0], 0), (3, [0.0, 1.0], 0), (4, [0.0, 1.0], 1), (0, [0.0, 1.0], 0)]
+    vertices = sorted(set((i, tuple(e), lab) for i, e, lab in rows))
+    near = lambda x, y: x[2] == y[2] and np.dot(x[1], y[1]) / np.linalg.norm(x[1]) / np.linalg.norm(y[1]) >= 0.93
+    links = {x: [y for y in vertices if y != x and near(x, y)] for x in vertices}
+    group = union_find([(vertices.index(x), vertices.index(y)) for x in vertices for y in links[x]], range(len(vertices)))
+    least = {g: min(v[0] for k, v in enumerate(vertices) if group[k] == g) for g in group.values()}
+    want = sorted((i, len(links[v]), least[group[vertices.index(v)]]) for i, e, lab in rows for v in [(i, tuple(e), lab)])
+    got = neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == want
+    assert all(r.kept == (r.vec_id == r.component_id) and r.audited_recall == 1.0 for r in got)
+
+
 def test_links_between_tight_groups(spark):
     """Two groups of 30 vectors, 0.99 and more inside and 0.94 across: lists of LIST are full of their own group."""
     rng = np.random.default_rng(12)
@@ -287,8 +341,9 @@ def test_links_between_tight_groups(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = {r.vec_id: (r.component_id, r.n_links) for r in neighbours.near_vectors(frame).collect()}
     assert got == {i: (want[i], int(near[i].sum())) for i in want}
-    _, nodes = neighbours.classes(frame)
-    tied = [(r.a, r.b) for r in neighbours._all_links(nodes, 0.93).collect()]
+    members, nodes = neighbours.classes(frame)
+    own = {r.id: r.vec_id for r in members.collect()}
+    tied = [(own[r.a], own[r.b]) for r in neighbours._all_links(nodes, 0.93).collect()]
     assert union_find(tied, list(want)) == want
 
 

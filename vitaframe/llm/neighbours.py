@@ -20,9 +20,12 @@ block, only each member's count.
 
 Defined results: null labels, and vectors that are null, empty, zero or hold
 null or non-finite components have no links; vectors of other lengths than the
-label's partner don't link; repeated vec_ids are one vertex with the vector of
-each row, returned row by row; a null vec_id has no links and a null component;
-extra columns are ignored.
+label's partner don't link. Rows are told apart by vec_id, label and vector: rows
+that repeat all three are one vertex, returned row by row; a vec_id with several
+vectors or labels is a vertex for each, with links and a component of its own,
+and counts among the links of others once for each. A null vec_id has no links
+and a null component; extra columns are ignored. Classes have ids of their own,
+so repeated vec_ids never meet in one.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import drop_folder, new_folder, written
@@ -41,7 +44,7 @@ THRESHOLD = 0.93
 TABLES, LIST, FOUND = 8, 10, 6
 PLANES, WIDE = 20, 64
 DESCENTS = 2
-CHUNK, BLOCK = 64, 512
+CHUNK, BLOCK = 64, 1024
 AUDIT, TARGET, TRIES = 200, 0.98, 3
 _EDGES = "id long, nbr long, sim double"
 
@@ -54,11 +57,23 @@ def _edges(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["id", "nbr", "sim"])
 
 
+def _can_link(vectors: DataFrame) -> Column:
+    """Whether a row has an id, a label and a vector of finite components that aren't all zero; never null."""
+    e = vectors["embedding"].cast("array<double>")
+    finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return F.coalesce(vectors["vec_id"].cast("long").isNotNull() & vectors["label"].isNotNull() & (F.size(e) > 0) & finite & F.exists(e, lambda x: x != 0), F.lit(False))
+
+
 def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members (vec_id, id), nodes (id, label, dim, w, v)): classes of equal vectors, v as unit vectors of doubles."""
-    good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("e")).where("vec_id is not null and label is not null and size(e) > 0").where(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))).where(F.exists("e", lambda x: x != 0))
-    groups = good.groupBy("label", "e").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("w"))
-    members = good.join(groups.select("label", "e", "id"), ["label", "e"]).select("vec_id", "id").distinct()
+    """(rows (vec_id, id) of every vector that can link, nodes (id, label, dim, w, v)): classes of equal vectors, v as unit vectors of doubles. Both written.
+
+    w counts the vec_ids of a class, and `least` is the smallest of them.
+    """
+    good = vectors.where(_can_link(vectors)).select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("e"))
+    # copies of a row go first, so that counting needs no second pass over a hot class
+    single = good.groupBy("label", "e", "vec_id").agg(F.count("*").alias("times"))
+    groups = written(single.groupBy("label", "e").agg(F.min("vec_id").alias("least"), F.count("*").alias("w")).withColumn("id", F.monotonically_increasing_id()), "vectors")
+    members = written(single.join(groups.select("label", "e", "id"), ["label", "e"]).select("vec_id", "id", "times"), "members")
 
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -67,11 +82,11 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
                 x = np.asarray(e.values, float)
                 x = x / np.abs(x).max()  # far from overflow and underflow
                 out.append((x / np.sqrt(x @ x)).tobytes())
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.binary())], names=["id", "label", "dim", "w", "v"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.binary()), b.column(5)], names=["id", "label", "dim", "w", "v", "least"])
 
     kind = vectors.schema["label"].dataType.simpleString()
-    nodes = groups.select("id", "label", F.size("e").alias("dim"), "w", "e").mapInArrow(unit, f"id long, label {kind}, dim int, w long, v binary")
-    return members, nodes
+    nodes = groups.select("id", "label", F.size("e").alias("dim"), "w", "e", "least").mapInArrow(unit, f"id long, label {kind}, dim int, w long, v binary, least long")
+    return members, written(nodes, "nodes")
 
 
 def _forest(near: np.ndarray) -> list[tuple[int, int]]:
@@ -145,7 +160,7 @@ def _start(nodes: DataFrame, first: int, tables: int, threshold: float) -> DataF
 
     kind = nodes.schema["label"].dataType.simpleString()
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    coded = nodes.mapInArrow(code, f"id long, label {kind}, dim int, t int, code long, v binary, c long")
+    coded = nodes.select("id", "label", "dim", "w", "v", "c").mapInArrow(code, f"id long, label {kind}, dim int, t int, code long, v binary, c long")
     return coded.repartitionByRange(n, "label", "dim", "t", "code", "id").sortWithinPartitions("label", "dim", "t", "code", "id").mapInArrow(block, _EDGES)
 
 
@@ -155,8 +170,9 @@ def _kept(edges: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     path = new_folder(spark, "pairs")
     edges.where("id <> nbr").groupBy("id", "nbr").agg(F.max("sim").alias("sim")).write.parquet(path)
     pairs = spark.read.schema(_EDGES).parquet(path)
-    packed = pairs.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "nbr")), False), 1, LIST).alias("l"))
-    graph = written(packed.select("id", F.explode("l").alias("x")).select("id", F.col("x.nbr").alias("nbr"), F.col("x.sim").alias("sim")), "graph")
+    # Spark keeps the first LIST of each task before the exchange, so a class that very many lists name costs no task its candidates
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("sim").desc(), "nbr"))
+    graph = written(pairs.withColumn("rank", rank).where(F.col("rank") <= LIST).drop("rank"), "graph")
     near = written(pairs.where(F.col("sim") >= threshold).select(F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b")).distinct(), "near")
     drop_folder(spark, path)
     return graph, near
@@ -305,7 +321,6 @@ def audit(nodes: DataFrame, part: DataFrame, links: DataFrame, threshold: float,
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row, and the audited recall."""
     members, nodes = classes(vectors)
-    members, nodes = written(members, "members"), written(nodes, "nodes")
     graph, part, near, recall, turn = None, None, None, 0.0, 0
     while True:
         named = _named(nodes, part)
@@ -330,17 +345,16 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             links = written(_complete(nodes, part, threshold), "links")
             recall = audit(nodes, part, links, threshold)
             break
-    # rows of one vec_id with different vectors tie their classes together
-    many = members.groupBy("vec_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("vec_id", "a")
-    tied = members.join(many, "vec_id").select("a", F.col("id").alias("b")).where("a <> b")
-    whole = components(part.select(F.col("id").alias("a"), F.col("component").alias("b")).union(tied)).withColumnRenamed("component", "root")
-    own = members.join(nodes.select("id", "w"), "id").join(links, "id", "left").join(whole, "id", "left")
-    found = own.groupBy("vec_id").agg(F.sum(F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.min(F.coalesce("root", "id")).alias("component_id"))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(found, "vec_id", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"), F.lit(recall).alias("audited_recall"))
+    root = nodes.select("id", "w", "least").join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    smallest = written(root.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
+    each = written(root.join(smallest, "component").join(links, "id", "left").select("id", "component_id", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "results")
+    linked = members.join(each, "id").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("vec_id", "n_links", "component_id")
+    # what can't link: the rows whose vectors are no class, told as in `classes`
+    alone = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).where(~_can_link(vectors)).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    rows = linked.unionByName(alone)
+    return rows.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)).alias("kept"), F.lit(recall).alias("audited_recall"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: every vector of the table."""
-    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("audited_recall")
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
