@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import string
+import time
 import zlib
 
 import numpy as np
@@ -417,11 +418,37 @@ def test_licences(spark):
 
 
 def test_expressions():
-    p = lambda s: [" and ".join(sorted(x)) for x in licenses.evaluate(licenses.parse_expression(s))]
-    assert p("A or B and C") == ["a", "b and c"]
-    assert p("(A or B) and C") == ["a and c", "b and c"]
-    assert p("A with E or B") == ["a with e", "b"]
-    assert p("A and") == ["a"] and p("or A") == [] and p(")") == [] and p("(A") == ["a"] and p("A B") == ["a"] and p("") == []
+    p = lambda s: licenses.evaluate(licenses.parse_expression(s))
+    assert p("A or B and C") == (["a", "b", "c"], "a or b and c")
+    assert p("(A or B) and C") == (["a", "b", "c"], "(a or b) and c")
+    assert p("((A) AND (B or (C and D)))") == (["a", "b", "c", "d"], "a and (b or c and d)")
+    assert p("A with E or B") == (["a with e", "b"], "a with e or b")
+    assert p("(A or B) with E") == (["a", "b", "e"], "(a or b) with e")
+    assert p("A and")[1] == "a" and p("or A") == ([], "") and p(")") == ([], "") and p("(A")[1] == "a" and p("A B")[1] == "a" and p("") == ([], "")
+    began = time.time()
+    names, text = p(" and ".join(f"(a{k} or b{k})" for k in range(20_000)))
+    assert len(names) == 40_000 and text.startswith("(a0 or b0) and (a1") and p("(" * 20_000 + "x" + ")" * 20_000) == (["x"], "x")
+    assert time.time() - began < 5
+
+
+def test_licence_scan_against_every_place(spark, corpus):
+    """Base columns and notices by a plain loop over all word places."""
+    rng = random.Random(13)
+    words = sorted({w for p in [*licenses.BASE, *licenses.NOTICES] for w in p.split()})
+    made = [(500 + i, rng.choice([" ", "-", "\n"]).join(rng.choice([*licenses.BASE, *licenses.NOTICES, *words]) for _ in range(rng.randint(1, 40)))) for i in range(200)]
+    rows = corpus[0] + made
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs(spark, rows)).collect()}
+    for i, t in rows:
+        w = ALNUM.findall(low(t))
+        at = lambda p: [k for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]  # noqa: B023, E731
+        base = {p: at(p) for p in licenses.BASE}
+        places = sorted(k for v in base.values() for k in v)
+        named = {licenses.BASE[p] for p, v in base.items() if v}
+        labels = named | {v[0] for p, v in licenses.NOTICES.items() if at(p)}
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(places), min(places, default=None), max(places, default=None))
+        assert (r.base_labels, r.labels, r.expressions) == (",".join(sorted(named)), ",".join(sorted(labels)), [])
+    assert licenses.scan_licenses(docs(spark, rows).limit(0)).count() == 0
 
 
 def test_secrets(spark):

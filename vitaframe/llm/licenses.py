@@ -3,13 +3,15 @@
 One automaton over a text's words, joined by single spaces, finds notice
 phrases and the tag words of licence identifiers in one pass. After a tag the
 raw line is read as an expression of identifiers with and/or/with and
-parentheses; the parser turns it into a licence set in which `or` keeps the
-alternatives and `with` binds an exception to its licence.
+parentheses; its postfix form is walked once, which gives the identifiers that
+it names (`with` binds an exception to its licence) and the expression written
+anew, with no more parentheses than it needs. Both are linear in its length.
 
 Defined results: a null or empty text has no words, no labels and score 0; ids,
 null or repeated, pass through row by row; an expression that doesn't parse
-gives its leading part up to the fault; texts are taken whole; extra columns
-are ignored.
+gives its leading part up to the fault; `with` between compound sides names
+their identifiers one by one; texts are taken whole; an empty table gives an
+empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -95,21 +97,35 @@ def parse_expression(text: str) -> list[str]:
     return out
 
 
-def evaluate(rpn: list[str]) -> list[frozenset[str]]:
-    """The alternatives of an expression: each the set of licences that hold together."""
-    stack: list[list[frozenset[str]]] = []
+def evaluate(rpn: list[str]) -> tuple[list[str], str]:
+    """The identifiers that an expression names, sorted, and the expression written anew; empty for an empty one."""
+    names: set[str] = set()
+    stack: list[tuple] = []  # (level, identifier) or (level, operator, left, right)
     for token in rpn:
-        if token in LEVEL and len(stack) >= 2:
+        if token not in LEVEL:
+            stack.append((4, token.lower()))
+        elif len(stack) >= 2:
             b, a = stack.pop(), stack.pop()
-            if token == "or":
-                stack.append(list(dict.fromkeys(a + b)))
-            elif token == "and":
-                stack.append(list(dict.fromkeys(x | y for x in a for y in b)))
+            if token == "with" and a[0] == b[0] == 4:
+                stack.append((4, f"{a[1]} with {b[1]}"))
             else:
-                stack.append([frozenset(f"{i} with {e}" for i in x for y in b for e in y) for x in a])
-        elif token not in LEVEL:
-            stack.append([frozenset([token.lower()])])
-    return stack[-1] if stack else []
+                stack.append((LEVEL[token], token, a, b))
+    if not stack:
+        return [], ""
+    out: list[str] = []
+    todo: list = [stack[-1]]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str):
+            out.append(node)
+        elif node[0] == 4:
+            names.add(node[1])
+            out.append(node[1])
+        else:
+            level, word, a, b = node
+            part = lambda x: (x,) if x[0] >= level else (")", x, "(")  # noqa: B023, E731
+            todo += [*part(b), f" {word} ", *part(a)]
+    return sorted(names), "".join(out)
 
 
 def automaton(phrases: list[str]) -> ahocorasick.Automaton:
@@ -120,8 +136,8 @@ def automaton(phrases: list[str]) -> ahocorasick.Automaton:
     return out
 
 
-def scan(text: str | None, machine: ahocorasick.Automaton) -> tuple[int, list[tuple[int, str]], list[list[str]]]:
-    """Number of words, (word place, phrase) of every phrase, and the expressions of tags as lists of alternatives."""
+def scan(text: str | None, machine: ahocorasick.Automaton) -> tuple[int, list[tuple[int, str]], list[tuple[list[str], str]]]:
+    """Number of words, (word place, phrase) of every phrase, and the identifiers and expressions of tags."""
     if not text:
         return 0, [], []
     words = text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
@@ -139,7 +155,7 @@ def scan(text: str | None, machine: ahocorasick.Automaton) -> tuple[int, list[tu
         found.append((place, phrase))
     tags = []
     if any(p in TAGS for _, p in found):
-        tags = [[" and ".join(sorted(s)) for s in got] for m in TAG.finditer(text) if (got := evaluate(parse_expression(m[1])))]
+        tags = [got for m in TAG.finditer(text) if (got := evaluate(parse_expression(m[1])))[0]]
     return len(words), found, tags
 
 
@@ -157,12 +173,12 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
                 starts = [w for w, _ in base]
                 labels = {BASE[p] for _, p in base}
                 own = set(labels) | {NOTICES[p][0] for _, p in found if p in NOTICES}
-                own |= {name for alternatives in tags for one in alternatives for name in one.split(" and ")}
+                own |= {name for names, _ in tags for name in names}
                 doubt = 1.0
                 for p in {p for _, p in found}:
                     doubt *= 1 - (BASE_WEIGHT if p in BASE else NOTICES[p][1] if p in NOTICES else 0)
                 score = 1.0 if tags else 1 - doubt
-                rows.append((n, len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)), ",".join(sorted(own)), [" or ".join(a) for a in tags], score))
+                rows.append((n, len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)), ",".join(sorted(own)), [e for _, e in tags], score))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.float64())
             names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "expressions", "score"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names=names)

