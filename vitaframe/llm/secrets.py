@@ -2,8 +2,9 @@
 
 Candidates are tokens that look like keys: long runs of key characters, values
 of assignments to secret-sounding names, and marked key blocks. The forest
-judges each by its length, its character transitions, how far vocabulary words
-cover it, whether it stands in a path or URL, and its neighbouring words. It is
+judges each by its length, its character transitions, how far words of a
+dictionary (the whole words of a public vocabulary file) cover it, whether it
+stands in a path or URL, and its neighbouring words. It is
 trained in numpy on labelled findings; `labelled_findings` makes a set of them
 from a seed: secrets of public formats, and hashes, identifiers, paths, words,
 placeholders and repeated characters as false positives. A caller's own
@@ -11,7 +12,8 @@ findings can be given instead.
 
 Defined results: a null or empty text has no findings and stays as it is; ids,
 null or repeated, pass through row by row; equal findings at different places
-are each reported; texts are taken whole; extra columns pass through `redact`.
+are each reported; candidates and masks have no longest length; texts are taken
+whole; an empty table gives an empty one; extra columns pass through `redact`.
 """
 
 from __future__ import annotations
@@ -19,11 +21,14 @@ from __future__ import annotations
 import re
 import string
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .wordbpe import default_path, vocabulary
+
 CUT = 0.5
 MASK = "[SECRET]"
 NEAR = 60
@@ -44,21 +49,41 @@ _LETTERS = {c: i for i, cs in enumerate((string.ascii_lowercase, string.ascii_up
 FEATURES = 22
 
 
-def _bigrams() -> np.ndarray:
-    """Log-frequencies of letter pairs in the word list, smoothed: low for random strings."""
-    n = np.ones((27, 27))
-    for w in WORDS:
-        codes = [26, *(ord(c) - 97 for c in w), 26]
-        for a, b in zip(codes, codes[1:]):
-            n[a, b] += 1
-    return np.log(n / n.sum(axis=1, keepdims=True))
-
-
-_PAIRS = _bigrams()
-_DICTIONARY = sorted((w for w in WORDS if len(w) >= 4), key=len, reverse=True)
-
-
-def features(value: str, name: str, before: str, after: str) -> list[float]:
+class Dictionary:
+    """Words of four letters and more of a public vocabulary file, and the log-frequencies of their letter pairs, smoothed: low for random strings."""
+
+    def __init__(self, path: str) -> None:
+        known = vocabulary(path)
+        self.words = {w for w in known.whole() if len(w) >= 4 and w.isascii() and w.isalpha()}
+        self.longest = max(map(len, self.words), default=0)
+        n = np.ones((27, 27))
+        for w in self.words:
+            codes = [26, *(ord(c) - 97 for c in w), 26]
+            for a, b in zip(codes, codes[1:]):
+                n[a, b] += 1
+        self.pairs = np.log(n / n.sum(axis=1, keepdims=True))
+
+    def covered(self, low: str) -> int:
+        """Letters that words cover, the longest that fits from left to right."""
+        at = out = 0
+        while at < len(low):
+            for n in range(min(self.longest, len(low) - at), 3, -1):
+                if low[at : at + n] in self.words:
+                    out += n
+                    at += n
+                    break
+            else:
+                at += 1
+        return out
+
+
+@lru_cache(maxsize=2)
+def dictionary(path: str | None = None) -> Dictionary:
+    return Dictionary(path or default_path())
+
+
+def features(value: str, name: str, before: str, after: str, path: str | None = None) -> list[float]:
+    known = dictionary(path)
     n = len(value)
     kinds = [_LETTERS.get(c, 3) for c in value]
     share = [kinds.count(k) / n for k in range(4)]
@@ -66,15 +91,10 @@ def features(value: str, name: str, before: str, after: str) -> list[float]:
     counts = np.unique(list(value), return_counts=True)[1] / n
     low = value.lower()
     codes = [ord(c) - 97 if "a" <= c <= "z" else 26 for c in low]
-    pairs = float(np.mean([_PAIRS[a, b] for a, b in zip(codes, codes[1:])])) if n > 1 else 0.0
-    covered, rest = 0, low
-    for w in _DICTIONARY:
-        if w in rest:
-            covered += len(w) * rest.count(w)
-            rest = rest.replace(w, " ")
+    pairs = float(np.mean([known.pairs[a, b] for a, b in zip(codes, codes[1:])])) if n > 1 else 0.0
     near = f"{before} {after}"
     return [
-        n, *share, change, float(-(counts * np.log2(counts)).sum()), pairs, covered / n,
+        n, *share, change, float(-(counts * np.log2(counts)).sum()), pairs, known.covered(low) / n,
         max((len(m) for m in re.findall(r"(.)\1*", value) and [m[0] for m in re.finditer(r"(.)\1*", value)]), default=0) / n,
         value.count("/") + value.count("\\"), value.count("-"), value.count("_"), float(bool(re.fullmatch(r"[0-9a-fA-F]+", value))),
         float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value))), float(value.startswith(PREFIXES)), float(bool(PLACEHOLDER.search(value))),
@@ -82,7 +102,7 @@ def features(value: str, name: str, before: str, after: str) -> list[float]:
     ]
 
 
-def candidates(text: str) -> Iterator[tuple[int, int, str, list[float] | None]]:
+def candidates(text: str, path: str | None = None) -> Iterator[tuple[int, int, str, list[float] | None]]:
     """(start, end, kind, features) of every candidate; a private-key block needs no judgement."""
     for m in CANDIDATE.finditer(text):
         if m["block"]:
@@ -91,14 +111,16 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, list[float] | None]]:
         kind = "value" if m["value"] else "run"
         s, e = m.span(kind)
         name = m["name"] or ""
-        yield s, e, "assigned" if name else "key", features(m[kind], name, text[max(0, m.start() - NEAR) : m.start()], text[e : e + NEAR])
+        yield s, e, "assigned" if name else "key", features(m[kind], name, text[max(0, m.start() - NEAR) : m.start()], text[e : e + NEAR], path)
 
 
 class Forest:
     """A random forest of axis-parallel trees on bootstrap samples, grown to purity by Gini impurity."""
 
-    def __init__(self, trees: int = 40, depth: int = 10, seed: int = 3) -> None:
+    def __init__(self, trees: int = 40, depth: int = 10, seed: int = 3, path: str | None = None) -> None:
         self.n, self.depth, self.rng, self.trees = trees, depth, np.random.default_rng(seed), []
+        #: The dictionary's vocabulary file, None for the default one.
+        self.path = path
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Forest:
         for _ in range(self.n):
@@ -181,20 +203,20 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> tuple[list[str], list[int
     return texts, labels
 
 
-def train(texts: list[str], labels: list[int]) -> Forest:
+def train(texts: list[str], labels: list[int], path: str | None = None) -> Forest:
     """A forest from texts of which each holds one labelled candidate; texts without a candidate are left out."""
     x, y = [], []
     for t, label in zip(texts, labels):
-        found = [c[3] for c in candidates(t) if c[3] is not None]
+        found = [c[3] for c in candidates(t, path) if c[3] is not None]
         if found:
             x.append(max(found, key=lambda f: (f[17], f[0])))
             y.append(label)
-    return Forest().fit(np.array(x, float), np.array(y, float))
+    return Forest(path=path).fit(np.array(x, float), np.array(y, float))
 
 
 def find(texts: list[str | None], forest: Forest, cut: float = CUT) -> list[list[tuple[int, int, str, float]]]:
     """(start, end, kind, score) of the findings of each text."""
-    got = [(i, s, e, kind, f) for i, t in enumerate(texts) if t for s, e, kind, f in candidates(t)]
+    got = [(i, s, e, kind, f) for i, t in enumerate(texts) if t for s, e, kind, f in candidates(t, forest.path)]
     out: list[list] = [[] for _ in texts]
     judged = [g for g in got if g[4] is not None]
     p = iter(forest.predict(np.array([g[4] for g in judged], float)) if judged else [])
