@@ -10,14 +10,15 @@ Training is weakly supervised, on at most TRAIN_DOCS labelled documents of the c
 the toxic class whose texts hold at most TRAIN_BYTES (documented bounds; rows in order of
 a hash of doc_id): windows of toxic documents are chosen by the log-odds of
 their n-grams, then by the network itself; the highest windows of clean
-documents are added as hard negatives; a fifth of the sample calibrates the
-score. Scoring covers every window of every text.
+documents are added as hard negatives; the whole sample, of which a fifth was kept
+out of the training, calibrates the score. Scoring covers every window of every text.
 
 Defined results: a null or empty text gets the score of a window without words;
 ids, null or repeated, pass through row by row (a null doc_id is not held out);
 labels that are null or without a document are not used, and with fewer than
-two classes every score is 0; repeated labels count once, the higher one;
-extra columns are ignored.
+two classes every score is 0; repeated labels count once, the higher one; an
+empty table gives an empty one; extra columns pass through, but for one of the
+score's own name, which the score replaces (`score` takes another name).
 """
 
 from __future__ import annotations
@@ -41,8 +42,6 @@ TRAIN_BYTES = 20_000
 VOCABULARY = 4096
 CUT = 0.7
 CHUNK = 4096
-#: Toxic documents kept back with which the score is calibrated on them alone; with fewer, on the whole sample.
-ENOUGH = 30
 #: Windows of each class in a training turn.
 TURN = 4000
 
@@ -345,7 +344,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float | None = None, epochs:
                     m1[rows_k] = 0.9 * m1[rows_k] + 0.1 * g
                     m2[rows_k] = 0.99 * m2[rows_k] + 0.01 * g * g
                     net.p[k][rows_k] -= (0.01 * (m1[rows_k] / (1 - 0.9 ** min(step, 500))) / (np.sqrt(m2[rows_k] / (1 - 0.99 ** min(step, 5000))) + 1e-6)).astype(np.float32)
-    _calibrate(net, w, toxic, held if (toxic & held).sum() >= ENOUGH else np.ones(len(texts), bool), slot, share)
+    _calibrate(net, w, toxic, np.ones(len(texts), bool), slot, share)
     return net
 
 
@@ -407,19 +406,20 @@ def train(docs: DataFrame, labels: DataFrame, limit: tuple[int, int] = TRAIN_DOC
     return pickle.loads(got[0].network) if got else None
 
 
-def score(docs: DataFrame, net: Network | None) -> DataFrame:
-    """All columns of docs and `toxicity`, from 0 to 1."""
+def score(docs: DataFrame, net: Network | None, name: str = "toxicity") -> DataFrame:
+    """All columns of docs and the score, from 0 to 1."""
+    docs = docs.drop(name)
     if net is None:
-        return docs.withColumn("toxicity", F.lit(0.0))
+        return docs.withColumn(name, F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(net)
     at = docs.columns.index("text")
-    names = [*docs.columns, "toxicity"]
+    names = [*docs.columns, name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(doc_scores(shared.value, batch.column(at)))], names=names)
 
-    schema = type(docs.schema)([*docs.schema.fields]).add("toxicity", "double")
+    schema = type(docs.schema)([*docs.schema.fields]).add(name, "double")
     return docs.mapInArrow(run, schema)
 
 
