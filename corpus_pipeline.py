@@ -2,40 +2,48 @@
 
 Each stage takes (spark, docs, sf_dir) and gives the next one its documents,
 written as Parquet and reread in between; all but the last keep the columns of
-`documents`. A document without doc_id is told apart by a hash of its text.
+`documents`. Stages that look a document up again do so by a number that its row
+gets when the stage begins, so null and repeated ids, and columns of any name, are
+no matter: every row is judged by its own text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitaframe.llm import bpe_tables, decontamination, minhash, secrets, toxicity
-from vitaframe.llm.common import written
+from vitaframe.llm.common import free_name, written
 
 
-def _key() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row, written so that it stays the row's own, and that column's name."""
+    name = free_name(docs, "row_number")
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity network rejects go."""
+    """Documents that the toxicity network rejects go; a null or empty text stays unless the network rejects all that has no words."""
     net = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, net).where(F.col("toxicity") < toxicity.CUT).select(*docs.columns)
+    name = free_name(docs, "toxicity")
+    return toxicity.score(docs, net, name).where(F.col(name) < toxicity.CUT).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that with the smallest id; of rows with one id, one."""
-    keyed = docs.withColumn("_key", _key())
-    kept = minhash.near_classes(keyed.select(F.col("_key").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_key"))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    """One document of each near-duplicate group stays, that with the smallest id (a null id only where all are null); texts without words stay, all of them."""
+    rows, name = _numbered(docs)
+    group = minhash.near_classes(rows.select(F.col(name).alias("doc_id"), "text")).select(F.col("doc_id").alias(name), F.col("component_id").alias("_group"))
+    ids = rows.select(name, F.col("doc_id").cast("long").alias("_id")).join(group, name)
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col(name).alias("row")))
+    kept = ids.groupBy("_group").agg(first.alias("first")).select(F.col("first.row").alias(name))
+    return rows.join(kept, name, "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    keyed = docs.withColumn("_key", _key())
-    found = decontamination.decontaminate(keyed.select(F.col("_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return keyed.join(found.where("contaminated").select(F.col("doc_id").alias("_key")), "_key", "left_anti").select(*docs.columns)
+    rows, name = _numbered(docs)
+    found = decontamination.decontaminate(rows.select(F.col(name).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), near=0)
+    return rows.join(found.where("contaminated").select(F.col("doc_id").alias(name)), name, "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,4 +70,27 @@ def test_null_ids_and_texts(spark, folder):
     docs = spark.createDataFrame([(None, bench), (None, None), (5, None), (5, None), (6, "plain text")], "doc_id long, text string")
     left = corpus_pipeline.drop_contaminated(spark, docs, path)
     assert left.count() == 4
-    assert corpus_pipeline.drop_near_duplicates(spark, docs, path).count() == 4
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, path).count() == 5
+
+
+def test_repeated_ids_with_other_texts(spark, folder):
+    """Every row is judged by its own text, whatever ids it shares."""
+    path, rows, bench = folder
+    words = "some words that no other text of this small table holds at all"
+    docs = spark.createDataFrame([(7, words), (7, f"x {bench}"), (3, words), (None, words), (None, "lone text"), (7, "another text of the same id")], "doc_id long, text string")
+    left = corpus_pipeline.drop_contaminated(spark, docs, path).collect()
+    assert sorted((str(r.doc_id), r.text) for r in left) == sorted((str(i), t) for i, t in [(7, words), (3, words), (None, words), (None, "lone text"), (7, "another text of the same id")])
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, path).collect()
+    assert sorted((str(r.doc_id), r.text) for r in left) == sorted((str(i), t) for i, t in [(7, f"x {bench}"), (3, words), (None, "lone text"), (7, "another text of the same id")])
+
+
+def test_clashing_columns(spark, folder):
+    path, rows, bench = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").limit(40)
+    for c in ("toxicity", "row_number", "_group", "_id", "key", "component_id", "kept", "hits", "shard", "findings", "block"):
+        docs = docs.selectExpr("*", f"'mine' as `{c}`")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, path)
+        if name != "tokens":
+            assert out.columns == docs.columns, name
+        assert out.count() <= 40

@@ -146,6 +146,14 @@ def split_words(texts: list[str | None]) -> list[list[bytes]]:
     return [(t or "").encode().translate(table).split() for t in texts]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores before it as keep it apart from the columns of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 _FOLDERS: dict[str, str] = {}
 
 
