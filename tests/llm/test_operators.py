@@ -238,7 +238,7 @@ def test_substrings(spark, corpus, batches):
     assert got == want and any(v[1] for v in want.values())
 
 
-def test_runs_are_merged_and_compacted(spark, corpus):
+def test_runs_are_merged_and_compacted(spark, corpus, monkeypatch):
     rows, _, _ = corpus
     rows = [r for r in rows if r[1]]
     frame = docs(spark, rows).select("doc_id", "text").coalesce(1)
@@ -247,30 +247,77 @@ def test_runs_are_merged_and_compacted(spark, corpus):
     cut = [parts[len(parts) // 3], parts[2 * len(parts) // 3]]
     for lo, hi in ((-1, cut[0]), (cut[0], cut[1]), (cut[1], 10**9)):
         index.add(frame.where(f"doc_id > {lo} and doc_id <= {hi}"))
-    assert len(index.runs) == 1
+    assert len(index.runs) == 1 and index.compactions == 2
     seen = {tuple(w[k : k + 13]) for _, t in rows for w in [NONSPACE.findall(t)] for k in range(len(w) - 12)}
-    stored = index._history().selectExpr("sum(n)").first()[0]
-    assert stored == len(seen)
+    assert index.entries().selectExpr("sum(n)").first()[0] == len(seen)
+    for r in index.entries().collect():
+        marks = substrings.unpack(r.width, r.marks)
+        assert len(marks) == r.n and (marks[1:] >= marks[:-1]).all() and (marks >> np.uint64(60) == r.bucket).all()
+
+
+def _entry(bucket, shard, marks, checks, ids):
+    marks = np.array(marks, np.uint64)
+    first = None if shard is not None else int(marks[0]) - (1 << 63)
+    return dict(zip(substrings._NAMES, (bucket, shard, first, len(marks), *substrings.pack(marks), np.array(checks, np.uint32).tobytes(), np.arange(len(marks), dtype="<u2").tobytes(), np.array(ids, np.int64).tobytes())))
+
+
+def test_marks_with_several_checks():
+    """Equal marks of different windows are told apart by their checks, within a batch and against runs."""
+    asked = [_entry(0, 1, [5, 7, 7, 9], [1, 1, 2, 3], [10, 11, 12, 13]), _entry(0, 2, [7, 7, 9], [2, 4, 3], [20, 21, 1])]
+    run = _entry(0, None, [5, 7, 7, 12], [9, 4, 7, 1], [0] * 4)
+    bucket = substrings._Bucket(0)
+    bucket.asked += asked
+    bucket.meet(run)
+    out = list(bucket.out(True))
+    bits = {r[1]: np.unpackbits(np.frombuffer(r[5], np.uint8), count=r[3]).tolist() for r in out if r[1] is not None}
+    assert bits == {1: [0, 0, 0, 1], 2: [1, 1, 0]}
+    assert [(substrings.unpack(r[4], r[5]).tolist(), np.frombuffer(r[6], np.uint32).tolist()) for r in out if r[1] is None] == [([5, 7, 7, 9], [1, 1, 2, 3])]
+
+
+def test_slices_are_merged_in_order(monkeypatch):
+    monkeypatch.setattr(substrings, "SLICE", 4)
+    rng = np.random.default_rng(1)
+    runs = [np.sort(rng.choice(2**40, 25, replace=False).astype(np.uint64)) for _ in range(3)]
+    slices = [dict(zip(substrings._NAMES, x)) for b in (0, 1) for m in runs for x in substrings._slices(b, m, np.arange(len(m), dtype=np.uint32))]
+    slices.sort(key=lambda r: (r["bucket"], r["first"]))
+    out = [r for batch in substrings._compacted(iter([substrings._batch([tuple(r[n] for n in substrings._NAMES) for r in slices])])) for r in batch.to_pylist()]
+    for b in (0, 1):
+        got = np.concatenate([substrings.unpack(r["width"], r["marks"]) for r in out if r["bucket"] == b])
+        assert (got == np.sort(np.concatenate(runs))).all()
 
 
 def test_substrings_of_other_scans(spark):
-    """In a fresh session the first scan has Spark's own Arrow batches and later ones smaller: shards stay as they were numbered."""
+    """Many small documents in one partition, with Arrow batches of the session's own size."""
     rng = random.Random(8)
     passages = [" ".join(f"p{rng.randrange(10**6)}" for _ in range(13)) for _ in range(3000)]
     rows = [(i, f"{i} {rng.choice(passages) if rng.random() < 0.2 else f'{i} few words'} {i}") for i in range(130_000)]
     frame = docs(spark, rows).coalesce(1)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark.conf.unset(key)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.dedup(frame, batches=1).collect()}
     assert got == brute_repeats(rows)
 
 
+def test_repeated_and_null_ids_of_substrings(spark):
+    """Rows of one id don't remove from each other; rows without an id neither lose nor give words."""
+    rng = random.Random(4)
+    passage = " ".join(f"w{rng.randrange(10**6)}" for _ in range(20))
+    rows = [(None, passage), (5, passage), (5, f"x {passage}"), (3, "short text"), (9, f"{passage} y"), (9, None), (None, passage), (2, "")]
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.dedup(docs(spark, rows).repartition(3)).collect())
+    want = [(i, len((t or "").split()), 20 if i == 9 and t else 0, "y" if i == 9 and t else t or "") for i, t in rows]
+    assert got == collections.Counter(want)
+    assert substrings.dedup(docs(spark, rows).limit(0)).count() == 0
+
+
 def test_answers_about_other_shards_are_refused(spark):
-    held = substrings._Shard()
-    text = np.frombuffer(" ".join(str(k) for k in range(20)).encode(), np.uint8)
-    held.add([1], text, np.array([0, len(text)]), 13, True)
+    text = " ".join(str(k) for k in range(20)).encode()
+    import pyarrow as pa
+    import zstandard
+
+    row = {"shard": 0, "ids": np.array([1]).tobytes(), "known": np.array([True]).tobytes(), "sizes": np.array([len(text)]).tobytes(), "text": zstandard.compress(text)}
+    answer = {"shard": 0, "bucket": 0, "n": 9, "marks": b"\0\0"}
     with pytest.raises(ValueError, match="fingerprints"):
-        list(substrings._apply(13)(held, {0: (9, b"\0\0")}, 0))
+        substrings._apply(4, 13)(pa.Table.from_pylist([row]), pa.Table.from_pylist([answer]))
+    with pytest.raises(ValueError, match="no texts"):
+        substrings._apply(4, 13)(pa.Table.from_pylist([], pa.Table.from_pylist([row]).schema), pa.Table.from_pylist([answer]))
 
 
 def test_packing():

@@ -1,386 +1,428 @@
 """Operator 9, substring dedup with a log-structured fingerprint index.
 
-Documents arrive in batches of ascending doc_id. Of every window of 13 words a
-batch sends one 64-bit fingerprint per shard, packed in sorted arrays by
-fingerprint range (bucket), to the task of that bucket, where it is
-merge-joined with the sorted immutable runs of earlier batches. The answer for
-a shard is one bit per fingerprint; the batch's own fingerprints, each with its
-smallest doc_id, become a new run of what no older run holds, and runs are
-compacted when more than `most_runs` stand side by side. A hot window costs one
-entry per shard, however many documents hold it. A batch's texts are written once
-with their shard and their place in it; every part and the final join read these
-numbers, and never cut shards anew. The fingerprint range is
-worked through in PASSES parts, each with its own runs, so that the exchange
-files of one part at a time are on disk.
-
-Verification: a fingerprint is 64 bits of a hash of word hashes, and on top of
-it each entry carries CHECK_BITS of an independent one; a match needs both.
+Documents arrive in batches of ascending doc_id, packed in shards of about
+SHARD_BYTES of text: one row each, written once, bucketed by shard, never cut
+anew and never shuffled. Of every window of 13 words a shard asks with one
+fingerprint, packed in sorted arrays by fingerprint range (bucket), at the task
+of that bucket. There the batch's own fingerprints are held, those of one bucket
+at a time, and the sorted immutable runs of earlier batches are merge-joined
+with them, one slice of a run after another. The answer for a shard is one bit
+per fingerprint; what no older run holds becomes a new run, and runs are
+compacted into one when more than `most_runs` stand side by side. A hot window
+costs one entry per shard, however many documents hold it. Answers go back to
+where the shard's texts lie.
+
+The number of buckets follows the batch, not the corpus: a corpus of more than
+BATCH_WINDOWS windows is taken in more batches, so a task holds about
+BUCKET_ENTRIES fingerprints, and packets keep some entries each, at any size.
+The fingerprint range is worked through in `passes` parts, each with its own
+runs, so that the exchange files of one part at a time are on disk.
+
+Verification: an entry is 64 bits of one hash of its words and CHECK_BITS of an
+independent one, and a match needs both; of n different windows n**2 / 2**97 are
+expected to match falsely, one in a thousand runs over 100 TB.
 
 Defined results: words are maximal runs of non-space characters, unchanged; a
 null or empty text has none and gives the digest of the empty string; rows with
 a null doc_id are never removed from and never a source; rows of one doc_id
 don't remove from each other; equal rows are each returned; texts are taken
-whole; extra columns are ignored.
+whole, a text longer than a shard is a shard of its own; an empty table gives
+an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NONSPACE, drop_folder, hashes, inside, new_folder, pieces, rolling, spans, written
+from .common import NONSPACE, drop_folder, inside, mix, new_folder, pieces, rolling, row_hashes, spans, writing, written_by
 
 WINDOW = 13
-SHARD_WORDS = 1 << 20
-SHARD_DOCS = 1 << 16
-CHECK_BITS = 8
-PASSES = 2
-#: Fingerprints of a bucket, about; the number of buckets follows the corpus.
-BUCKET_ENTRIES = 1 << 20
-
-RUN_SCHEMA = "bucket int, shard long, n int, width int, marks binary, checks binary, owners binary, ids binary"
-ASK = ("bucket", "shard", "n", "width", "marks", "checks", "owners", "ids")
+SHARD_BYTES = 6 << 20
+#: Documents of a shard; owners are sent in 16 bits.
+SHARD_DOCS = 1 << 15
+CHECK_BITS = 32
+PASSES = 3
+#: Batches of a table by doc_id, at least, and runs that may stand side by side: with three and one the index is compacted once.
+BATCHES, MOST_RUNS = 3, 1
+#: Fingerprints of a batch in one bucket, about, and the most buckets as a power of two.
+BUCKET_ENTRIES, MOST_BITS = 1 << 20, 16
+BATCH_WINDOWS = BUCKET_ENTRIES << MOST_BITS
+#: Entries of a run in one row.
+SLICE = 1 << 20
+
+SHARD_SCHEMA = "shard long, ids binary, known binary, sizes binary, text binary"
+#: Asking and answering shards have numbers from 0 on, slices of runs have none; `first` orders slices by their first mark.
+ENTRY_SCHEMA = "bucket int, shard long, first long, n int, width int, marks binary, checks binary, owners binary, ids binary"
+_NAMES = [c.split()[0] for c in ENTRY_SCHEMA.split(", ")]
+_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
 
 
 def pack(marks: np.ndarray) -> tuple[int, bytes]:
-    """Sorted 64-bit numbers as differences of 6 bytes each, or of 8 where one doesn't fit."""
+    """Sorted 64-bit numbers: the first, then differences of as many bytes as the largest needs."""
     step = marks.copy()
     step[1:] -= marks[:-1]
-    width = 8 if len(step) and int(step[1:].max(initial=0)) >> 48 else 6
+    if len(step):
+        step[0] = 0
+    width = max(1, (int(step.max(initial=0)).bit_length() + 7) // 8)
     planes = np.ascontiguousarray(step).view(np.uint8).reshape(-1, 8)[:, :width]
     return width, (int(marks[0]) if len(marks) else 0).to_bytes(8, "little") + np.ascontiguousarray(planes.T).tobytes()
 
 
 def unpack(width: int, data: bytes) -> np.ndarray:
-    first = int.from_bytes(data[:8], "little")
     planes = np.frombuffer(data, np.uint8, offset=8).reshape(width, -1)
     step = np.zeros((planes.shape[1], 8), np.uint8)
     step[:, :width] = planes.T
     out = step.view(np.uint64).ravel()
     if len(out):
-        out[0] = first
+        out[0] = int.from_bytes(data[:8], "little")
     return np.cumsum(out, dtype=np.uint64)
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)], names=_NAMES)
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts packed in shards, in order of their ids, null ones last."""
+    number = TaskContext.get().partitionId() << 32
+    ids: list = []
+    texts: list[bytes] = []
+    held = 0
+
+    def flush() -> pa.RecordBatch:
+        order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0))
+        row = (np.array([ids[k] or 0 for k in order], np.int64), np.array([ids[k] is not None for k in order], bool), np.array([len(texts[k]) for k in order], np.int64))
+        text = zstandard.compress(b"".join([texts[k] for k in order]), 3)
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in row), pa.array([text], pa.binary())], names=["shard", "ids", "known", "sizes", "text"])
+
+    for batch in batches:
+        keys = batch.column(0).to_pylist()
+        for i, j, data, offs in pieces(batch.column(1)):
+            for lo in range(i, j, 1024):  # a piece may hold very many empty texts
+                hi = min(lo + 1024, j)
+                if len(ids) + hi - lo > SHARD_DOCS:
+                    yield flush()
+                    ids, texts, held, number = [], [], 0, number + 1
+                raw = data.tobytes() if lo == i else raw
+                ids += keys[lo:hi]
+                texts += [raw[a:b] for a, b in zip(offs[lo - i : hi - i].tolist(), offs[lo - i + 1 : hi - i + 1].tolist())]
+            held += int(offs[-1])
+            if held >= SHARD_BYTES:
+                yield flush()
+                ids, texts, held, number = [], [], 0, number + 1
+    if ids:
+        yield flush()
+
+
+def shards(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) in shards, written and bucketed by their numbers."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written_by(docs.select("doc_id", "text").mapInArrow(_shards, SHARD_SCHEMA), "shards", "shard", n)
+
+
 class _Shard:
-    """The documents of one shard, about SHARD_WORDS words."""
-
-    def __init__(self) -> None:
-        self.ids: list = []
-        self.texts: list = []
-        self.marks: list = []
-        self.checks: list = []
-        self.valid: list = []
-        self.lengths: list = []
-
-    def add(self, ids: list, data: np.ndarray, offs: np.ndarray, window: int, keep_text: bool) -> None:
-        starts, ends, first = spans(data, offs, NONSPACE)
-        h = hashes(data, starts, ends)
-        ok = inside(first, window)
-        m = rolling(h, window)
-        known = np.repeat(np.array([i is not None for i in ids], bool), np.diff(first))
-        ok &= known[: len(ok)]
-        self.marks.append(m[ok])
-        self.checks.append((rolling(h, window, 1)[ok] >> np.uint64(64 - CHECK_BITS)).astype(np.uint8))
-        self.valid.append(np.r_[ok, np.zeros(len(h) - len(ok), bool)])
-        self.lengths.append(np.diff(first))
-        self.ids += ids
-        if keep_text:
-            self.texts.append((data, starts, ends))
-
-    def close(self):
-        """Windows in text order and the distinct fingerprints with the smallest owner of each: what is sent."""
-        marks, checks = np.concatenate(self.marks), np.concatenate(self.checks)
-        valid, length = np.concatenate(self.valid), np.concatenate(self.lengths)
-        known = sorted({i for i in self.ids if i is not None})
-        rank = {i: k for k, i in enumerate(known)}
-        owner = np.repeat(np.array([rank.get(i, 0) for i in self.ids], np.int64), length)[valid]
-        # one key for fingerprint, check and owner: the smallest owner comes first
-        order = np.lexsort((owner, checks, marks)) if len(marks) < 2 or len(known) > 1 else np.argsort(marks, kind="stable")
-        m, c = marks[order], checks[order]
-        new = np.r_[True, (m[1:] != m[:-1]) | (c[1:] != c[:-1])] if len(m) else np.zeros(0, bool)
-        group = np.empty(len(m), np.int64)
-        group[order] = np.cumsum(new) - 1
-        return m[new], c[new], owner[order][new], np.array(known, np.int64), group, owner, valid, length
-
-
-def numbered(docs: DataFrame) -> DataFrame:
-    """(shard, at, doc_id, text), written: all that asks about a shard or applies its answers reads these numbers."""
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, at, words, docs = TaskContext.get().partitionId() << 24, 0, 0, 0
+    """The texts of one shard and the distinct fingerprints of their windows whose buckets are from low on and below high."""
+
+    def __init__(self, row: dict, bits: int, window: int, low: int, high: int) -> None:
+        self.ids, self.known = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["known"], bool)
+        self.raw = zstandard.decompress(row["text"])
+        data, offs = np.frombuffer(self.raw, np.uint8), np.r_[0, np.cumsum(np.frombuffer(row["sizes"], np.int64))]
+        self.starts, self.ends, self.first = spans(data, offs, NONSPACE)
+        h = row_hashes(data, offs, self.starts, self.ends, self.first)
+        marks = rolling(h, window)
+        ok = inside(self.first, window) & np.repeat(self.known, np.diff(self.first))[: len(marks)]
+        if (low, high) != (0, 1 << bits):
+            bucket = marks >> np.uint64(64 - bits)
+            ok &= (bucket >= np.uint64(low)) & (bucket < np.uint64(high))
+        #: Word places of the windows, in text order.
+        self.at = np.flatnonzero(ok)
+        m = marks[self.at]
+        c = h[self.at]
+        for k in range(1, window):
+            c = c * np.uint64(0xC2B2AE3D27D4EB4F) + h[self.at + k]
+        c = (mix(c) >> np.uint64(64 - CHECK_BITS)).astype(np.uint32)
+        #: Which of the distinct fingerprints each window has.
+        self.marks, self.checks, self.group, begin, order = _distinct(m, c)
+        #: The row with the smallest id that holds each: rows stand in order of their ids.
+        least = np.minimum.reduceat(self.at[order], begin) if len(begin) else self.at
+        self.owner = np.searchsorted(self.first, least, "right") - 1
+        self.bucket = (self.marks >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _distinct(m: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(marks, checks) of each distinct entry in order, the entry of every input, and where its inputs begin in `order`."""
+    order = np.argsort(m)
+    ms, cs = m[order], c[order]
+    same = ms[1:] == ms[:-1]
+    if (cs[1:] != cs[:-1])[same].any():  # a mark with several checks
+        order = np.lexsort((c, m))
+        ms, cs = m[order], c[order]
+        same = (ms[1:] == ms[:-1]) & (cs[1:] == cs[:-1])
+    new = np.r_[True, ~same] if len(m) else np.zeros(0, bool)
+    group = np.empty(len(m), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return ms[new], cs[new], group, np.flatnonzero(new), order
+
+
+def _ask(bits: int, window: int, low: int, high: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shards: list[int] = []
-            for i, j, data, offs in pieces(batch.column(1)):
-                starts, _, _ = spans(data, offs, NONSPACE)
-                shards += [shard] * (j - i)
-                words, docs = words + len(starts) + (j - i), docs + j - i
-                if words >= SHARD_WORDS or docs >= SHARD_DOCS - 10_000:
-                    shard, words, docs = shard + 1, 0, 0
-            places = pa.array(np.arange(at, at + batch.num_rows))
-            at += batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), places, batch.column(0), batch.column(1)], names=["shard", "at", "doc_id", "text"])
+            for k in range(batch.num_rows):
+                row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
+                s = _Shard(row, bits, window, low, high)
+                edge = np.r_[0, np.flatnonzero(np.diff(s.bucket)) + 1, len(s.bucket)] if len(s.bucket) else np.zeros(0, int)
+                rows = []
+                for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                    used, small = np.unique(s.owner[a:b], return_inverse=True)
+                    rows.append((int(s.bucket[a]), row["shard"], None, b - a, *pack(s.marks[a:b]), s.checks[a:b].tobytes(), small.astype("<u2").tobytes(), s.ids[used].tobytes()))
+                yield _batch(rows)
 
-    return written(docs.select("doc_id", "text").mapInArrow(number, "shard long, at long, doc_id long, text string"), "shards")
+    return run
 
 
-def _gathered(df: DataFrame, n: int) -> DataFrame:
-    """Every shard whole in one task, its rows in order."""
-    return df.repartition(n, "shard").sortWithinPartitions("shard", "at")
+def _slices(bucket: int, marks: np.ndarray, checks: np.ndarray) -> Iterator[tuple]:
+    for i in range(0, len(marks), SLICE):
+        m, c = marks[i : i + SLICE], checks[i : i + SLICE]
+        yield (bucket, None, int(m[0]) - (1 << 63), len(m), *pack(m), c.tobytes(), None, None)
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Runs of rows of one shard: gathered rows come as one or more such runs a shard, side by side."""
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
-        own = np.asarray(batch.column(0))
-        edge = np.r_[0, np.flatnonzero(own[1:] != own[:-1]) + 1, len(own)] if len(own) else np.zeros(1, int)
-        for a, b in zip(edge[:-1], edge[1:]):
-            yield int(own[a]), batch.slice(a, b - a)
+        for k in range(batch.num_rows):
+            yield {n: batch.column(i)[k].as_py() for i, n in enumerate(_NAMES)}
+
+
+class _Bucket:
+    """What a batch asks in one bucket; slices of older runs are met one after another."""
+
+    def __init__(self, bucket: int) -> None:
+        self.bucket, self.asked, self.entries = bucket, [], None
+
+    def _close(self) -> None:
+        marks = np.concatenate([unpack(r["width"], r["marks"]) for r in self.asked])
+        checks = np.concatenate([np.frombuffer(r["checks"], np.uint32) for r in self.asked])
+        ids = np.concatenate([np.frombuffer(r["ids"], np.int64)[np.frombuffer(r["owners"], "<u2")] for r in self.asked])
+        m, c, group, begin, order = _distinct(marks, checks)
+        least = np.minimum.reduceat(ids[order], begin)
+        self.dup, self.group, self.entries = least[group] < ids, group, (m, c)
+        self.old = np.zeros(len(m), bool)
+        self.asked = [(r["shard"], r["n"]) for r in self.asked]
+
+    def meet(self, row: dict) -> None:
+        """A slice of an older run: its owners all have smaller ids."""
+        if self.entries is None:
+            if not self.asked:
+                return
+            self._close()
+        m, c = self.entries
+        marks, checks = unpack(row["width"], row["marks"]), np.frombuffer(row["checks"], np.uint32)
+        lo, hi = np.searchsorted(m, marks[0]), np.searchsorted(m, marks[-1], "right")
+        own = np.arange(lo, hi)
+        at = np.searchsorted(marks, m[lo:hi])
+        while len(own):  # once, but for marks with several checks
+            here = (at < len(marks)) & (marks[np.minimum(at, len(marks) - 1)] == m[own])
+            own, at = own[here], at[here]
+            self.old[own[checks[at] == c[own]]] = True
+            at = at + 1
+
+    def out(self, keep: bool) -> Iterator[tuple]:
+        """An answer for every shard with a repeat, and the bucket's part of the new run."""
+        if self.entries is None:
+            if not self.asked:
+                return
+            self._close()
+        dup, at = self.dup | self.old[self.group], 0
+        for shard, n in self.asked:
+            if (bits := dup[at : at + n]).any():
+                yield (self.bucket, shard, None, n, 0, np.packbits(bits).tobytes(), None, None, None)
+            at += n
+        if keep:
+            yield from _slices(self.bucket, self.entries[0][~self.old], self.entries[1][~self.old])
 
 
-def _ask(bits: int, window: int, low: int, high: int):
-    def ask(number: int, shard: _Shard) -> pa.RecordBatch:
-        marks, checks, owners, ids, *_ = shard.close()
-        bucket = (marks >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(marks), np.int64)
-        edge = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-        rows = []
-        for b in np.flatnonzero(np.diff(edge[low : high + 1])) + low:
-            s = slice(edge[b], edge[b + 1])
-            used, small = np.unique(owners[s], return_inverse=True)
-            rows.append((int(b), number, int(edge[b + 1] - edge[b]), *pack(marks[s]), checks[s].tobytes(), small.astype("<u2").tobytes(), ids[used].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], names=list(ASK))
+def _merge(keep: bool):
+    """Rows of each bucket, those of the batch first and then the slices of older runs -> answers and the new run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held = -1, _Shard()
-        for shard, rows in _shards(batches):
-            if shard != number:
-                if held.ids:
-                    yield ask(number, held)
-                number, held = shard, _Shard()
-            ids = rows.column(2).to_pylist()
-            for i, j, data, offs in pieces(rows.column(3)):
-                held.add(ids[i:j], data, offs, window, False)
-        if held.ids:
-            yield ask(number, held)
+        held: _Bucket | None = None
+        for row in _rows(batches):
+            if held is None or held.bucket != row["bucket"]:
+                if held is not None:
+                    yield _batch(list(held.out(keep)))
+                held = _Bucket(row["bucket"])
+            if row["shard"] is None:
+                held.meet(row)
+            else:
+                held.asked.append(row)
+        if held is not None:
+            yield _batch(list(held.out(keep)))
 
     return run
 
 
-def _meet(rows: list[dict], flush: str) -> Iterator[tuple]:
-    """All entries of one bucket: an answer for every row of the batch, and the bucket's part of the new run.
-
-    flush: "new" keeps what no older run holds, "all" merges the runs, "" keeps nothing.
-    """
-    marks = np.concatenate([unpack(r["width"], r["marks"]) for r in rows])
-    checks = np.concatenate([np.frombuffer(r["checks"], np.uint8) for r in rows])
-    ids = np.concatenate([np.frombuffer(r["ids"], np.int64)[np.frombuffer(r["owners"], "<u2" if r["shard"] >= 0 else "<u4")] for r in rows])
-    older = np.repeat([r["shard"] < 0 for r in rows], [r["n"] for r in rows])
-    order = np.lexsort((ids, checks, marks))
-    m, c, o = marks[order], checks[order], ids[order]
-    new = np.r_[True, (m[1:] != m[:-1]) | (c[1:] != c[:-1])] if len(m) else np.zeros(0, bool)
-    least = o[new][np.cumsum(new) - 1]
-    dup = np.empty(len(m), bool)
-    dup[order] = least < o
-    at = 0
-    for r in rows:
-        if r["shard"] >= 0 and (bits := dup[at : at + r["n"]]).any():
-            yield (r["bucket"], r["shard"], r["n"], 0, np.packbits(bits).tobytes(), None, None, None)
-        at += r["n"]
-    if flush == "new" and len(m):
-        new[new] = ~np.logical_or.reduceat(older[order], np.flatnonzero(new))
-        if not new.any():
-            return
-    if flush and len(m):
-        known, small = np.unique(o[new], return_inverse=True)
-        yield (rows[0]["bucket"], -1, int(new.sum()), *pack(m[new]), c[new].tobytes(), small.astype("<u4").tobytes(), known.tobytes())
-
-
-def _merge(flush: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        held: list[dict] = []
+def _compacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of several runs, by bucket and first mark -> slices of one run. Runs hold no entry in common."""
+    bucket, m, c = None, np.zeros(0, np.uint64), np.zeros(0, np.uint32)
 
-        def out(rows: list[dict]) -> pa.RecordBatch:
-            got = list(_meet(rows, flush))
-            return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate(types)], names=list(ASK))
+    def ready(upto: int) -> pa.RecordBatch:
+        nonlocal m, c
+        order = np.argsort(m)
+        m, c = m[order], c[order]
+        k = int(np.searchsorted(m, np.uint64(upto))) if upto < 1 << 64 else len(m)
+        done = _batch(list(_slices(bucket, m[:k], c[:k])))
+        m, c = m[k:], c[k:]
+        return done
 
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = {n: batch.column(i)[k].as_py() for i, n in enumerate(ASK)}
-                if held and held[0]["bucket"] != row["bucket"]:
-                    yield out(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield out(held)
-
-    return run
+    for row in _rows(batches):
+        if row["bucket"] != bucket:
+            yield ready(1 << 64)
+            bucket = row["bucket"]
+        elif len(m) >= SLICE:  # nothing that follows stands before this slice
+            yield ready(row["first"] + (1 << 63))
+        m, c = np.r_[m, unpack(row["width"], row["marks"])], np.r_[c, np.frombuffer(row["checks"], np.uint32)]
+    yield ready(1 << 64)
 
 
 class FingerprintIndex:
     """Sorted runs of window fingerprints, of buckets low to high, in a folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, bits: int, window: int = WINDOW, most_runs: int = 4, part: tuple[int, int] = (0, 1), folder: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, bits: int, window: int = WINDOW, most_runs: int = MOST_RUNS, part: tuple[int, int] = (0, 1), folder: str | None = None) -> None:
         self.spark, self.bits, self.window, self.most_runs = spark, bits, window, most_runs
         self.low, self.high = ((1 << bits) * (part[0] + k) // part[1] for k in (0, 1))
         self.folder = folder or new_folder(spark, "runs")
         self.runs: list[str] = []
+        self.compactions = 0
         self._made = 0
 
-    def _merged(self, df: DataFrame, flush: str, path: str) -> None:
-        n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), (self.high - self.low) // 4)
-        by_bucket = df.repartition(n, "bucket").sortWithinPartitions("bucket", "shard")
-        by_bucket.mapInArrow(_merge(flush), RUN_SCHEMA).withColumn("answer", F.col("shard") >= 0).write.partitionBy("answer").parquet(path)
-
-    def _rows(self, path: str, answers: bool) -> DataFrame:
-        return self.spark.read.schema(RUN_SCHEMA + ", answer boolean").parquet(path).where(F.col("answer") == answers).drop("answer")
-
-    def _next(self, name: str) -> str:
+    def _write(self, df: DataFrame, order: tuple, run, name: str) -> str:
+        """Deals rows to the tasks of their buckets, in order, and writes what comes of them, answers and slices apart."""
         self._made += 1
-        return f"{self.folder}/{name}-{self._made}"
+        path = f"{self.folder}/{name}-{self._made}"
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        with writing(self.spark):
+            df.repartition(n, "bucket").sortWithinPartitions("bucket", *order).mapInArrow(run, ENTRY_SCHEMA).withColumn("answer", F.col("shard").isNotNull()).write.partitionBy("answer").parquet(path)
+        return path
 
-    def _history(self) -> DataFrame | None:
-        out = None
-        for path in self.runs:
-            run = self._rows(path, False)
-            out = run if out is None else out.unionByName(run)
-        return out
+    def _read(self, paths: list[str], answers: bool) -> DataFrame:
+        every = [self.spark.read.schema(ENTRY_SCHEMA + ", answer boolean").parquet(p).where(F.col("answer") == answers).drop("answer") for p in paths]
+        return reduce(DataFrame.unionByName, every)
+
+    def entries(self) -> DataFrame:
+        """The slices of all runs."""
+        return self._read(self.runs, False)
 
     def add(self, docs: DataFrame, keep: bool = True) -> DataFrame:
-        """Answers (bucket, shard, n, marks: bits) for a batch whose ids are all larger than those before; then a run with its fingerprints.
+        """Answers for a batch whose ids are all larger than those before; then a run with its fingerprints.
 
-        The batch is a table of `numbered`, whose numbers the answers name, or (doc_id, text), which is numbered here.
+        The batch is a table of `shards`, whose numbers the answers name, or (doc_id, text), of which shards are made here.
         keep=False leaves the batch out of the index, when no further one follows.
         """
-        texts = docs if "shard" in docs.columns else numbered(docs)
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        asked = _gathered(texts, n).mapInArrow(_ask(self.bits, self.window, self.low, self.high), RUN_SCHEMA)
-        history, path = self._history(), self._next("run")
-        self._merged(asked if history is None else asked.unionByName(history), "new" if keep else "", path)
+        own = docs if "sizes" in docs.columns else shards(docs)
+        asked = own.select(*[c.split()[0] for c in SHARD_SCHEMA.split(", ")]).mapInArrow(_ask(self.bits, self.window, self.low, self.high), ENTRY_SCHEMA)
+        every = asked.unionByName(self.entries()) if self.runs else asked
+        path = self._write(every, (F.col("shard").isNull(), "shard", "first"), _merge(keep), "run")
         if keep:
             self.runs.append(path)
             if len(self.runs) > self.most_runs:
                 self.compact()
-        return self._rows(path, True)
+        return self._read([path], True)
 
     def compact(self) -> None:
-        """All runs become one; files of a run that also hold a batch's answers stay until the folder goes."""
-        history, path = self._history(), self._next("compacted")
-        if history is not None:
-            self._merged(history, "all", path)
+        """All runs become one, and the old ones' slices go; answers stay."""
+        if self.runs:
+            path = self._write(self.entries(), ("first",), _compacted, "compacted")
+            self._forget()
             self.runs = [path]
+            self.compactions += 1
+
+    def _forget(self) -> None:
+        for path in self.runs:
+            drop_folder(self.spark, f"{path}/answer=false")
+
+    def close(self) -> None:
+        """The runs go; answers stay."""
+        self._forget()
+        self.runs = []
+
+
+def _apply(bits: int, window: int):
+    """A shard and the answers about it -> the digest of each document."""
+
+    def run(own: pa.Table, answers: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if not len(own) and len(answers):
+            raise ValueError(f"answers about shard {answers.column('shard')[0].as_py()}, which has no texts")
+        for row in own.to_pylist():
+            s = _Shard(row, bits, window, 0, 1 << bits)
+            dup = np.zeros(len(s.marks), bool)
+            for b, n, a in zip(*(answers.column(c).to_pylist() for c in ("bucket", "n", "marks"))):
+                lo, hi = np.searchsorted(s.bucket, [b, b + 1])
+                if n != hi - lo:
+                    raise ValueError(f"an answer of bucket {b} is about {n} fingerprints, its shard has {hi - lo}")
+                dup[lo:hi] = np.unpackbits(np.frombuffer(a, np.uint8), count=hi - lo).astype(bool)
+            doc = np.searchsorted(s.first, s.at, "right") - 1
+            # a repeat of another shard or batch, or of a smaller id in this one
+            hit = s.at[dup[s.group] | (s.ids[s.owner][s.group] < s.ids[doc])]
+            change = np.zeros(len(s.starts) + window + 1, np.int64)
+            np.add.at(change, hit, 1)
+            np.add.at(change, hit + window, -1)
+            gone = np.cumsum(change)[: len(s.starts)] > 0
+            removed = np.r_[0, np.cumsum(gone)]
+            for k, (doc_id, known, a, b) in enumerate(zip(s.ids.tolist(), s.known.tolist(), s.first[:-1].tolist(), s.first[1:].tolist())):
+                begin, end = s.starts[a:b], s.ends[a:b]
+                lost = int(removed[b] - removed[a])
+                if lost:
+                    begin, end = begin[~gone[a:b]], end[~gone[a:b]]
+                kept = b" ".join([s.raw[x:y] for x, y in zip(begin.tolist(), end.tolist())])
+                out.append((doc_id if known else None, b - a, lost, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        return pa.Table.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+
+    return run
+
+
+def remove(own: DataFrame, answers: DataFrame, bits: int, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and kept (the text of the words that stay) of every document of `shards`; texts aren't shuffled."""
+    return own.groupBy("shard").cogroup(answers.select("shard", "bucket", "n", "marks").groupBy("shard")).applyInArrow(_apply(bits, window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+
+
+def shard_bits(windows: int) -> int:
+    """Buckets as a power of two, so that one holds about BUCKET_ENTRIES windows of a batch."""
+    return min(MOST_BITS, max(4, int(windows // BUCKET_ENTRIES).bit_length()))
 
 
-def _apply(window: int):
-    """Texts and answers of one partition of shards -> the digest of each document."""
-
-    def digest(shard: _Shard, answers: dict[int, tuple[int, bytes]], bits: int) -> Iterator[tuple]:
-        marks, _, least, ids, group, owner, valid, length = shard.close()
-        dup = np.zeros(len(marks), bool)
-        bucket = (marks >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(marks), np.int64)
-        for b, (n, a) in answers.items():
-            lo, hi = np.searchsorted(bucket, [b, b + 1])
-            if n != hi - lo:
-                raise ValueError(f"an answer of bucket {b} is about {n} fingerprints, its shard has {hi - lo}")
-            dup[lo:hi] = np.unpackbits(np.frombuffer(a, np.uint8), count=hi - lo).astype(bool)
-        flag = np.zeros(len(valid) + 1, np.int64)
-        at = np.flatnonzero(valid)
-        hit = at[dup[group] | (least[group] < owner)]
-        flag[hit] += 1
-        stop = np.zeros(len(valid) + window + 1, np.int64)
-        stop[hit + window] += 1
-        gone = np.cumsum(flag[: len(valid)] - stop[: len(valid)]) > 0
-        row, w = 0, 0
-        for data, starts, ends in shard.texts:
-            raw, k = data.tobytes(), 0
-            while k < len(starts) or (row < len(length) and not length[row] and k == len(starts)):
-                n = int(length[row])
-                g = gone[w : w + n]
-                s, e = starts[k : k + n], ends[k : k + n]
-                if g.any():
-                    s, e = s[~g], e[~g]
-                yield shard.ids[row], n, int(g.sum()), hashlib.sha256(b" ".join([raw[a:b] for a, b in zip(s.tolist(), e.tolist())])).hexdigest()
-                row, w, k = row + 1, w + n, k + n
-                if row == len(length):
-                    return
-
-    return digest
-
-
-def shard_bits(words: int) -> int:
-    """Buckets as a power of two, so that one holds about BUCKET_ENTRIES windows."""
-    return max(4, int(words // BUCKET_ENTRIES).bit_length())
-
-
-def dedup(docs: DataFrame, window: int = WINDOW, batches: int = 2, passes: int = PASSES) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 for every document."""
+def dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, passes: int = PASSES, most_runs: int = MOST_RUNS) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and kept for every document of a table, in batches by doc_id."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    stats = d.agg(F.sum(F.octet_length("text")), F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000) if batches > 1 else F.lit(None)).first()
-    bits = shard_bits((stats[0] or 0) // 6)
-    cuts = sorted(set(stats[1] or []))
+    windows = (d.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    batches = max(batches, -(-windows // BATCH_WINDOWS))
+    cuts = d.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else None
+    cuts = sorted(set(cuts or []))
+    bits = shard_bits(windows // batches)
     parts = []
     for k in range(len(cuts) + 1):
         above = F.col("doc_id") > cuts[k - 1] if k else F.lit(True)
         upto = F.col("doc_id") <= cuts[k] if k < len(cuts) else F.lit(True)
-        parts.append(numbered(d.where((above & upto) | F.col("doc_id").isNull() if not k else above & upto)))
-    answers: list[DataFrame | None] = [None] * len(parts)
+        parts.append(shards(d.where((above & upto) | F.col("doc_id").isNull() if not k else above & upto)))
+    answers: list[list[DataFrame]] = [[] for _ in parts]
     for p in range(passes):
-        index = FingerprintIndex(spark, bits, window, part=(p, passes))
+        index = FingerprintIndex(spark, bits, window, most_runs, (p, passes))
         for k, part in enumerate(parts):
-            got = written(index.add(part, keep=k < len(parts) - 1), "answers")
-            answers[k] = got if answers[k] is None else answers[k].unionByName(got)
-        drop_folder(spark, index.folder)
-    out: DataFrame | None = None
-    for part, answer in zip(parts, answers):
-        done = _digests(part, answer, bits, window)
-        out = done if out is None else out.union(done)
-    assert out is not None
-    return out
-
-
-def _digests(part: DataFrame, answers: DataFrame, bits: int, window: int) -> DataFrame:
-    """Brings the texts of `numbered` and their answers together by shard."""
-    digest = _apply(window)
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, answer = -1, _Shard(), {}
-
-        def out() -> pa.RecordBatch:
-            got = list(digest(held, answer, bits))
-            return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-        for shard, rows in _shards(batches):
-            if shard != number:
-                if held.ids:
-                    yield out()
-                elif answer:
-                    raise ValueError(f"answers about shard {number}, which has no texts")
-                number, held, answer = shard, _Shard(), {}
-            n = rows.column(4).null_count  # answers come first, and then the texts
-            for k in range(len(rows) - n):
-                answer[rows.column(4)[k].as_py()] = rows.column(5)[k].as_py(), rows.column(6)[k].as_py()
-            texts = rows.slice(len(rows) - n)
-            ids = texts.column(2).to_pylist()
-            for i, j, data, offs in pieces(texts.column(3)):
-                held.add(ids[i:j], data, offs, window, True)
-        if held.ids:
-            yield out()
-        elif answer:
-            raise ValueError(f"answers about shard {number}, which has no texts")
-
-    texts = part.select("shard", "at", "doc_id", "text", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("binary").alias("bits"))
-    marks = answers.select("shard", F.lit(-1).cast("long").alias("at"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "bucket", "n", F.col("marks").alias("bits"))
-    n = int(part.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _gathered(texts.union(marks), n).mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+            answers[k].append(index.add(part, keep=k < len(parts) - 1))
+        index.close()
+    return reduce(DataFrame.union, [remove(part, reduce(DataFrame.union, own), bits, window) for part, own in zip(parts, answers)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op9: every window of every document, in two batches by doc_id."""
-    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """op9: every window of every document, in batches by doc_id."""
+    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
