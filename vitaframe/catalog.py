@@ -48,7 +48,7 @@ SELECT event_id, CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) AS value,
   CASE {K} % 4 WHEN 1 THEN 'lb' WHEN 2 THEN 'mm Hg[' ELSE {UNIT} END AS unit_code
 FROM events WHERE {K} % 4 <> 3""")
 def obs_value_quantity(spark: SparkSession, sf: str) -> DataFrame:
-    v = X.observations(spark, sf).withColumn("v", quantity.observation_value(F.lit(0))).where("v.type = 'Quantity'")
+    v = X.observations(spark, sf).withColumn("v", quantity.observation_value(0)).where("v.type = 'Quantity'")
     return v.select("event_id", F.col("v.quantity.value").alias("value"), F.col("v.quantity.code").alias("unit_code"))
 
 

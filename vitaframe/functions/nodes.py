@@ -12,14 +12,27 @@ def nodes() -> Column:
     return F.col("nodes")
 
 
-def kids(parent: Column, name: str, repeats: bool = False) -> Column:
+def at(n: Column) -> Column:
+    """The node of an id: by its place, counted from the array's first node, as an entry's nodes may be cut out of a Bundle's."""
+    return F.get(nodes(), n - F.get(nodes(), F.lit(0))["id"])
+
+
+def below(parent: Column | int) -> Column:
+    """The nodes under a node: its own stretch of the array, so that what is asked of a part costs as much as the part. 0 is the document."""
+    if isinstance(parent, int):
+        return nodes()
+    return let(at(parent), lambda p: F.slice(nodes(), p["id"] - F.get(nodes(), F.lit(0))["id"] + 2, p["last"] - p["id"]))
+
+
+def kids(parent: Column | int, name: str, repeats: bool = False) -> Column:
     """The values of a property, list items one by one; with repeats=True those of later members of the same name too."""
+    owner = F.lit(0) if isinstance(parent, int) else parent
 
     def own(n: Column) -> Column:
-        at = (n["parent"] == parent) & (n["name"] == name) & ~n["meta"]
-        return at if repeats else at & ~n["dup"]
+        it = (n["parent"] == owner) & (n["name"] == name) & ~n["meta"]
+        return it if repeats else it & ~n["dup"]
 
-    return F.filter(nodes(), own)
+    return F.filter(below(parent), own)
 
 
 def root() -> Column:
@@ -27,10 +40,10 @@ def root() -> Column:
 
 
 def top(name: str, repeats: bool = False) -> Column:
-    return kids(F.lit(0), name, repeats)
+    return kids(0, name, repeats)
 
 
-def has(parent: Column, name: str, repeats: bool = False) -> Column:
+def has(parent: Column | int, name: str, repeats: bool = False) -> Column:
     return F.size(kids(parent, name, repeats)) > 0
 
 
@@ -39,9 +52,10 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def text(parent: Column, name: str) -> Column:
+def text(parent: Column | int, name: str) -> Column:
     """The string of a single-valued property; null if it is absent, an array or not a string."""
-    found = F.filter(nodes(), lambda n: (n["parent"] == parent) & (n["name"] == name) & ~n["meta"] & ~n["dup"] & n["idx"].isNull() & (n["vtype"] == "string"))
+    owner = F.lit(0) if isinstance(parent, int) else parent
+    found = F.filter(below(parent), lambda n: (n["parent"] == owner) & (n["name"] == name) & ~n["meta"] & ~n["dup"] & n["idx"].isNull() & (n["vtype"] == "string"))
     return F.get(found, F.lit(0))["lex"]
 
 
@@ -70,9 +84,10 @@ def has_coding(concepts: Column, system: str | None, code: str, unwrap: bool = F
     return F.exists(codings(concepts, unwrap), lambda c: (c["code"] == code) & (c["system"] == system if system else F.lit(True)))
 
 
-def choice(parent: Column, base: str) -> Column:
+def choice(parent: Column | int, base: str) -> Column:
     """The values of any variant of a choice element."""
-    return F.filter(nodes(), lambda n: (n["parent"] == parent) & n["name"].rlike(rf"\A{base}[A-Z]") & ~n["dup"] & ~n["meta"])
+    owner = F.lit(0) if isinstance(parent, int) else parent
+    return F.filter(below(parent), lambda n: (n["parent"] == owner) & n["name"].rlike(rf"\A{base}[A-Z]") & ~n["dup"] & ~n["meta"])
 
 
 def locations(found: Column) -> Column:
@@ -80,8 +95,8 @@ def locations(found: Column) -> Column:
 
 
 def roots() -> Column:
-    """The document's root and every nested resource."""
-    return F.filter(nodes(), lambda n: (n["id"] == 0) | (n["kind"] == "complex") & F.exists(nodes(), lambda m: (m["parent"] == n["id"]) & (m["name"] == "resourceType")))
+    """The document's root and every nested resource, as the readers mark them."""
+    return F.filter(nodes(), lambda n: (n["id"] == 0) | n["res"])
 
 
 def element(n: Column) -> Column:

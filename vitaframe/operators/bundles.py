@@ -14,7 +14,7 @@ MAX_STEPS = 512
 
 def processing() -> Column:
     """How a Bundle's entries hang together: atomic, independent or none."""
-    kind = text(F.lit(0), "type")
+    kind = text(0, "type")
     return F.when(kind == "transaction", "atomic").when(kind == "batch", "independent").otherwise("none")
 
 

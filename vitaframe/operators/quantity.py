@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.nodes import FINDINGS, at_each, codings, each, finding, has_coding, kids, let, strings, text, top
+from ..functions.nodes import FINDINGS, at_each, below, codings, each, finding, has_coding, kids, let, strings, text, top
 from ..functions.scalars import PATTERNS, ucum_shape, whole
 
 # Fixed values of the specification.
@@ -41,13 +41,32 @@ def read_quantity(n: Column) -> Column:
     return F.struct(F.get(lex, F.lit(0))["lex"].alias("value"), *(text(n["id"], k).alias(k) for k in ("comparator", "unit", "system", "code")))
 
 
-def observation_value(parent: Column) -> Column:
-    """struct(type, loc, quantity) of the first value variant in the fixed order; null without one."""
+def observation_value(parent: Column | int) -> Column:
+    """struct(type, loc, quantity, ambiguous) of the first value variant in the fixed order, with the types of all further ones; null without one."""
     names = [f"value{t}" for t in VALUE_TYPES]
-    found = F.filter(F.col("nodes"), lambda n: (n["parent"] == parent) & n["name"].isin(*names) & ~n["meta"] & ~n["dup"])
-    first = let(found, lambda f: F.coalesce(*(F.get(F.filter(f, lambda n: n["name"] == t), F.lit(0)) for t in names)))
+    at = F.lit(0) if isinstance(parent, int) else parent
+    found = F.filter(below(parent), lambda n: (n["parent"] == at) & n["name"].isin(*names) & ~n["meta"] & ~n["dup"])
+    order = F.create_map(*(x for k, t in enumerate(names) for x in (F.lit(t), F.lit(k))))
+    sorted_ = F.array_sort(F.transform(found, lambda n: F.struct(F.try_element_at(order, n["name"]).alias("k"), n["id"].alias("id"), n.alias("n"))))
     none = F.lit(None).cast(QUANTITY)
-    return let(first, lambda n: F.when(n["id"].isNotNull(), F.struct(F.substring(n["name"], 6, 40).alias("type"), n["loc"].alias("loc"), F.when(n["name"] == "valueQuantity", read_quantity(n)).otherwise(none).alias("quantity"))))
+
+    def read(every: Column) -> Column:
+        first = F.get(every, F.lit(0))
+        more = F.array_distinct(F.transform(F.filter(every, lambda x: x["k"] != first["k"]), lambda x: F.substring(x["n"]["name"], 6, 40)))
+        return let(first["n"], lambda n: F.when(n["id"].isNotNull(), F.struct(F.substring(n["name"], 6, 40).alias("type"), n["loc"].alias("loc"), F.when(n["name"] == "valueQuantity", read_quantity(n)).otherwise(none).alias("quantity"), more.alias("ambiguous"))))
+
+    return let(sorted_, read)
+
+
+def reference_ranges(parent: Column | int) -> Column:
+    """(loc, low, high, type, text) of each reference range as written; surfaced, never evaluated."""
+    one = lambda n, name: let(F.get(kids(n["id"], name), F.lit(0)), lambda q: F.when(q["id"].isNotNull(), read_quantity(q)))
+    return F.transform(F.filter(kids(parent, "referenceRange"), lambda n: n["kind"] == "complex"), lambda n: F.struct(n["loc"].alias("loc"), one(n, "low").alias("low"), one(n, "high").alias("high"), codings(kids(n["id"], "type")).alias("type"), text(n["id"], "text").alias("text")))
+
+
+def interpretations(parent: Column | int) -> Column:
+    """The codings of an Observation's or component's interpretation; surfaced, never evaluated."""
+    return codings(kids(parent, "interpretation"))
 
 
 def is_vital() -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.nodes import at_each, choice, codings, each, element, finding, findings, has, has_coding, kids, locations, nodes, root, roots, strings, text, top
+from ..functions.nodes import at as node_at
+from ..functions.nodes import at_each, below, choice, codings, each, element, finding, findings, has, has_coding, kids, locations, nodes, root, roots, strings, text, top
 
 # Fixed values of the specification.
 SNOMED = "http://snomed.info/sct"
@@ -65,8 +66,8 @@ def modifier_elements() -> Column:
     """comparator and implicitRules anywhere, active of a Patient, use of a Practitioner's identifiers."""
 
     def modifies(n: Column) -> Column:
-        owner = F.get(nodes(), n["parent"])
-        above = F.get(nodes(), owner["parent"])
+        owner = node_at(n["parent"])
+        above = node_at(owner["parent"])
         return ~n["meta"] & (n["name"].isin("comparator", "implicitRules") | (n["name"] == "active") & (owner["rtype"] == "Patient") | (n["name"] == "use") & (owner["name"] == "identifier") & (above["rtype"] == "Practitioner"))
 
     return F.array_distinct(F.transform(F.filter(nodes(), modifies), element))
@@ -81,9 +82,9 @@ def array_wrapped() -> Column:
 
     def at(n: Column) -> Column:
         safe = n["rtype"].isin(*SAFETY_TYPES)
-        own = F.filter(nodes(), lambda m: (m["parent"] == n["id"]) & ~m["meta"] & m["idx"].isNotNull() & ((m["name"] == "resourceType") | F.coalesce(safe, F.lit(False)) & m["name"].isin(*SCALARS)))
-        concepts = F.filter(nodes(), lambda m: (m["parent"] == n["id"]) & (m["kind"] == "complex") & ((m["name"] == "verificationStatus") | F.coalesce(safe, F.lit(False)) & m["name"].isin(*CODEABLES)))
-        inner = each(concepts, lambda c: each(kids(c["id"], "coding", True), lambda d: F.filter(nodes(), lambda m: (m["parent"] == d["id"]) & m["name"].isin("system", "code") & m["idx"].isNotNull())))
+        own = F.filter(below(n["id"]), lambda m: (m["parent"] == n["id"]) & ~m["meta"] & m["idx"].isNotNull() & ((m["name"] == "resourceType") | F.coalesce(safe, F.lit(False)) & m["name"].isin(*SCALARS)))
+        concepts = F.filter(below(n["id"]), lambda m: (m["parent"] == n["id"]) & (m["kind"] == "complex") & ((m["name"] == "verificationStatus") | F.coalesce(safe, F.lit(False)) & m["name"].isin(*CODEABLES)))
+        inner = each(concepts, lambda c: each(kids(c["id"], "coding", True), lambda d: F.filter(below(d["id"]), lambda m: (m["parent"] == d["id"]) & m["name"].isin("system", "code") & m["idx"].isNotNull())))
         return F.transform(F.concat(own, inner), element)
 
     return _at_roots(at)
@@ -124,7 +125,7 @@ def unreadable_codes() -> Column:
     """status values that are neither a code nor a codeable concept."""
 
     def odd(v: Column) -> Column:
-        members = F.filter(nodes(), lambda m: (m["parent"] == v["id"]) & ~m["meta"])
+        members = F.filter(below(v["id"]), lambda m: (m["parent"] == v["id"]) & ~m["meta"])
         return F.when(v["kind"] == "complex", (F.size(members) == 0) | F.exists(members, lambda m: ~m["name"].isin(*CONCEPT_MEMBERS))).when(v["kind"] == "primitive", v["vtype"].isNotNull() & (v["vtype"] != "string")).otherwise(True)
 
     return _at_roots(lambda n: F.transform(F.filter(kids(n["id"], "status", True), odd), element))
@@ -145,7 +146,7 @@ CHANNELS = {
 
 def with_safety(resources: DataFrame) -> DataFrame:
     """Adds the channels, the negations, retracted and safe_to_summarize; a document that wasn't read is not safe."""
-    out = resources.withColumns({k: f() for k, f in CHANNELS.items()} | {"negations": negations(), "retracted": F.coalesce(retracted_at(root()), F.lit(False)), "status": text(F.lit(0), "status")})
+    out = resources.withColumns({k: f() for k, f in CHANNELS.items()} | {"negations": negations(), "retracted": F.coalesce(retracted_at(root()), F.lit(False)), "status": text(0, "status")})
     clean = F.lit(True)
     for k in CHANNELS:
         clean = clean & (F.size(k) == 0)
@@ -162,7 +163,7 @@ def safety_findings() -> Column:
     allergy, condition, observation = t == "AllergyIntolerance", t == "Condition", t == "Observation"
     a, c = wrong(ALLERGY_VERIFICATION), wrong(CONDITION_VERIFICATION)
     over = F.exists(codings(top("clinicalStatus"), True), lambda x: (x["system"] == CONDITION_CLINICAL) & x["code"].isin("resolved", "remission", "inactive"))
-    value = F.size(choice(F.lit(0), "value")) > 0
+    value = F.size(choice(0, "value")) > 0
     own = codings(top("code"), True)
     clash = F.exists(top("component"), lambda p: F.exists(codings(kids(p["id"], "code")), lambda b: F.exists(own, lambda x: (x["system"] == b["system"]) & (x["code"] == b["code"]))))
     rule = lambda key, severity, at: finding("INVARIANT_VIOLATED", severity, F.lit(at), key)
@@ -172,9 +173,9 @@ def safety_findings() -> Column:
             (allergy & ~a & ~clinical, rule("ait-1", "error", "AllergyIntolerance.clinicalStatus")),
             (allergy & a & clinical, rule("ait-2", "error", "AllergyIntolerance.clinicalStatus")),
             (condition & ~clinical & ~c & has_coding(top("category"), CONDITION_CATEGORY, "problem-list-item"), rule("con-3", "warning", "Condition.clinicalStatus")),
-            (condition & (F.size(choice(F.lit(0), "abatement")) > 0) & ~over, rule("con-4", "error", "Condition.clinicalStatus")),
+            (condition & (F.size(choice(0, "abatement")) > 0) & ~over, rule("con-4", "error", "Condition.clinicalStatus")),
             (condition & c & clinical, rule("con-5", "error", "Condition.clinicalStatus")),
-            (observation & has(F.lit(0), "dataAbsentReason") & value, rule("obs-6", "error", "Observation.dataAbsentReason")),
+            (observation & has(0, "dataAbsentReason") & value, rule("obs-6", "error", "Observation.dataAbsentReason")),
             (observation & value & clash, rule("obs-7", "error", "Observation.component")),
         )
     )

@@ -15,7 +15,10 @@ CODES = {"click": ("8867-4", "/min"), "view": ("29463-7", "kg"), "error": ("8310
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A table, dealt over all cores where it is one small file that a single task would read; parsing costs far more than the exchange."""
+    t = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return t.repartition(cores) if len(t.inputFiles()) < cores else t
 
 
 def j(*parts: Column | str) -> Column:

@@ -5,6 +5,10 @@ Column expression, a join or an aggregation over the `nodes` array. A node's
 descendants are those with id in (id, last]; its children have parent = id.
 Items of a JSON array are children with `idx`; a primitive's metadata (`_x`)
 are `meta` children of it and its `elem_id`. Numbers keep their written form.
+A node with a type of its own, the document's or a nested resource's, is marked
+`res`. A string with a lone surrogate, which no column can hold, has U+FFFD in its
+place and its JSON source in `src`; metadata that isn't an object is kept in `src`
+of its primitive, behind `META`.
 """
 
 from __future__ import annotations
@@ -19,11 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_DEPTH = 256
+#: Bytes of text after which the trees so far are handed to Spark.
+BATCH_BYTES = 4 << 20
+#: What stands before the source of metadata that could not be modelled.
+META = "_:"
 WITHHELD = "<withheld>"
-NODE = "struct<id:int,last:int,parent:int,depth:int,name:string,idx:int,meta:boolean,dup:boolean,loc:string,kind:string,vtype:string,lex:string,elem_id:string,src:string,rtype:string>"
+NODE = "struct<id:int,last:int,parent:int,depth:int,name:string,idx:int,meta:boolean,dup:boolean,loc:string,kind:string,vtype:string,lex:string,elem_id:string,src:string,rtype:string,res:boolean>"
 ISSUE = "struct<code:string,severity:string,expression:string>"
 SCHEMA = f"resource_type string, nodes array<{NODE}>, read_issues array<{ISSUE}>, fatal string"
-_ARROW_NODE = pa.struct([("id", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("name", pa.string()), ("idx", pa.int32()), ("meta", pa.bool_()), ("dup", pa.bool_()), ("loc", pa.string()), ("kind", pa.string()), ("vtype", pa.string()), ("lex", pa.string()), ("elem_id", pa.string()), ("src", pa.string()), ("rtype", pa.string())])
+_ARROW_NODE = pa.struct([("id", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("name", pa.string()), ("idx", pa.int32()), ("meta", pa.bool_()), ("dup", pa.bool_()), ("loc", pa.string()), ("kind", pa.string()), ("vtype", pa.string()), ("lex", pa.string()), ("elem_id", pa.string()), ("src", pa.string()), ("rtype", pa.string()), ("res", pa.bool_())])
 _ARROW_ISSUE = pa.struct([("code", pa.string()), ("severity", pa.string()), ("expression", pa.string())])
 _ELEMENT = re.compile(r"[a-z][A-Za-z0-9]{0,63}\Z")
 _TYPE = re.compile(r"[A-Z][A-Za-z]{0,63}\Z")
@@ -58,9 +66,34 @@ def decode(text: str):
         raise Fatal("MALFORMED_JSON") from None
     if text[end:].strip(" \t\n\r"):
         raise Fatal("MALFORMED_JSON")
+    if text.count("{") + text.count("[") > MAX_DEPTH:
+        _bounded(value)
     return value
 
 
+def _bounded(value) -> None:
+    """Refuses objects and arrays nested beyond the bound; scalars count as a level of their own."""
+    level, depth = [value], 0
+    while level:
+        if depth > MAX_DEPTH:
+            raise Fatal("MAX_DEPTH_EXCEEDED")
+        below: list = []
+        for x in level:
+            if isinstance(x, Members):
+                below += [v for _, v in x]
+            elif isinstance(x, list):
+                below += x
+        level, depth = below, depth + 1
+
+
+_LONE = re.compile(r"[\ud800-\udfff]")
+
+
+def whole(s: str) -> str:
+    """The string with U+FFFD in the place of lone surrogates."""
+    return _LONE.sub("\ufffd", s) if _LONE.search(s) else s
+
+
 def at_risk(number: str) -> bool:
     """Whether a 64-bit double, written in its shortest form, has another value or scale."""
     try:
@@ -102,7 +135,7 @@ class _Tree:
     def open(self, parent: int, depth: int, name: str, idx, loc: str, kind: str, meta=False, dup=False, vtype=None, lex=None, src=None) -> dict:
         if depth > MAX_DEPTH:
             raise Fatal("MAX_DEPTH_EXCEEDED")
-        n = dict(id=len(self.nodes), last=len(self.nodes), parent=parent, depth=depth, name=name, idx=idx, meta=meta, dup=dup, loc=loc, kind=kind, vtype=vtype, lex=lex, elem_id=None, src=src, rtype=None)
+        n = dict(id=len(self.nodes), last=len(self.nodes), parent=parent, depth=depth, name=name, idx=idx, meta=meta, dup=dup, loc=loc, kind=kind, vtype=vtype, lex=lex, elem_id=None, src=src, rtype=None, res=False)
         self.nodes.append(n)
         return n
 
@@ -113,11 +146,13 @@ class _Tree:
         n = self.open(parent, depth, name, idx, loc, "complex", meta, dup)
         groups: dict[str, dict[str, list]] = {}
         for k, v in members:
+            k = whole(k)
             base, side = (k[1:], "_") if k.startswith("_") and len(k) > 1 else (k, "")
             groups.setdefault(base, {"": [], "_": []})[side].append(v)
         own = groups.get("resourceType", {"": []})[""]
+        n["res"] = "resourceType" in groups
         if own and isinstance(own[0], str) and not isinstance(own[0], Number):
-            n["rtype"] = own[0]
+            n["rtype"] = whole(own[0])
         if parent < 0:
             loc = n["loc"] = "$this" if n["rtype"] is None else n["rtype"] if _TYPE.match(n["rtype"]) else WITHHELD
         for base, sides in groups.items():
@@ -180,6 +215,8 @@ class _Tree:
         vtype = None if v is None else "decimal" if isinstance(v, Number) else "boolean" if isinstance(v, bool) else "string"
         lex = None if v is None else json.dumps(v) if isinstance(v, bool) else str(v)
         p = self.open(n["id"], depth + 1, name, idx, at, "primitive", dup=dup, vtype=vtype, lex=lex)
+        if vtype == "string" and _LONE.search(lex):
+            p["lex"], p["src"] = whole(lex), _text(lex)
         if vtype == "decimal" and at_risk(v):
             self.issue("DECIMAL_PRECISION_AT_RISK", at, "information")
         carried = isinstance(m, Members)
@@ -188,13 +225,15 @@ class _Tree:
             p["src"] = "null"
         if has_meta and not carried and not (m is None and listed):
             self.issue("UNKNOWN_PROPERTY", at)
+            if p["src"] is None:
+                p["src"] = META + write(m)
         if carried:
             seen = set()
             for k, x in m:
                 if k in seen:
                     self.issue("DUPLICATE_PROPERTY", at)
                 elif k == "id" and isinstance(x, str) and not isinstance(x, Number):
-                    p["elem_id"] = x
+                    p["elem_id"] = whole(x)
                 elif k == "extension" and isinstance(x, list) and not isinstance(x, Members):
                     for i, e in enumerate(x):
                         if isinstance(e, Members):
@@ -222,10 +261,27 @@ def flatten(text: str | None) -> tuple[str | None, list, list, str | None]:
         return None, [], [], str(e)
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def parsed(batches: Iterator[pa.RecordBatch], flatten) -> Iterator[pa.RecordBatch]:
+    """The last column's texts as trees, BATCH_BYTES of text at a time."""
     for b in batches:
-        rows = [flatten(x.as_py()) for x in b.column(b.num_columns - 1)]
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(_ARROW_NODE)), pa.array([r[2] for r in rows], pa.list_(_ARROW_ISSUE)), pa.array([r[3] for r in rows], pa.string())], names=[*b.schema.names[:-1], "resource_type", "nodes", "read_issues", "fatal"])
+        texts = b.column(b.num_columns - 1)
+        names = [*b.schema.names[:-1], "resource_type", "nodes", "read_issues", "fatal"]
+        rows: list = []
+        first = size = 0
+        for k in range(b.num_rows + 1):
+            if k == b.num_rows or size >= BATCH_BYTES:
+                if k > first or not b.num_rows:
+                    own = b.slice(first, k - first)
+                    yield pa.RecordBatch.from_arrays([*own.columns[:-1], *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.list_(_ARROW_NODE), pa.list_(_ARROW_ISSUE), pa.string())))], names=names)
+                rows, first, size = [], k, 0
+            if k < b.num_rows:
+                text = texts[k].as_py()
+                rows.append(flatten(text))
+                size += len(text or "")
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return parsed(batches, flatten)
 
 
 def read_resources(docs: DataFrame, text: str = "raw") -> DataFrame:
@@ -254,7 +310,11 @@ def _render(nodes: list, n) -> str:
     if n["kind"] in ("nested", "foreign"):
         return n["src"]
     if n["kind"] == "primitive":
-        return "null" if n["lex"] is None else n["lex"] if n["vtype"] != "string" else _text(n["lex"])
+        if n["lex"] is None:
+            return "null"
+        if n["vtype"] != "string":
+            return n["lex"]
+        return n["src"] if n["src"] and not n["src"].startswith(META) else _text(n["lex"])
     groups: dict[tuple, list] = {}
     k = n["id"] + 1
     while k <= n["last"]:
@@ -267,7 +327,7 @@ def _render(nodes: list, n) -> str:
         listed = items[0]["idx"] is not None
         if not listed:
             c = items[0]
-            if c["kind"] != "primitive" or c["lex"] is not None or c["src"]:
+            if c["kind"] != "primitive" or c["lex"] is not None or c["src"] == "null":
                 out.append(f"{_text(name)}:{_render(nodes, c)}")
         elif any(c["kind"] != "primitive" or c["lex"] is not None for c in items):
             out.append(f"{_text(name)}:[{','.join(_render(nodes, c) for c in items)}]")
@@ -283,6 +343,8 @@ def _meta(nodes: list, n) -> str | None:
     while k <= n["last"]:
         own.append(nodes[k])
         k = nodes[k]["last"] + 1
+    if not parts and not own and n["src"] and n["src"].startswith(META):
+        return n["src"].removeprefix(META)
     if own:
         parts.append(f'"extension":[{",".join(_render(nodes, c) for c in own)}]')
     return "{" + ",".join(parts) + "}" if parts else None

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .resource_json import _ARROW_ISSUE, _ARROW_NODE, MAX_DEPTH, SCHEMA, WITHHELD, _ELEMENT, _TYPE, Fatal, _Tree
+from .resource_json import MAX_DEPTH, SCHEMA, WITHHELD, _ELEMENT, _TYPE, Fatal, _Tree, parsed
 
 FHIR = "http://hl7.org/fhir"
 XHTML = "http://www.w3.org/1999/xhtml"
@@ -64,7 +64,7 @@ def parse(text: str) -> _Element:
 def _complex(t: _Tree, e: _Element, parent: int, depth: int, name: str, idx, loc: str, resource: bool, source: bytes, meta: bool = False) -> None:
     n = t.open(parent, depth, name, idx, loc, "complex", meta=meta)
     if resource:
-        n["rtype"] = e.tag
+        n["rtype"], n["res"] = e.tag, True
         if parent < 0:
             loc = n["loc"] = e.tag if _TYPE.match(e.tag) else WITHHELD
         t.close(t.open(n["id"], depth + 1, "resourceType", None, f"{loc}.resourceType", "primitive", vtype="string", lex=e.tag))
@@ -131,9 +131,7 @@ def read_xml(docs: DataFrame, text: str = "raw") -> DataFrame:
     """docs with the XML of `text` replaced by resource_type, nodes, read_issues and fatal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [flatten(x.as_py()) for x in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(_ARROW_NODE)), pa.array([r[2] for r in rows], pa.list_(_ARROW_ISSUE)), pa.array([r[3] for r in rows], pa.string())], names=[*b.schema.names[:-1], "resource_type", "nodes", "read_issues", "fatal"])
+        return parsed(batches, flatten)
 
     keys = [c for c in docs.columns if c != text]
     ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keys)
@@ -141,12 +139,12 @@ def read_xml(docs: DataFrame, text: str = "raw") -> DataFrame:
 
 
 def canonical(nodes: Column) -> Column:
-    """What two spellings of a resource share: written values by path, without the index of an array's only item."""
+    """What two spellings of a resource share, in document order: written values, ids and sources by path, without the index of an array's only item."""
 
     def row(n: Column) -> Column:
-        return F.concat_ws("=", F.regexp_replace(n["loc"], r"\[0\]", ""), F.coalesce(n["lex"], n["kind"]), F.coalesce(n["elem_id"], F.lit("")))
+        return F.concat_ws("=", F.regexp_replace(n["loc"], r"\[0\]", ""), F.coalesce(n["lex"], n["kind"]), F.coalesce(n["elem_id"], F.lit("")), F.coalesce(n["src"], F.lit("")))
 
-    return F.array_sort(F.transform(nodes, row))
+    return F.transform(nodes, row)
 
 
 _ESCAPES = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "\t": "&#9;", "\n": "&#10;", "\r": "&#13;"})
