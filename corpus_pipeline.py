@@ -53,7 +53,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document, with digests of them and of the decoded text."""
-    return bpe_tables.round_trip(docs, texts=True).drop("decoded")
+    return bpe_tables.round_trip(docs, ids=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("secrets", redact_secrets), ("tokens", tokenize)]

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written_by
+from .common import tune, written_by
 from .wordbpe import default_path, vocabulary
 
 BLOCK_WORDS = 2_000_000
@@ -170,21 +170,21 @@ def _gather(flat: np.ndarray, begin: np.ndarray, pick: np.ndarray) -> np.ndarray
     return flat[np.cumsum(step)]
 
 
-def _finish(path: str, texts: bool):
-    types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string())[: 6 if texts else 4]
+def _finish(path: str, ids: bool, texts: bool):
+    types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string())[: 6 if texts else 5 if ids else 4]
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(types)]
 
     def run(own: pa.Table, answers: pa.Table) -> pa.Table:
         """The texts of one block and the ids of its words, by their numbers."""
         letters, where = _letters(path)
-        order, lengths, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        order, lengths, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for data in answers.column("data").to_pylist():
-            for into, part in zip((order, lengths, ids), _parts(data)):
+            for into, part in zip((order, lengths, flat), _parts(data)):
                 into.append(_unpack(part))
             order[-1] = np.cumsum(order[-1])
         rank, length = np.concatenate(order), np.concatenate(lengths)
         by = np.argsort(rank)
-        flat = _gather(np.concatenate(ids), np.r_[0, np.cumsum(length)], by)
+        flat = _gather(np.concatenate(flat), np.r_[0, np.cumsum(length)], by)
         begin = np.r_[0, np.cumsum(length[by])]
         out: list = []
         for data in own.column("data").to_pylist():
@@ -196,7 +196,7 @@ def _finish(path: str, texts: bool):
             for doc, real, a, b in zip(np.frombuffer(keys, np.int64).tolist(), np.frombuffer(known, bool).tolist(), edge[:-1], edge[1:]):
                 ids_ = _gather(flat, begin, ranks[a:b])
                 raw = _gather(letters, where, ids_)[:-1].tobytes()  # pieces are joined by one space
-                out.append((doc if real else None, len(ids_), hashlib.sha256(ids_.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest(), ids_.astype(np.int32) if texts else None, raw.decode("utf-8", "surrogatepass") if texts else None))
+                out.append((doc if real else None, len(ids_), hashlib.sha256(ids_.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest(), ids_.astype(np.int32) if ids or texts else None, raw.decode("utf-8", "surrogatepass") if texts else None))
         return pa.Table.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(types)], names=names)
 
     return run
@@ -209,17 +209,18 @@ def _letters(path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(pieces), np.uint8), np.r_[0, np.cumsum([len(p) for p in pieces])]
 
 
-def round_trip(docs: DataFrame, path: str | None = None, texts: bool = False) -> DataFrame:
-    """Per document: n_tokens, digests of its ids and of the decoded text; with texts=True also both themselves."""
+def round_trip(docs: DataFrame, path: str | None = None, ids: bool = False, texts: bool = False) -> DataFrame:
+    """Per document: n_tokens, digests of its ids and of the decoded text; with ids=True also the ids, with texts=True both themselves."""
     path = path or default_path()
+    tune(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(n, BUCKETS)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     split = written_by(d.mapInArrow(_split(path, buckets), WORD_SCHEMA), "words", "block", n)
     answers = split.where("words").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode(path), WORD_SCHEMA)
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if texts else "")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if texts else ", ids array<int>" if ids else "")
     own = split.where("not words").select("block", "data")
-    return own.groupBy("block").cogroup(answers.select("block", "data").groupBy("block")).applyInArrow(_finish(path, texts), schema)
+    return own.groupBy("block").cogroup(answers.select("block", "data").groupBy("block")).applyInArrow(_finish(path, ids, texts), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,6 +190,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def tune(spark: SparkSession) -> None:
+    """For frames of whole texts that the caller runs: Arrow batches of BATCH_ROWS rows at most, in this session from now on.
+
+    Such a frame runs after its function has returned, and Spark has this limit as a setting of the session only.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 #: While a table is written: Arrow batches of whole texts hold fewer rows than Spark's default, and exchange files go as soon as the table stands.
 _WHILE_WRITING = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 

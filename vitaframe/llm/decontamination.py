@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, LOWER, hashes, pieces, spans, written
+from .common import ALNUM, LOWER, hashes, pieces, spans, tune, written
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
@@ -248,6 +248,7 @@ def search(index: DataFrame, benchmark: DataFrame, item_id: str = "item_id", tex
 
     The index is read once per block of items.
     """
+    tune(index.sparkSession)
     out: list[DataFrame] = []
     for names, texts in blocks(benchmark, item_id, text, limit):
         # bounded by the limit, about 100 bytes for each of a block's words

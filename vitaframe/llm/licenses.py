@@ -23,7 +23,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ALNUM, LOWER
+from .common import ALNUM, LOWER, tune
 
 #: Fixed values of the contract: phrase and label.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -162,6 +162,7 @@ def scan(text: str | None, machine: ahocorasick.Automaton) -> tuple[int, list[tu
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, expressions, score."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton([*BASE, *NOTICES, *TAGS])

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import tune
 from .wordbpe import default_path, vocabulary
 
 CUT = 0.5
@@ -231,6 +232,7 @@ _FINDING = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kin
 
 
 def _scan(docs: DataFrame, forest: Forest, schema, row) -> DataFrame:
+    tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(forest)
     at = docs.columns.index("text")
 

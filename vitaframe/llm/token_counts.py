@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import tune
 from .wordbpe import default_path, vocabulary
 
 LIMIT = 2048
@@ -44,6 +45,7 @@ class _Counts(dict):
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every document."""
     path = path or default_path()
+    tune(docs.sparkSession)
     # bounded by the vocabulary file, whatever the corpus
     whole = docs.sparkSession.sparkContext.broadcast(vocabulary(path).whole())
 

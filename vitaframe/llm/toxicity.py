@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, mix, pieces, rolling, row_hashes, spans
+from .common import ALNUM, LOWER, mix, pieces, rolling, row_hashes, spans, tune
 
 LENGTH, STRIDE = 24, 12
 HIDDEN, INPUT, ATTEND = 8, 12, 8
@@ -411,6 +411,7 @@ def score(docs: DataFrame, net: Network | None, name: str = "toxicity") -> DataF
     docs = docs.drop(name)
     if net is None:
         return docs.withColumn(name, F.lit(0.0))
+    tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     at = docs.columns.index("text")
     names = [*docs.columns, name]
