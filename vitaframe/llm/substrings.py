@@ -43,10 +43,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NONSPACE, drop_folder, inside, mix, new_folder, pieces, rolling, row_hashes, spans, writing, written_by
+from .common import NONSPACE, drop_folder, inside, mix, new_folder, pieces, rolling, row_hashes, spans, tune, writing, written_by
 
 WINDOW = 13
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 #: Documents of a shard; owners are sent in 16 bits.
 SHARD_DOCS = 1 << 15
 CHECK_BITS = 32
@@ -54,10 +54,10 @@ PASSES = 3
 #: Batches of a table by doc_id, at least, and runs that may stand side by side: with three and one the index is compacted once.
 BATCHES, MOST_RUNS = 3, 1
 #: Fingerprints of a batch in one bucket, about, and the most buckets as a power of two.
-BUCKET_ENTRIES, MOST_BITS = 1 << 20, 16
+BUCKET_ENTRIES, MOST_BITS = 1 << 19, 17
 BATCH_WINDOWS = BUCKET_ENTRIES << MOST_BITS
 #: Entries of a run in one row.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 SHARD_SCHEMA = "shard long, ids binary, known binary, sizes binary, text binary"
 #: Asking and answering shards have numbers from 0 on, slices of runs have none; `first` orders slices by their first mark.
@@ -392,6 +392,7 @@ def _apply(bits: int, window: int):
 
 def remove(own: DataFrame, answers: DataFrame, bits: int, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the text of the words that stay) of every document of `shards`; texts aren't shuffled."""
+    tune(own.sparkSession)
     return own.groupBy("shard").cogroup(answers.select("shard", "bucket", "n", "marks").groupBy("shard")).applyInArrow(_apply(bits, window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
