@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as S
 from .operators import bundles as B
+from .operators import expressions as E
 from .operators import profiles as P
-from .operators import quantity, reports, safety, structure, terminology
+from .operators import quantity, reports, safety, structure, terminology, validation
+from .operators.definitions import load_profile
 from .plans import fixtures as X
 from .plans.fixtures import event_k, j, money, pick, table
 from .sources import resource_json, resource_xml
@@ -180,11 +182,16 @@ def patient_schema_findings(spark: SparkSession, sf: str) -> DataFrame:
     return structure.explode_findings(X.patients(spark, sf), structure.structure_findings(), "c_custkey").select("c_custkey", "code", "severity", "expression")
 
 
-@query("""
-SELECT c_custkey, CASE WHEN c_custkey % 8 = 0 THEN '{"resourceType":"OperationOutcome","issue":[{"severity":"information","code":"informational","details":{"text":"No issues detected."}}]}' ELSE
-  '{"resourceType":"OperationOutcome","issue":[{"severity":"' || CASE c_custkey % 8 WHEN 4 THEN 'warning' ELSE 'error' END || '","code":"' ||
-  CASE c_custkey % 8 WHEN 1 THEN 'code-invalid' WHEN 2 THEN 'value' ELSE 'structure' END || '","expression":["Patient.' ||
-  CASE c_custkey % 8 WHEN 1 THEN 'gender' WHEN 2 THEN 'birthDate' WHEN 3 THEN 'active' WHEN 4 THEN 'foo' WHEN 5 THEN 'gender' WHEN 6 THEN 'deceased[x]' ELSE 'birthDate' END || '"]}]}' END AS outcome FROM customer""")
+def _said(code: str) -> str:
+    return f"""WHEN '{code}' THEN '{reports.DIAGNOSTICS[code]}'"""
+
+
+@query(f"""
+WITH f AS ({PATIENT_FINDINGS})
+SELECT c.c_custkey, CASE WHEN f.code IS NULL THEN '{{"resourceType":"OperationOutcome","issue":[{{"severity":"information","code":"informational","diagnostics":"No issues detected."}}]}}' ELSE
+  '{{"resourceType":"OperationOutcome","issue":[{{"severity":"' || severity || '","code":"' || CASE f.code WHEN 'CODE_INVALID' THEN 'code-invalid' WHEN 'PRIMITIVE_INVALID' THEN 'value' ELSE 'structure' END ||
+  '","diagnostics":"' || CASE f.code {" ".join(_said(c) for c in ("CODE_INVALID", "PRIMITIVE_INVALID", "TYPE_MISMATCH", "UNKNOWN_ELEMENT", "CARDINALITY_MAX", "CHOICE_AMBIGUOUS"))} END || '","expression":["' || expression || '"]}}]}}' END AS outcome
+FROM customer c LEFT JOIN f ON c.c_custkey = f.c_custkey""")
 def operation_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return X.patients(spark, sf).select("c_custkey", reports.operation_outcome(structure.structure_findings()).alias("outcome"))
 
@@ -258,17 +265,17 @@ def profile_versions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'MALFORMED_JSON' ELSE 'NOT_A_RESOURCE' END AS outcome FROM documents WHERE text IS NOT NULL""")
+SELECT doc_id, CASE WHEN text IS NULL AND doc_id % 4 <> 3 THEN 'none' ELSE CASE doc_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'MALFORMED_JSON' ELSE 'NOT_A_RESOURCE' END END AS outcome FROM documents""")
 def ndjson_errors(spark: SparkSession, sf: str) -> DataFrame:
     body = j('{"resourceType":"Basic","text":', F.to_json(F.array("text")), "}")
     raw = pick(F.col("doc_id"), 4, {0: body, 1: F.concat(body, F.lit("x")), 2: F.to_json(F.array("text"))}, '{"a":["x"],"_a":[{"id":"1"},null]}')
-    d = table(spark, sf, "documents").where("text is not null").select("doc_id", raw.alias("raw"))
-    return resource_json.ndjson_records(d).select("doc_id", F.coalesce("error", F.lit("ok")).alias("outcome"))
+    d = table(spark, sf, "documents").select("doc_id", raw.alias("raw"), raw.isNull().alias("none"))
+    return resource_json.ndjson_records(d).select("doc_id", F.when(F.col("none"), "none").otherwise(F.coalesce("error", F.lit("ok"))).alias("outcome"))
 
 
-@query("SELECT page_id, CASE WHEN html LIKE '<!DOCTYPE%' THEN 'DTD_FORBIDDEN' ELSE 'MALFORMED_XML' END AS fatal FROM pages WHERE html IS NOT NULL")
+@query("SELECT page_id, CASE WHEN html LIKE '<!DOCTYPE%' THEN 'DTD_FORBIDDEN' WHEN html IS NOT NULL THEN 'MALFORMED_XML' END AS fatal FROM pages")
 def xml_refusals(spark: SparkSession, sf: str) -> DataFrame:
-    return resource_xml.read_xml(table(spark, sf, "pages").where("html is not null").select("page_id", "html"), "html").select("page_id", "fatal")
+    return resource_xml.read_xml(table(spark, sf, "pages").select("page_id", "html"), "html").select("page_id", "fatal")
 
 
 @query("SELECT c_custkey, true AS equivalent FROM customer")
@@ -289,10 +296,10 @@ def json_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(r"""
-SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) AS BIGINT) AS n_email, CAST(len(regexp_extract_all(text, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b')) AS BIGINT) AS n_ssn,
-  CAST(len(regexp_extract_all(text, '\b[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}\b')) AS BIGINT) AS n_phone, CAST(len(regexp_extract_all(text, '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b')) AS BIGINT) AS n_ip FROM documents WHERE text IS NOT NULL""")
+SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')), 0) AS BIGINT) AS n_email, CAST(coalesce(len(regexp_extract_all(text, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b')), 0) AS BIGINT) AS n_ssn,
+  CAST(coalesce(len(regexp_extract_all(text, '\b[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}\b')), 0) AS BIGINT) AS n_phone, CAST(coalesce(len(regexp_extract_all(text, '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b')), 0) AS BIGINT) AS n_ip FROM documents""")
 def personal_data(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.personal_data(table(spark, sf, "documents").where("text is not null"), "doc_id")
+    return reports.personal_data(table(spark, sf, "documents"), "doc_id")
 
 
 @query("SELECT n_nationkey, n_nationkey % 3 = 0 AS cyclic FROM nation")
@@ -314,3 +321,165 @@ def bundle_entries(spark: SparkSession, sf: str) -> DataFrame:
 def reading_differences(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "events").select("event_id", event_k().alias("k"))
     return reports.differences(o.where("k % 4 <> 2").select("event_id"), o.where("k % 4 <> 1").select("event_id"))
+
+
+#: Expressions over an order's Observation, each with the SQL that tells it from the order's lines g.
+PATHS = (
+    ("component.count() >= 3", "n >= 3"), ("component.where(code.text = 'R').exists()", "r > 0"), ("component.exists(code.text = 'A')", "a > 0"), ("component.all(valueQuantity.value > 5)", "low > 5"), ("component.code.text.distinct().count() = 2", "flags = 2"),
+    ("status = 'final'", "l_orderkey % 4 <> 1"), ("status != 'final' or component.count() > 1", "l_orderkey % 4 = 1 OR n > 1"), ("component.where(code.text = 'R').empty() implies component.where(code.text = 'A').exists()", "r > 0 OR a > 0"),
+    ("component.first().code.text = 'N'", "first = 'N'"), ("component.last().code.text = 'R'", "last = 'R'"), ("component[1].exists()", "n > 1"), ("'A' in component.code.text", "a > 0"), ("component.code.text contains 'N'", "o > 0"),
+    ("(component.code.text | component.valueQuantity.unit).count() = 4", "flags + units = 4"), ("component.select(valueQuantity.value).count() = component.count()", "true"), ("component.where(valueQuantity.unit = 'O').count() = 0", "open = 0"), ("meta.profile.exists()", "l_orderkey % 5 IN (1, 2)"),
+    ("component.exists(code.text = 'R') xor component.exists(code.text = 'A')", "(r > 0) <> (a > 0)"), ("component.valueQuantity.value.where($this > 40).exists()", "high > 40"), ("component.code.text.ofType(String).count() = component.count()", "true"), ("component.valueQuantity.value.first() is Decimal", "true"),
+    ("component.where(valueQuantity.value = 17).exists()", "seventeen > 0"), ("component.code.text.intersect('A' | 'N').count() = 2", "a > 0 AND o > 0"), ("status.hasValue() and component.hasValue().not()", "true"), ("%resource.component.where(code.text = %context.component.first().code.text).count() = component.count()", "flags = 1"),
+    ("component.exists(code.text = 'R').not()", "r = 0"), ("children().count() > 2", "n + 1 + CAST(l_orderkey % 5 IN (1, 2) AS INTEGER) > 2"), ("-component.count() < -4", "n > 4"), ("component.code.text.first() <= 'N'", "first <= 'N'"), ("missing.exists() and status.exists()", "false"),
+)
+LINES = """SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS r, count(*) FILTER (WHERE l_returnflag = 'A') AS a, count(*) FILTER (WHERE l_returnflag = 'N') AS o, count(*) FILTER (WHERE l_linestatus = 'O') AS open, count(*) FILTER (WHERE l_quantity = 17) AS seventeen,
+  min(l_quantity) AS low, max(l_quantity) AS high, count(DISTINCT l_returnflag) AS flags, count(DISTINCT l_linestatus) AS units, arg_min(l_returnflag, l_linenumber) AS first, arg_max(l_returnflag, l_linenumber) AS last FROM lineitem GROUP BY l_orderkey"""
+
+
+@query(f"WITH g AS ({LINES}) SELECT l_orderkey, {', '.join(f'({sql}) AS e{k}' for k, (_, sql) in enumerate(PATHS))} FROM g")
+def path_text(spark: SparkSession, sf: str) -> DataFrame:
+    o = X.shipments(spark, sf)
+    return o.select("l_orderkey", *(E.invariant(text)["satisfied"].alias(f"e{k}") for k, (text, _) in enumerate(PATHS)))
+
+
+#: Expressions outside the language, or only for some orders, with the SQL of what is said of them.
+UNCHECKED = (
+    ("component.descendants().exists()", "'unchecked'"), ("(1 + 1) = 2", "'unchecked'"), ("component.where(matches('x')).exists()", "'unchecked'"), ("missing.where(matches('x')).empty()", "'true'"), ("component > 'x'", "'unchecked'"), ("component.code.text and true", "'unchecked'"),
+    ("status is Quantity", "'false'"), ("component.first() is Quantity", "'unchecked'"), ("%ucum.exists()", "'unchecked'"), ("component[$index].exists()", "'unchecked'"), ("status.exists(", "'unchecked'"), ("component.where(code.text = 'R').all(descendants().exists())", "CASE WHEN r > 0 THEN 'unchecked' ELSE 'true' END"),
+    ("component.code.text = 'N' and component.code.text in ('A' | 'R')", "CASE WHEN n > 1 THEN 'unchecked' ELSE 'false' END"),
+)
+
+
+@query(f"WITH g AS ({LINES}) SELECT l_orderkey, {', '.join(f'{sql} AS u{k}' for k, (_, sql) in enumerate(UNCHECKED))} FROM g")
+def path_unchecked(spark: SparkSession, sf: str) -> DataFrame:
+    o = X.shipments(spark, sf).select("l_orderkey", *(E.invariant(text).alias(f"v{k}") for k, (text, _) in enumerate(UNCHECKED)))
+    return o.select("l_orderkey", *(F.when(F.col(f"v{k}.unchecked"), "unchecked").otherwise(F.col(f"v{k}.satisfied").cast("string")).alias(f"u{k}") for k in range(len(UNCHECKED))))
+
+
+#: A profile as the definition that users have: constraints as text, a fixed and a pattern value with members.
+DEFINITION = """{"resourceType":"StructureDefinition","url":"http://x.org/d","type":"Observation","version":"1","differential":{"element":[
+{"id":"Observation","path":"Observation","constraint":[{"key":"two-lines","severity":"warning","expression":"component.count() >= 2"},{"key":"odd","severity":"error","expression":"component.trace('x').exists()"},{"key":"obs-6","severity":"error","expression":"false"}]},
+{"id":"Observation.component","path":"Observation.component","constraint":[{"key":"returned-small","severity":"error","expression":"code.text = 'R' implies valueQuantity.value <= 40"}]},
+{"id":"Observation.component.code","path":"Observation.component.code","patternCodeableConcept":{"text":"N"}},
+{"id":"Observation.component.valueQuantity","path":"Observation.component.valueQuantity","fixedQuantity":{"value":17.00,"unit":"O"}}]}}"""
+
+
+@query("""
+WITH g AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R' AND l_quantity > 40) AS big, count(*) FILTER (WHERE l_returnflag <> 'N') AS other, count(*) FILTER (WHERE l_quantity <> 17 OR l_linestatus <> 'O') AS unlike FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, 'INVARIANT_VIOLATED' AS code, 'two-lines' AS rule, 'warning' AS severity, CAST(1 AS BIGINT) AS n FROM g WHERE n < 2
+UNION ALL SELECT l_orderkey, 'INVARIANT_UNCHECKED', 'odd', 'information', 1 FROM g
+UNION ALL SELECT l_orderkey, 'INVARIANT_VIOLATED', 'returned-small', 'error', big FROM g WHERE big > 0
+UNION ALL SELECT l_orderkey, 'PROFILE_PATTERN_MISMATCH', NULL, 'error', other FROM g WHERE other > 0
+UNION ALL SELECT l_orderkey, 'PROFILE_FIXED_MISMATCH', NULL, 'error', unlike FROM g WHERE unlike > 0""")
+def definition_findings(spark: SparkSession, sf: str) -> DataFrame:
+    f = structure.explode_findings(X.shipments(spark, sf), P.profile_findings(load_profile(DEFINITION)), "l_orderkey")
+    return f.groupBy("l_orderkey", "code", F.col("constraint").alias("rule"), "severity").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH f AS ({PATIENT_FINDINGS})
+SELECT c.c_custkey, coalesce(f.severity, '') <> 'error' AS valid, coalesce(f.code || '/' || f.severity || ' at ' || f.expression, '') AS findings FROM customer c LEFT JOIN f ON c.c_custkey = f.c_custkey""")
+def validate_patients(spark: SparkSession, sf: str) -> DataFrame:
+    v = validation.validate(X.patients(spark, sf), "c_custkey", bundles=False)
+    said = F.array_join(F.transform("findings", lambda f: F.concat(f["code"], F.lit("/"), f["severity"], F.lit(" at "), f["expression"])), ", ")
+    return v.select("c_custkey", "valid", said.alias("findings"))
+
+
+@query("""
+WITH g AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE o_orderkey % 7 = 0) AS wrong FROM orders GROUP BY o_custkey)
+SELECT o_custkey, wrong = 0 AS valid, 'RESOURCE_NOT_MODELED' AS code, CAST(1 AS BIGINT) AS n FROM g
+UNION ALL SELECT o_custkey, false, 'FULLURL_ID_MISMATCH', wrong FROM g WHERE wrong > 0
+UNION ALL SELECT o_custkey, wrong = 0, 'REFERENCE_UNRESOLVED', n FROM g WHERE o_custkey % 3 = 0""")
+def validate_bundles(spark: SparkSession, sf: str) -> DataFrame:
+    v = validation.validate(X.bundles(spark, sf), "o_custkey")
+    return v.select("o_custkey", "valid", F.explode("findings.code").alias("code")).groupBy("o_custkey", "valid", "code").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT event_id, m NOT IN (0, 1) AS valid, CASE m WHEN 0 THEN 'RESOURCE_TYPE_UNKNOWN at $this, ARRAY_WRAPPED_SCALAR at $this.resourceType, ARRAY_WRAPPED_SCALAR at $this.status, RETRACTED_RESOURCE at Observation.status'
+  WHEN 1 THEN 'RESOURCE_TYPE_UNKNOWN at $this, NESTED_ARRAY at $this.resourceType[0]' ELSE 'RESOURCE_NOT_MODELED at Observation' END AS findings
+FROM (SELECT event_id, event_id % 3 AS m FROM events)""")
+def validate_types(spark: SparkSession, sf: str) -> DataFrame:
+    raw = pick(F.col("event_id"), 3, {0: '{"resourceType":["Observation"],"status":["entered-in-error"]}', 1: '{"resourceType":[["Observation"]]}'}, '{"resourceType":"Observation","status":"final"}')
+    r = resource_json.read_resources(table(spark, sf, "events").select("event_id", raw.alias("raw")))
+    said = F.array_join(F.transform("findings", lambda f: F.concat(f["code"], F.lit(" at "), f["expression"])), ", ")
+    return validation.validate(r, "event_id", bundles=False).select("event_id", "valid", said.alias("findings"))
+
+
+@query("""
+SELECT o_custkey, kind, status, target, count(*) AS n FROM (
+  SELECT o_custkey, 'relative' AS kind, CASE WHEN o_custkey % 3 = 0 THEN 'unresolved' ELSE 'resolved' END AS status, CASE WHEN o_custkey % 3 <> 0 THEN 0 END AS target FROM orders
+  UNION ALL SELECT o_custkey, 'absolute', 'external', NULL FROM orders) GROUP BY o_custkey, kind, status, target""")
+def bundle_targets(spark: SparkSession, sf: str) -> DataFrame:
+    return B.resolve(X.bundles(spark, sf), "o_custkey").groupBy("o_custkey", "kind", "status", "target").agg(F.count("*").alias("n"))
+
+
+def _searches(spark: SparkSession, sf: str) -> DataFrame:
+    """A page of a search for every customer, and a deletion beside it."""
+    key = F.col("c_custkey")
+    raw = j('{"resourceType":"Bundle","type":"searchset","total":', key, '.0,"link":[{"relation":"self","url":"https://h.org/s"},{"relation":"next","url":"https://h.org/s?page=', key, '"}],"entry":[{"fullUrl":"https://h.org/Patient/', key, '","resource":{"resourceType":"Patient","id":"', key, '"},"search":{"mode":"match"}},{"request":{"method":"DELETE","url":"Patient/', key, '"}}]}')
+    return resource_json.read_resources(table(spark, sf, "customer").select("c_custkey", raw.alias("raw")))
+
+
+@query("SELECT c_custkey, 'searchset' AS type, 'none' AS processing, c_custkey || '.0' AS total, 'self https://h.org/s, next https://h.org/s?page=' || c_custkey AS links FROM customer")
+def bundle_readout(spark: SparkSession, sf: str) -> DataFrame:
+    links = F.array_join(F.transform("b.links", lambda x: F.concat_ws(" ", x["relation"], x["url"])), ", ")
+    return _searches(spark, sf).select("c_custkey", B.readout().alias("b")).select("c_custkey", "b.type", "b.processing", "b.total", links.alias("links"))
+
+
+@query("""
+SELECT c_custkey, 0 AS entry, 'https://h.org/Patient/' || c_custkey AS full_url, 'Patient' AS type, CAST(c_custkey AS VARCHAR) AS id, 'match' AS search_mode, NULL AS request_method, NULL AS request_url FROM customer
+UNION ALL SELECT c_custkey, 1, NULL, NULL, NULL, NULL, 'DELETE', 'Patient/' || c_custkey FROM customer""")
+def bundle_entry_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return B.entries(_searches(spark, sf), "c_custkey").drop("first", "last")
+
+
+@query("""
+SELECT p_partkey, CAST(p_size AS VARCHAR) AS low, p_size || '.50' AS high, CASE WHEN p_size % 2 = 0 THEN 'H' ELSE '' END AS flags, CASE WHEN p_size % 3 = 0 THEN 'String' ELSE '' END AS ambiguous, 'Quantity' AS type FROM part""")
+def reference_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    size = F.col("p_size")
+    raw = j('{"resourceType":"Observation","valueQuantity":{"value":1}', F.when(size % 3 == 0, ',"valueString":"x"').otherwise(""), F.when(size % 2 == 0, ',"interpretation":[{"coding":[{"system":"s","code":"H"}]}]').otherwise(""), ',"referenceRange":[{"low":{"value":', size, '},"high":{"value":', size, ".50}}]}")
+    o = resource_json.read_resources(table(spark, sf, "part").select("p_partkey", raw.alias("raw"))).select("p_partkey", F.get(quantity.reference_ranges(0), F.lit(0)).alias("r"), quantity.interpretations(0).alias("i"), quantity.observation_value(0).alias("v"))
+    return o.select("p_partkey", F.col("r.low.value").alias("low"), F.col("r.high.value").alias("high"), F.array_join("i.code", ",").alias("flags"), F.array_join("v.ambiguous", ",").alias("ambiguous"), F.col("v.type").alias("type"))
+
+
+@query("SELECT p_partkey, 'UCUM_UNIT_UNRECOGNIZED' AS code, 'warning' AS severity, 'MedicationRequest.dosageInstruction[0].doseAndRate[0].doseQuantity.code' AS expression FROM part WHERE p_size % 3 <> 0")
+def dose_findings(spark: SparkSession, sf: str) -> DataFrame:
+    unit = pick(F.col("p_size"), 3, {0: ',"code":"mg"', 1: ',"code":"m g"'}, "")
+    raw = j('{"resourceType":"MedicationRequest","dosageInstruction":[{"doseAndRate":[{"doseQuantity":{"value":1,"system":"http://unitsofmeasure.org"', unit, "}}]}]}")
+    r = resource_json.read_resources(table(spark, sf, "part").select("p_partkey", raw.alias("raw")))
+    return structure.explode_findings(r, quantity.quantity_findings(), "p_partkey").select("p_partkey", "code", "severity", "expression")
+
+
+@query(f"""
+SELECT event_id, 'Condition' AS resource_type, CASE k % 3 WHEN 1 THEN 'active' WHEN 2 THEN 'resolved' END AS clinical_status, CASE WHEN k % 5 = 0 THEN 'entered-in-error' END AS verification_status, k % 5 = 0 AS retracted, false AS no_known_allergy, true AS safe
+FROM (SELECT event_id, {K} AS k FROM events)""")
+def safety_readout(spark: SparkSession, sf: str) -> DataFrame:
+    s = safety.read_safety(X.conditions(spark, sf))
+    return s.select("event_id", *(f"safety.{c}" for c in ("resource_type", "clinical_status", "verification_status", "retracted", "no_known_allergy")), F.col("safety.safe_to_summarize").alias("safe"))
+
+
+#: Datatype, written type, text (with the nation's key as #), and the SQL of the verdict.
+DOMAINS = (
+    ("id", "string", "a-#.b", "'ok'"), ("id", "string", "a_#", "'invalid'"), ("oid", "string", "urn:oid:1.#", "'ok'"), ("oid", "string", "urn:oid:3.#", "'invalid'"), ("uuid", "string", "urn:uuid:00000000-0000-0000-0000-00000000000#", "CASE WHEN k < 10 THEN 'ok' ELSE 'invalid' END"), ("positiveInt", "decimal", "#", "CASE WHEN k > 0 THEN 'ok' ELSE 'invalid' END"),
+    ("unsignedInt", "decimal", "#", "'ok'"), ("unsignedInt", "decimal", "-#", "'invalid'"), ("integer", "decimal", "-1#", "'ok'"), ("integer", "decimal", "1.#", "'invalid'"), ("integer64", "decimal", "1#", "'ok'"), ("decimal", "decimal", "-0.#e-#", "'ok'"), ("decimal", "string", "1.#", "'type-mismatch'"), ("boolean", "boolean", "true", "'ok'"), ("boolean", "string", "true", "'type-mismatch'"),
+    ("code", "string", "a b#", "'ok'"), ("code", "string", " a#", "'invalid'"), ("uri", "string", "http://x/#", "'ok'"), ("url", "string", "http://x/ #", "'invalid'"), ("canonical", "string", "http://x|#", "'ok'"), ("base64Binary", "string", "QUJD", "'ok'"), ("base64Binary", "string", "QUJD#", "'invalid'"), ("instant", "string", "2020-01-01T00:00:#Z", "CASE WHEN k > 9 THEN 'ok' ELSE 'invalid' END"),
+    ("date", "string", "2020-#", "CASE WHEN k IN (10, 11, 12) THEN 'ok' ELSE 'invalid' END"), ("dateTime", "string", "2020-01-01T00:00:00+#:00", "CASE WHEN k BETWEEN 10 AND 14 THEN 'ok' ELSE 'invalid' END"), ("time", "string", "#:00:00", "CASE WHEN k BETWEEN 10 AND 23 THEN 'ok' ELSE 'invalid' END"), ("markdown", "string", "# x", "'ok'"), ("string", "string", "", "'invalid'"), ("HumanName", "string", "#", "'ok'"),
+)
+
+
+@query("SELECT n_nationkey, d, verdict FROM (" + " UNION ALL ".join(f"SELECT n_nationkey, {d} AS d, {sql} AS verdict FROM (SELECT n_nationkey, n_nationkey AS k FROM nation)" for d, (*_, sql) in enumerate(DOMAINS)) + ")")
+def primitive_types(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("n_nationkey").cast("string")
+    verdicts = F.array(*(S.primitive_verdict(t, F.lit(v), F.replace(F.lit(text), F.lit("#"), key)) for t, v, text, _ in DOMAINS))
+    return table(spark, sf, "nation").select("n_nationkey", F.posexplode(verdicts).alias("d", "verdict"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey END AS wide, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_orderkey AS DECIMAL(38,0)) * 1000 WHEN 1 THEN CAST(o_orderkey AS DECIMAL(38,0)) END AS whole FROM orders""")
+def integers(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    wide = pick(key, 3, {0: j("9223372036854775808", "")}, key.cast("string"))
+    whole = pick(key, 3, {0: j(key, "e3"), 1: j(key, ".00")}, j(key, ".5"))
+    return table(spark, sf, "orders").select("o_orderkey", S.integer64(wide).alias("wide"), S.decimal_integer(whole).alias("whole"))

@@ -18,15 +18,16 @@ def at(n: Column) -> Column:
 
 
 def below(parent: Column | int) -> Column:
-    """The nodes under a node: its own stretch of the array, so that what is asked of a part costs as much as the part. 0 is the document."""
+    """The nodes under a node: its own stretch of the array, so that what is asked of a part costs as much as the part. 0 is the first node: the document, or the resource that was cut out of it."""
     if isinstance(parent, int):
         return nodes()
-    return let(at(parent), lambda p: F.slice(nodes(), p["id"] - F.get(nodes(), F.lit(0))["id"] + 2, p["last"] - p["id"]))
+    # looking up a node by its place costs nothing, and each lambda less is a round less of Spark's analysis
+    return F.slice(nodes(), parent - F.get(nodes(), F.lit(0))["id"] + 2, at(parent)["last"] - parent)
 
 
 def kids(parent: Column | int, name: str, repeats: bool = False) -> Column:
     """The values of a property, list items one by one; with repeats=True those of later members of the same name too."""
-    owner = F.lit(0) if isinstance(parent, int) else parent
+    owner = root()["id"] if isinstance(parent, int) else parent
 
     def own(n: Column) -> Column:
         it = (n["parent"] == owner) & (n["name"] == name) & ~n["meta"]
@@ -54,7 +55,7 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 def text(parent: Column | int, name: str) -> Column:
     """The string of a single-valued property; null if it is absent, an array or not a string."""
-    owner = F.lit(0) if isinstance(parent, int) else parent
+    owner = root()["id"] if isinstance(parent, int) else parent
     found = F.filter(below(parent), lambda n: (n["parent"] == owner) & (n["name"] == name) & ~n["meta"] & ~n["dup"] & n["idx"].isNull() & (n["vtype"] == "string"))
     return F.get(found, F.lit(0))["lex"]
 
@@ -86,7 +87,7 @@ def has_coding(concepts: Column, system: str | None, code: str, unwrap: bool = F
 
 def choice(parent: Column | int, base: str) -> Column:
     """The values of any variant of a choice element."""
-    owner = F.lit(0) if isinstance(parent, int) else parent
+    owner = root()["id"] if isinstance(parent, int) else parent
     return F.filter(below(parent), lambda n: (n["parent"] == owner) & n["name"].rlike(rf"\A{base}[A-Z]") & ~n["dup"] & ~n["meta"])
 
 

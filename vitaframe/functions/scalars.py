@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 #: White space of the specification's patterns: JavaScript's \s, spelt out.
 SPACE = r"\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+#: Lexical patterns of the R4 primitive datatypes; fixed values of the specification.
 _YEAR = r"([0-9]([0-9]([0-9][1-9]|[1-9]0)|[1-9]00)|[1-9]000)"
 _DAY = r"(0[1-9]|1[0-2])-(0[1-9]|[1-2][0-9]|3[0-1])"
 _TIME = r"([01][0-9]|2[0-3]):[0-5][0-9]:([0-5][0-9]|60)(\.[0-9]+)?"
 _ZONE = r"(Z|[+-]((0[0-9]|1[0-3]):[0-5][0-9]|14:00))"
-#: Lexical patterns of the R4 primitive datatypes; fixed values of the specification.
 PATTERNS = {
     "integer": r"([0]|[-+]?[1-9][0-9]*)",
     "integer64": r"([0]|[-+]?[1-9][0-9]*)",
@@ -54,6 +54,21 @@ def primitive_verdict(datatype: str, vtype: Column, lex: Column) -> Column:
     return F.when(vtype != kind, "type-mismatch").when(good, "ok").otherwise("invalid")
 
 
+def integer64(lex: Column) -> Column:
+    """A written integer of 64 bits; null where it is none or beyond the range."""
+    return F.when(lex.rlike(whole(PATTERNS["integer64"])), F.regexp_replace(lex, r"\A\+", "").try_cast("bigint"))
+
+
+def decimal_integer(lex: Column) -> Column:
+    """The integer that a written decimal is, whatever its exponent, as decimal(38,0); null where it has a fraction or doesn't fit."""
+    value = F.when(lex.rlike(whole(PATTERNS["decimal"])), lex)
+    k = decimal_key(value)
+    digits, scale = F.regexp_replace(k["digits"], r"\A-", ""), k["scale"]
+    zeros = F.length(digits) - F.length(F.regexp_replace(digits, r"0+\z", ""))
+    shorter = F.when(scale > 0, F.when(digits.rlike(r"\A0+\z"), "0").when(zeros >= scale, F.substring(digits, F.lit(1), F.length(digits) - scale))).otherwise(F.rpad(digits, F.length(digits) - scale, "0"))
+    return F.concat(F.when(k["digits"].startswith("-"), "-").otherwise(""), F.when(F.length(shorter) <= 38, shorter)).try_cast("decimal(38,0)")
+
+
 def decimal_key(lex: Column) -> Column:
     """struct(digits, scale) of a written decimal: sign and coefficient without leading zeros, and its scale."""
     frac = F.regexp_extract(lex, r"\.([0-9]+)", 1)

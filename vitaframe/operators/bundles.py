@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.nodes import kids, nodes, text, top
+from ..functions.nodes import FINDINGS, finding, kids, nodes, text, top
 from ..functions.scalars import parse_reference
 
 #: Steps of a path through contained resources before it counts as a cycle.
@@ -25,9 +25,20 @@ def _per_entry(bundles: DataFrame, *keys: str) -> DataFrame:
     return bundles.where("resource_type = 'Bundle'").select(*keys, F.explode(cut).alias("e")).select(*keys, "e.entry", "e.nodes").withColumn("own", F.get("nodes", F.lit(0))).withColumn("r", F.get(F.filter(kids(F.col("own.id"), "resource"), lambda n: n["kind"] == "complex"), F.lit(0)))
 
 
+def readout() -> Column:
+    """struct(type, processing, total, links): what a Bundle says of itself; the total as it is written."""
+    total = F.get(F.filter(top("total"), lambda n: n["vtype"] == "decimal"), F.lit(0))["lex"]
+    links = F.transform(F.filter(top("link"), lambda n: n["kind"] == "complex"), lambda n: F.struct(text(n["id"], "relation").alias("relation"), text(n["id"], "url").alias("url")))
+    return F.struct(text(0, "type").alias("type"), processing().alias("processing"), total.alias("total"), links.alias("links"))
+
+
 def entries(bundles: DataFrame, *keys: str) -> DataFrame:
-    """keys, entry (index), full_url, type, id, first and last node of each entry's resource."""
-    return _per_entry(bundles, *keys).select(*keys, "entry", text(F.col("own.id"), "fullUrl").alias("full_url"), F.col("r.rtype").alias("type"), text(F.col("r.id"), "id").alias("id"), F.col("r.id").alias("first"), F.col("r.last").alias("last"))
+    """keys, entry (index), full_url, type, id, first and last node of each entry's resource, search_mode, request_method and request_url."""
+    part = lambda name, member: text(F.get(kids(F.col("own.id"), name), F.lit(0))["id"], member)
+    return _per_entry(bundles, *keys).select(
+        *keys, "entry", text(F.col("own.id"), "fullUrl").alias("full_url"), F.col("r.rtype").alias("type"), text(F.col("r.id"), "id").alias("id"), F.col("r.id").alias("first"), F.col("r.last").alias("last"),
+        part("search", "mode").alias("search_mode"), part("request", "method").alias("request_method"), part("request", "url").alias("request_url"),
+    )
 
 
 def references(bundles: DataFrame, *keys: str) -> DataFrame:
@@ -39,17 +50,18 @@ def references(bundles: DataFrame, *keys: str) -> DataFrame:
 
 
 def resolve(bundles: DataFrame, *keys: str) -> DataFrame:
-    """references() with `status`: resolved, unresolved or external. The first entry of a key wins, so joining on distinct keys is enough."""
+    """references() with `status`: resolved, unresolved or external, and `target`, the entry that it leads to: the first of those that its url or its type and id name. A fragment's target is its own entry."""
     e = entries(bundles, *keys)
     url = parse_reference(F.col("full_url"))
-    by_url = e.where("full_url is not null and first is not null").select(*keys, F.col("full_url").alias("reference"), F.lit(True).alias("_url")).distinct()
-    named = e.where("first is not null").select(*keys, F.explode(F.array(F.concat_ws("/", url["type"], url["id"]), F.concat("type", F.lit("/"), "id"))).alias("_key")).where("_key like '%/%'").distinct().withColumn("_named", F.lit(True))
+    by_url = e.where("full_url is not null and first is not null").select(*keys, F.col("full_url").alias("reference"), "entry").groupBy(*keys, "reference").agg(F.min("entry").alias("_url"))
+    named = e.where("first is not null").select(*keys, "entry", F.explode(F.array(F.concat_ws("/", url["type"], url["id"]), F.concat("type", F.lit("/"), "id"))).alias("_key")).where("_key like '%/%'").groupBy(*keys, "_key").agg(F.min("entry").alias("_named"))
     rows = references(bundles, *keys).withColumn("_key", F.concat(F.col("r.type"), F.lit("/"), F.col("r.id")))
     both = rows.join(by_url, [*keys, "reference"], "left").join(named, [*keys, "_key"], "left")
     kind, anchor = F.col("r.kind"), F.col("r.id")
     hit = F.col("_named").isNotNull()
     status = F.when((kind == "fragment") & ((anchor == "") | F.array_contains("contained", anchor)), "resolved").when(kind == "fragment", "unresolved").when(kind == "relative", F.when(hit, "resolved").otherwise("unresolved")).when(F.col("_url").isNotNull() | hit, "resolved").otherwise("external")
-    return both.select(*keys, "entry", "expression", "reference", F.col("r.kind").alias("kind"), status.alias("status"))
+    target = F.when(kind == "fragment", F.col("entry")).when(kind == "relative", F.col("_named")).otherwise(F.coalesce("_url", "_named"))
+    return both.select(*keys, "entry", "expression", "reference", F.col("r.kind").alias("kind"), status.alias("status"), F.when(status == "resolved", target).alias("target"))
 
 
 def unresolved(bundles: DataFrame, *keys: str) -> DataFrame:
@@ -82,3 +94,15 @@ def contained_cycle() -> Column:
     rounds = F.sequence(F.lit(1), F.least(F.size(links) + 1, F.lit(MAX_STEPS)))
     left = F.aggregate(rounds, links, lambda acc, _: F.filter(acc, lambda x: F.exists(acc, lambda y: y["a"] == x["b"])))
     return F.coalesce(F.size(left) > 0, F.lit(False))
+
+
+def bundle_findings(bundles: DataFrame, *keys: str) -> DataFrame:
+    """keys, and the findings of each Bundle in one array, entry by entry: fullUrl and id, contained cycles, unresolved references."""
+    cut = F.slice("nodes", F.col("r.id") - F.col("own.id") + 1, F.col("r.last") - F.col("r.id") + 1)
+    whole = _per_entry(bundles, *keys).where("r.id is not null").select(*keys, "entry", cut.alias("nodes"))
+    cycles = whole.where(contained_cycle()).select(*keys, "entry", F.lit(1).alias("rank"), F.lit(0).alias("at"), finding("CONTAINED_CYCLE", "error", F.concat(F.lit("Bundle.entry["), "entry", F.lit("].resource.contained"))).alias("f"))
+    urls = full_url_mismatches(bundles, *keys).select(*keys, F.regexp_extract("expression", r"\[([0-9]+)\]", 1).cast("int").alias("entry"), F.lit(0).alias("rank"), F.lit(0).alias("at"), finding("FULLURL_ID_MISMATCH", "error", F.col("expression")).alias("f"))
+    loose = resolve(bundles, *keys).where("status = 'unresolved'").select(*keys, "entry", F.lit(2).alias("rank"), F.lit(0).alias("at"), finding("REFERENCE_UNRESOLVED", "warning", F.col("expression")).alias("f"))
+    rows = urls.union(cycles).union(loose)
+    ordered = F.array_sort(F.collect_list(F.struct("entry", "rank", "at", F.col("f.expression").alias("e"), "f")))
+    return rows.groupBy(*keys).agg(F.transform(ordered, lambda x: x["f"]).cast(FINDINGS).alias("bundle_findings"))

@@ -81,7 +81,8 @@ def array_wrapped() -> Column:
     """Single-valued elements that stand in an array, at resource roots, and codings' scalars under them."""
 
     def at(n: Column) -> Column:
-        safe = n["rtype"].isin(*SAFETY_TYPES)
+        # a document whose type stands in an odd shape is read as the type it names
+        safe = F.coalesce(n["rtype"], F.when(n["id"] == 0, F.col("resource_type"))).isin(*SAFETY_TYPES)
         own = F.filter(below(n["id"]), lambda m: (m["parent"] == n["id"]) & ~m["meta"] & m["idx"].isNotNull() & ((m["name"] == "resourceType") | F.coalesce(safe, F.lit(False)) & m["name"].isin(*SCALARS)))
         concepts = F.filter(below(n["id"]), lambda m: (m["parent"] == n["id"]) & (m["kind"] == "complex") & ((m["name"] == "verificationStatus") | F.coalesce(safe, F.lit(False)) & m["name"].isin(*CODEABLES)))
         inner = each(concepts, lambda c: each(kids(c["id"], "coding", True), lambda d: F.filter(below(d["id"]), lambda m: (m["parent"] == d["id"]) & m["name"].isin("system", "code") & m["idx"].isNotNull())))
@@ -153,6 +154,37 @@ def with_safety(resources: DataFrame) -> DataFrame:
     return out.withColumn("safe_to_summarize", F.coalesce(clean & F.col("fatal").isNull() & (F.size("nodes") > 0), F.lit(False)))
 
 
+def _code(name: str, system: str | None) -> Column:
+    """The code of a codeable concept: of the preferred system, or else the first."""
+    found = F.filter(codings(top(name), True), lambda c: c["code"].isNotNull())
+    return F.coalesce(F.get(F.filter(found, lambda c: c["system"] == system), F.lit(0))["code"], F.get(found, F.lit(0))["code"]) if system else F.get(found, F.lit(0))["code"]
+
+
+def _by_type(allergy: str, condition: str, name: str) -> Column:
+    t = F.col("resource_type")
+    return F.when(t == "AllergyIntolerance", _code(name, allergy)).when(t == "Condition", _code(name, condition)).otherwise(_code(name, None))
+
+
+def read_safety(resources: DataFrame, name: str = "safety") -> DataFrame:
+    """`with_safety` as one struct: the convenience fields, the negations, and the locations of every channel."""
+    s = with_safety(resources)
+    readable = F.filter(top("doNotPerform"), lambda b: b["lex"].isin("true", "false"))
+    fields = {
+        "resource_type": F.coalesce(F.col("resource_type"), F.get(strings(top("resourceType", True)), F.lit(0))), "status": F.get(strings(top("status")), F.lit(0)),
+        "clinical_status": _by_type("http://terminology.hl7.org/CodeSystem/allergyintolerance-clinical", CONDITION_CLINICAL, "clinicalStatus"), "verification_status": _by_type(ALLERGY_VERIFICATION, CONDITION_VERIFICATION, "verificationStatus"),
+        "do_not_perform": F.get(readable, F.lit(0))["lex"].cast("boolean"), "retracted": F.col("retracted"), "no_known_allergy": F.array_contains("negations", "no-known-allergy"), "negations": F.col("negations"),
+    } | {c: F.col(c) for c in (*CHANNELS, "safe_to_summarize")}
+    return s.select(*resources.columns, F.struct(*(v.alias(k) for k, v in fields.items())).alias(name))
+
+
+def assert_safe_to_summarize(resources: DataFrame) -> DataFrame:
+    """The same rows; the job fails at the first that isn't safe to summarise, naming locations only, never a value."""
+    s = with_safety(resources)
+    where = F.concat_ws(", ", *CHANNELS)
+    checked = F.when(F.col("safe_to_summarize"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not safe to summarise: "), F.coalesce(F.nullif(where, F.lit("")), F.col("fatal"), F.lit("no document")))).cast("boolean"))
+    return s.where(checked).select(*resources.columns)
+
+
 def safety_findings() -> Column:
     """The five fail-closed channels as errors, the retraction, and the invariants of the safety types."""
     t = F.col("resource_type")
