@@ -9,15 +9,19 @@ The cut is calibrated on the rule-decided URLs of one hash fold, left out of
 the counts of the model it is judged with: the value that separates the folds'
 two classes with the least weighted error.
 
-URLs are first reduced to distinct strings with counts (host and path, digits
-alike), so a hot host costs one row from there on. The model's size is bounded
-by the characters' n-grams; it is joined by hash, as a broadcast only while its
-measured row count stays under MODEL_ROWS and by a shuffle beyond.
+URLs are first reduced to distinct strings with counts (all that follows the
+scheme, the host in small letters, runs of digits alike), so a hot host costs one
+row from there on. A string is split into its characters once, so the cost grows
+with its length. The model's size is bounded by the characters' n-grams; it is
+joined by hash, as a broadcast only while its measured row count stays under
+MODEL_ROWS and by a shuffle beyond. Ratios are summed in steps of 1 / SCALE, as
+whole numbers, so that no order of summing changes a verdict at the cut.
 
 Defined results: a null url or one without `://` has an empty host and path,
 no rule, and is judged as the empty string, whose ratio is 0; without rules or
-without either class the cut is 0; repeated rows are each judged; extra columns
-are ignored.
+without either class the cut is 0; a ratio that equals the cut is allowed; repeated
+rows are each judged; urls of any length are read whole; an empty table gives an
+empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 ORDER = 4
 MODEL_ROWS = 500_000
 START = "\x02"
+SCALE = 1_000_000_000
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -56,16 +61,19 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def normal(host: Column, path: Column) -> Column:
-    """What the models read: host and path with every run of digits as one 0."""
-    return F.regexp_replace(F.concat(host, path), "[0-9]+", "0")
+def normal(url: Column, host: Column) -> Column:
+    """What the models read: the host and all that follows it, with every run of digits as one 0; empty for no url."""
+    at = F.instr(url, "://")
+    rest = F.substring(url, at + 3 + F.length(host), F.length(url))
+    return F.when(at > 0, F.regexp_replace(F.concat(host, rest), "[0-9]+", "0")).otherwise("")
 
 
 def _positions(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """A row for each character: c, and the ORDER - 1 before it as `seen` (shorter at the start)."""
-    padded = F.concat(F.lit(START), F.col(text))
-    at = F.explode(F.sequence(F.lit(2), F.length(padded)))
-    return df.where(F.length(text) > 0).select(*keep, padded.alias("_p"), at.alias("_i")).select(*keep, F.expr("substring(_p, _i, 1)").alias("c"), F.expr(f"substring(_p, greatest(_i - {ORDER - 1}, 1), least({ORDER - 1}, _i - 1))").alias("seen"))
+    split = df.where(F.length(text) > 0).select(*keep, F.split(F.concat(F.lit(START), F.col(text)), "").alias("_c"))
+    seen = lambda i: F.array_join(F.slice("_c", F.greatest(i - (ORDER - 1), F.lit(1)), F.least(i - 1, F.lit(ORDER - 1))), "")
+    each = F.transform(F.sequence(F.lit(2), F.size("_c")), lambda i: F.struct(F.get("_c", i - 1).alias("c"), seen(i).alias("seen")))
+    return split.select(*keep, F.explode(each).alias("_x")).select(*keep, "_x.c", "_x.seen")
 
 
 def train(urls: DataFrame) -> DataFrame:
@@ -95,8 +103,10 @@ def ratio(urls: DataFrame, model: DataFrame) -> DataFrame:
     model = written(model, "model")
     size = model.count()
     side = F.broadcast if size <= MODEL_ROWS else (lambda x: x)
-    rows = _positions(urls, "text", "text")
-    rows = rows.select("text", "c", *(F.when(F.length("seen") >= k, F.expr(f"right(seen, {k})") if k else F.lit("")).alias(f"x{k}") for k in range(ORDER)))
+    # numbers of their own, so that a character's row holds eight bytes of its url
+    named = written(urls.select("text").withColumn("_id", F.monotonically_increasing_id()), "texts")
+    rows = _positions(named, "text", "_id")
+    rows = rows.select("_id", "c", *(F.when(F.length("seen") >= k, F.expr(f"right(seen, {k})") if k else F.lit("")).alias(f"x{k}") for k in range(ORDER)))
     grams, left = model.where("c is not null"), model.where("c is null")
     for k in range(ORDER):
         rows = rows.join(side(grams.where(F.length("ctx") == k).select(F.col("ctx").alias(f"x{k}"), "c", F.log("a").alias(f"a{k}"), F.log("r").alias(f"r{k}"))), [f"x{k}", "c"], "left")
@@ -108,7 +118,8 @@ def ratio(urls: DataFrame, model: DataFrame) -> DataFrame:
             out = F.coalesce(F.col(f"{m}{k}"), F.coalesce(F.col(f"l{m}{k}"), F.lit(0.0)) + out)
         return out
 
-    return rows.groupBy("text").agg((F.sum(score("a") - score("r")) / F.count("*")).alias("ratio"))
+    total = rows.groupBy("_id").agg((F.sum(F.round((score("a") - score("r")) * SCALE).cast("long")) / F.count("*") / SCALE).alias("ratio"))
+    return named.join(total, "_id").select("text", "ratio")
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -131,16 +142,17 @@ def calibrate(scored: DataFrame) -> float:
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, and the method's own ratio and cut."""
     host, path = parts(F.col("url").cast("string"))
-    split = pages.select("page_id", host.alias("host"), path.alias("path"))
+    split = pages.select("page_id", host.alias("host"), path.alias("path"), F.col("url").cast("string").alias("_url"))
     name, verdict = ruled(F.col("host"), F.col("path"), rules)
-    named = split.select("page_id", "host", "path", name.alias("rule"), verdict.alias("_v"), normal(F.col("host"), F.col("path")).alias("text"))
+    named = split.select("page_id", "host", "path", name.alias("rule"), verdict.alias("_v"), normal(F.col("_url"), F.col("host")).alias("text"))
     urls = written(named.groupBy("text", "_v").agg(F.count("*").alias("weight")), "urls")
     labelled = urls.where("_v is not null").select("text", "weight", (F.col("_v") == "allow").alias("good"))
     held = F.pmod(F.crc32("text"), F.lit(4)) == 0
     fold = labelled.where(held).groupBy("text", "good").agg(F.sum("weight").alias("weight"))
     trial = ratio(fold.select("text").distinct(), train(labelled.where(~held)))
     cut = calibrate(fold.join(trial, "text"))
-    scores = ratio(urls.where("_v is null and text <> ''").select("text").distinct(), train(labelled))
+    # written, so that both sides of the join are plain exchanges and Spark can split the part of a hot url
+    scores = written(ratio(urls.where("_v is null and text <> ''").select("text").distinct(), train(labelled)), "scores")
     both = named.join(scores, "text", "left")
     value = F.coalesce("ratio", F.lit(0.0))
     return both.select("page_id", "host", "path", "rule", F.coalesce("_v", F.when(value >= cut, "allow").otherwise("block")).alias("verdict"), F.when(F.col("_v").isNull(), value).alias("ratio"), F.lit(cut).alias("cut"))
