@@ -448,11 +448,39 @@ def test_url_model(spark):
         total = sum(n.values())
         return (n[c] + len(n) * lower) / (total + len(n)) if total else lower
 
+    # the ratio of urls with known and unknown contexts and characters
+    def log_p(k, before, c):
+        out = 0.0
+        for n in range(min(len(before), urls.ORDER - 1) + 1):
+            ctx = before[len(before) - n :]
+            if (ctx, c) in seen:
+                out = np.log(p(k, ctx, c))
+            elif n and any(ctx in x and x[ctx] for x in counts):
+                total = sum(counts[k][ctx].values())
+                out += np.log(len(counts[k][ctx]) / (total + len(counts[k][ctx]))) if total else 0.0
+        return out
+
+    made = ["abab.org/a", "xyab.net", "zzz", "abxyé/☃a", "a" * 3000]
+    got = {r.text: r.ratio for r in urls.ratio(spark.createDataFrame([(t,) for t in made], "text string"), urls.train(frame)).collect()}
+    for t in made:
+        padded = urls.START + t
+        want = sum(log_p(0, padded[:i], padded[i]) - log_p(1, padded[:i], padded[i]) for i in range(1, len(padded))) / len(t)
+        assert got[t] == pytest.approx(want, abs=1e-6), t
     assert {k for k in model if k[1] is not None} == seen
     for ctx, c in seen:
         assert model[ctx, c] == pytest.approx((p(0, ctx, c), p(1, ctx, c)))
 
 
+def test_url_cut(spark):
+    """The cut with the least sum of both classes' error rates, among all cuts."""
+    rng = random.Random(5)
+    rows = [(round(rng.gauss(0.4 if good else -0.2, 0.4), 3), rng.randint(1, 5), good) for good in (True, False) for _ in range(60)]
+    cut = urls.calibrate(spark.createDataFrame(rows, "ratio double, weight long, good boolean"))
+    error = lambda c: sum(w for r, w, g in rows if g and r < c) / sum(w for _, w, g in rows if g) + sum(w for r, w, g in rows if not g and r >= c) / sum(w for _, w, g in rows if not g)
+    assert error(cut) == pytest.approx(min(error(r + d) for r, _, _ in rows for d in (0, 1e-4)))
+    assert urls.calibrate(spark.createDataFrame(rows[:3], "ratio double, weight long, good boolean")) == 0.0
+
+
 def test_licences(spark):
     rows = [(1, "It is under the MIT-license; under\nthe mit LICENSE."), (2, None), (3, ""), (4, "SPDX-License-Identifier: MIT OR (Apache-2.0 AND GPL-2.0-only WITH Classpath-exception-2.0)\nx"), (5, "Licensed under CC BY-NC 4.0 and the Apache License, Version 2.0."), (6, "cc by nc cc by nc"), (7, "undermit license")]
     got = {r.doc_id: r for r in licenses.scan_licenses(docs(spark, rows)).collect()}
@@ -531,6 +559,37 @@ def test_secrets_of_any_length():
     assert [text[s:e] for text in ["MyDatabasePassword: hunterhunter"] for s, e, *_ in secrets.candidates(text)] == ["hunterhunter"]
 
 
+def test_forest_by_plain_loops(spark, corpus):
+    """Findings of whole texts against the trees walked one by one."""
+    forest = secrets.default_forest()
+    held, _ = secrets.labelled_findings(150, seed=31)
+    rows = [(i, t) for i, t in enumerate([*held, None, "", *(t for _, t in corpus[0] if t and len(t) < 3000)])]
+
+    def walk(x):
+        out = []
+        for feature, cut, left, right, share in forest.trees:
+            k = 0
+            while feature[k] >= 0:
+                k = left[k] if x[int(feature[k])] <= cut[k] else right[k]
+                k = int(k)
+            out.append(share[k])
+        return sum(out) / len(out)
+
+    want = {}
+    for i, t in rows:
+        scored = [(s, e, kind, 1.0 if f is None else walk(f)) for s, e, kind, f in secrets.candidates(t or "")]
+        want[i] = [x for x in scored if x[3] >= secrets.CUT]
+    got = {r.doc_id: [tuple(f) for f in r.findings] for r in secrets.scan(docs(spark, rows), forest).collect()}
+    assert {i: [f[:3] for f in x] for i, x in got.items()} == {i: [f[:3] for f in x] for i, x in want.items()} and any(want.values())
+    assert all(a[3] == pytest.approx(b[3]) for i in got for a, b in zip(got[i], want[i]))
+    assert secrets.redact(docs(spark, rows).limit(0), forest).count() == 0
+
+
+def test_dictionary_coverage():
+    known = secrets.dictionary()
+    assert len(known.words) > 10_000 and known.covered("passwordserver") == 14 and known.covered("xqzkvjwq") == 0
+
+
 def toxic_corpus(n, seed):
     rng = random.Random(seed)
     plain = ["".join(rng.choice("abdeghinorstu") for _ in range(rng.randint(2, 7))) for _ in range(500)]
@@ -558,6 +617,48 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.judge(frame, labels.limit(0)).collect()} == {0.0}
 
 
+def test_network_by_plain_loops():
+    """Scores of whole texts against the network written out word by word."""
+    rng = np.random.default_rng(3)
+    net = toxicity.Network(2)
+    texts_ = ["", "one two", " ".join(rng.choice(["abc", "de", "fghé", "x1"], 60)), "A" * 300 + " b", None]
+    data = [(t or "").lower().encode() for t in texts_]
+    words = sorted({w for t in data for w in re.findall(rb"[0-9a-z\x80-\xff]+", t)})
+    table = toxicity._Words(np.frombuffer(b" ".join(words), np.uint8), np.array([0, len(b" ".join(words))]))
+    net.words = np.sort(table.hash[:2])
+    net.p["V"] = np.r_[net.p["V"], rng.standard_normal((2, toxicity.INPUT)).astype(np.float32)]
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def inputs(word):
+        one = toxicity._Words(np.frombuffer(word, np.uint8), np.array([0, len(word)]))
+        return sum(net.p["E"][g] for g in one.grams) + net.p["V"][net.slots(one.hash)[0]]
+
+    def run(xs, d):
+        h, out, n = np.zeros(toxicity.HIDDEN), [], toxicity.HIDDEN
+        for x in xs:
+            a, b = x @ net.p[f"W{d}"] + net.p[f"c{d}"], h @ net.p[f"U{d}"]
+            z, r = sig(a[:n] + b[:n]), sig(a[n : 2 * n] + b[n : 2 * n])
+            h = (1 - z) * np.tanh(a[2 * n :] + r * b[2 * n :]) + z * h
+            out.append(h)
+        return out
+
+    def logit(ws):
+        xs = [inputs(w) for w in ws]
+        h = np.array([np.r_[f, b] for f, b in zip(run(xs, "f"), run(xs[::-1], "b")[::-1])])
+        s = np.tanh(h @ net.p["A"]) @ net.p["v"]
+        s = np.exp(s - s.max())
+        return float((s / s.sum()) @ h @ net.p["w"] + net.p["b"][0])
+
+    import pyarrow as pa
+
+    got = toxicity.doc_scores(net, pa.array(texts_))
+    for t, score in zip(data, got):
+        ws = re.findall(rb"[0-9a-z\x80-\xff]+", t)
+        starts = [0] if len(ws) <= toxicity.LENGTH else range(0, len(ws) - toxicity.LENGTH + toxicity.STRIDE, toxicity.STRIDE)
+        best = max((logit(ws[i : i + toxicity.LENGTH]) for i in starts), default=net.empty()) if ws else net.empty()
+        assert score == pytest.approx(sig(best), abs=2e-4)
+
+
 def test_network_gradients():
     rng = np.random.default_rng(0)
     net = toxicity.Network(1)

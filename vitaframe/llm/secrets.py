@@ -65,17 +65,15 @@ class Dictionary:
         self.pairs = np.log(n / n.sum(axis=1, keepdims=True))
 
     def covered(self, low: str) -> int:
-        """Letters that words cover, the longest that fits from left to right."""
-        at = out = 0
-        while at < len(low):
-            for n in range(min(self.longest, len(low) - at), 3, -1):
-                if low[at : at + n] in self.words:
-                    out += n
-                    at += n
-                    break
-            else:
-                at += 1
-        return out
+        """The most letters that words side by side can cover."""
+        best = [0]
+        for end in range(1, len(low) + 1):
+            most = best[end - 1]
+            for n in range(4, min(self.longest, end) + 1):
+                if best[end - n] + n > most and low[end - n : end] in self.words:
+                    most = best[end - n] + n
+            best.append(most)
+        return best[-1]
 
 
 @lru_cache(maxsize=2)
