@@ -4,6 +4,18 @@ from __future__ import annotations
 
 from . import bpe_tables, decontamination, licenses, minhash, neighbours, secrets, substrings, token_counts, toxicity, urls
 
+
+
+def license_base_places(spark, sf_dir):
+    """What op6 says of the contract's own phrases, which SQL can tell."""
+    return licenses.query(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def url_rules(spark, sf_dir):
+    """What op4 says of hosts, paths and rules, which SQL can tell."""
+    return urls.query(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
 QUERIES = {
     "op1_decontamination": decontamination.query,
     "op2_token_counts": token_counts.query,
@@ -15,6 +27,8 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_substring_dedup": substrings.query,
     "op10_bpe_tables": bpe_tables.query,
+    "license_base_places": license_base_places,
+    "url_rules": url_rules,
 }
 
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -33,7 +47,7 @@ sizes AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS g FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS t(i)),
 m AS (SELECT doc_id, item_id, dw.n AS n, i FROM dw JOIN bw ON dw.n = bw.n AND dw.g = bw.g),
 hit AS (SELECT doc_id, count(DISTINCT i + o) AS n_hit FROM m, unnest(range(0, n)) AS t(o) GROUP BY doc_id),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY doc_id)
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m WHERE item_id IS NOT NULL) GROUP BY doc_id),
 terms AS (SELECT DISTINCT item_id, len(w) AS n, len(list_distinct(w)) AS need, unnest(list_distinct(w)) AS x FROM b WHERE item_id IS NOT NULL),
 word AS (SELECT doc_id, i, w[i] AS x FROM d, unnest(range(1, len(w) + 1)) AS t(i)),
 close AS (SELECT doc_id, item_id, need, count(DISTINCT x) OVER (PARTITION BY doc_id, item_id ORDER BY i RANGE BETWEEN 2 * n - 1 PRECEDING AND CURRENT ROW) AS got FROM word JOIN terms USING (x)),
@@ -64,4 +78,20 @@ word AS (SELECT doc_id, p, w[p] AS x FROM d, unnest(range(1, len(w) + 1)) AS t(p
 kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.p) AS k FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.p = gone.p GROUP BY word.doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
 FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) c ON d.doc_id = c.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id""",
+    "license_base_places": f"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({LOWER}, {ALNUM}), []) AS w FROM documents),
+p(words, label) AS (VALUES (['under', 'the', 'mit', 'license'], 'mit'), (['apache', 'license', 'version', '2'], 'apache-2'), (['cc', 'by', 'nc'], 'cc-by-nc')),
+m AS (SELECT doc_id, label, i FROM d, p, unnest(range(1, len(w) - len(words) + 2)) AS t(i) WHERE w[i : i + len(words) - 1] = words),
+g AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS lo, max(i) - 1 AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM m GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN g ON d.doc_id = g.doc_id""",
+    "url_rules": """
+WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages), r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM u),
+h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM r),
+s AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, len(raw) + 1), '^[^?#]*') AS path FROM h)
+SELECT page_id, host, path, CASE
+  WHEN (host = 'www.example.com' OR suffix(host, '.www.example.com')) AND prefix(path, '/en/') THEN 'www.example.com/en/'
+  WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/en/') THEN 'example.com/en/'
+  WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/es/') THEN 'net/es/'
+  WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/fr/') THEN 'net/fr/'
+  WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/') THEN 'com/' END AS rule FROM s""",
 }
