@@ -12,7 +12,7 @@ import atexit
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -183,13 +183,33 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+_SCOPES: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared one, deleted when the driver ends."""
+    """A fresh folder under the shared one, deleted when the `scratch` around it or the driver ends."""
     path = f"{shared_folder(spark)}/vitaframe/{name}-{uuid.uuid4().hex}"
     atexit.register(_drop, spark, path)
+    for scope in _SCOPES:
+        scope.append(path)
     return path
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[str], None]]:
+    """Tables written inside are deleted at the end, but for those whose folders are given to the function that this yields."""
+    made: list[str] = []
+    kept: set[str] = set()
+    _SCOPES.append(made)
+    try:
+        yield kept.add
+    finally:
+        _SCOPES.remove(made)
+        for path in made:
+            if path not in kept:
+                _drop(spark, path)
+
+
 def tune(spark: SparkSession) -> None:
     """For frames of whole texts that the caller runs: Arrow batches of BATCH_ROWS rows at most, in this session from now on.
 
@@ -220,9 +240,11 @@ def writing(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+def written(df: DataFrame, name: str, keep: Callable[[str], None] | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage and survives lost executors. keep: told the table's folder."""
     path = new_folder(df.sparkSession, name)
+    if keep is not None:
+        keep(path)
     with writing(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

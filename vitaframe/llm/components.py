@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratch, written
 
 
 def _least(e: DataFrame, name: str) -> DataFrame:
@@ -31,14 +31,15 @@ def _small(e: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links(a, b) -> (id, component): for every id in a link between two ids the smallest one it reaches.
+    """links(a, b) -> (id, component): for every id in a link between two ids the smallest one it reaches; written, the rounds' tables deleted.
 
     Nulls and loops are ignored; repeated links and an empty table are fine.
     """
-    e = written(links.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    mark = None
-    while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark or not now[0]:
-            return e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).union(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct().join(e.select(F.col("a").alias("id")), "id", "left_anti"))
-        mark, e = now, written(_small(written(_large(e), "links")), "links")
+    with scratch(links.sparkSession) as keep:
+        e = written(links.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+        mark = None
+        while (now := e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()) != mark and now[0]:
+            mark, e = now, written(_small(written(_large(e), "links")), "links")
+        own = e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
+        roots = e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct().join(e.select(F.col("a").alias("id")), "id", "left_anti")
+        return written(own.union(roots), "components", keep)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NONSPACE, hashes, inside, mix, pieces, rolling, spans, utf8, written
+from .common import LOWER, NONSPACE, hashes, inside, mix, pieces, rolling, scratch, spans, utf8, written
 from .components import components
 
 SHINGLE = 5
@@ -312,7 +312,12 @@ def _across(open_: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
+    """doc_id, n_shingles, component_id, kept for every row; written, all tables on the way there deleted."""
+    with scratch(docs.sparkSession) as keep:
+        return written(_near_classes(docs), "near", keep)
+
+
+def _near_classes(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = written(signatures(texts), "signatures")
     real = sig.where("doc_id is not null and n > 0")
@@ -328,9 +333,9 @@ def near_classes(docs: DataFrame) -> DataFrame:
         open_ = _still_open(open_, part)
         found = written(confirm(_stars(open_, bits, turn), texts), "links")
         links = links.union(found)
-        part = written(components(links), "components")
+        part = components(links)
     links = links.union(written(_across(_still_open(open_, part), reps, texts), "links"))
-    final = written(components(links), "components")
+    final = components(links)
     own = member.join(final.withColumnRenamed("id", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     return sig.select("doc_id", F.col("n").alias("n_shingles")).join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"))
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_folder, new_folder, written
+from .common import drop_folder, new_folder, scratch, written
 from .components import components
 
 THRESHOLD = 0.93
@@ -319,7 +319,12 @@ def audit(nodes: DataFrame, part: DataFrame, links: DataFrame, threshold: float,
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row, and the audited recall."""
+    """vec_id, n_links, component_id, kept of every row, and the audited recall; written, all tables on the way there deleted."""
+    with scratch(vectors.sparkSession) as keep:
+        return written(_near_vectors(vectors, threshold), "near", keep)
+
+
+def _near_vectors(vectors: DataFrame, threshold: float) -> DataFrame:
     members, nodes = classes(vectors)
     graph, part, near, recall, turn = None, None, None, 0.0, 0
     while True:
@@ -333,7 +338,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         merged = not found.isEmpty()
         near = found if near is None else near.union(found)
         if merged or part is None:
-            part = written(components(near), "components")
+            part = components(near)
         if merged and _saturated(graph, threshold):
             continue
         links = written(_complete(nodes, part, threshold), "links")
@@ -341,7 +346,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if recall >= TARGET:
             break
         if turn >= TRIES:
-            part = written(components(_all_links(nodes, threshold)), "components")
+            part = components(_all_links(nodes, threshold))
             links = written(_complete(nodes, part, threshold), "links")
             recall = audit(nodes, part, links, threshold)
             break
