@@ -14,15 +14,15 @@ def nodes() -> Column:
 
 def at(n: Column) -> Column:
     """The node of an id: by its place, counted from the array's first node, as an entry's nodes may be cut out of a Bundle's."""
-    return F.get(nodes(), n - F.get(nodes(), F.lit(0))["id"])
+    return F.get(nodes(), n - root()["id"])
 
 
 def below(parent: Column | int) -> Column:
-    """The nodes under a node: its own stretch of the array, so that what is asked of a part costs as much as the part. 0 is the first node: the document, or the resource that was cut out of it."""
+    """The nodes under a node: its own stretch of the array. 0 is the first node: the document, or the resource that was cut out of it."""
     if isinstance(parent, int):
         return nodes()
     # looking up a node by its place costs nothing, and each lambda less is a round less of Spark's analysis
-    return F.slice(nodes(), parent - F.get(nodes(), F.lit(0))["id"] + 2, at(parent)["last"] - parent)
+    return F.slice(nodes(), parent - root()["id"] + 2, at(parent)["last"] - parent)
 
 
 def kids(parent: Column | int, name: str, repeats: bool = False) -> Column:
