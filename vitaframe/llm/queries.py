@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_tables, decontamination, licenses, minhash, neighbours, secrets, substrings, token_counts, toxicity, urls
-
+from . import bpe_tables, decontamination, filter_audit, licenses, minhash, neighbours, secrets, sharding, substrings, token_counts, toxicity, urls, whitening
 
 
 def license_base_places(spark, sf_dir):
@@ -27,6 +26,9 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_substring_dedup": substrings.query,
     "op10_bpe_tables": bpe_tables.query,
+    "op11_whitening": whitening.query,
+    "op12_sharding": sharding.query,
+    "op13_filter_audit": filter_audit.query,
     "license_base_places": license_base_places,
     "url_rules": url_rules,
 }
@@ -94,4 +96,21 @@ SELECT page_id, host, path, CASE
   WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/es/') THEN 'net/es/'
   WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/fr/') THEN 'net/fr/'
   WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/') THEN 'com/' END AS rule FROM s""",
+    "op13_filter_audit": r"""
+WITH RECURSIVE letters(f, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+p(o, used, filter_order) AS (SELECT [f], bit, f FROM letters UNION ALL SELECT list_append(o, f), used + bit, filter_order || f FROM p, letters WHERE used & bit = 0 AND len(o) < 5),
+steps AS (SELECT filter_order, s AS step, bit, coalesce((SELECT sum(x.bit) FROM letters x WHERE list_contains(o[1 : s - 1], x.f)), 0) AS before FROM p, unnest(range(1, 6)) AS t(s), letters WHERE len(o) = 5 AND f = o[s]),
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+m AS (SELECT doc_id, part, CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT) + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS INT)
+  + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > least, false) AS INT) AS mask FROM d),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+r AS (SELECT part, filter_order, step, bit,
+  sum(CASE WHEN mask & (before + bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN mask & bit > 0 AND mask & before > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, steps GROUP BY part, filter_order, step, bit),
+h AS (SELECT part, bit, sum(removed) AS shapley FROM r GROUP BY part, bit)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(shapley AS BIGINT) AS shapley FROM r JOIN h USING (part, bit)""",
 }
