@@ -9,8 +9,11 @@ the regular expressions, for whole batches at once.
 from __future__ import annotations
 
 import atexit
+import contextvars
+import hashlib
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -28,25 +31,17 @@ ALNUM = ((_BYTES >= 0x30) & (_BYTES <= 0x39)) | ((_BYTES >= 0x41) & (_BYTES <= 0
 NONSPACE = ~((_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D)))
 LOWER = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 32, _BYTES).astype(np.uint8)
 SAME = _BYTES.astype(np.uint8)
-#: Odd multipliers of the rolling hash and their inverses modulo 2**64.
-_BASES = tuple((b, pow(b, -1, 1 << 64)) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Odd multipliers of the rolling hash.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Keys of the digests of long words.
+_KEYS = (b"vitaframe words 0", b"vitaframe words 1")
+#: Digests of long words that this process has met, by key; emptied when full.
+_LONG: tuple[dict[bytes, int], dict[bytes, int]] = ({}, {})
+LONG_WORDS = 200_000
 PIECE_BYTES = 1 << 20
 BATCH_ROWS = 1000
 
 
-def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """b**i and b**-i modulo 2**64 for i below n at least; kept by the process."""
-    if which not in _POWERS or len(_POWERS[which][0]) < n:
-        out = []
-        for b in _BASES[which]:
-            a = np.full(max(n, PIECE_BYTES) + 1, b, U)
-            a[0] = 1
-            out.append(np.multiply.accumulate(a))
-        _POWERS[which] = (out[0], out[1])
-    return _POWERS[which]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = x ^ (x >> U(30))
@@ -99,21 +94,55 @@ def spans(data: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[np.ndar
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    b, inverse = powers(which, len(data))
-    total = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * b[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts])
+    """A 64-bit hash of each word's bytes; another `which` is a hash of its own, made from the bytes anew.
+
+    Words of up to 7 bytes are themselves a number, which a bijection mixes, so no
+    two of them collide; those of up to 15 bytes are two numbers, mixed one after
+    the other, so words that share either never collide; longer ones have a keyed
+    BLAKE2 digest.
+    """
+    if not len(starts):
+        return np.zeros(0, U)
+    size = ends - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+    def tail(at: np.ndarray, n: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return eight[at] & ((U(1) << (n.astype(U) * U(8))) - U(1)) | length.astype(U) << U(56)
+
+    base, other = U(_BASES[which]), U(_BASES[1 - which])
+    short = np.minimum(size, 7)
+    out = mix(tail(starts, short, short) * base + U(which))
+    at = np.flatnonzero((size > 7) & (size < 16))
+    if len(at):
+        out[at] = mix(mix(eight[starts[at]] * other + U(which)) + tail(starts[at] + 8, size[at] - 8, size[at]) * base)
+    at = np.flatnonzero(size > 15)
+    if len(at):
+        known, raw, key = _LONG[which], data.tobytes(), _KEYS[which]
+        if len(known) > LONG_WORDS:
+            known.clear()
+        found = []
+        for i, j in zip(starts[at].tolist(), ends[at].tolist()):
+            w = raw[i:j]
+            h = known.get(w)
+            if h is None:
+                h = int.from_bytes(hashlib.blake2b(w, digest_size=8, key=key).digest(), "little")
+                if j - i <= 64:
+                    known[w] = h
+            found.append(h)
+        out[at] = np.array(found, U)
+    return out
 
 
-def row_hashes(data: np.ndarray, offs: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
+def row_hashes(data: np.ndarray, offs: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, which: int = 0) -> np.ndarray:
     """`hashes` of long data, a run of rows of about PIECE_BYTES at a time."""
     out = np.empty(len(starts), U)
     i, n = 0, len(offs) - 1
     while i < n:
         j = min(n, max(i + 1, int(np.searchsorted(offs, offs[i] + PIECE_BYTES, "right")) - 1))
         s = slice(first[i], first[j])
-        out[s] = hashes(data[offs[i] : offs[j]], starts[s] - offs[i], ends[s] - offs[i])
+        out[s] = hashes(data[offs[i] : offs[j]], starts[s] - offs[i], ends[s] - offs[i], which)
         i = j
     return out
 
@@ -123,7 +152,7 @@ def rolling(h: np.ndarray, n: int, which: int = 0) -> np.ndarray:
     m = len(h) - n + 1
     if m <= 0:
         return np.zeros(0, U)
-    out, b = h[:m].copy(), U(_BASES[which][0])
+    out, b = h[:m].copy(), U(_BASES[which])
     for k in range(1, n):
         out *= b
         out += h[k : k + m]
@@ -183,28 +212,32 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
-_SCOPES: list[list[str]] = []
+#: The `scratch` blocks that this thread or task of the driver is in, from the outermost on.
+_SCOPES: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared one, deleted when the `scratch` around it or the driver ends."""
     path = f"{shared_folder(spark)}/vitaframe/{name}-{uuid.uuid4().hex}"
     atexit.register(_drop, spark, path)
-    for scope in _SCOPES:
+    for scope in _SCOPES.get():
         scope.append(path)
     return path
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[str], None]]:
-    """Tables written inside are deleted at the end, but for those whose folders are given to the function that this yields."""
+    """Tables written inside are deleted at the end, but for those whose folders are given to the function that this yields.
+
+    Blocks of other threads are left alone.
+    """
     made: list[str] = []
     kept: set[str] = set()
-    _SCOPES.append(made)
+    token = _SCOPES.set((*_SCOPES.get(), made))
     try:
         yield kept.add
     finally:
-        _SCOPES.remove(made)
+        _SCOPES.reset(token)
         for path in made:
             if path not in kept:
                 _drop(spark, path)
@@ -224,20 +257,35 @@ def tune(spark: SparkSession) -> None:
 _WHILE_WRITING = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
+#: Of each session that writes: how many writers there are, and its own settings.
+_WRITERS: dict[int, tuple[int, dict[str, str | None]]] = {}
+_LOCK = threading.Lock()
+
+
 @contextmanager
 def writing(spark: SparkSession) -> Iterator[None]:
-    """The settings of `_WHILE_WRITING`; the session's own ones come back afterwards."""
-    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
-    for k, v in _WHILE_WRITING.items():
-        spark.conf.set(k, v)
+    """The settings of `_WHILE_WRITING`; the session's own ones come back when the last writer of any thread is done."""
+    me = id(spark._jsparkSession)
+    with _LOCK:
+        n, before = _WRITERS.get(me, (0, None))
+        if before is None:
+            before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
+            for k, v in _WHILE_WRITING.items():
+                spark.conf.set(k, v)
+        _WRITERS[me] = n + 1, before
     try:
         yield
     finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
+        with _LOCK:
+            n, before = _WRITERS.pop(me)
+            if n > 1:
+                _WRITERS[me] = n - 1, before
             else:
-                spark.conf.set(k, v)
+                for k, v in before.items():
+                    if v is None:
+                        spark.conf.unset(k)
+                    else:
+                        spark.conf.set(k, v)
 
 
 def written(df: DataFrame, name: str, keep: Callable[[str], None] | None = None) -> DataFrame:

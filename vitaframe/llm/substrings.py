@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NONSPACE, drop_folder, inside, mix, new_folder, pieces, rolling, row_hashes, spans, tune, writing, written_by
+from .common import NONSPACE, drop_folder, inside, new_folder, pieces, rolling, row_hashes, spans, tune, writing, written_by
 
 WINDOW = 13
 SHARD_BYTES = 4 << 20
@@ -146,10 +146,9 @@ class _Shard:
         #: Word places of the windows, in text order.
         self.at = np.flatnonzero(ok)
         m = marks[self.at]
-        c = h[self.at]
-        for k in range(1, window):
-            c = c * np.uint64(0xC2B2AE3D27D4EB4F) + h[self.at + k]
-        c = (mix(c) >> np.uint64(64 - CHECK_BITS)).astype(np.uint32)
+        # from the words' bytes anew, by another hash
+        c = rolling(row_hashes(data, offs, self.starts, self.ends, self.first, 1), window, 1)[self.at]
+        c = (c >> np.uint64(64 - CHECK_BITS)).astype(np.uint32)
         #: Which of the distinct fingerprints each window has.
         self.marks, self.checks, self.group, begin, order = _distinct(m, c)
         #: The row with the smallest id that holds each: rows stand in order of their ids.
