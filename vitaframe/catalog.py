@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import nodes as N
 from .functions import scalars as S
 from .operators import bundles as B
 from .operators import expressions as E
 from .operators import profiles as P
-from .operators import quantity, reports, safety, structure, terminology, validation
-from .operators.definitions import load_profile
+from .operators import personal, quantity, reports, safety, structure, terminology, validation
+from .operators.definitions import load_definition, load_profile, to_profile
 from .plans import fixtures as X
 from .plans.fixtures import event_k, j, money, pick, table
-from .sources import resource_json, resource_xml
+from .sources import ndjson, resource_json, resource_xml
 
 FLAGSHIP = "vital_unit_findings"
 QUERIES: dict = {}
@@ -273,20 +276,102 @@ def ndjson_errors(spark: SparkSession, sf: str) -> DataFrame:
     return resource_json.ndjson_records(d).select("doc_id", F.when(F.col("none"), "none").otherwise(F.coalesce("error", F.lit("ok"))).alias("outcome"))
 
 
+@query("""
+SELECT o_orderkey % 4 AS file, row_number() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey) AS line, CASE WHEN o_orderkey % 31 = 0 THEN 'LINE_TOO_LONG' WHEN o_orderkey % 5 = 1 THEN 'MALFORMED_JSON' WHEN o_orderkey % 5 = 3 THEN 'NOT_A_RESOURCE' ELSE CAST(o_orderkey AS VARCHAR) END AS outcome
+FROM orders QUALIFY o_orderkey % 5 > 0 OR o_orderkey % 31 = 0""")
+def ndjson_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of files that the orders were written to, read back in ranges of 64 kB."""
+    r = ndjson.read_ndjson(spark, X.export(spark, sf, 2000), max_bytes=2000, range_bytes=1 << 16)
+    return r.select(F.regexp_extract("source", "f=([0-9]+)", 1).cast("long").alias("file"), "line", F.coalesce("error", N.text(0, "id")).alias("outcome"))
+
+
 @query("SELECT page_id, CASE WHEN html LIKE '<!DOCTYPE%' THEN 'DTD_FORBIDDEN' WHEN html IS NOT NULL THEN 'MALFORMED_XML' END AS fatal FROM pages")
 def xml_refusals(spark: SparkSession, sf: str) -> DataFrame:
     return resource_xml.read_xml(table(spark, sf, "pages").select("page_id", "html"), "html").select("page_id", "fatal")
 
 
-@query("SELECT c_custkey, true AS equivalent FROM customer")
+@query("SELECT c_custkey, c_custkey % 8 IN (0, 6) AS equivalent FROM customer")
 def xml_json_equivalence(spark: SparkSession, sf: str) -> DataFrame:
-    key, name = F.col("c_custkey"), F.col("c_name")
-    a = j('{"resourceType":"Patient","id":"', key, '","name":[{"family":"', name, '","given":["A","B"]}],"birthDate":"2000-01-01"}')
-    b = j('<Patient xmlns="http://hl7.org/fhir"><id value="', key, '"/><name><family value="', name, '"/><given value="A"/><given value="B"/></name><birthDate value="2000-01-01"/></Patient>')
-    c = table(spark, sf, "customer")
-    x = resource_json.read_resources(c.select("c_custkey", a.alias("raw"))).select("c_custkey", resource_xml.canonical(F.col("nodes")).alias("x"))
-    y = resource_xml.read_xml(c.select("c_custkey", b.alias("raw"))).select("c_custkey", resource_xml.canonical(F.col("nodes")).alias("y"))
-    return x.join(y, "c_custkey").select("c_custkey", (F.col("x") == F.col("y")).alias("equivalent"))
+    """Pairs that are alike, also where one item is a list of one, and pairs that differ in order, repeats, kind, value, metadata or nesting."""
+    p = X.pairs(spark, sf)
+    x = resource_json.read_resources(p.select("c_custkey", "b", F.col("a").alias("raw"))).select("c_custkey", "b", F.col("nodes").alias("x"))
+    both = resource_xml.read_xml(x.withColumnRenamed("b", "raw"))
+    return both.select("c_custkey", resource_xml.equivalent(F.col("x"), F.col("nodes")).alias("equivalent"))
+
+
+#: Offsets of broken documents, by c_custkey % 8: what stands around the key in each.
+@query("""
+SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN NULL WHEN 6 THEN 'MAX_DEPTH_EXCEEDED' WHEN 7 THEN 'PRIMITIVE_EXTENSION_MISALIGNED' ELSE 'MALFORMED_JSON' END AS fatal,
+  CASE c_custkey % 8 WHEN 1 THEN 6 + n WHEN 2 THEN 6 + n WHEN 3 THEN 8 + n WHEN 4 THEN 7 + n WHEN 5 THEN 7 + n WHEN 6 THEN 257 END AS at, CASE c_custkey % 8 WHEN 7 THEN '$this.a' END AS element
+FROM (SELECT c_custkey, CAST(length(CAST(c_custkey AS VARCHAR)) AS BIGINT) AS n FROM customer)""")
+def fatal_places(spark: SparkSession, sf: str) -> DataFrame:
+    """Where documents can't be read: in UTF-16 units from the start, so that a character above U+FFFF counts two."""
+    key = F.col("c_custkey")
+    raw = pick(key, 8, {1: j('{"a":"', key), 2: j('{"a":"', key, "\n"), 3: j('{"a":"', key, '\\q"}'), 4: j('{"\U0001F600":', key, ",,}"), 5: j('{"a": ', key, ".}"), 6: "[" * 258 + "]" * 258, 7: '{"a":["x"],"_a":{}}'}, j('{"a":', key, "}"))
+    r = resource_json.read_resources(table(spark, sf, "customer").select("c_custkey", raw.alias("raw")))
+    return r.select("c_custkey", "fatal", F.col("fatal_offset").alias("at"), F.col("fatal_expression").alias("element"))
+
+
+@query("""
+SELECT c_custkey, true AS same, CAST(12 + CASE WHEN c_custkey % 2 = 0 THEN 3 ELSE 0 END AS INT) AS n_nodes, c_name AS family FROM customer""")
+def built_resources(spark: SparkSession, sf: str) -> DataFrame:
+    """Patients made in code from rows, against the same ones read from JSON."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", money("c_acctbal").alias("balance"))
+    key, even = F.col("c_custkey"), F.col("c_custkey") % 2 == 0
+    raw = j('{"resourceType":"Patient","id":"', key, '","active":true,"name":[{"family":"', F.col("c_name"), '","given":["A","B"]}],"value":', F.col("balance"), ',"birthDate":"2000"', F.when(even, ',"_birthDate":{"id":"d","extension":[{"url":"u","valueString":"v"}]}').otherwise(""), ',"contained":[{"resourceType":"Basic"}]}')
+
+    def make(r: dict) -> dict:
+        born = resource_json.Primitive("2000", "d", [{"url": "u", "valueString": "v"}]) if r["c_custkey"] % 2 == 0 else "2000"
+        return {"resourceType": "Patient", "id": str(r["c_custkey"]), "active": True, "name": [{"family": r["c_name"], "given": ["A", "B"]}], "value": Decimal(r["balance"]), "birthDate": born, "contained": [{"resourceType": "Basic"}]}
+
+    made = resource_json.build_resources(c, make).select("c_custkey", raw.alias("raw"), F.col("nodes").alias("made"), F.col("read_issues").alias("said"))
+    both = resource_json.read_resources(made)
+    family = F.get(F.filter("made", lambda n: n["name"] == "family"), F.lit(0))["lex"]
+    return both.select("c_custkey", (F.col("made").eqNullSafe(F.col("nodes")) & F.col("said").eqNullSafe(F.col("read_issues"))).alias("same"), F.size("made").alias("n_nodes"), family.alias("family"))
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k, '25989' || c_custkey || '2988' AS d FROM customer),
+h AS (SELECT k, 'name' AS kind, 'Patient.name[0].family' AS location, 3 AS n FROM c WHERE k % 3 = 1 UNION ALL SELECT k, 'name', 'Patient.name[0].family', 1 FROM c WHERE k % 3 = 2
+UNION ALL SELECT k, CASE WHEN length(d) = 9 THEN 'ssn' ELSE 'phone' END, 'Patient.telecom[0].value', 1 FROM c WHERE k % 4 = 0 AND (length(d) = 9 OR length(d) >= 10 AND d NOT LIKE '%555%')
+UNION ALL SELECT k, 'email', 'Patient.telecom[0].value', 1 FROM c WHERE k % 4 = 1
+UNION ALL SELECT k, 'address', 'Patient.address[0].line[0]', 1 FROM c WHERE k % 5 = 0
+UNION ALL SELECT k, 'birth-date', 'Patient.birthDate', 1 FROM c WHERE k % 4 IN (0, 3)
+UNION ALL SELECT k, 'ssn', 'Patient.identifier[0].value', 1 FROM c WHERE k % 3 = 0
+UNION ALL SELECT k, 'text-ssn', 'Patient.text.div', 1 FROM c WHERE k % 7 = 0 UNION ALL SELECT k, 'text-email', 'Patient.text.div', 1 FROM c WHERE k % 7 = 0)
+SELECT k AS c_custkey, kind, location, CAST(n AS BIGINT) AS n FROM h""")
+def personal_elements(spark: SparkSession, sf: str) -> DataFrame:
+    known = personal.allowed(spark, names=("Testcase",), dates=("1999-01-01",), addresses=("1 Test Street",), ids=("000000000",), domains=("example.com",))
+    return personal.personal_elements(X.people(spark, sf), known, "c_custkey")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_linenumber % 4 = 2 AS same, l_linenumber % 4 IN (0, 1, 2) AS same_value, CASE l_linenumber % 4 WHEN 2 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '0000000000' WHEN 3 THEN '0' END AS whole
+FROM lineitem""")
+def decimal_exponents(spark: SparkSession, sf: str) -> DataFrame:
+    """Decimals whose exponents no number type holds."""
+    n, q = F.col("l_linenumber"), F.col("l_quantity").cast("bigint")
+    a = pick(n, 4, {0: j(q, "e99999999999"), 1: j(q, ".0e-99999999999"), 2: j(q, "e+10"), 3: "-0.0e2000000000"}, "")
+    b = pick(n, 4, {0: j(q, "0e99999999998"), 1: j(q, "e-99999999999"), 2: j(q, "e10"), 3: j(q, "e77777777777777777777777777777777777777777777")}, "")
+    d = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", a.alias("a"), b.alias("b"))
+    whole = S.decimal_integer(F.col("a")).cast("string")
+    return d.select("l_orderkey", "l_linenumber", S.decimal_equals(F.col("a"), F.col("b")).alias("same"), S.decimal_equals_value(F.col("a"), F.col("b")).alias("same_value"), whole.alias("whole"))
+
+
+def _holds(expression: str):
+    return E.invariant(expression)["satisfied"]
+
+
+@query("""
+SELECT n_nationkey, n_nationkey % 4 IN (1, 3) AS less, n_nationkey % 3 <> 1 AS fits, false AS far FROM nation""")
+def utf16_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Order and length by UTF-16 units, and an index beyond any list."""
+    k = F.col("n_nationkey")
+    a = pick(k, 4, {0: "\uff5e", 1: "\U0001F600", 2: "b"}, "a")
+    b = pick(k, 4, {0: "\U0001F600", 1: "\uff5e", 2: "a"}, "b")
+    long = pick(k, 3, {0: F.repeat(F.lit("\U0001F600"), 524_288), 1: F.repeat(F.lit("\U0001F600"), 524_289)}, F.repeat(F.lit("x"), 1_048_576))
+    r = resource_json.read_resources(table(spark, sf, "nation").select("n_nationkey", long.alias("long"), j('{"resourceType":"Basic","a":"', a, '","b":"', b, '"}').alias("raw")))
+    return r.select("n_nationkey", _holds("a < b").alias("less"), (S.primitive_verdict("string", F.lit("string"), F.col("long")) == "ok").alias("fits"), _holds("a[10000000000].exists()").alias("far"))
 
 
 @query("SELECT c_custkey, true AS same FROM customer")
@@ -389,6 +474,34 @@ def definition_findings(spark: SparkSession, sf: str) -> DataFrame:
     return f.groupBy("l_orderkey", "code", F.col("constraint").alias("rule"), "severity").agg(F.count("*").alias("n"))
 
 
+#: Three definitions, each the next one's base: bounds, then slices, then more about the slices.
+CHAIN = (
+    """{"resourceType":"StructureDefinition","url":"http://x.org/1","type":"Observation","snapshot":{"element":[{"path":"Observation"},
+{"path":"Observation.component","min":1,"max":"*","constraint":[{"key":"small","severity":"warning","expression":"valueQuantity.value <= 45"}]},{"path":"Observation.component.code"},{"path":"Observation.note"}]}}""",
+    """{"resourceType":"StructureDefinition","url":"http://x.org/2","type":"Observation","baseDefinition":"http://x.org/1","differential":{"element":[
+{"path":"Observation.component","max":"9","slicing":{"discriminator":[{"type":"value","path":"code.text"}],"rules":"open"}},
+{"id":"Observation.component:A","path":"Observation.component","sliceName":"A","min":1,"mustSupport":true},{"id":"Observation.component:A.code.text","path":"Observation.component.code.text","fixedString":"A"},
+{"id":"Observation.component:R","path":"Observation.component","max":"1"},{"id":"Observation.component:R.code.text","path":"Observation.component.code.text","fixedString":"R"},
+{"id":"Observation.component:N","path":"Observation.component"},{"id":"Observation.component:N.code.text","path":"Observation.component.code.text","fixedString":"N"}]}}""",
+    """{"resourceType":"StructureDefinition","url":"http://x.org/3","type":"Observation","version":"1","baseDefinition":"http://x.org/2","differential":{"element":[
+{"id":"Observation.component:R","path":"Observation.component","max":"2","constraint":[{"key":"open","severity":"error","expression":"valueQuantity.unit = 'O'"}]},
+{"id":"Observation.component:N.valueQuantity.unit","path":"Observation.component.valueQuantity.unit","min":1,"patternString":"O"},
+{"path":"Observation.component","min":0}]}}""",
+)
+
+
+@query("""
+WITH g AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'A') AS a, count(*) FILTER (WHERE l_returnflag = 'R') AS r, count(*) FILTER (WHERE l_quantity > 45) AS big,
+  count(*) FILTER (WHERE l_returnflag = 'R' AND l_linestatus <> 'O') AS shut, count(*) FILTER (WHERE l_returnflag = 'N' AND l_linestatus <> 'O') AS other FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, 'MUST_SUPPORT_ABSENT' AS code, CAST(NULL AS VARCHAR) AS rule, CAST(1 AS BIGINT) AS n FROM g WHERE a = 0 UNION ALL SELECT l_orderkey, 'CARDINALITY_MIN', NULL, 1 FROM g WHERE a = 0
+UNION ALL SELECT l_orderkey, 'CARDINALITY_MAX', NULL, CAST(r > 2 AS BIGINT) + CAST(n > 9 AS BIGINT) FROM g WHERE r > 2 OR n > 9 UNION ALL SELECT l_orderkey, 'INVARIANT_VIOLATED', 'small', big FROM g WHERE big > 0
+UNION ALL SELECT l_orderkey, 'INVARIANT_VIOLATED', 'open', shut FROM g WHERE shut > 0 UNION ALL SELECT l_orderkey, 'PROFILE_PATTERN_MISMATCH', NULL, other FROM g WHERE other > 0""")
+def definition_chain(spark: SparkSession, sf: str) -> DataFrame:
+    known = {d.url: d for d in map(load_definition, CHAIN)}
+    f = structure.explode_findings(X.shipments(spark, sf), P.profile_findings(to_profile(known["http://x.org/3"], known.get)), "l_orderkey")
+    return f.groupBy("l_orderkey", "code", F.col("constraint").alias("rule")).agg(F.count("*").alias("n"))
+
+
 @query(f"""
 WITH f AS ({PATIENT_FINDINGS})
 SELECT c.c_custkey, coalesce(f.severity, '') <> 'error' AS valid, coalesce(f.code || '/' || f.severity || ' at ' || f.expression, '') AS findings FROM customer c LEFT JOIN f ON c.c_custkey = f.c_custkey""")

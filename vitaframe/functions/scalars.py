@@ -33,6 +33,7 @@ PATTERNS = {
 }
 NUMERIC = ("integer", "integer64", "unsignedInt", "positiveInt", "decimal")
 PRIMITIVES = ("boolean", "string", "markdown", *PATTERNS)
+#: In UTF-16 units.
 STRING_MAX = 1_048_576
 
 
@@ -48,7 +49,7 @@ def primitive_verdict(datatype: str, vtype: Column, lex: Column) -> Column:
     if datatype == "boolean":
         good = F.lit(True)
     elif datatype in ("string", "markdown"):
-        good = lex.rlike(rf"(?s)\A[ \r\n\t[^{SPACE}]]+\z") & (F.length(lex) <= STRING_MAX)
+        good = lex.rlike(rf"(?s)\A[ \r\n\t[^{SPACE}]]+\z") & (utf16_length(lex) <= STRING_MAX)
     else:
         good = lex.rlike(whole(PATTERNS[datatype]))
     return F.when(vtype != kind, "type-mismatch").when(good, "ok").otherwise("invalid")
@@ -59,41 +60,69 @@ def integer64(lex: Column) -> Column:
     return F.when(lex.rlike(whole(PATTERNS["integer64"])), F.regexp_replace(lex, r"\A\+", "").try_cast("bigint"))
 
 
-def decimal_integer(lex: Column) -> Column:
-    """The integer that a written decimal is, whatever its exponent, as decimal(38,0); null where it has a fraction or doesn't fit."""
-    value = F.when(lex.rlike(whole(PATTERNS["decimal"])), lex)
-    k = decimal_key(value)
-    digits, scale = F.regexp_replace(k["digits"], r"\A-", ""), k["scale"]
-    zeros = F.length(digits) - F.length(F.regexp_replace(digits, r"0+\z", ""))
-    shorter = F.when(scale > 0, F.when(digits.rlike(r"\A0+\z"), "0").when(zeros >= scale, F.substring(digits, F.lit(1), F.length(digits) - scale))).otherwise(F.rpad(digits, F.length(digits) - scale, "0"))
-    return F.concat(F.when(k["digits"].startswith("-"), "-").otherwise(""), F.when(F.length(shorter) <= 38, shorter)).try_cast("decimal(38,0)")
+#: Exponents of more digits are compared as they are written.
+_FAR = 36
 
 
 def decimal_key(lex: Column) -> Column:
-    """struct(digits, scale) of a written decimal: sign and coefficient without leading zeros, and its scale."""
+    """struct(digits, scale, far) of a written decimal, whatever its exponent: sign and coefficient without leading zeros, and its scale.
+
+    `far` is empty, but for an exponent of more than 36 digits: then it is that
+    exponent, without leading zeros, and the scale is that of the coefficient.
+    """
     frac = F.regexp_extract(lex, r"\.([0-9]+)", 1)
-    power = F.coalesce(F.nullif(F.regexp_extract(lex, r"[eE]([+-]?[0-9]+)", 1), F.lit("")).cast("int"), F.lit(0))
+    minus = F.when(lex.rlike(r"[eE]-"), "-").otherwise("")
+    power = F.regexp_extract(lex, r"[eE][+-]?0*([0-9]*)", 1)
+    far = F.length(power) > _FAR
+    exponent = F.when(far | (power == ""), F.lit("0")).otherwise(F.concat(minus, power)).try_cast("decimal(38,0)")
     digits = F.regexp_replace(F.regexp_replace(F.regexp_replace(lex, r"[eE].*", ""), r"[-.]", ""), r"^0+(?=[0-9])", "")
-    sign = F.when(lex.startswith("-") & (digits != "0") & ~digits.rlike(r"\A0+\z"), "-").otherwise("")
-    return F.struct(F.concat(sign, digits).alias("digits"), (F.length(frac) - power).alias("scale"))
+    sign = F.when(lex.startswith("-") & ~digits.rlike(r"\A0+\z"), "-").otherwise("")
+    scale = (F.length(frac).cast("decimal(38,0)") - exponent).cast("decimal(38,0)")
+    return F.struct(F.concat(sign, digits).alias("digits"), scale.alias("scale"), F.when(far, F.concat(minus, power)).otherwise("").alias("far"))
+
+
+def decimal_integer(lex: Column) -> Column:
+    """The integer that a written decimal is, whatever its exponent, as decimal(38,0); null where it has a fraction or doesn't fit."""
+    k = decimal_key(F.when(lex.rlike(whole(PATTERNS["decimal"])), lex))
+    digits = F.regexp_replace(k["digits"], r"\A-", "")
+    zeros = F.length(digits) - F.length(F.regexp_replace(digits, r"0+\z", ""))
+    # as long as the integer would be: decided before anything of that length is made
+    length = F.length(digits) - k["scale"]
+    fits = (length > 0) & (length <= 38) & (k["far"] == "") & (zeros >= k["scale"])
+    n = F.when(fits, length).otherwise(1).cast("int")
+    shorter = F.when(digits.rlike(r"\A0+\z"), "0").when(fits, F.rpad(F.substring(digits, F.lit(1), n), n, "0"))
+    return F.concat(F.when(k["digits"].startswith("-"), "-").otherwise(""), shorter).try_cast("decimal(38,0)")
 
 
 def decimal_equals(a: Column, b: Column) -> Column:
     """Same value and same scale."""
     x, y = decimal_key(a), decimal_key(b)
-    return (x["digits"] == y["digits"]) & (x["scale"] == y["scale"])
+    return (x["digits"] == y["digits"]) & (x["scale"] == y["scale"]) & (x["far"] == y["far"])
+
+
+def decimal_value_key(lex: Column) -> Column:
+    """struct(digits, scale, far) that two decimals share if their values are equal: trailing zeros of the coefficient are moved into the scale."""
+    k = decimal_key(lex)
+    bare = F.regexp_replace(k["digits"], r"(?<=[1-9])0+\z", "")
+    zero = k["digits"].rlike(r"\A-?0+\z")
+    scale = (k["scale"] - (F.length(k["digits"]) - F.length(bare))).cast("decimal(38,0)")
+    return F.struct(F.when(zero, "0").otherwise(bare).alias("digits"), F.when(zero, F.lit(0).cast("decimal(38,0)")).otherwise(scale).alias("scale"), F.when(zero, "").otherwise(k["far"]).alias("far"))
 
 
 def decimal_equals_value(a: Column, b: Column) -> Column:
-    """Same value, whatever the scale: trailing zeros of the coefficient are moved into it."""
+    """Same value, whatever the scale."""
+    x, y = decimal_value_key(a), decimal_value_key(b)
+    return (x["digits"] == y["digits"]) & (x["scale"] == y["scale"]) & (x["far"] == y["far"])
+
+
+def utf16(s: Column) -> Column:
+    """A sort key: strings in the order of their UTF-16 units, where characters above U+FFFF come before U+E000."""
+    return F.encode(s, "UTF-16BE")
 
-    def canonical(c: Column) -> Column:
-        k = decimal_key(c)
-        bare = F.regexp_replace(k["digits"], r"(?<=[1-9])0+\z", "")
-        zero = k["digits"].rlike(r"\A-?0+\z")
-        return F.when(zero, F.struct(F.lit("0").alias("d"), F.lit(0).alias("s"))).otherwise(F.struct(bare.alias("d"), (k["scale"] - (F.length(k["digits"]) - F.length(bare))).alias("s")))
 
-    return canonical(a) == canonical(b)
+def utf16_length(s: Column) -> Column:
+    """The number of UTF-16 units."""
+    return F.octet_length(utf16(s)) / 2
 
 
 _RELATIVE = r"\A([A-Za-z][A-Za-z0-9]*)/([A-Za-z0-9\-.]{1,64})(?:/_history/([A-Za-z0-9\-.]{1,64}))?\z"

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.nodes import FINDINGS, finding, kids, nodes, text, top
+from ..functions.nodes import FINDINGS, finding, findings, kids, nodes, text, top
 from ..functions.scalars import parse_reference
 
 #: Steps of a path through contained resources before it counts as a cycle.
@@ -41,27 +41,72 @@ def entries(bundles: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def _references() -> Column:
+    """The reference strings of an entry's resource."""
+    return F.filter(nodes(), lambda n: (n["id"] > F.col("r.id")) & (n["name"] == "reference") & (n["vtype"] == "string") & ~n["dup"] & ~n["meta"])
+
+
 def references(bundles: DataFrame, *keys: str) -> DataFrame:
     """keys, entry, expression, reference (parsed as `r`) and the ids contained beside it, for every reference of an entry's resource."""
-    refs = F.filter(nodes(), lambda n: (n["id"] > F.col("r.id")) & (n["name"] == "reference") & (n["vtype"] == "string") & ~n["dup"] & ~n["meta"])
     contained = F.transform(kids(F.col("r.id"), "contained"), lambda c: text(c["id"], "id"))
-    rows = _per_entry(bundles, *keys).select(*keys, "entry", contained.alias("contained"), F.explode(refs).alias("x"))
+    rows = _per_entry(bundles, *keys).select(*keys, "entry", contained.alias("contained"), F.explode(_references()).alias("x"))
     return rows.select(*keys, "entry", F.col("x.loc").alias("expression"), F.col("x.lex").alias("reference"), "contained").withColumn("r", parse_reference(F.col("reference")))
 
 
-def resolve(bundles: DataFrame, *keys: str) -> DataFrame:
-    """references() with `status`: resolved, unresolved or external, and `target`, the entry that it leads to: the first of those that its url or its type and id name. A fragment's target is its own entry."""
-    e = entries(bundles, *keys)
+#: A name that leads to an entry, or a reference that it makes.
+_SAID = "struct<name:string,at:int,expression:string,reference:string>"
+
+
+def _said(bundles: DataFrame, *keys: str) -> DataFrame:
+    """keys, entry, held (the contained resources of the entry), own (its node and its resource's, r) and said: its names and references."""
+    held = F.transform(F.filter(kids(F.col("r.id"), "contained"), lambda c: c["kind"] == "complex"), lambda c: F.struct(text(c["id"], "id").alias("id"), c["idx"].alias("idx")))
+    e = _per_entry(bundles, *keys).withColumn("held", held).withColumn("full_url", text(F.col("own.id"), "fullUrl")).withColumn("rid", text(F.col("r.id"), "id"))
     url = parse_reference(F.col("full_url"))
-    by_url = e.where("full_url is not null and first is not null").select(*keys, F.col("full_url").alias("reference"), "entry").groupBy(*keys, "reference").agg(F.min("entry").alias("_url"))
-    named = e.where("first is not null").select(*keys, "entry", F.explode(F.array(F.concat_ws("/", url["type"], url["id"]), F.concat("type", F.lit("/"), "id"))).alias("_key")).where("_key like '%/%'").groupBy(*keys, "_key").agg(F.min("entry").alias("_named"))
-    rows = references(bundles, *keys).withColumn("_key", F.concat(F.col("r.type"), F.lit("/"), F.col("r.id")))
-    both = rows.join(by_url, [*keys, "reference"], "left").join(named, [*keys, "_key"], "left")
-    kind, anchor = F.col("r.kind"), F.col("r.id")
-    hit = F.col("_named").isNotNull()
-    status = F.when((kind == "fragment") & ((anchor == "") | F.array_contains("contained", anchor)), "resolved").when(kind == "fragment", "unresolved").when(kind == "relative", F.when(hit, "resolved").otherwise("unresolved")).when(F.col("_url").isNotNull() | hit, "resolved").otherwise("external")
+    named = lambda kind, id_: F.concat(F.lit("n:"), kind, F.lit("/"), id_)
+    names = F.array(F.concat(F.lit("u:"), "full_url"), named(url["type"], url["id"]), named(F.col("r.rtype"), F.col("rid")))
+    none = F.lit(None).cast("string")
+    told = F.transform(F.filter(names, lambda n: n.isNotNull() & F.col("r.id").isNotNull()), lambda n: F.struct(n.alias("name"), F.lit(None).cast("int").alias("at"), none.alias("expression"), none.alias("reference")))
+    asked = F.transform(_references(), lambda n: F.struct(none.alias("name"), n["id"].alias("at"), n["loc"].alias("expression"), n["lex"].alias("reference")))
+    return e.withColumn("said", F.concat(told.cast(f"array<{_SAID}>"), asked.cast(f"array<{_SAID}>")))
+
+
+def _resolved(said: DataFrame, *keys: str) -> DataFrame:
+    """Of (keys, entry, held, x): keys, entry, at, expression, reference, kind, status, target, contained of every reference. Names and references of a Bundle meet by name in one exchange, a reference by its url and by its type and id; then both answers meet."""
+    r = F.col("r")
+    asks = F.col("x.name").isNull()
+    named = F.concat(F.lit("n:"), r["type"], F.lit("/"), r["id"])
+    ways = F.when(asks, F.array(F.concat(F.lit("u:"), "x.reference"), F.coalesce(named, F.lit("-")))).otherwise(F.array("x.name"))
+    inside = F.get(F.filter("held", lambda h: h["id"] == F.col("r.id")), F.lit(0))
+    rows = said.withColumn("r", parse_reference(F.col("x.reference"))).select(*keys, "entry", "x", asks.alias("asks"), r["kind"].alias("kind"), F.when(r["kind"] == "fragment", inside["idx"]).alias("contained"), ((r["id"] == "") | inside["id"].isNotNull()).alias("inside"), F.posexplode(ways).alias("way", "name"))
+    first = F.min(F.when(~F.col("asks"), F.col("entry"))).over(Window.partitionBy(*keys, "name"))
+    asked = rows.withColumn("_first", first).where("asks")
+    by = lambda way: F.min(F.when(F.col("way") == way, F.col("_first")))
+    part = lambda c, name: F.first(c).alias(name)
+    both = asked.groupBy(*keys, "entry", F.col("x.at").alias("at")).agg(by(0).alias("_url"), by(1).alias("_named"), part("x.expression", "expression"), part("x.reference", "reference"), part("kind", "kind"), part("inside", "inside"), part("contained", "contained"))
+    kind, hit = F.col("kind"), F.col("_named").isNotNull()
+    status = F.when(kind == "fragment", F.when(F.col("inside"), "resolved").otherwise("unresolved")).when(kind == "relative", F.when(hit, "resolved").otherwise("unresolved")).when(F.col("_url").isNotNull() | hit, "resolved").otherwise("external")
     target = F.when(kind == "fragment", F.col("entry")).when(kind == "relative", F.col("_named")).otherwise(F.coalesce("_url", "_named"))
-    return both.select(*keys, "entry", "expression", "reference", F.col("r.kind").alias("kind"), status.alias("status"), F.when(status == "resolved", target).alias("target"))
+    return both.withColumn("status", status).withColumn("target", F.when(status == "resolved", target))
+
+
+def resolve(bundles: DataFrame, *keys: str) -> DataFrame:
+    """keys, entry, expression, reference, kind, `status` (resolved, unresolved or external), `target`, the entry that a reference leads to, and `contained`.
+
+    The target is the first of the entries that the reference's url or its type and id name. A fragment's target is its own entry, and `contained` the place of the resource there that it names (none for the resource itself). Documents are read once: names and references of a Bundle meet in one exchange.
+    """
+    rows = _said(bundles, *keys).select(*keys, "entry", "held", F.explode("said").alias("x"))
+    return _resolved(rows, *keys).select(*keys, "entry", "expression", "reference", "kind", "status", "target", F.when(F.col("status") == "resolved", F.col("contained")).alias("contained"))
+
+
+def resolve_alone(resources: DataFrame, *keys: str) -> DataFrame:
+    """keys, expression, reference, kind, status and contained of the references of resources that stand in no Bundle: only fragments lead anywhere; a relative one is unresolved, any other external."""
+    held = F.filter(top("contained"), lambda c: c["kind"] == "complex")
+    refs = F.filter(nodes(), lambda n: (n["name"] == "reference") & (n["vtype"] == "string") & ~n["dup"] & ~n["meta"])
+    rows = resources.where("resource_type is not null and resource_type <> 'Bundle'").select(*keys, F.transform(held, lambda c: F.struct(text(c["id"], "id").alias("id"), c["idx"].alias("idx"))).alias("held"), F.explode(refs).alias("x")).withColumn("r", parse_reference(F.col("x.lex")))
+    hit = F.get(F.filter("held", lambda h: h["id"] == F.col("r.id")), F.lit(0))
+    kind = F.col("r.kind")
+    status = F.when(kind == "fragment", F.when((F.col("r.id") == "") | hit["id"].isNotNull(), "resolved").otherwise("unresolved")).when(kind == "relative", "unresolved").otherwise("external")
+    return rows.select(*keys, F.col("x.loc").alias("expression"), F.col("x.lex").alias("reference"), kind.alias("kind"), status.alias("status"), F.when(kind == "fragment", hit["idx"]).alias("contained"))
 
 
 def unresolved(bundles: DataFrame, *keys: str) -> DataFrame:
@@ -97,12 +142,21 @@ def contained_cycle() -> Column:
 
 
 def bundle_findings(bundles: DataFrame, *keys: str) -> DataFrame:
-    """keys, and the findings of each Bundle in one array, entry by entry: fullUrl and id, contained cycles, unresolved references."""
-    cut = F.slice("nodes", F.col("r.id") - F.col("own.id") + 1, F.col("r.last") - F.col("r.id") + 1)
-    whole = _per_entry(bundles, *keys).where("r.id is not null").select(*keys, "entry", cut.alias("nodes"))
-    cycles = whole.where(contained_cycle()).select(*keys, "entry", F.lit(1).alias("rank"), F.lit(0).alias("at"), finding("CONTAINED_CYCLE", "error", F.concat(F.lit("Bundle.entry["), "entry", F.lit("].resource.contained"))).alias("f"))
-    urls = full_url_mismatches(bundles, *keys).select(*keys, F.regexp_extract("expression", r"\[([0-9]+)\]", 1).cast("int").alias("entry"), F.lit(0).alias("rank"), F.lit(0).alias("at"), finding("FULLURL_ID_MISMATCH", "error", F.col("expression")).alias("f"))
-    loose = resolve(bundles, *keys).where("status = 'unresolved'").select(*keys, "entry", F.lit(2).alias("rank"), F.lit(0).alias("at"), finding("REFERENCE_UNRESOLVED", "warning", F.col("expression")).alias("f"))
-    rows = urls.union(cycles).union(loose)
-    ordered = F.array_sort(F.collect_list(F.struct("entry", "rank", "at", F.col("f.expression").alias("e"), "f")))
-    return rows.groupBy(*keys).agg(F.transform(ordered, lambda x: x["f"]).cast(FINDINGS).alias("bundle_findings"))
+    """keys, and the findings of each Bundle in one array, entry by entry: fullUrl and id, contained cycles, unresolved references. Documents are read once."""
+    url = parse_reference(F.col("full_url"))
+    wrong = url["kind"].isin("relative", "absolute") & (url["id"] != F.col("rid"))
+    at = lambda tail: F.concat(F.lit("Bundle.entry["), F.col("entry"), F.lit(tail))
+    alone = F.slice("nodes", F.col("r.id") - F.col("own.id") + 1, F.col("r.last") - F.col("r.id") + 1)
+    rows = _said(bundles, *keys).withColumn("wrong", F.coalesce(wrong, F.lit(False)))
+    # from here on the nodes are the resource's alone
+    rows = rows.withColumn("nodes", F.when(F.col("r.id").isNotNull(), alone)).withColumn("cyclic", F.coalesce(contained_cycle(), F.lit(False)))
+    own = findings((F.col("wrong"), finding("FULLURL_ID_MISMATCH", "error", at("].fullUrl"))), (F.col("cyclic"), finding("CONTAINED_CYCLE", "error", at("].resource.contained"))))
+    # an entry's own findings go through the same exchanges, as a reference of no name at its very beginning
+    mark = F.when(F.size("own_findings") > 0, F.array(F.struct(F.lit(None).cast("string").alias("name"), F.lit(-1).alias("at"), F.to_json("own_findings").alias("expression"), F.lit(None).cast("string").alias("reference"))))
+    x = F.explode(F.concat(F.coalesce(mark, F.array()).cast(f"array<{_SAID}>"), "said"))
+    each = _resolved(rows.withColumn("own_findings", own).select(*keys, "entry", "held", x.alias("x")), *keys)
+    loose = F.array(finding("REFERENCE_UNRESOLVED", "warning", F.col("expression"))).cast(FINDINGS)
+    f = F.when(F.col("at") < 0, F.from_json("expression", FINDINGS)).when(F.col("status") == "unresolved", loose)
+    rows = each.withColumn("f", f).where("size(f) > 0")
+    ordered = F.array_sort(F.collect_list(F.struct("entry", "at", "expression", "f")))
+    return rows.groupBy(*keys).agg(F.flatten(F.transform(ordered, lambda y: y["f"])).cast(FINDINGS).alias("bundle_findings"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +25,43 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return t.repartition(cores) if len(t.inputFiles()) < cores else t
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for files that Spark makes from the tables, where driver and executors share one; deleted when the driver ends."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = f"file://{tempfile.mkdtemp(prefix='vitaframe-files-')}"
+    path = f"{top.rstrip('/')}/vitaframe/{name}-{uuid.uuid4().hex}"
+
+    def drop() -> None:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session has ended already
+            pass
+
+    atexit.register(drop)
+    return path
+
+
+def export(spark: SparkSession, sf: str, limit: int) -> str:
+    """The orders as four NDJSON files in the order of their keys, and the folder of them: good lines, lines with CRLF, blank ones, broken ones, arrays, and some longer than `limit`."""
+    key = F.col("o_orderkey")
+    good = j('{"resourceType":"Basic","id":"', key, '"}')
+    line = F.when(key % 31 == 0, j('{"resourceType":"Basic","x":"', F.rpad(F.lit(""), limit, "x"), '"}')).otherwise(pick(key, 5, {0: " \t", 1: j('{"resourceType":', key), 2: j(good, "\r"), 3: j("[", key, "]")}, good))
+    path = folder(spark, "export")
+    rows = table(spark, sf, "orders").select((key % 4).alias("f"), "o_orderkey", line.alias("value"))
+    rows.repartition("f").sortWithinPartitions("f", "o_orderkey").select("f", "value").write.partitionBy("f").text(path, lineSep="\n")
+    return path
+
+
+def dealt(t: DataFrame, key: str) -> DataFrame:
+    """Dealt by a key that the rows are about to be gathered by, over all cores: gathering needs no further exchange, and documents are parsed where they are made."""
+    spark = t.sparkSession
+    return t.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def j(*parts: Column | str) -> Column:
     """Text and columns, one after another."""
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
@@ -96,7 +137,7 @@ def patients(spark: SparkSession, sf: str) -> DataFrame:
 
 def bundles(spark: SparkSession, sf: str) -> DataFrame:
     """One Bundle per customer with orders: a MedicationRequest for each order, and the Patient unless the key divides by 3."""
-    o = table(spark, sf, "orders")
+    o = dealt(spark.read.parquet(f"{sf}/orders.parquet"), "o_custkey")
     request = j('{"fullUrl":"https://h.org/fhir/MedicationRequest/', F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderkey") + 1).otherwise(F.col("o_orderkey")), '","resource":{"resourceType":"MedicationRequest","id":"', F.col("o_orderkey"), '","subject":{"reference":"Patient/', F.col("o_custkey"), '"},"requester":{"reference":"https://else.org/fhir/Practitioner/', F.col("o_orderkey") % 10, '"}}}')
     listed = o.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", request.alias("r")))), lambda x: x["r"]), ",").alias("r"))
     key = F.col("o_custkey")
@@ -107,7 +148,7 @@ def bundles(spark: SparkSession, sf: str) -> DataFrame:
 
 def shipments(spark: SparkSession, sf: str) -> DataFrame:
     """One Observation per order, with a component for each line: its flag as code and its quantity as value."""
-    line = table(spark, sf, "lineitem")
+    line = dealt(spark.read.parquet(f"{sf}/lineitem.parquet"), "l_orderkey")
     component = j('{"code":{"text":"', F.col("l_returnflag"), '"},"valueQuantity":{"value":', money("l_quantity"), ',"unit":"', F.col("l_linestatus"), '"}}')
     listed = line.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", component.alias("c")))), lambda x: x["c"]), ",").alias("c"))
     key = F.col("l_orderkey")
@@ -150,3 +191,26 @@ def prescriptions(spark: SparkSession, sf: str) -> DataFrame:
     system = pick(F.col("p_size"), 4, {0: f'"system":"{RXNORM}",', 1: f'"system":"{SNOMED}",', 2: '"system":"http://x.org/local",'}, "")
     raw = j('{"resourceType":"MedicationRequest","status":"active","medicationCodeableConcept":{"coding":[{', system, '"code":"', F.col("p_partkey"), '"}]}}')
     return read_resources(p.select("p_partkey", "p_size", raw.alias("raw")))
+
+
+def people(spark: SparkSession, sf: str) -> DataFrame:
+    """c_custkey and a Patient with what may be personal, by the key: a name, a contact point, an address, a date of birth, an identifier, and a note."""
+    key = F.col("c_custkey")
+    family = pick(key, 3, {0: "Testcase", 1: "Quill van Moor"}, "Dr J Okonkwo")
+    contact = pick(key, 4, {0: j('"25-989-', key, '-2988"'), 1: '"ann@clinic.org"', 2: '"ann@example.com"'}, '"555-010-1234"')
+    line = pick(key, 5, {0: "12 Long Road", 1: "1 Test Street"}, "Rose Cottage")
+    born = pick(key, 4, {0: "1970-02-03", 1: "1999-01-01", 2: "1970-13"}, "1970")
+    number = pick(key, 3, {0: "123-45-6789", 1: "000000000"}, "A7")
+    note = pick(key, 7, {0: "call 987-65-4321 or bo@mail.net", 1: "bo@example.com"}, "none")
+    raw = j('{"resourceType":"Patient","name":[{"family":"', family, '","given":["Testcase"]}],"telecom":[{"value":', contact, '}],"address":[{"line":["', line, '"]}],"birthDate":"', born, '","identifier":[{"value":"', number, '"}],"text":{"div":"', note, '"}}')
+    return read_resources(table(spark, sf, "customer").select("c_custkey", raw.alias("raw")))
+
+
+def pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """c_custkey, and a Patient in JSON and in XML that say the same or differ in one way by c_custkey % 8."""
+    key, name = F.col("c_custkey"), F.col("c_name")
+    given = pick(key, 8, {1: '"given":["B","A"]', 2: '"given":["A","B"],"given":["C"]', 3: '"given":[{"x":"A"},{"x":"B"}]', 6: '"given":["A"]', 7: '"given":["A",["B"]]'}, '"given":["A","B"]')
+    a = j('{"resourceType":"Patient","id":"', key, '","active":', pick(key, 8, {4: "false"}, "true"), ',"name":[{"family":"', name, '",', given, '}],"birthDate":"2000-01-01"', pick(key, 8, {5: ',"_birthDate":{"id":"b"}'}, ""), "}")
+    names = F.when(key % 8 == 6, '<given value="A"/>').otherwise('<given value="A"/><given value="B"/>')
+    b = j('<Patient xmlns="http://hl7.org/fhir"><id value="', key, '"/><active value="true"/><name><family value="', name, '"/>', names, '</name><birthDate value="2000-01-01"/></Patient>')
+    return table(spark, sf, "customer").select("c_custkey", a.alias("a"), b.alias("b"))

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from decimal import Decimal
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_DEPTH = 256
@@ -30,7 +30,7 @@ META = "_:"
 WITHHELD = "<withheld>"
 NODE = "struct<id:int,last:int,parent:int,depth:int,name:string,idx:int,meta:boolean,dup:boolean,loc:string,kind:string,vtype:string,lex:string,elem_id:string,src:string,rtype:string,res:boolean>"
 ISSUE = "struct<code:string,severity:string,expression:string>"
-SCHEMA = f"resource_type string, nodes array<{NODE}>, read_issues array<{ISSUE}>, fatal string"
+SCHEMA = f"resource_type string, nodes array<{NODE}>, read_issues array<{ISSUE}>, fatal string, fatal_offset long, fatal_expression string"
 _ARROW_NODE = pa.struct([("id", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("name", pa.string()), ("idx", pa.int32()), ("meta", pa.bool_()), ("dup", pa.bool_()), ("loc", pa.string()), ("kind", pa.string()), ("vtype", pa.string()), ("lex", pa.string()), ("elem_id", pa.string()), ("src", pa.string()), ("rtype", pa.string()), ("res", pa.bool_())])
 _ARROW_ISSUE = pa.struct([("code", pa.string()), ("severity", pa.string()), ("expression", pa.string())])
 _ELEMENT = re.compile(r"[a-z][A-Za-z0-9]{0,63}\Z")
@@ -46,7 +46,11 @@ class Number(str):
 
 
 class Fatal(Exception):
-    """A document that can't be read; its code only, never a value."""
+    """A document that can't be read: its code and where, as an offset in UTF-16 units or the location of an element; never a value."""
+
+    def __init__(self, code: str, offset: int | None = None, at: str | None = None) -> None:
+        super().__init__(code)
+        self.code, self.offset, self.at = code, offset, at
 
 
 def _no_constant(_: str) -> None:
@@ -57,26 +61,134 @@ _DECODER = json.JSONDecoder(object_pairs_hook=Members, parse_float=Number, parse
 
 
 def decode(text: str):
-    """Strict JSON; a byte-order mark, other white space and trailing content are refused."""
+    """Strict JSON; a byte-order mark, other white space and trailing content are refused, at their place."""
     try:
         value, end = _DECODER.raw_decode(text, re.match(r"[ \t\n\r]*", text).end())
-    except RecursionError:
-        raise Fatal("MAX_DEPTH_EXCEEDED") from None
-    except ValueError:
-        raise Fatal("MALFORMED_JSON") from None
-    if text[end:].strip(" \t\n\r"):
-        raise Fatal("MALFORMED_JSON")
-    if text.count("{") + text.count("[") > MAX_DEPTH:
-        _bounded(value)
+    except (RecursionError, ValueError):
+        raise fault(text) from None
+    if text[end:].strip(" \t\n\r") or text.count("{") + text.count("[") > MAX_DEPTH and _deep(value):
+        raise fault(text)
     return value
 
 
-def _bounded(value) -> None:
-    """Refuses objects and arrays nested beyond the bound; scalars count as a level of their own."""
+def utf16_units(s: str) -> int:
+    return len(s) if s.isascii() else len(s) + sum(c > "\uffff" for c in s)
+
+
+_SPACES = re.compile(r"[ \t\n\r]*")
+_PLAIN = re.compile(r'[^"\\\x00-\x1f]*')
+_HEX = re.compile(r"[0-9a-fA-F]{4}")
+_DIGITS = re.compile(r"[0-9]*")
+
+
+def _string_end(text: str, i: int) -> tuple[int, bool]:
+    """(place after the string whose quote is at i, True), or (place of its fault, False)."""
+    i += 1
+    while True:
+        i = _PLAIN.match(text, i).end()
+        c = text[i : i + 1]
+        if c == '"':
+            return i + 1, True
+        if c != "\\":
+            return i, False
+        e = text[i + 1 : i + 2]
+        if not e:
+            return i + 1, False
+        i += 2
+        if e == "u":
+            if not _HEX.match(text, i):
+                return i, False
+            i += 4
+        elif e not in '"\\/bfnrt':
+            return i, False
+
+
+def _number_end(text: str, i: int) -> tuple[int, bool]:
+    i += text[i] == "-"
+    j = i + 1 if text[i : i + 1] == "0" else _DIGITS.match(text, i).end()
+    if j == i:
+        return i, False
+    parts = [(".", "")] if text[j : j + 1] == "." else []
+    if parts:
+        i, j = j + 1, _DIGITS.match(text, j + 1).end()
+        if j == i:
+            return i, False
+    if text[j : j + 1] in ("e", "E"):
+        i = j + 1 + (text[j + 1 : j + 2] in ("+", "-"))
+        j = _DIGITS.match(text, i).end()
+        if j == i:
+            return i, False
+    return j, True
+
+
+def fault(text: str) -> Fatal:
+    """What is wrong with a text that isn't a document, and where: read again, token by token, as the decoder doesn't keep places."""
+    at = lambda i: utf16_units(text[:i])
+    skip = lambda i: _SPACES.match(text, i).end()
+    malformed = lambda i: Fatal("MALFORMED_JSON", at(i))
+    i, open_ = skip(0), []
+    value = True  # whether a value is due, or else what follows one
+    while True:
+        c = text[i : i + 1]
+        if value:
+            if len(open_) > MAX_DEPTH:
+                return Fatal("MAX_DEPTH_EXCEEDED", at(i))
+            if c and c in "{[":
+                open_.append(c)
+                i = skip(i + 1)
+                if text[i : i + 1] == ("}" if c == "{" else "]"):
+                    open_.pop()
+                    i, value = i + 1, False
+                elif c == "[":
+                    continue
+            elif c == '"':
+                i, good = _string_end(text, i)
+                if not good:
+                    return malformed(i)
+                value = False
+            elif c and c in "-0123456789":
+                i, good = _number_end(text, i)
+                if not good:
+                    return malformed(i)
+                value = False
+            else:
+                word = next((w for w in ("true", "false", "null") if text.startswith(w, i)), None)
+                if word is None:
+                    return malformed(i)
+                i, value = i + len(word), False
+        if not value:
+            i = skip(i)
+            if not open_:
+                return malformed(i)  # what follows the document, or its end if nothing is wrong
+            c = text[i : i + 1]
+            if c == ("}" if open_[-1] == "{" else "]"):
+                open_.pop()
+                i += 1
+                continue
+            if c != ",":
+                return malformed(i)
+            i = skip(i + 1)
+            value = True
+            if open_[-1] == "[":
+                continue
+        # a member's name and colon
+        if text[i : i + 1] != '"':
+            return malformed(i)
+        i, good = _string_end(text, i)
+        if not good:
+            return malformed(i)
+        i = skip(i)
+        if text[i : i + 1] != ":":
+            return malformed(i)
+        i = skip(i + 1)
+
+
+def _deep(value) -> bool:
+    """Whether objects and arrays are nested beyond the bound; scalars count as a level of their own."""
     level, depth = [value], 0
     while level:
         if depth > MAX_DEPTH:
-            raise Fatal("MAX_DEPTH_EXCEEDED")
+            return True
         below: list = []
         for x in level:
             if isinstance(x, Members):
@@ -84,6 +196,7 @@ def _bounded(value) -> None:
             elif isinstance(x, list):
                 below += x
         level, depth = below, depth + 1
+    return False
 
 
 _LONE = re.compile(r"[\ud800-\udfff]")
@@ -176,7 +289,7 @@ class _Tree:
                     self.issue("MISPLACED_PRIMITIVE_EXTENSION", at)
                 return
             if isinstance(m, list) and not isinstance(m, Members):
-                raise Fatal("PRIMITIVE_EXTENSION_MISALIGNED")
+                raise Fatal("PRIMITIVE_EXTENSION_MISALIGNED", at=at)
             self.primitive(n, name, None, at, bool(value), v, bool(side), m, dup, depth, False)
             return
         items = v if value else []
@@ -184,12 +297,12 @@ class _Tree:
         scalars = not isinstance(first, (Members, list))
         if side and (not isinstance(m, list) or isinstance(m, Members)):
             if scalars:
-                raise Fatal("PRIMITIVE_EXTENSION_MISALIGNED")
+                raise Fatal("PRIMITIVE_EXTENSION_MISALIGNED", at=at)
             self.issue("MISPLACED_PRIMITIVE_EXTENSION", at)
             m, side = None, []
         metas = m if side else []
         if scalars and value and side and len(items) != len(metas):
-            raise Fatal("PRIMITIVE_EXTENSION_MISALIGNED")
+            raise Fatal("PRIMITIVE_EXTENSION_MISALIGNED", at=at)
         if not scalars and side:
             self.issue("MISPLACED_PRIMITIVE_EXTENSION", at)
         for i in range(max(len(items), len(metas) if scalars else 0)):
@@ -246,60 +359,152 @@ class _Tree:
         self.close(p)
 
 
-def flatten(text: str | None) -> tuple[str | None, list, list, str | None]:
-    """(type, nodes, issues, fatal code) of one document; a null text is a null row, without nodes and without a fault."""
+def flatten(text: str | None) -> tuple:
+    """(type, nodes, issues, fatal code, its offset, its location) of one document; a null text is a null row, without nodes and without a fault."""
     if text is None:
-        return None, [], [], None
+        return None, [], [], None, None, None
     try:
         value = decode(text)
         if not isinstance(value, Members):
-            raise Fatal("NOT_AN_OBJECT")
+            raise Fatal("NOT_AN_OBJECT", utf16_units(text[: _SPACES.match(text).end()]))
         t = _Tree()
         root = t.complex(value, -1, 0, "", None, "$this")
-        return root["rtype"], t.nodes, t.issues, None
+        return root["rtype"], t.nodes, t.issues, None, None, None
     except Fatal as e:
-        return None, [], [], str(e)
+        return None, [], [], e.code, e.offset, e.at
+
+
+class Unreadable(ValueError):
+    """Ends a job in FAILFAST mode; says the code and the place, and nothing of the document."""
+
+
+_COLUMNS = (pa.string(), pa.list_(_ARROW_NODE), pa.list_(_ARROW_ISSUE), pa.string(), pa.int64(), pa.string())
+_NAMES = ("resource_type", "nodes", "read_issues", "fatal", "fatal_offset", "fatal_expression")
 
 
-def parsed(batches: Iterator[pa.RecordBatch], flatten) -> Iterator[pa.RecordBatch]:
+def parsed(batches: Iterator[pa.RecordBatch], flatten, strict: bool = False) -> Iterator[pa.RecordBatch]:
     """The last column's texts as trees, BATCH_BYTES of text at a time."""
     for b in batches:
         texts = b.column(b.num_columns - 1)
-        names = [*b.schema.names[:-1], "resource_type", "nodes", "read_issues", "fatal"]
+        names = [*b.schema.names[:-1], *_NAMES]
         rows: list = []
         first = size = 0
         for k in range(b.num_rows + 1):
             if k == b.num_rows or size >= BATCH_BYTES:
                 if k > first or not b.num_rows:
                     own = b.slice(first, k - first)
-                    yield pa.RecordBatch.from_arrays([*own.columns[:-1], *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.list_(_ARROW_NODE), pa.list_(_ARROW_ISSUE), pa.string())))], names=names)
+                    yield pa.RecordBatch.from_arrays([*own.columns[:-1], *(pa.array([r[i] for r in rows], t) for i, t in enumerate(_COLUMNS))], names=names)
                 rows, first, size = [], k, 0
             if k < b.num_rows:
                 text = texts[k].as_py()
-                rows.append(flatten(text))
+                r = flatten(text)
+                if strict and r[3]:
+                    raise Unreadable(f"{r[3]} at {r[5] or f'offset {r[4]}'}")
+                rows.append(r)
                 size += len(text or "")
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return parsed(batches, flatten)
+def reader(docs: DataFrame, text: str, flatten, mode: str) -> DataFrame:
+    if mode not in ("PERMISSIVE", "FAILFAST"):
+        raise ValueError("mode is PERMISSIVE or FAILFAST")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return parsed(batches, flatten, mode == "FAILFAST")
 
-def read_resources(docs: DataFrame, text: str = "raw") -> DataFrame:
-    """docs with the JSON of `text` replaced by resource_type, nodes, read_issues and fatal; other columns stay."""
     keys = [c for c in docs.columns if c != text]
     ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keys)
-    return docs.select(*keys, F.col(text).cast("string").alias(text)).mapInArrow(_parse, f"{ddl}, {SCHEMA}" if ddl else SCHEMA)
+    return docs.select(*keys, F.col(text).cast("string").alias(text)).mapInArrow(run, f"{ddl}, {SCHEMA}" if ddl else SCHEMA)
+
+
+def read_resources(docs: DataFrame, text: str = "raw", mode: str = "PERMISSIVE") -> DataFrame:
+    """docs with the JSON of `text` replaced by resource_type, nodes, read_issues, fatal and its place; other columns stay.
+
+    `fatal_offset` counts UTF-16 units of the text, `fatal_expression` is the location of an element. Mode FAILFAST: a document that can't be read ends the job instead.
+    """
+    return reader(docs, text, flatten, mode)
+
+
+class Primitive:
+    """A value made in code with metadata of its own: an id and extensions (dicts)."""
+
+    def __init__(self, value=None, id: str | None = None, extension: tuple | list = ()) -> None:  # noqa: A002
+        self.value, self.id, self.extension = value, id, list(extension)
 
 
-def read_ndjson(spark: SparkSession, path: str) -> DataFrame:
-    """A Bulk NDJSON file or folder: source, offset-ordered line text without its CR, blank lines dropped."""
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("source"), F.regexp_replace("value", r"\r\z", "").alias("raw"))
-    return ndjson_records(lines.where("trim(raw) <> ''"))
+class Repeated(dict):
+    """A dict whose members have several values, one after another, as a document that repeats a name has them: {name: [value, value]}."""
+
+
+def _raw(value):
+    """A value made in code, as the decoder gives it."""
+    if isinstance(value, dict):
+        out = Members()
+        for k, v in value.items():
+            if not isinstance(k, str):
+                raise TypeError("names of members are strings")
+            for x in v if isinstance(value, Repeated) else (v,):
+                _members(out, k, x)
+        return out
+    if isinstance(value, (list, tuple)):
+        return [_raw(v) for v in value]
+    if value is None or isinstance(value, (bool, str)):
+        return value
+    if isinstance(value, (int, Decimal)):
+        if isinstance(value, Decimal) and not value.is_finite():
+            raise ValueError("a number has to be finite")
+        return Number(str(value))
+    raise TypeError(f"no node can be made of {type(value).__name__}")
+
+
+def _side(p: Primitive) -> Members | None:
+    out = Members([("id", p.id)] if p.id is not None else [])
+    if p.extension:
+        out.append(("extension", _raw(p.extension)))
+    return out or None
+
+
+def _members(out: Members, name: str, value) -> None:
+    """A member, and the metadata beside it."""
+    if isinstance(value, Primitive):
+        if value.value is not None:
+            out.append((name, _raw(value.value)))
+        if (side := _side(value)) is not None:
+            out.append((f"_{name}", side))
+    elif isinstance(value, (list, tuple)) and any(isinstance(v, Primitive) for v in value):
+        values = [v.value if isinstance(v, Primitive) else v for v in value]
+        if any(v is not None for v in values):
+            out.append((name, [_raw(v) for v in values]))
+        sides = [_side(v) if isinstance(v, Primitive) else None for v in value]
+        if any(sides):
+            out.append((f"_{name}", sides))
+    else:
+        out.append((name, _raw(value)))
+
+
+def tree(value: dict) -> tuple:
+    """(type, nodes, issues, None, None, None) of a resource made in code: dicts, lists, strings, booleans, whole numbers and Decimals, and Primitive for values with metadata. As `flatten` gives it for the document that says the same."""
+    t = _Tree()
+    root = t.complex(_raw(value), -1, 0, "", None, "$this")
+    return root["rtype"], t.nodes, t.issues, None, None, None
+
+
+def build_resources(rows: DataFrame, make) -> DataFrame:
+    """rows with the resource that `make` gives for each of them (a dict by column name) as a tree, in tasks; make may give None."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [tree(v) if (v := make(r)) is not None else (None, [], [], None, None, None) for r in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([m[i] for m in made], t) for i, t in enumerate(_COLUMNS))], names=[*b.schema.names, *_NAMES])
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{ddl}, {SCHEMA}")
 
 
 def ndjson_records(lines: DataFrame, max_bytes: int = 16 << 20) -> DataFrame:
-    """lines(raw, ...) -> one record each: the resource, or an error code; a bad line never stops the others."""
-    long = F.octet_length("raw") > max_bytes
+    """lines(raw, ...) -> one record each: the resource, or an error code; a bad line never stops the others. A line whose text its reader has left out says so in `too_long`."""
+    long = F.coalesce(F.octet_length("raw") > max_bytes, F.lit(False))
+    if "too_long" in lines.columns:
+        long = long | F.coalesce("too_long", F.lit(False))
     read = read_resources(lines.withColumn("too_long", long).withColumn("raw", F.when(~long, F.col("raw"))))
     code = F.when(F.col("too_long"), "LINE_TOO_LONG").when(F.col("fatal").isin("MALFORMED_JSON", "MAX_DEPTH_EXCEEDED"), "MALFORMED_JSON").when(F.col("fatal").isNotNull(), "NOT_A_RESOURCE")
     return read.withColumn("error", code).drop("too_long")

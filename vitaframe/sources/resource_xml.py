@@ -1,150 +1,272 @@
-"""XML resources as the same rows as JSON ones. A document type is refused; values are strings."""
+"""XML resources as the same rows as JSON ones. A document type is refused; values are strings.
+
+The parser keeps tags as they are written and namespaces are resolved here, with a
+scope of prefixes for each element: an element of its parent's namespace goes by its
+local name, any other by its tag, so that foreign content never passes for a FHIR
+element of the same local name; a prefix that nothing binds is kept as text. Both
+are reported. The narrative is the XHTML div in whatever spelling. It is written
+anew from its elements, with the declarations that it took from around it, in the
+order of their prefixes; comments and processing instructions go.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .resource_json import MAX_DEPTH, SCHEMA, WITHHELD, _ELEMENT, _TYPE, Fatal, _Tree, parsed
+from .resource_json import MAX_DEPTH, WITHHELD, _ELEMENT, _TYPE, Fatal, _Tree, reader, utf16_units
 
 FHIR = "http://hl7.org/fhir"
 XHTML = "http://www.w3.org/1999/xhtml"
+#: The one prefix that is bound without a declaration.
+_XML = {"xml": "http://www.w3.org/XML/1998/namespace"}
 
 
 class _Element:
-    def __init__(self, tag: str, attributes: dict[str, str], begin: int) -> None:
-        self.ns, _, self.tag = tag.rpartition(" ")
-        self.attributes, self.children, self.text, self.begin, self.end = attributes, [], "", begin, begin
+    """A tag and attributes as they are written, and its content: elements and strings."""
+
+    __slots__ = ("tag", "attributes", "content")
+
+    def __init__(self, tag: str, attributes: dict[str, str]) -> None:
+        self.tag, self.attributes, self.content = tag, attributes, []
+
+    def text(self) -> str:
+        return "".join(c for c in self.content if isinstance(c, str))
+
+
+class _Scoped(NamedTuple):
+    element: _Element
+    scope: dict[str, str]
+    ns: str
+    #: What it is called in the tree, and whether it is of another vocabulary than its parent.
+    name: str
+    foreign: bool
+    narrative: bool
+
+
+def _declared(attribute: str) -> str | None:
+    """The prefix that an attribute declares, "" for the default namespace; None for any other attribute."""
+    return "" if attribute == "xmlns" else attribute[6:] if attribute.startswith("xmlns:") else None
+
+
+def _scoped(e: _Element, around: dict[str, str], ns: str) -> _Scoped:
+    scope = around
+    for k, v in e.attributes.items():
+        prefix = _declared(k)
+        if prefix is not None:
+            scope = dict(scope) if scope is around else scope
+            scope.pop(prefix, None)
+            if v:
+                scope[prefix] = v
+    prefix, colon, local = e.tag.rpartition(":") if e.tag.count(":") < 2 else ("", ":", "")
+    bound = scope.get(prefix) if prefix or not colon else None
+    if colon and (bound is None or not local):
+        return _Scoped(e, scope, "", e.tag, True, False)
+    own = bound or ""
+    narrative = local == "div" and own == XHTML
+    return _Scoped(e, scope, own, local if own == ns or narrative else e.tag, own != ns, narrative)
 
 
 def parse(text: str) -> _Element:
-    """The element tree; DOCTYPE, CDATA, unknown entities and nesting beyond the bound are refused."""
+    """The element tree; DOCTYPE, CDATA, unknown entities and nesting beyond the bound are refused, at the place where they stand."""
     data = text.encode("utf-8", "surrogatepass")
-    p = expat.ParserCreate("utf-8", namespace_separator=" ")
+    p = expat.ParserCreate("utf-8")
     stack: list[_Element] = []
     root: list[_Element] = []
 
+    def place(at: int) -> int:
+        return utf16_units(data[: max(at, 0)].decode("utf-8", "ignore"))
+
     def refuse(code: str):
         def handler(*_):
-            raise Fatal(code)
+            raise Fatal(code, place(p.CurrentByteIndex))
 
         return handler
 
     def start(tag, attributes):
         if len(stack) >= MAX_DEPTH:
-            raise Fatal("MAX_DEPTH_EXCEEDED")
-        e = _Element(tag, attributes, p.CurrentByteIndex)
-        (stack[-1].children if stack else root).append(e)
+            raise Fatal("MAX_DEPTH_EXCEEDED", place(p.CurrentByteIndex))
+        e = _Element(tag, attributes)
+        if stack:
+            stack[-1].content.append(e)
+        else:
+            root.append(e)
         stack.append(e)
 
-    def end(_):
-        e = stack.pop()
-        at = p.CurrentByteIndex
-        e.end = data.find(b">", at) + 1 if data[at : at + 2] == b"</" else data.find(b">", e.begin) + 1
-
     def chars(s):
         if stack:
-            stack[-1].text += s
+            stack[-1].content.append(s)
+
+    p.buffer_text = True
+    p.StartElementHandler, p.EndElementHandler, p.CharacterDataHandler = start, lambda _: stack.pop(), chars
+    def doctype(*_):
+        raise Fatal("DTD_FORBIDDEN", place(data.rfind(b"<!DOCTYPE", 0, p.CurrentByteIndex + 1)))
 
-    p.StartElementHandler, p.EndElementHandler, p.CharacterDataHandler = start, end, chars
-    p.StartDoctypeDeclHandler, p.StartCdataSectionHandler = refuse("DTD_FORBIDDEN"), refuse("MALFORMED_XML")
+    p.StartDoctypeDeclHandler, p.StartCdataSectionHandler = doctype, refuse("MALFORMED_XML")
     try:
         p.Parse(data, True)
     except expat.ExpatError as e:
         code = expat.errors.codes.get(expat.errors.XML_ERROR_UNDEFINED_ENTITY)
-        raise Fatal("UNDEFINED_ENTITY" if e.code == code else "MALFORMED_XML") from None
-    root[0].source = data
+        raise Fatal("UNDEFINED_ENTITY" if e.code == code else "MALFORMED_XML", place(p.ErrorByteIndex)) from None
     return root[0]
 
 
-def _complex(t: _Tree, e: _Element, parent: int, depth: int, name: str, idx, loc: str, resource: bool, source: bytes, meta: bool = False) -> None:
+_IN_TEXT = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;"})
+_IN_VALUE = str.maketrans({"&": "&amp;", "<": "&lt;", '"': "&quot;"})
+
+
+def _open_tag(e: _Element, more: str = "") -> str:
+    return f"<{e.tag}" + "".join(f' {k}="{v.translate(_IN_VALUE)}"' for k, v in e.attributes.items()) + more
+
+
+def _needed(e: _Element) -> set[str]:
+    """Prefixes that an element and what is in it use and don't declare; "" for the default namespace."""
+    out: set[str] = set()
+    todo = [(e, frozenset())]
+    while todo:
+        x, known = todo.pop()
+        known = known | {d for k in x.attributes if (d := _declared(k)) is not None}
+        used = {x.tag.partition(":")[0] if ":" in x.tag else ""}
+        used |= {k.partition(":")[0] for k in x.attributes if ":" in k and _declared(k) is None}
+        out |= used - known
+        todo += [(c, known) for c in x.content if isinstance(c, _Element)]
+    return out
+
+
+def narrative(e: _Element, scope: dict[str, str]) -> str:
+    """The markup of a narrative by itself."""
+    fix = "".join(f' xmlns{":" if k else ""}{k}="{scope[k].translate(_IN_VALUE)}"' for k in sorted(_needed(e) & set(scope) - {"xml"}))
+    out: list[str] = []
+    # what is still to be written, from the end
+    todo: list[tuple[_Element | str, str]] = [(e, fix)]
+    while todo:
+        x, more = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif not x.content:
+            out.append(f"{_open_tag(x, more)}/>")
+        else:
+            out.append(f"{_open_tag(x, more)}>")
+            todo.append((f"</{x.tag}>", ""))
+            todo += [(c if isinstance(c, _Element) else c.translate(_IN_TEXT), "") for c in reversed(x.content)]
+    return "".join(out)
+
+
+def _attribute_at(loc: str, name: str) -> str:
+    return f"{loc}.@{name if _ELEMENT.match(name) else WITHHELD}"
+
+
+def _children(s: _Scoped) -> list[_Scoped]:
+    return [_scoped(c, s.scope, s.ns) for c in s.element.content if isinstance(c, _Element)]
+
+
+def _complex(t: _Tree, s: _Scoped, parent: int, depth: int, name: str, idx, loc: str, resource: bool, meta: bool = False) -> None:
+    e = s.element
     n = t.open(parent, depth, name, idx, loc, "complex", meta=meta)
     if resource:
-        n["rtype"], n["res"] = e.tag, True
+        n["rtype"], n["res"] = s.name, True
         if parent < 0:
-            loc = n["loc"] = e.tag if _TYPE.match(e.tag) else WITHHELD
-        t.close(t.open(n["id"], depth + 1, "resourceType", None, f"{loc}.resourceType", "primitive", vtype="string", lex=e.tag))
+            loc = n["loc"] = s.name if _TYPE.match(s.name) else WITHHELD
+        t.close(t.open(n["id"], depth + 1, "resourceType", None, f"{loc}.resourceType", "primitive", vtype="string", lex=s.name))
     for k, v in e.attributes.items():
         if k in ("id", "url"):
             t.open(n["id"], depth + 1, k, None, f"{loc}.{k}", "primitive", vtype="string", lex=v)
-        else:
-            t.issue("UNKNOWN_PROPERTY", f"{loc}.@{k if _ELEMENT.match(k) else WITHHELD}")
-    if e.text.strip():
+        elif _declared(k) is None:
+            t.issue("UNKNOWN_PROPERTY", _attribute_at(loc, k))
+    if e.text().strip():
         t.issue("UNEXPECTED_XML_CONTENT", loc)
         t.open(n["id"], depth + 1, "", None, loc, "text")
-    groups: dict[str, list[_Element]] = {}
-    for c in e.children:
-        groups.setdefault(c.tag, []).append(c)
+    groups: dict[str, list[_Scoped]] = {}
+    for c in _children(s):
+        groups.setdefault(c.name, []).append(c)
+    places = {tag: f"{loc}.{tag if _ELEMENT.match(tag) else WITHHELD}" for tag in groups}
     for tag, items in groups.items():
-        at = f"{loc}.{tag if _ELEMENT.match(tag) else WITHHELD}"
-        if len({c.ns for c in items}) > 1:
-            t.issue("MIXED_XML_SPELLING", at)
+        if len({(c.element.tag, c.ns) for c in items}) > 1:
+            t.issue("MIXED_XML_SPELLING", places[tag])
+    for tag, items in groups.items():
+        many, at = len(items) > 1, places[tag]
         for i, c in enumerate(items):
-            many = len(items) > 1
-            _child(t, c, n["id"], depth + 1, tag, i if many else None, f"{at}[{i}]" if many else at, e.ns, source)
+            _child(t, c, n["id"], depth + 1, tag, i if many else None, f"{at}[{i}]" if many else at)
     t.close(n)
 
 
-def _child(t: _Tree, c: _Element, parent: int, depth: int, name: str, idx, loc: str, ns: str, source: bytes) -> None:
-    if name == "div" and c.ns in (XHTML, ""):
-        raw = source[c.begin : c.end].decode("utf-8", "surrogatepass")
-        t.open(parent, depth, name, idx, loc, "primitive", vtype="string", lex=raw)
-        return
-    if c.ns != ns:
+def _child(t: _Tree, c: _Scoped, parent: int, depth: int, name: str, idx, loc: str) -> None:
+    if c.foreign and not c.narrative:
         t.issue("UNEXPECTED_XML_CONTENT", loc)
-    inner = c.children[0] if len(c.children) == 1 and not c.attributes and _TYPE.match(c.children[0].tag) else None
-    if inner is not None:
-        _complex(t, inner, parent, depth, name, idx, loc, True, source)
-    elif "value" in c.attributes or (c.children and not set(c.attributes) - {"id"} and all(x.tag == "extension" for x in c.children)):
-        p = t.open(parent, depth, name, idx, loc, "primitive", vtype="string" if "value" in c.attributes else None, lex=c.attributes.get("value"))
-        p["elem_id"] = c.attributes.get("id")
-        ext = [x for x in c.children if x.tag == "extension"]
-        for i, x in enumerate(ext):
-            _complex(t, x, p["id"], depth + 1, "extension", i, f"{loc}.extension[{i}]", False, source, meta=True)
-        if c.text.strip():
+    if c.name == "div":
+        t.open(parent, depth, name, idx, loc, "primitive", vtype="string", lex=narrative(c.element, c.scope))
+        return
+    e, below = c.element, _children(c)
+    value = e.attributes.get("value")
+    if value is None and len(below) == 1 and below[0].name[:1].isascii() and below[0].name[:1].isupper():
+        before = len(t.issues)
+        if below[0].foreign:
             t.issue("UNEXPECTED_XML_CONTENT", loc)
-            t.open(p["id"], depth + 1, "", None, loc, "text", meta=True)
-        t.close(p)
-    else:
-        _complex(t, c, parent, depth, name, idx, loc, False, source)
+        mine = len(t.nodes)
+        _complex(t, below[0], parent, depth, name, idx, loc, True)
+        if e.text().strip():
+            if not any(i["code"] == "UNEXPECTED_XML_CONTENT" and i["expression"] == loc for i in t.issues[before:]):
+                t.issue("UNEXPECTED_XML_CONTENT", loc)
+            t.open(mine, depth + 1, "", None, loc, "text")
+            t.close(t.nodes[mine])
+        return
+    others = [x for x in below if x.name != "extension"]
+    if value is None and others:
+        _complex(t, c, parent, depth, name, idx, loc, False)
+        return
+    for x in others:
+        t.issue("UNKNOWN_PROPERTY", f"{loc}.{x.name if _ELEMENT.match(x.name) else WITHHELD}")
+    p = t.open(parent, depth, name, idx, loc, "primitive", vtype=None if value is None else "string", lex=value)
+    p["elem_id"] = e.attributes.get("id")
+    for i, x in enumerate(x for x in below if x.name == "extension"):
+        at = f"{loc}.extension[{i}]"
+        if x.foreign:
+            t.issue("UNEXPECTED_XML_CONTENT", at)
+        _complex(t, x, p["id"], depth + 1, "extension", i, at, False, meta=True)
+    for k in e.attributes:
+        if k not in ("id", "value") and _declared(k) is None:
+            t.issue("UNKNOWN_PROPERTY", _attribute_at(loc, k))
+    if e.text().strip():
+        t.issue("UNEXPECTED_XML_CONTENT", loc)
+        t.open(p["id"], depth + 1, "", None, loc, "text", meta=True)
+    t.close(p)
 
 
-def flatten(text: str | None) -> tuple[str | None, list, list, str | None]:
+def flatten(text: str | None) -> tuple:
     if text is None:
-        return None, [], [], None
+        return None, [], [], None, None, None
     try:
-        e = parse(text)
+        s = _scoped(parse(text), _XML, FHIR)
         t = _Tree()
-        if e.ns not in (FHIR, ""):
-            t.issue("UNEXPECTED_XML_CONTENT", e.tag if _TYPE.match(e.tag) else WITHHELD)
-        _complex(t, e, -1, 0, "", None, "$this", True, e.source)
-        return e.tag, t.nodes, t.issues, None
+        if s.foreign and (s.ns or ":" in s.name):
+            t.issue("UNEXPECTED_XML_CONTENT", s.name if _TYPE.match(s.name) else WITHHELD)
+        _complex(t, s, -1, 0, "", None, "$this", True)
+        return s.name, t.nodes, t.issues, None, None, None
     except Fatal as f:
-        return None, [], [], str(f)
-
+        return None, [], [], f.code, f.offset, f.at
 
-def read_xml(docs: DataFrame, text: str = "raw") -> DataFrame:
-    """docs with the XML of `text` replaced by resource_type, nodes, read_issues and fatal."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return parsed(batches, flatten)
-
-    keys = [c for c in docs.columns if c != text]
-    ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keys)
-    return docs.select(*keys, F.col(text).cast("string").alias(text)).mapInArrow(run, f"{ddl}, {SCHEMA}" if ddl else SCHEMA)
+def read_xml(docs: DataFrame, text: str = "raw", mode: str = "PERMISSIVE") -> DataFrame:
+    """docs with the XML of `text` replaced by resource_type, nodes, read_issues, fatal and its place; mode FAILFAST: such a document ends the job instead."""
+    return reader(docs, text, flatten, mode)
 
 
 def canonical(nodes: Column) -> Column:
-    """What two spellings of a resource share, in document order: written values, ids and sources by path, without the index of an array's only item."""
+    """What two spellings of a resource share, node by node in document order.
+
+    A node is its depth, name and kind, its written value, its id, what could not be modelled, and whether it is a later member of a repeated name or metadata. An array's only item is its item; the type of a value isn't compared, as XML has none.
+    """
+    return F.transform(nodes, lambda n: F.struct(n["depth"].alias("depth"), n["name"].alias("name"), F.coalesce(n["idx"], F.lit(0)).alias("item"), n["kind"].alias("kind"), n["lex"].alias("lex"), n["elem_id"].alias("elem_id"), n["src"].alias("src"), n["dup"].alias("dup"), n["meta"].alias("meta")))
 
-    def row(n: Column) -> Column:
-        return F.concat_ws("=", F.regexp_replace(n["loc"], r"\[0\]", ""), F.coalesce(n["lex"], n["kind"]), F.coalesce(n["elem_id"], F.lit("")), F.coalesce(n["src"], F.lit("")))
 
-    return F.transform(nodes, row)
+def equivalent(a: Column, b: Column) -> Column:
+    """Whether two trees say the same: content, order, repeated members and marks; a list of one is its item at any depth."""
+    return canonical(a).eqNullSafe(canonical(b))
 
 
 _ESCAPES = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "\t": "&#9;", "\n": "&#10;", "\r": "&#13;"})
@@ -157,7 +279,8 @@ def _attribute(name: str, value: str | None) -> str:
 def _is_div(markup: str) -> bool:
     """Whether a narrative is one well-formed div element and nothing else."""
     try:
-        return parse(markup).tag == "div" and markup.startswith("<div") and markup.endswith((">",))
+        s = _scoped(parse(markup), _XML, XHTML)
+        return s.name == "div" and not (s.foreign and s.ns) and markup.startswith("<") and not markup.startswith(("<?", "<!")) and markup.endswith(">")
     except Fatal:
         return False
 

@@ -1,14 +1,5 @@
-"""Structured Streaming over Bulk NDJSON folders."""
+"""Structured Streaming over Bulk NDJSON folders: `stream_ndjson`, with line numbers."""
 
-from __future__ import annotations
+from ..sources.ndjson import stream_ndjson
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..sources.resource_json import ndjson_records
-
-
-def stream_ndjson(spark: SparkSession, folder: str) -> DataFrame:
-    """A stateless stream of records: each line a resource or an error; files are read once, as they arrive."""
-    lines = spark.readStream.format("text").schema("value string").option("lineSep", "\n").load(folder)
-    return ndjson_records(lines.select(F.regexp_replace("value", r"\r\z", "").alias("raw")).where("trim(raw) <> ''"))
+__all__ = ["stream_ndjson"]
