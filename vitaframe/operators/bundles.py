@@ -102,7 +102,9 @@ def resolve_alone(resources: DataFrame, *keys: str) -> DataFrame:
     """keys, expression, reference, kind, status and contained of the references of resources that stand in no Bundle: only fragments lead anywhere; a relative one is unresolved, any other external."""
     held = F.filter(top("contained"), lambda c: c["kind"] == "complex")
     refs = F.filter(nodes(), lambda n: (n["name"] == "reference") & (n["vtype"] == "string") & ~n["dup"] & ~n["meta"])
-    rows = resources.where("resource_type is not null and resource_type <> 'Bundle'").select(*keys, F.transform(held, lambda c: F.struct(text(c["id"], "id").alias("id"), c["idx"].alias("idx"))).alias("held"), F.explode(refs).alias("x")).withColumn("r", parse_reference(F.col("x.lex")))
+    ids = F.transform(held, lambda c: F.struct(text(c["id"], "id").alias("id"), c["idx"].alias("idx")))
+    both = resources.where("resource_type is not null and resource_type <> 'Bundle'").select(*keys, ids.alias("held"), refs.alias("refs"))
+    rows = both.select(*keys, "held", F.explode("refs").alias("x")).withColumn("r", parse_reference(F.col("x.lex")))
     hit = F.get(F.filter("held", lambda h: h["id"] == F.col("r.id")), F.lit(0))
     kind = F.col("r.kind")
     status = F.when(kind == "fragment", F.when((F.col("r.id") == "") | hit["id"].isNotNull(), "resolved").otherwise("unresolved")).when(kind == "relative", "unresolved").otherwise("external")
