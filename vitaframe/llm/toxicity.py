@@ -7,11 +7,15 @@ overlap by half; both directions read every window, attention pools their
 states, and a document's score is the calibrated logit of its highest window.
 
 Training is weakly supervised, on at most TRAIN_DOCS labelled documents of the clean and
-the toxic class whose texts hold at most TRAIN_BYTES (documented bounds; rows in order of
-a hash of doc_id): windows of toxic documents are chosen by the log-odds of
+the toxic class, whole texts of any length, up to TRAIN_BYTES of each class together
+(documented bounds; rows in order of a hash of doc_id, so that long texts are as likely
+as short ones): windows of toxic documents are chosen by the log-odds of
 their n-grams, then by the network itself; the highest windows of clean
-documents are added as hard negatives; the whole sample, of which a fifth was kept
-out of the training, calibrates the score. Scoring covers every window of every text.
+documents are added as hard negatives. The score is calibrated by cross-fitting: FOLDS
+more networks, each trained without a part of the sample, in tasks of their own, say
+what that part's documents get from a network that hasn't seen them, and a scale and
+shift are fitted to these logits. Only where a class is of a single document do the
+documents of the training calibrate. Scoring covers every window of every text.
 
 Defined results: a null or empty text gets the score of a window without words;
 ids, null or repeated, pass through row by row (a null doc_id is not held out);
@@ -28,19 +32,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, mix, pieces, rolling, row_hashes, spans, tune
+from .common import ALNUM, LOWER, mix, pieces, rolling, row_hashes, scratch, spans, tune, written
 
 LENGTH, STRIDE = 24, 12
 HIDDEN, INPUT, ATTEND = 8, 12, 8
 BUCKETS = 1 << 14
 ORDERS = (3, 4, 5)
 TRAIN_DOCS = (3000, 1500)
-TRAIN_BYTES = 20_000
+TRAIN_BYTES = 24 << 20
 VOCABULARY = 4096
 CUT = 0.7
+FOLDS = 5
 CHUNK = 4096
 #: Windows of each class in a training turn.
 TURN = 4000
@@ -227,8 +232,8 @@ class _Words:
         self.rows = len(offs) - 1
 
 
-def doc_scores(net: Network, column: pa.Array) -> np.ndarray:
-    """The score of every text of a column."""
+def doc_logits(net: Network, column: pa.Array) -> np.ndarray:
+    """The logit of the highest window of every text of a column."""
     out = np.full(len(column), net.empty(), np.float64)
     for i, j, data, offs in pieces(column, 1 << 19):
         w = _Words(data, offs)
@@ -237,29 +242,29 @@ def doc_scores(net: Network, column: pa.Array) -> np.ndarray:
         logit = net.logits(net.inputs(w.grams, w.first, net.slots(w.hash)), w.ids)
         edge = np.flatnonzero(np.r_[True, w.row[1:] != w.row[:-1]])
         out[i + w.row[edge]] = np.maximum.reduceat(logit, edge)
-    return 1 / (1 + np.exp(-np.clip(net.scale * out + net.shift, -50, 50)))
+    return out
+
+
+def doc_scores(net: Network, column: pa.Array) -> np.ndarray:
+    """The score of every text of a column."""
+    return 1 / (1 + np.exp(-np.clip(net.scale * doc_logits(net, column) + net.shift, -50, 50)))
 
 
 def _odds(pos: np.ndarray, neg: np.ndarray, n: int, m: int) -> np.ndarray:
     return np.log((pos + 0.5) / (n + 1)) - np.log((neg + 0.5) / (m + 1))
 
 
-def fit(texts: list[str], toxic: np.ndarray, share: float | None = None, epochs: int = 6, seed: int = 8) -> Network | None:
-    """Trains on whole texts with document labels; None unless both classes are there.
-
-    share: toxic documents among all labelled ones, when the sample has another ratio; the score is calibrated to it.
-    """
+def fit(texts: list[str], toxic: np.ndarray, held: np.ndarray | None = None, epochs: int = 6, seed: int = 8) -> Network | None:
+    """Trains on whole texts with document labels, without those that `held` keeps out; not calibrated. None unless both classes are there."""
     toxic = np.asarray(toxic, bool)
-    if toxic.all() or not toxic.any():
+    held = np.zeros(len(texts), bool) if held is None else held
+    if toxic[~held].all() or not toxic[~held].any():
         return None
     rng = np.random.default_rng(seed)
     data = np.frombuffer("".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
     offs = np.r_[0, np.cumsum([len(t.encode("utf-8", "surrogatepass")) for t in texts])]
     w = _Words(data, offs)
     net = Network(seed)
-    held = rng.random(len(texts)) < 0.2
-    if toxic[held].all() or not toxic[held].any():
-        held[:] = False
     n_words = len(w.hash)
     # document frequencies of words, and through them of n-grams, in both classes; a run of documents at a time
     df, gdf = np.zeros((2, n_words), np.int64), np.zeros((2, BUCKETS), np.int64)
@@ -344,18 +349,15 @@ def fit(texts: list[str], toxic: np.ndarray, share: float | None = None, epochs:
                     m1[rows_k] = 0.9 * m1[rows_k] + 0.1 * g
                     m2[rows_k] = 0.99 * m2[rows_k] + 0.01 * g * g
                     net.p[k][rows_k] -= (0.01 * (m1[rows_k] / (1 - 0.9 ** min(step, 500))) / (np.sqrt(m2[rows_k] / (1 - 0.99 ** min(step, 5000))) + 1e-6)).astype(np.float32)
-    _calibrate(net, w, toxic, np.ones(len(texts), bool), slot, share)
     return net
 
 
-def _calibrate(net: Network, w: _Words, toxic: np.ndarray, rows: np.ndarray, slot: np.ndarray, share: float | None) -> None:
-    """A scale and shift of the highest logit, so that the score is a probability on documents outside the training."""
-    top = np.full(w.rows, net.empty())
-    if len(w.ids):
-        logit = net.logits(net.inputs(w.grams, w.first, slot), w.ids)
-        edge = np.flatnonzero(np.r_[True, w.row[1:] != w.row[:-1]])
-        top[w.row[edge]] = np.maximum.reduceat(logit, edge)
-    x, y = top[rows].astype(float), toxic[rows].astype(float)
+def calibrate(net: Network, x: np.ndarray, toxic: np.ndarray, share: float | None = None) -> None:
+    """A scale and shift of logits x, so that the score is a probability.
+
+    share: toxic documents among all labelled ones, when the sample has another ratio.
+    """
+    y = np.asarray(toxic, float)
     own = y.mean()
     share = share or own
     weight = np.where(y > 0, share / own, (1 - share) / (1 - own)) if 0 < own < 1 else np.ones(len(y))
@@ -389,21 +391,52 @@ def train(docs: DataFrame, labels: DataFrame, limit: tuple[int, int] = TRAIN_DOC
         part = known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit[c])
         pick = part if pick is None else pick.union(part)
     # at most sum(limit) rows of two numbers: small enough to broadcast, whatever the corpus
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(pick), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sum(limit))
+    texts_ = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    key = F.xxhash64("text").alias("key")
+    sized = texts_.select("doc_id", key, F.octet_length("text").cast("long").alias("size")).join(F.broadcast(pick), "doc_id").where("size is not null")
+    first = sized.groupBy("doc_id", "key").agg(F.first("size").alias("size"), F.first("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "key").limit(sum(limit))
+    # whole texts, until the bytes of their class are used up; a text that doesn't fit leaves room for those after it
+    at = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "key").rowsBetween(Window.unboundedPreceding, 0)
+    fits = F.sum(F.when(F.col("size") <= TRAIN_BYTES, F.col("size"))).over(at)
+    chosen = first.withColumn("upto", fits).where((F.col("size") <= TRAIN_BYTES) & (F.col("upto") <= TRAIN_BYTES)).select("doc_id", "key", "toxic")
+    found = texts_.withColumn("key", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "key"]).groupBy("doc_id", "key").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
+    nth = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "key"))
     share = size.get(1, 0) / max(sum(size.values()), 1)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, toxic = [], []
+        by: dict[int, list[tuple]] = {}
         for b in batches:
-            texts += b.column(0).to_pylist()
-            toxic += b.column(1).to_pylist()
-        net = fit(texts, np.array(toxic, bool), share) if texts else None
-        if net is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["network"])
-
-    # the bounded sample is learnt from in one task; the driver sees the parameters only
-    got = rows.select("text", "toxic").mapInArrow(learn, "network binary").collect()
-    return pickle.loads(got[0].network) if got else None
+            for turn, *row in zip(*(c.to_pylist() for c in b.columns)):
+                by.setdefault(turn, []).append(tuple(row))
+        for turn, rows_ in by.items():
+            rows_.sort(key=lambda r: (r[0], r[1]))
+            texts, toxic, fold = [r[2] for r in rows_], np.array([r[0] for r in rows_], bool), np.array([r[1] % FOLDS for r in rows_])
+            held = fold == turn
+            net = fit(texts, toxic, held)
+            if net is not None:
+                # the last turn has all documents, and says what they get themselves
+                ask = held if turn < FOLDS else ~held
+                x = doc_logits(net, pa.array([t for t, a in zip(texts, ask) if a], pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array([turn], pa.int32()), pa.array([pickle.dumps(net) if turn == FOLDS else None], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([toxic[ask].tobytes()], pa.binary())], names=["turn", "network", "logits", "toxic"])
+
+    with scratch(docs.sparkSession):
+        # bounded: at most sum(limit) texts of 2 * TRAIN_BYTES together, read by FOLDS + 1 tasks
+        sample = written(found.withColumn("nth", nth), "sample")
+        turns = sample.select(F.explode(F.array(*(F.lit(k) for k in range(FOLDS + 1)))).alias("turn"), "toxic", "nth", "text")
+        got = turns.repartitionByRange(FOLDS + 1, "turn").mapInArrow(learn, "turn int, network binary, logits binary, toxic binary").collect()
+    whole = next((r for r in got if r.turn == FOLDS), None)
+    if whole is None:
+        return None
+    net = pickle.loads(whole.network)
+
+    def said(rows_: list) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([np.frombuffer(r.logits) for r in rows_] or [np.zeros(0)]), np.concatenate([np.frombuffer(r.toxic, bool) for r in rows_] or [np.zeros(0, bool)])
+
+    x, toxic = said([r for r in got if r.turn < FOLDS])
+    if toxic.all() or not toxic.any():
+        x, toxic = said([whole])
+    calibrate(net, x, toxic, share)
+    return net
 
 
 def score(docs: DataFrame, net: Network | None, name: str = "toxicity") -> DataFrame:
