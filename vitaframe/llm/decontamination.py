@@ -233,8 +233,8 @@ def _searcher(shared, near: int):
 
 
 def blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterator[tuple[list[str | None], list[str | None]]]:
-    """The items in blocks that a task can hold: one block if all texts together stay under the limit, else by a hash of the row."""
-    b = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").alias("t")).where("t is not null")
+    """The items in blocks that a task can hold: one block if all texts together stay under the limit, else by a hash of the row. Copies of a row are one item."""
+    b = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").alias("t")).where("t is not null").distinct()
     size = b.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-size // limit) or 1
     for k in range(n):

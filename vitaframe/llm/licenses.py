@@ -2,8 +2,8 @@
 
 One automaton over a text's words, joined by single spaces, finds notice
 phrases and the tag words of licence identifiers in one pass. After a tag the
-raw line is read as an expression of identifiers with and/or/with and
-parentheses; its postfix form is walked once, which gives the identifiers that
+raw line is read as an expression of listed identifiers with and/or/with and
+parentheses, up to the first word that is none; its postfix form is walked once, which gives the identifiers that
 it names (`with` binds an exception to its licence) and the expression written
 anew, with no more parentheses than it needs. Both are linear in its length.
 
@@ -51,14 +51,30 @@ NOTICES = {
 }
 BASE_WEIGHT = 0.9
 TAGS = ("spdx license identifier",)
-TAG = re.compile(r"spdx[^0-9a-z\x80-\U0010ffff]+license[^0-9a-z\x80-\U0010ffff]+identifier[ \t]*:?[ \t]*([^\r\n]*)", re.I)
+#: A tag has its colon, and ends with its line or with the comment that it stands in.
+TAG = re.compile(r"spdx[^0-9a-z\x80-\U0010ffff]+license[^0-9a-z\x80-\U0010ffff]+identifier[ \t]*:[ \t]*((?:(?!\*/|-->|#\}|%>|\*\)|\?>)[^\r\n])*)", re.I)
+#: Identifiers of the public licence list, by family, and references to licences of a document's own; fixed values.
+IDENTIFIER = re.compile(
+    r"(?:[AL]?GPL-[1-3]\.[0-9](?:-only|-or-later)?|GFDL-1\.[1-3](?:-invariants|-no-invariants)?(?:-only|-or-later)?|Apache-(?:1\.[01]|2\.0)|0BSD|BSD-[1-4]-Clause(?:-[A-Za-z0-9.]+)*|BSD-(?:Protection|Source-Code)|MIT(?:-[A-Za-z]+|-0)*"
+    r"|CC-BY(?:-NC)?(?:-SA|-ND)?-[1-4]\.[05](?:-[A-Z]{2,3})?|CC0-1\.0|CC-PDDC|(?:MPL|EPL|CDDL|EUPL|AFL|OSL|ECL|LPL|CPL|IPL|NPL|APSL|RPL|SPL|ZPL|AGPL|LAL|OLDAP|CPAL|QPL|OFL|UPL|MulanPSL|NPOSL|Artistic|Python|PSF|PHP|BSL|Zend|LiLiQ|CERN-OHL|SSPL|BUSL|Elastic|BlueOak|PolyForm|ODbL|ODC-By|PDDL|OGL|Unicode|Unicode-DFS|libpng|libselinux|OpenPBS|EFL|CNRI|MirOS|Sendmail|SGI-B|W3C|X11|Xerox|HPND|NCSA|CECILL|DRL|EPICS|NetCDF|Watcom|YPL|Spencer|Latex2e|LPPL|TCP-wrappers|NIST-PD)"
+    r"(?:-[A-Za-z]*[0-9][A-Za-z0-9.]*|-[A-Za-z]+)*|ISC(?:-Veillard)?|Zlib|zlib-acknowledgement|Unlicense|WTFPL|PostgreSQL|Ruby|OpenSSL|curl|JSON|libtiff|FTL|ICU|IJG|Info-ZIP|Intel|MS-[PR]L|Vim|Xnet|NTP|Beerware|Sleepycat|TCL|Fair|Naumen|Nokia|Motosoto|Multics|NGPL|NLPL|Entessa|ImageMagick|Plexus|bzip2-1\.0\.[56]|mpich2|psutils|xpp"
+    r"|(?:DocumentRef-[A-Za-z0-9.\-]+:)?LicenseRef-[A-Za-z0-9.\-]+|NONE|NOASSERTION)\+?",
+    re.I,
+)
+#: What may follow `with`.
+EXCEPTION = re.compile(r"[A-Za-z0-9.\-]*exception[A-Za-z0-9.\-]*|Linux-syscall-note|(?:DocumentRef-[A-Za-z0-9.\-]+:)?AdditionRef-[A-Za-z0-9.\-]+", re.I)
 TOKEN = re.compile(r"\s*(?:([()])|([A-Za-z0-9][A-Za-z0-9.\-+:]*))")
 LEVEL = {"or": 1, "and": 2, "with": 3}
 _TABLE = bytes(int(LOWER[i]) if ALNUM[i] else 0x20 for i in range(256))
 
 
-def parse_expression(text: str) -> list[str]:
-    """An expression in reverse Polish order by the shunting-yard rule; stops before the first token that doesn't fit."""
+def listed(word: str, bound: bool) -> bool:
+    """Whether a word is an identifier of the public list or a reference, or where it is bound by `with`, an exception."""
+    return bool((EXCEPTION if bound else IDENTIFIER).fullmatch(word))
+
+
+def parse_expression(text: str, known=None) -> list[str]:
+    """An expression in reverse Polish order by the shunting-yard rule; stops before the first token that doesn't fit, or that `known` (word, whether it follows `with`) doesn't know."""
     out: list[str] = []
     held: list[str] = []
     at, operand = 0, True
@@ -83,7 +99,7 @@ def parse_expression(text: str) -> list[str]:
                 out.append(held.pop())
             held.pop()
         else:
-            if not operand:
+            if not operand or known is not None and not known(word, bool(held) and held[-1] == "with"):
                 break
             out.append(word)
             operand = False
@@ -155,7 +171,7 @@ def scan(text: str | None, machine: ahocorasick.Automaton) -> tuple[int, list[tu
         found.append((place, phrase))
     tags = []
     if any(p in TAGS for _, p in found):
-        tags = [got for m in TAG.finditer(text) if (got := evaluate(parse_expression(m[1])))[0]]
+        tags = [got for m in TAG.finditer(text) if (got := evaluate(parse_expression(m[1], listed)))[0]]
     return len(words), found, tags
 
 

@@ -23,6 +23,7 @@ import string
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,8 +38,8 @@ NEAR = 60
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "xoxb-", "xoxp-", "sk_live_", "rk_live_", "AIza", "glpat-", "eyJ", "npm_", "SG.")
 #: Candidates, of any length: a value assigned to a secret-sounding name, or a run of key characters with or before a digit, of mixed case or with a known prefix.
 ASSIGNED = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?[\"']?[ \t]{0,3}(?:=|:|=>)[ \t]{0,3}[\"']?"
-#: A key block up to its END line, or where that is missing its base64 lines.
-BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]*PRIVATE KEY-----|(?:\s*[A-Za-z0-9+/=]{16,}+)*+(?:\r?\n[A-Za-z0-9+/=]{1,15}(?=\r?\n|\Z))?)"
+#: A key block up to its END line, or where that is missing its header and base64 lines.
+BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]*PRIVATE KEY-----|(?:\r?\n[A-Za-z][A-Za-z0-9-]*+: [^\r\n]*+)*+(?:\s*[A-Za-z0-9+/=]{16,}+)*+(?:\r?\n[A-Za-z0-9+/=]{1,15}(?=\r?\n|\Z))?)"
 DIGIT = r"(?=[^\s]{0,80}[0-9]|[A-Za-z_+/=\-]*+[0-9])"
 NO_DIGIT = rf"(?:(?=[A-Z_+/=\-]*+[a-z])(?=[a-z_+/=\-]*+[A-Z])|(?={'|'.join(map(re.escape, PREFIXES))}))(?![A-Za-z0-9_+/=\-]*(?i:{ASSIGNED}))"
 CANDIDATE = re.compile(rf"(?P<block>{BLOCK})|(?i:(?P<name>{ASSIGNED}))(?P<value>[^\s\"'<>,;]{{6,}})|(?<![A-Za-z0-9_+/=\-])(?P<run>(?:{DIGIT}|{NO_DIGIT})[A-Za-z0-9_+/=\-]{{16,}}+)")
@@ -46,7 +47,6 @@ KEYWORDS = re.compile(r"(?i)pass|pwd|secret|token|key|auth|credential|bearer|pri
 BENIGN = re.compile(r"(?i)sha\d*|md5|digest|checksum|commit|uuid|guid|example|etag|hash|revision|build|base64|id\b")
 PLACEHOLDER = re.compile(r"(?i)x{4,}|example|changeme|placeholder|your|dummy|test|sample|0{6,}|1234567|abcdef")
 WORDS = tuple("the and for that with this from have not are was you all can use get set new old file path name user data list item page home index main test value string number type class function return import public static void config server client request response error message log debug build release version module package library source target output input image video audio text document report table column row field key map array object node tree graph time date year month day hour minute second start stop end first last next previous open close read write create update delete insert select where order group join left right inner outer pass word secret token".split())
-_LETTERS = {c: i for i, cs in enumerate((string.ascii_lowercase, string.ascii_uppercase, string.digits)) for c in cs}
 FEATURES = 22
 
 
@@ -56,7 +56,10 @@ class Dictionary:
     def __init__(self, path: str) -> None:
         known = vocabulary(path)
         self.words = {w for w in known.whole() if len(w) >= 4 and w.isascii() and w.isalpha()}
-        self.longest = max(map(len, self.words), default=0)
+        self.machine = ahocorasick.Automaton()
+        for w in self.words:
+            self.machine.add_word(w, len(w))
+        self.machine.make_automaton()
         n = np.ones((27, 27))
         for w in self.words:
             codes = [26, *(ord(c) - 97 for c in w), 26]
@@ -66,14 +69,24 @@ class Dictionary:
 
     def covered(self, low: str) -> int:
         """The most letters that words side by side can cover."""
-        best = [0]
-        for end in range(1, len(low) + 1):
-            most = best[end - 1]
-            for n in range(4, min(self.longest, end) + 1):
-                if best[end - n] + n > most and low[end - n : end] in self.words:
-                    most = best[end - n] + n
-            best.append(most)
-        return best[-1]
+        total = 0
+        for run in _LETTER_RUNS.findall(low):
+            best, done = [0] * (len(run) + 1), 0
+            for end, n in self.machine.iter(run):
+                end += 1
+                for k in range(done + 1, end + 1):  # up to here nothing ended
+                    if best[k - 1] > best[k]:
+                        best[k] = best[k - 1]
+                done = end
+                best[end] = max(best[end], best[end - 1], best[end - n] + n)
+            total += max(best[done], 0)
+        return total
+
+
+_LETTER_RUNS = re.compile("[a-z]{4,}")
+#: Kinds of characters: small and capital letters, digits, all else.
+_KINDS = np.full(128, 3, np.int64)
+_KINDS[97:123], _KINDS[65:91], _KINDS[48:58] = 0, 1, 2
 
 
 @lru_cache(maxsize=2)
@@ -84,17 +97,20 @@ def dictionary(path: str | None = None) -> Dictionary:
 def features(value: str, name: str, before: str, after: str, path: str | None = None) -> list[float]:
     known = dictionary(path)
     n = len(value)
-    kinds = [_LETTERS.get(c, 3) for c in value]
-    share = [kinds.count(k) / n for k in range(4)]
-    change = sum(a != b for a, b in zip(kinds, kinds[1:])) / max(n - 1, 1)
-    counts = np.unique(list(value), return_counts=True)[1] / n
+    points = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), "<u4")
+    kinds = np.where(points < 128, _KINDS[np.minimum(points, 127)], 3)
+    share = (np.bincount(kinds, minlength=4) / n).tolist()
+    change = np.count_nonzero(kinds[1:] != kinds[:-1]) / max(n - 1, 1)
+    counts = np.unique(points, return_counts=True)[1] / n
     low = value.lower()
-    codes = [ord(c) - 97 if "a" <= c <= "z" else 26 for c in low]
-    pairs = float(np.mean([known.pairs[a, b] for a, b in zip(codes, codes[1:])])) if n > 1 else 0.0
+    small = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    codes = np.where((small >= 97) & (small <= 122), small - 97, 26)
+    pairs = float(known.pairs[codes[:-1], codes[1:]].mean()) if n > 1 else 0.0
+    turns = np.flatnonzero(np.r_[True, points[1:] != points[:-1], True])
     near = f"{before} {after}"
     return [
         n, *share, change, float(-(counts * np.log2(counts)).sum()), pairs, known.covered(low) / n,
-        max((len(m) for m in re.findall(r"(.)\1*", value) and [m[0] for m in re.finditer(r"(.)\1*", value)]), default=0) / n,
+        float(np.diff(turns).max()) / n,
         value.count("/") + value.count("\\"), value.count("-"), value.count("_"), float(bool(re.fullmatch(r"[0-9a-fA-F]+", value))),
         float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value))), float(value.startswith(PREFIXES)), float(bool(PLACEHOLDER.search(value))),
         float(bool(name)), float(bool(KEYWORDS.search(near))), float(bool(BENIGN.search(near))), float(before.rstrip().endswith(("/", "\\", "://", "@"))), float("://" in before[-20:]),
