@@ -11,10 +11,10 @@ the toxic class, whole texts of any length, up to TRAIN_BYTES of each class toge
 (documented bounds; rows in order of a hash of doc_id, so that long texts are as likely
 as short ones): windows of toxic documents are chosen by the log-odds of
 their n-grams, then by the network itself; the highest windows of clean
-documents are added as hard negatives. The score is calibrated by cross-fitting: FOLDS
-more networks, each trained without a part of the sample, in tasks of their own, say
-what that part's documents get from a network that hasn't seen them, and a scale and
-shift are fitted to these logits. Only where a class is of a single document do the
+documents are added as hard negatives. The score is calibrated by cross-fitting: KEPT
+more networks, each trained without one of FOLDS parts of the sample, in tasks of their
+own, say what that part's documents get from a network that hasn't seen them, and a
+scale and shift are fitted to these logits. Only where a class is of a single document do the
 documents of the training calibrate. Scoring covers every window of every text.
 
 Defined results: a null or empty text gets the score of a window without words;
@@ -42,10 +42,10 @@ HIDDEN, INPUT, ATTEND = 8, 12, 8
 BUCKETS = 1 << 14
 ORDERS = (3, 4, 5)
 TRAIN_DOCS = (3000, 1500)
-TRAIN_BYTES = 24 << 20
+TRAIN_BYTES = 12 << 20
 VOCABULARY = 4096
 CUT = 0.7
-FOLDS = 5
+FOLDS, KEPT = 5, 2
 CHUNK = 4096
 #: Windows of each class in a training turn.
 TURN = 4000
@@ -420,10 +420,10 @@ def train(docs: DataFrame, labels: DataFrame, limit: tuple[int, int] = TRAIN_DOC
                 yield pa.RecordBatch.from_arrays([pa.array([turn], pa.int32()), pa.array([pickle.dumps(net) if turn == FOLDS else None], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([toxic[ask].tobytes()], pa.binary())], names=["turn", "network", "logits", "toxic"])
 
     with scratch(docs.sparkSession):
-        # bounded: at most sum(limit) texts of 2 * TRAIN_BYTES together, read by FOLDS + 1 tasks
+        # bounded: at most sum(limit) texts of 2 * TRAIN_BYTES together, read by KEPT + 1 tasks
         sample = written(found.withColumn("nth", nth), "sample")
-        turns = sample.select(F.explode(F.array(*(F.lit(k) for k in range(FOLDS + 1)))).alias("turn"), "toxic", "nth", "text")
-        got = turns.repartitionByRange(FOLDS + 1, "turn").mapInArrow(learn, "turn int, network binary, logits binary, toxic binary").collect()
+        turns = sample.select(F.explode(F.array(*(F.lit(k) for k in (*range(KEPT), FOLDS)))).alias("turn"), "toxic", "nth", "text")
+        got = turns.repartitionByRange(KEPT + 1, "turn").mapInArrow(learn, "turn int, network binary, logits binary, toxic binary").collect()
     whole = next((r for r in got if r.turn == FOLDS), None)
     if whole is None:
         return None
