@@ -42,7 +42,7 @@ HIDDEN, INPUT, ATTEND = 8, 12, 8
 BUCKETS = 1 << 14
 ORDERS = (3, 4, 5)
 TRAIN_DOCS = (3000, 1500)
-TRAIN_BYTES = 12 << 20
+TRAIN_BYTES = 8 << 20
 VOCABULARY = 4096
 CUT = 0.7
 FOLDS, KEPT = 5, 2
