@@ -290,6 +290,38 @@ def xml_refusals(spark: SparkSession, sf: str) -> DataFrame:
     return resource_xml.read_xml(table(spark, sf, "pages").select("page_id", "html"), "html").select("page_id", "fatal")
 
 
+@query("""
+SELECT c_custkey, CASE c_custkey % 9 WHEN 0 THEN '<Patient xmlns="http://hl7.org/fhir"><id value="' || c_custkey || '"/><name><family value="' || c_name || '"/></name></Patient>' END AS xml,
+  CASE c_custkey % 9 WHEN 1 THEN 'UNSERIALIZABLE_ELEMENT_NAME Patient.<withheld>' WHEN 2 THEN 'UNSERIALIZABLE_DIV_MARKUP Patient.text.div' WHEN 3 THEN 'UNSERIALIZABLE_JSON_ONLY_SHAPE Patient.note[0],Patient.gone'
+    WHEN 4 THEN 'UNSERIALIZABLE_ARRAY_WRAPPER Patient.verificationStatus.coding[0].system' WHEN 5 THEN 'UNSERIALIZABLE_SHADOWED_PROPERTY Patient.gender' WHEN 6 THEN 'UNSERIALIZABLE_RESOURCE_TYPE Patient.contained[0].resourceType'
+    WHEN 7 THEN 'UNSERIALIZABLE_ELEMENT_NAME Patient.<withheld>,Patient.<withheld>.<withheld>' WHEN 8 THEN 'UNSERIALIZABLE_ELEMENT_NAME Patient.contained[0]' END AS xml_refusal,
+  CASE WHEN c_custkey % 9 IN (5, 7) THEN 'UNSERIALIZABLE_SHADOWED_PROPERTY Patient.gender' END AS json_refusal
+FROM customer""")
+def write_refusals(spark: SparkSession, sf: str) -> DataFrame:
+    """The XML of resources, or why and where they can't be written; and the same of JSON."""
+    said = lambda: F.concat("refusal", F.lit(" "), F.array_join("refusal_locations", ","))
+    x = resource_xml.write_xml(X.unwritable(spark, sf)).select("c_custkey", "nodes", "xml", said().alias("xml_refusal"))
+    return resource_json.write_json(x).select("c_custkey", "xml", "xml_refusal", said().alias("json_refusal"))
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 10 WHEN 0 THEN 'comparator Observation.valueQuantity.comparator,comparator Observation.component[0].valueQuantity.comparator' WHEN 1 THEN 'use Practitioner.identifier[1].use' WHEN 2 THEN 'active Practitioner.active'
+  WHEN 3 THEN 'implicitRules <withheld>.implicitRules' WHEN 4 THEN 'implicitRules $this.implicitRules' WHEN 6 THEN 'active Bundle.entry[0].resource.active' WHEN 7 THEN 'active Patient.active' WHEN 9 THEN 'use Practitioner.identifier.use' ELSE '' END AS reports
+FROM orders""")
+def modifier_reports(spark: SparkSession, sf: str) -> DataFrame:
+    told = F.array_join(F.transform(safety.modifier_reports(), lambda r: F.concat(r["element"], F.lit(" "), r["location"])), ",")
+    return X.modified(spark, sf).select("o_orderkey", told.alias("reports"))
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Condition.status' WHEN 2 THEN 'Condition.code[0].coding[0].system,Condition.code[1].coding[0].code' WHEN 3 THEN 'Condition.contained[0].resourceType' WHEN 4 THEN 'Condition.status' ELSE '' END AS lost,
+  CASE p_partkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 4 WHEN 3 THEN 1 WHEN 4 THEN 1 ELSE 0 END AS wrapped
+FROM part""")
+def xml_wrappers(spark: SparkSession, sf: str) -> DataFrame:
+    """Arrays around single values, and those among them that XML can't say."""
+    return X.wrapped(spark, sf).select("p_partkey", F.array_join(safety.unspellable_xml_wrappers(), ",").alias("lost"), F.size(safety.array_wrapped()).alias("wrapped"))
+
+
 @query("SELECT c_custkey, c_custkey % 8 IN (0, 6) AS equivalent FROM customer")
 def xml_json_equivalence(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs that are alike, also where one item is a list of one, and pairs that differ in order, repeats, kind, value, metadata or nesting."""

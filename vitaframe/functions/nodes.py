@@ -100,6 +100,16 @@ def roots() -> Column:
     return F.filter(nodes(), lambda n: (n["id"] == 0) | n["res"])
 
 
+def outside(found: Column, owners: Column) -> Column:
+    """Those of the nodes found that are neither one of the owners nor under one."""
+    return let(owners, lambda o: F.filter(found, lambda n: ~F.exists(o, lambda a: (n["id"] >= a["id"]) & (n["id"] <= a["last"]))))
+
+
+def metadata() -> Column:
+    """The extensions of primitives."""
+    return F.filter(nodes(), lambda n: n["meta"])
+
+
 def element(n: Column) -> Column:
     """A location without the item's own index."""
     return F.when(n["idx"].isNotNull(), F.regexp_replace(n["loc"], r"\[[0-9]+\]\z", "")).otherwise(n["loc"])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nodes import at as node_at
-from ..functions.nodes import at_each, below, choice, codings, each, element, finding, findings, has, has_coding, kids, locations, nodes, root, roots, strings, text, top
+from ..functions.nodes import at_each, below, choice, codings, each, element, finding, findings, has, has_coding, kids, locations, metadata, nodes, outside, root, roots, strings, text, top
 
 # Fixed values of the specification.
 SNOMED = "http://snomed.info/sct"
@@ -21,6 +21,9 @@ CODEABLES = ("clinicalStatus", "verificationStatus", "code")
 CONCEPT_MEMBERS = ("coding", "text", "id", "extension")
 STATUS_CODES = ("entered-in-error", "not-taken", "not-done")
 VERIFICATION_CODES = ("entered-in-error", "refuted")
+MODIFIER_ROOTS = ("AllergyIntolerance", "Bundle", "Condition", "DiagnosticReport", "Immunization", "MedicationRequest", "MedicationStatement", "Observation", "Patient", "Practitioner")
+#: What stands for a name that may be text of the document.
+WITHHELD = "<withheld>"
 NEGATIONS = ("do-not-perform", "entered-in-error", "refuted", "not-taken", "not-done", "no-known-allergy")
 
 
@@ -59,36 +62,62 @@ def negations() -> Column:
 
 
 def modifier_extensions() -> Column:
-    return locations(F.filter(nodes(), lambda n: (n["name"] == "modifierExtension") & ~n["meta"]))
+    """Every modifierExtension but those in the metadata of primitives."""
+    return locations(outside(F.filter(nodes(), lambda n: (n["name"] == "modifierExtension") & ~n["meta"]), metadata()))
 
 
-def modifier_elements() -> Column:
-    """comparator and implicitRules anywhere, active of a Patient, use of a Practitioner's identifiers."""
+def modifier_reports() -> Column:
+    """struct(element, location) of comparator and implicitRules anywhere, active of a Patient, use of a Practitioner's identifiers.
+
+    A resource is of every type that it names. The metadata of primitives isn't looked at. A location begins with the document's type only if that is one of MODIFIER_ROOTS, so that no text of a document gets there.
+    """
+    typed = lambda n, name: F.array_contains(strings(kids(n["id"], "resourceType", True)), name)
 
     def modifies(n: Column) -> Column:
         owner = node_at(n["parent"])
-        above = node_at(owner["parent"])
-        return ~n["meta"] & (n["name"].isin("comparator", "implicitRules") | (n["name"] == "active") & (owner["rtype"] == "Patient") | (n["name"] == "use") & (owner["name"] == "identifier") & (above["rtype"] == "Practitioner"))
+        return ~n["meta"] & (n["name"].isin("comparator", "implicitRules") | (n["name"] == "active") & typed(owner, "Patient") | (n["name"] == "use") & (owner["name"] == "identifier") & typed(node_at(owner["parent"]), "Practitioner"))
+
+    first = F.get(strings(top("resourceType", True)), F.lit(0))
+    start = F.when(first.isNull(), root()["loc"]).when(first.isin(*MODIFIER_ROOTS), first).otherwise(WITHHELD)
+    below_root = lambda loc: F.substring(loc, F.length(root()["loc"]) + 1, F.length(loc))
+    told = lambda n: F.struct(n["name"].alias("element"), F.concat(start, below_root(element(n))).alias("location"))
+    return F.array_distinct(F.transform(outside(F.filter(nodes(), modifies), metadata()), told))
 
-    return F.array_distinct(F.transform(F.filter(nodes(), modifies), element))
+
+def modifier_elements() -> Column:
+    """The locations of `modifier_reports`."""
+    return F.array_distinct(F.transform(modifier_reports(), lambda r: r["location"]))
 
 
 def shadowed_properties() -> Column:
     return F.array_distinct(F.transform(F.filter(nodes(), lambda n: n["dup"] & ~n["meta"]), element))
 
 
+def _wrapped(n: Column) -> Column:
+    """The items of arrays that stand for single-valued elements of a resource root, and for codings' scalars under them."""
+    # a document whose type stands in an odd shape is read as the type it names
+    safe = F.coalesce(n["rtype"], F.when(n["id"] == 0, F.col("resource_type"))).isin(*SAFETY_TYPES)
+    own = F.filter(below(n["id"]), lambda m: (m["parent"] == n["id"]) & ~m["meta"] & m["idx"].isNotNull() & ((m["name"] == "resourceType") | F.coalesce(safe, F.lit(False)) & m["name"].isin(*SCALARS)))
+    concepts = F.filter(below(n["id"]), lambda m: (m["parent"] == n["id"]) & (m["kind"] == "complex") & ((m["name"] == "verificationStatus") | F.coalesce(safe, F.lit(False)) & m["name"].isin(*CODEABLES)))
+    inner = each(concepts, lambda c: each(kids(c["id"], "coding", True), lambda d: F.filter(below(d["id"]), lambda m: (m["parent"] == d["id"]) & m["name"].isin("system", "code") & m["idx"].isNotNull())))
+    return F.concat(own, inner)
+
+
 def array_wrapped() -> Column:
     """Single-valued elements that stand in an array, at resource roots, and codings' scalars under them."""
+    return _at_roots(lambda n: F.transform(_wrapped(n), element))
 
-    def at(n: Column) -> Column:
-        # a document whose type stands in an odd shape is read as the type it names
-        safe = F.coalesce(n["rtype"], F.when(n["id"] == 0, F.col("resource_type"))).isin(*SAFETY_TYPES)
-        own = F.filter(below(n["id"]), lambda m: (m["parent"] == n["id"]) & ~m["meta"] & m["idx"].isNotNull() & ((m["name"] == "resourceType") | F.coalesce(safe, F.lit(False)) & m["name"].isin(*SCALARS)))
-        concepts = F.filter(below(n["id"]), lambda m: (m["parent"] == n["id"]) & (m["kind"] == "complex") & ((m["name"] == "verificationStatus") | F.coalesce(safe, F.lit(False)) & m["name"].isin(*CODEABLES)))
-        inner = each(concepts, lambda c: each(kids(c["id"], "coding", True), lambda d: F.filter(below(d["id"]), lambda m: (m["parent"] == d["id"]) & m["name"].isin("system", "code") & m["idx"].isNotNull())))
-        return F.transform(F.concat(own, inner), element)
 
-    return _at_roots(at)
+def unspellable_xml_wrappers() -> Column:
+    """Those of `array_wrapped` that XML, where an array is a repeated element, can't say: an array of one, and any array of types."""
+
+    def lost(m: Column) -> Column:
+        # the items of an array follow one another
+        after = F.get(nodes(), m["last"] + 1 - root()["id"])
+        second = (after["parent"] == m["parent"]) & (after["name"] == m["name"]) & (after["idx"] == 1)
+        return (m["name"] == "resourceType") | (m["idx"] == 0) & ~F.coalesce(second, F.lit(False))
+
+    return _at_roots(lambda n: F.transform(F.filter(_wrapped(n), lost), element))
 
 
 def nested_arrays() -> Column:
@@ -173,7 +202,7 @@ def read_safety(resources: DataFrame, name: str = "safety") -> DataFrame:
         "resource_type": F.coalesce(F.col("resource_type"), F.get(strings(top("resourceType", True)), F.lit(0))), "status": F.get(strings(top("status")), F.lit(0)),
         "clinical_status": _by_type("http://terminology.hl7.org/CodeSystem/allergyintolerance-clinical", CONDITION_CLINICAL, "clinicalStatus"), "verification_status": _by_type(ALLERGY_VERIFICATION, CONDITION_VERIFICATION, "verificationStatus"),
         "do_not_perform": F.get(readable, F.lit(0))["lex"].cast("boolean"), "retracted": F.col("retracted"), "no_known_allergy": F.array_contains("negations", "no-known-allergy"), "negations": F.col("negations"),
-    } | {c: F.col(c) for c in (*CHANNELS, "safe_to_summarize")}
+    } | {c: F.col(c) for c in (*CHANNELS, "safe_to_summarize")} | {"modifier_reports": modifier_reports()}
     return s.select(*resources.columns, F.struct(*(v.alias(k) for k, v in fields.items())).alias(name))
 
 

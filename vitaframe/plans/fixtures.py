@@ -214,3 +214,46 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     names = F.when(key % 8 == 6, '<given value="A"/>').otherwise('<given value="A"/><given value="B"/>')
     b = j('<Patient xmlns="http://hl7.org/fhir"><id value="', key, '"/><active value="true"/><name><family value="', name, '"/>', names, '</name><birthDate value="2000-01-01"/></Patient>')
     return table(spark, sf, "customer").select("c_custkey", a.alias("a"), b.alias("b"))
+
+
+def unwritable(spark: SparkSession, sf: str) -> DataFrame:
+    """c_custkey and a Patient that XML, JSON or both can't say, in one of eight ways by c_custkey % 9."""
+    key = F.col("c_custkey")
+    more = pick(
+        key, 9,
+        {
+            1: ',"a b":1', 2: ',"text":{"div":"<p>x</p>"}', 3: ',"note":[["x"]],"gone":null', 4: ',"verificationStatus":{"coding":[{"system":["s"],"code":"c"}]}', 5: ',"gender":"x","gender":"y"', 6: ',"contained":[{"resourceType":7}]',
+            7: ',"gender":"x","gender":"y","b/c":{"d>":1}', 8: ',"contained":[{"resourceType":"A B","x":1}]',
+        },
+        "",
+    )
+    return read_resources(table(spark, sf, "customer").select("c_custkey", j('{"resourceType":"Patient","id":"', key, '","name":[{"family":"', F.col("c_name"), '"}]', more, "}").alias("raw")))
+
+
+def modified(spark: SparkSession, sf: str) -> DataFrame:
+    """o_orderkey and a resource with a modifier element, or what is like one, by o_orderkey % 10."""
+    key = F.col("o_orderkey")
+    raw = pick(
+        key, 10,
+        {
+            0: j('{"resourceType":"Observation","id":"', key, '","valueQuantity":{"comparator":"<"},"component":[{"valueQuantity":{"comparator":">"}}]}'), 1: '{"resourceType":"Practitioner","identifier":[{"value":"a"},{"use":"old"}]}',
+            2: '{"resourceType":"Practitioner","resourceType":"Patient","active":true}', 3: '{"resourceType":"Basket","implicitRules":"u"}', 4: '{"implicitRules":"u"}',
+            5: '{"resourceType":"Patient","gender":"x","_gender":{"extension":[{"url":"u","valueQuantity":{"comparator":"<"}}]}}', 6: '{"resourceType":"Bundle","entry":[{"resource":{"resourceType":"Patient","_active":{"id":"i"}}}]}',
+            7: '{"resourceType":["Patient"],"active":false}', 8: '{"resourceType":"Encounter","active":true}',
+        },
+        '{"resourceType":"Practitioner","identifier":{"use":"old"}}',
+    )
+    return read_resources(table(spark, sf, "orders").select("o_orderkey", raw.alias("raw")))
+
+
+def wrapped(spark: SparkSession, sf: str) -> DataFrame:
+    """p_partkey and a Condition with single values in arrays by p_partkey % 6."""
+    key = F.col("p_partkey")
+    body = pick(
+        key, 6,
+        {
+            0: '"status":["a"]', 1: '"status":["a","b"]', 2: '"code":[{"coding":[{"system":["s"],"code":["c","d"]}]},{"coding":[{"code":["e"]}]}]', 3: '"contained":[{"resourceType":["Basic","List"]}]', 4: '"status":["b","c"],"status":["a"]',
+        },
+        '"status":"a"',
+    )
+    return read_resources(table(spark, sf, "part").select("p_partkey", j('{"resourceType":"Condition","id":"', key, '",', body, "}").alias("raw")))

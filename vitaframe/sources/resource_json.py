@@ -28,6 +28,8 @@ BATCH_BYTES = 4 << 20
 #: What stands before the source of metadata that could not be modelled.
 META = "_:"
 WITHHELD = "<withheld>"
+#: A column of writers, gone when they are done.
+REASONS = "_refusal_reasons"
 NODE = "struct<id:int,last:int,parent:int,depth:int,name:string,idx:int,meta:boolean,dup:boolean,loc:string,kind:string,vtype:string,lex:string,elem_id:string,src:string,rtype:string,res:boolean>"
 ISSUE = "struct<code:string,severity:string,expression:string>"
 SCHEMA = f"resource_type string, nodes array<{NODE}>, read_issues array<{ISSUE}>, fatal string, fatal_offset long, fatal_expression string"
@@ -556,7 +558,8 @@ def _meta(nodes: list, n) -> str | None:
 
 
 def write_json(resources: DataFrame, name: str = "json") -> DataFrame:
-    """Adds the compact JSON of `nodes`, and `refusal` where writing would lose content: repeated properties or dropped text."""
+    """Adds the compact JSON of `nodes`; where writing would lose content (dropped text, repeated properties) there is none, but `refusal` and `refusal_locations`."""
+    from .refusals import JSON_REFUSALS, first_reason, json_reasons
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -564,8 +567,7 @@ def write_json(resources: DataFrame, name: str = "json") -> DataFrame:
             out = [_render(x, x[0]) if x else None for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, name])
 
-    shadowed, dropped = F.exists("nodes", lambda n: n["dup"]), F.exists("nodes", lambda n: n["kind"] == "text")
-    refusal = F.when(dropped, "DROPPED_ELEMENT_TEXT").when(shadowed, "UNSERIALIZABLE_SHADOWED_PROPERTY")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in resources.schema.fields)
-    written = resources.mapInArrow(run, f"{ddl}, `{name}` string").withColumn("refusal", refusal)
-    return written.withColumn(name, F.when(F.col("refusal").isNull(), F.col(name)))
+    written = resources.mapInArrow(run, f"{ddl}, `{name}` string").withColumn(REASONS, json_reasons())
+    code, where = first_reason(JSON_REFUSALS, lambda c: F.col(REASONS)[c])
+    return written.withColumns({"refusal": code, "refusal_locations": where, name: F.when(code.isNull(), F.col(name))}).drop(REASONS)

@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .resource_json import MAX_DEPTH, WITHHELD, _ELEMENT, _TYPE, Fatal, _Tree, reader, utf16_units
+from .refusals import XML_REFUSALS, first_reason, narratives, xml_reasons
+from .resource_json import MAX_DEPTH, REASONS, WITHHELD, _ELEMENT, _TYPE, Fatal, _Tree, reader, utf16_units
 
 FHIR = "http://hl7.org/fhir"
 XHTML = "http://www.w3.org/1999/xhtml"
+_DIVS, _BAD_DIVS = "_refusal_divs", "_refused_divs"
 #: The one prefix that is bound without a declaration.
 _XML = {"xml": "http://www.w3.org/XML/1998/namespace"}
 
@@ -285,8 +287,8 @@ def _is_div(markup: str) -> bool:
         return False
 
 
-def render(nodes: list) -> str | None:
-    """XML of a flattened tree, in one pass over its pre-order; null where a narrative isn't one div element."""
+def render(nodes: list) -> str:
+    """XML of a flattened tree, in one pass over its pre-order; a document without a type is a Resource."""
     out: list[str] = []
     open_: list[tuple[int, str]] = []  # last node of an element that is still open, and what closes it
     attributes = {}  # ids of a complex element, and urls of an extension, are written with its start tag
@@ -301,9 +303,7 @@ def render(nodes: list) -> str | None:
             continue
         name = n["name"]
         if n["kind"] == "primitive":
-            if name == "div" and n["lex"] is not None:
-                if not _is_div(n["lex"]):
-                    return None
+            if name == "div" and n["vtype"] == "string":
                 out.append(n["lex"])
                 continue
             start = f"<{name}{_attribute('id', n['elem_id'])}{_attribute('value', n['lex'])}"
@@ -314,7 +314,8 @@ def render(nodes: list) -> str | None:
             closing = f"</{n['rtype']}>" + ("" if root else f"</{name}>")
         else:
             own = attributes.get(n["id"], {})
-            start = f"<{name}{_attribute('id', own.get('id'))}{_attribute('url', own.get('url'))}"
+            name = name if n["parent"] >= 0 else "Resource"
+            start = f"<{name}" + (f' xmlns="{FHIR}"' if n["parent"] < 0 else "") + f"{_attribute('id', own.get('id'))}{_attribute('url', own.get('url'))}"
             closing = f"</{name}>"
         if n["last"] == n["id"]:
             out.append(f"{start}/>" if n["rtype"] is None else f"{start}>{closing}")
@@ -326,27 +327,19 @@ def render(nodes: list) -> str | None:
 
 
 def write_xml(resources: DataFrame, name: str = "xml") -> DataFrame:
-    """Adds the XML of `nodes`, and `refusal` where XML can't say what the tree holds, the first that applies."""
+    """Adds the XML of `nodes`; where XML can't say what the tree holds there is none, but `refusal`, the first of XML_REFUSALS that applies, and `refusal_locations`, where."""
+    reasons = [c for c in XML_REFUSALS if c != "UNSERIALIZABLE_DIV_MARKUP"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, blocked = b.schema.get_field_index("nodes"), b.schema.get_field_index("refusal")
-            out = [render(x) if x and r is None else None for x, r in zip(b.column(at).to_pylist(), b.column(blocked).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, name])
-
-    any_ = lambda f: F.exists("nodes", f)
-    real = lambda n: (n["parent"] >= 0) & (n["kind"] != "text")
-    alone = lambda n: n["idx"].isNotNull() & ~n["meta"] & (n["idx"] == 0) & ~any_(lambda m: (m["parent"] == n["parent"]) & (m["name"] == n["name"]) & (m["idx"] == 1))
-    scalar = lambda n: n["name"].isin("system", "code", "status", "clinicalStatus", "verificationStatus", "doNotPerform", "resourceType")
-    refusal = (
-        F.when(any_(lambda n: n["kind"] == "text"), "DROPPED_ELEMENT_TEXT")
-        .when(any_(lambda n: real(n) & (n["name"].rlike(r"[ \t\n\r/>=<]") | n["name"].rlike(r"\A[!?]") | (n["name"] == ""))), "UNSERIALIZABLE_ELEMENT_NAME")
-        .when(any_(lambda n: n["kind"].isin("nested", "foreign") | (n["src"] == "null")), "UNSERIALIZABLE_JSON_ONLY_SHAPE")
-        .when(any_(lambda n: scalar(n) & alone(n)), "UNSERIALIZABLE_ARRAY_WRAPPER")
-        .when(any_(lambda n: n["dup"]), "UNSERIALIZABLE_SHADOWED_PROPERTY")
-        .when(F.get("nodes", F.lit(0))["rtype"].isNull() & (F.size("nodes") > 0), "UNSERIALIZABLE_RESOURCE_TYPE")
-    )
-    ready = resources.withColumn("refusal", refusal)
+            trees, why, divs = (b.column(b.schema.get_field_index(c)) for c in ("nodes", REASONS, _DIVS))
+            bad = [[d["loc"] for d in row or () if not _is_div(d["lex"])] for row in divs.to_pylist()]
+            free = [not x and not any((r or {}).values()) for x, r in zip(bad, why.to_pylist())]
+            out = [render(t) if ok and (t := trees[i].as_py()) else None for i, ok in enumerate(free)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bad, pa.list_(pa.string())), pa.array(out, pa.string())], names=[*b.schema.names, _BAD_DIVS, name])
+
+    ready = resources.withColumns({REASONS: xml_reasons(), _DIVS: narratives()})
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema.fields)
-    written = ready.mapInArrow(run, f"{ddl}, `{name}` string")
-    return written.withColumn("refusal", F.coalesce("refusal", F.when(F.col(name).isNull() & (F.size("nodes") > 0), "UNSERIALIZABLE_DIV_MARKUP")))
+    written = ready.mapInArrow(run, f"{ddl}, `{_BAD_DIVS}` array<string>, `{name}` string")
+    code, where = first_reason(XML_REFUSALS, lambda c: F.col(REASONS)[c] if c in reasons else F.array_distinct(_BAD_DIVS))
+    return written.withColumns({"refusal": code, "refusal_locations": where}).drop(REASONS, _DIVS, _BAD_DIVS)
