@@ -69,16 +69,37 @@ def each(found: Column, f: Callable[[Column], Column]) -> Column:
     return F.flatten(F.transform(found, f))
 
 
+def written_codings(concepts: Column) -> Column:
+    """(system, code, loc) of every coding of the concepts whose members are written once and as strings."""
+    return each(concepts, lambda c: F.transform(F.filter(kids(c["id"], "coding"), lambda d: d["kind"] == "complex"), lambda d: F.struct(text(d["id"], "system").alias("system"), text(d["id"], "code").alias("code"), d["loc"].alias("loc"))))
+
+
+def lone(n: Column) -> Column:
+    """Whether a node is the only item of its array; the items of an array follow one another, nulls among them."""
+    after = F.get(nodes(), n["last"] + 1 - root()["id"])
+    second = (after["parent"] == n["parent"]) & (after["name"] == n["name"]) & (after["idx"] == 1)
+    return (n["idx"] == 0) & ~F.coalesce(second, F.lit(False))
+
+
 def codings(concepts: Column, unwrap: bool = False) -> Column:
-    """(system, code) of every coding of the concepts; unwrap reads a scalar out of an array of one."""
+    """(system, code, loc) of every coding of the concepts: each system that it names with each code, where a name is repeated.
+
+    A member that isn't a string counts as one without a value. unwrap reads a string out of an array of one position; of a longer one never, as its values would make pairs that nobody wrote.
+    """
+
+    def members(coding: Column, name: str) -> Column:
+        first = F.filter(kids(coding["id"], name, True), lambda n: n["idx"].isNull() | (n["idx"] == 0))
+        bare = lambda n: n["idx"].isNull() | lone(n) if unwrap else n["idx"].isNull()
+        return F.transform(first, lambda n: F.when((n["vtype"] == "string") & bare(n), n["lex"]))
+
+    none = F.array(F.lit(None).cast("string"))
+    some = lambda x: F.when(F.size(x) > 0, x).otherwise(none)
 
-    def scalar(coding: Column, name: str) -> Column:
-        if not unwrap:
-            return text(coding["id"], name)
-        found = F.filter(kids(coding["id"], name), lambda n: n["vtype"] == "string")
-        return let(found, lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0))["lex"]))
+    def pairs(coding: Column) -> Column:
+        both = F.struct(members(coding, "system").alias("systems"), members(coding, "code").alias("codes"), coding["loc"].alias("loc"))
+        return let(both, lambda p: F.flatten(F.transform(some(p["systems"]), lambda s: F.transform(some(p["codes"]), lambda c: F.struct(s.alias("system"), c.alias("code"), p["loc"].alias("loc"))))))
 
-    return each(concepts, lambda c: F.transform(F.filter(kids(c["id"], "coding"), lambda d: d["kind"] == "complex"), lambda d: F.struct(scalar(d, "system").alias("system"), scalar(d, "code").alias("code"), d["loc"].alias("loc"))))
+    return each(concepts, lambda c: each(F.filter(kids(c["id"], "coding", True), lambda d: d["kind"] == "complex"), pairs))
 
 
 def has_coding(concepts: Column, system: str | None, code: str, unwrap: bool = False) -> Column:

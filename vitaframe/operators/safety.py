@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nodes import at as node_at
-from ..functions.nodes import at_each, below, choice, codings, each, element, finding, findings, has, has_coding, kids, locations, metadata, nodes, outside, root, roots, strings, text, top
+from ..functions.nodes import at_each, below, choice, codings, each, element, finding, findings, has, has_coding, kids, locations, lone, metadata, nodes, outside, root, roots, strings, text, top
 
 # Fixed values of the specification.
 SNOMED = "http://snomed.info/sct"
@@ -110,13 +110,7 @@ def array_wrapped() -> Column:
 
 def unspellable_xml_wrappers() -> Column:
     """Those of `array_wrapped` that XML, where an array is a repeated element, can't say: an array of one, and any array of types."""
-
-    def lost(m: Column) -> Column:
-        # the items of an array follow one another
-        after = F.get(nodes(), m["last"] + 1 - root()["id"])
-        second = (after["parent"] == m["parent"]) & (after["name"] == m["name"]) & (after["idx"] == 1)
-        return (m["name"] == "resourceType") | (m["idx"] == 0) & ~F.coalesce(second, F.lit(False))
-
+    lost = lambda m: (m["name"] == "resourceType") | lone(m)
     return _at_roots(lambda n: F.transform(F.filter(_wrapped(n), lost), element))
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.nodes import FINDINGS, codings, finding, top
+from ..functions.nodes import FINDINGS, finding, top, written_codings
 from .quantity import LOINC, UCUM
 from .safety import SNOMED
 
@@ -58,7 +58,7 @@ def system_findings(bindings: tuple[Binding, ...] = BINDINGS) -> Column:
             odd = finding("CODE_SYSTEM_UNEXPECTED", severity, at) if severity else F.lit(None)
             return F.when(c["system"].isNull() | expected(c), None).when(known(c), odd).otherwise(finding("CODE_SYSTEM_UNKNOWN", "information", at))
 
-        found = F.filter(F.transform(codings(top(b.element)), judge), lambda f: f.isNotNull()).cast(FINDINGS)
+        found = F.filter(F.transform(written_codings(top(b.element)), judge), lambda f: f.isNotNull()).cast(FINDINGS)
         out = F.when(F.col("resource_type") == b.type, found).otherwise(out)
     return F.coalesce(out, F.array().cast(FINDINGS))
 
@@ -69,7 +69,7 @@ def membership_findings(resources: DataFrame, members: DataFrame, *keys: str, bi
     A code that the table doesn't know is `unknown` and gives nothing. The table is joined by its keys; Spark
     broadcasts it only while it is small.
     """
-    table = F.array(*(F.struct(F.lit(b.type).alias("type"), F.lit(b.value_set).alias("value_set"), F.lit(NOT_IN[b.strength]).alias("severity"), F.transform(F.filter(codings(top(b.element)), lambda c: c["system"].isin(*(b.systems or KNOWN_SYSTEMS))), lambda c: F.struct(c["system"], c["code"], c["loc"])).alias("codings")) for b in bindings))
+    table = F.array(*(F.struct(F.lit(b.type).alias("type"), F.lit(b.value_set).alias("value_set"), F.lit(NOT_IN[b.strength]).alias("severity"), F.transform(F.filter(written_codings(top(b.element)), lambda c: c["system"].isin(*(b.systems or KNOWN_SYSTEMS))), lambda c: F.struct(c["system"], c["code"], c["loc"])).alias("codings")) for b in bindings))
     bound = resources.select(*keys, "resource_type", F.explode(table).alias("b")).where("b.type = resource_type").select(*keys, "b.value_set", "b.severity", F.explode("b.codings").alias("c")).select(*keys, "value_set", "severity", F.col("c.system").alias("system"), F.col("c.code").alias("code"), F.col("c.loc").alias("expression"))
     out = members.where("membership = 'not-in'").select("value_set", "system", "code").distinct()
     return bound.join(out, ["value_set", "system", "code"]).select(*keys, F.lit("CODE_NOT_IN_VALUESET").alias("code"), "severity", "expression")
