@@ -2,7 +2,9 @@
 
 import random
 import time
+import tracemalloc
 
+import numpy as np
 import pytest
 
 from vitaframe.llm import decontamination, licenses, secrets, toxicity
@@ -102,3 +104,37 @@ def test_repeated_benchmark_rows_are_one_item(spark):
     parts = list(decontamination.blocks(bench, "item_id", "text", 1 << 20))
     assert parts == [(["1"], ["one two three four"])]
     assert decontamination.decontaminate(docs(spark, [(1, "zero one two three four five")]), bench).first().n_hit == 4
+
+
+def peak_mb(f):
+    tracemalloc.start()
+    try:
+        out = f()
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_toxicity_memory_of_many_words_and_of_a_long_one():
+    """What a training or scoring task holds beside its table is bounded, whatever the number and length of distinct words."""
+    net = toxicity.Network(3)
+    for text in (" ".join(f"{i * 7919:x}q{i}" for i in range(60_000)), "é" * 400_000):
+        data = np.frombuffer(text.encode(), np.uint8)
+        table, took = peak_mb(lambda: toxicity._Words(data, np.array([0, len(data)])))
+        assert took < 45
+        out, took = peak_mb(lambda: net.inputs(table.grams, table.first, net.slots(table.hash)))
+        assert took < out.nbytes / 1e6 + 16
+
+
+def test_toxicity_runs_give_the_same(monkeypatch):
+    words = ["a", "of", "zorking", "x" * 50, "é" * 40, "quiffles" * 9]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    net, got = toxicity.Network(3), []
+    for run in (1 << 17, 40, 1):
+        monkeypatch.setattr(toxicity, "RUN", run)
+        w = toxicity._Words(data, np.array([0, len(data)]))
+        got.append((w.hash, w.first, w.grams, w.ids, net.inputs(w.grams, w.first, net.slots(w.hash))))
+    for other in got[1:]:
+        for a, b in zip(got[0][:4], other[:4]):
+            assert np.array_equal(a, b)
+        assert np.allclose(got[0][4], other[4], atol=1e-4)

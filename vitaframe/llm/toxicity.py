@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, mix, pieces, rolling, row_hashes, scratch, spans, tune, written
+from .common import ALNUM, LOWER, mix, pieces, rolling, row_hashes, scratch, spans, tune, writing, written
 
 LENGTH, STRIDE = 24, 12
 HIDDEN, INPUT, ATTEND = 8, 12, 8
@@ -47,20 +47,30 @@ VOCABULARY = 4096
 CUT = 0.7
 FOLDS, KEPT = 5, 2
 CHUNK = 4096
+#: Bytes or n-grams of distinct words that are worked on at once.
+RUN = 1 << 17
 #: Windows of each class in a training turn.
 TURN = 4000
 
 
-def word_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of every n-gram of each word, bounds included as marks: (buckets, first one of each word and the end)."""
+def runs(first: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of items that have up to RUN values together; an item of more is a run of its own."""
+    i = 0
+    while i < len(first) - 1:
+        j = max(i + 1, int(np.searchsorted(first, first[i] + RUN, "right")) - 1)
+        yield i, j
+        i = j
+
+
+def _run_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Buckets of the n-grams of a run of words, word by word."""
     length = ends - starts
     wide = length + 2
     first = np.r_[0, np.cumsum(wide)]
     buf = np.full(int(first[-1]), 1, np.uint64)  # bounds stay 1
-    if len(starts):
-        at = np.arange(int(length.sum())) + np.repeat(starts - (np.cumsum(length) - length), length)
-        to = np.arange(int(length.sum())) + np.repeat(first[:-1] + 1 - (np.cumsum(length) - length), length)
-        buf[to] = data[at].astype(np.uint64) + np.uint64(3)
+    at = np.arange(int(length.sum())) + np.repeat(starts - (np.cumsum(length) - length), length)
+    to = np.arange(int(length.sum())) + np.repeat(first[:-1] + 1 - (np.cumsum(length) - length), length)
+    buf[to] = data[at].astype(np.uint64) + np.uint64(3)
     row = np.repeat(np.arange(len(starts), dtype=np.int32), wide)
     out, rows = [], []
     for n in ORDERS:
@@ -68,9 +78,34 @@ def word_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
         ok = (row[: len(h)] == row[n - 1 :]) if len(h) else np.zeros(0, bool)
         out.append((mix(h[ok]) % np.uint64(BUCKETS)).astype(np.int32))
         rows.append(row[: len(h)][ok])
-    g, r = np.concatenate(out), np.concatenate(rows)
-    order = np.argsort(r, kind="stable")
-    return g[order], np.searchsorted(r[order], np.arange(len(starts) + 1))
+    return np.concatenate(out)[np.argsort(np.concatenate(rows), kind="stable")]
+
+
+def _long_grams(word: np.ndarray) -> Iterator[np.ndarray]:
+    """The same of one word that is longer than a run, a part at a time."""
+    buf = np.ones(len(word) + 2, np.uint16)
+    buf[1:-1] = word
+    buf[1:-1] += 3
+    for n in ORDERS:
+        for lo in range(0, len(buf) - n + 1, RUN):
+            h = rolling(buf[lo : lo + RUN + n - 1].astype(np.uint64), n) + np.uint64(n)
+            yield (mix(h) % np.uint64(BUCKETS)).astype(np.int32)
+
+
+def word_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of every n-gram of each word, bounds included as marks: (buckets, first one of each word and the end)."""
+    wide = ends - starts + 2
+    first = np.r_[0, np.cumsum(sum(np.maximum(wide - n + 1, 0) for n in ORDERS))]
+    out = np.empty(int(first[-1]), np.int32)
+    for i, j in runs(np.r_[0, np.cumsum(wide)]):
+        if wide[i] <= RUN:
+            out[first[i] : first[j]] = _run_grams(data, starts[i:j], ends[i:j])
+        else:
+            at = first[i]
+            for part in _long_grams(data[starts[i] : ends[i]]):
+                out[at : at + len(part)] = part
+                at += len(part)
+    return out, first
 
 
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -129,7 +164,14 @@ class Network:
         return np.where(self.words[at] == h, at + 1, 0)
 
     def inputs(self, grams: np.ndarray, first: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        return sums(self.p["E"][grams], first) + self.p["V"][slot]
+        out = self.p["V"][slot]
+        for i, j in runs(first):
+            if first[j] - first[i] <= RUN:
+                out[i:j] += sums(self.p["E"][grams[first[i] : first[j]]], first[i : j + 1] - first[i])
+            else:
+                for lo in range(first[i], first[j], RUN):
+                    out[i] += self.p["E"][grams[lo : min(lo + RUN, first[j])]].sum(axis=0)
+        return out
 
     def projected(self, x: np.ndarray, d: str) -> np.ndarray:
         """The inputs to the gates of each distinct word, and a last row for padding that keeps the state as it is."""
@@ -222,13 +264,21 @@ class _Words:
     def __init__(self, data: np.ndarray, offs: np.ndarray) -> None:
         low = LOWER[data]
         starts, ends, first = spans(data, offs, ALNUM)
-        self.hash, at, ids = np.unique(row_hashes(low, offs, starts, ends, first), return_index=True, return_inverse=True)
-        self.grams, self.first = word_grams(low, starts[at], ends[at])
+        every = row_hashes(low, offs, starts, ends, first)
+        self.hash = np.unique(every)
+        ids = np.full(len(every) + 1, len(self.hash), np.int32)  # the last one is padding
+        for i in range(0, len(every), RUN):
+            ids[:-1][i : i + RUN] = np.searchsorted(self.hash, every[i : i + RUN])
+        del every
+        at = np.empty(len(self.hash), np.int64)
+        at[ids[:-1]] = np.arange(len(ids) - 1)
+        starts, ends = starts[at], ends[at]
+        self.grams, self.first = word_grams(low, starts, ends)
+        del low, at, starts, ends
         self.row, start, end = windows(first)
-        padded = np.r_[ids, len(self.hash)].astype(np.int32)
         self.ids = np.empty((len(start), LENGTH), np.int32)
         for k in range(LENGTH):
-            self.ids[:, k] = padded[np.where(start + k < end, start + k, len(ids))]
+            self.ids[:, k] = ids[np.where(start + k < end, start + k, len(ids) - 1)]
         self.rows = len(offs) - 1
 
 
@@ -261,9 +311,12 @@ def fit(texts: list[str], toxic: np.ndarray, held: np.ndarray | None = None, epo
     if toxic[~held].all() or not toxic[~held].any():
         return None
     rng = np.random.default_rng(seed)
-    data = np.frombuffer("".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
-    offs = np.r_[0, np.cumsum([len(t.encode("utf-8", "surrogatepass")) for t in texts])]
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    offs = np.r_[0, np.cumsum([len(t) for t in raw])]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    del raw
     w = _Words(data, offs)
+    del data
     net = Network(seed)
     n_words = len(w.hash)
     # document frequencies of words, and through them of n-grams, in both classes; a run of documents at a time
@@ -293,10 +346,10 @@ def fit(texts: list[str], toxic: np.ndarray, held: np.ndarray | None = None, epo
     net.p["E"][:, 0] += (np.where(gram_odds > 1.5, np.clip(gram_odds, 0, 6), 0) / 4).astype(np.float32)
     net.p["V"][1:, 0] += (np.where(word_odds > 1.5, np.clip(word_odds, 0, 6), 0)[often] / 2).astype(np.float32)
     best = np.zeros(n_words + 1)
-    full = np.flatnonzero(np.diff(w.first))
-    best[full] = np.maximum.reduceat(gram_odds[w.grams], w.first[full]) if len(full) else 0
+    for i, j in runs(w.first):  # every word has an n-gram
+        best[i:j] = np.maximum.reduceat(gram_odds[w.grams[w.first[i] : w.first[j]]], w.first[i:j] - w.first[i])
     best[:n_words] = np.maximum(best[:n_words], word_odds)
-    evidence = best[w.ids].max(axis=1) if len(w.ids) else np.zeros(0)
+    evidence = np.concatenate([np.zeros(0), *(best[w.ids[i : i + CHUNK]].max(axis=1) for i in range(0, len(w.ids), CHUNK))])
     bad, train = toxic[w.row], ~held[w.row]
     top = np.zeros(len(texts))
     np.maximum.at(top, w.row, evidence)
@@ -419,7 +472,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: tuple[int, int] = TRAIN_DOC
                 x = doc_logits(net, pa.array([t for t, a in zip(texts, ask) if a], pa.string()))
                 yield pa.RecordBatch.from_arrays([pa.array([turn], pa.int32()), pa.array([pickle.dumps(net) if turn == FOLDS else None], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([toxic[ask].tobytes()], pa.binary())], names=["turn", "network", "logits", "toxic"])
 
-    with scratch(docs.sparkSession):
+    with scratch(docs.sparkSession), writing(docs.sparkSession):
         # bounded: at most sum(limit) texts of 2 * TRAIN_BYTES together, read by KEPT + 1 tasks
         sample = written(found.withColumn("nth", nth), "sample")
         turns = sample.select(F.explode(F.array(*(F.lit(k) for k in (*range(KEPT), FOLDS)))).alias("turn"), "toxic", "nth", "text")
