@@ -43,7 +43,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents that hold a window of a benchmark item go."""
     rows, name = _numbered(docs)
     found = decontamination.decontaminate(rows.select(F.col(name).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), near=0)
-    return rows.join(found.where("contaminated").select(F.col("doc_id").alias(name)), name, "left_anti").select(*docs.columns)
+    # written, so that Spark knows how few they are before it decides whether texts must be shuffled to meet them
+    out = written(found.where("contaminated").select(F.col("doc_id").alias(name)), "contaminated")
+    return rows.join(out, name, "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from vitaframe.llm import secrets
+from vitaframe.llm.common import lean
 
 
 @pytest.fixture(scope="module")
@@ -94,3 +95,39 @@ def test_clashing_columns(spark, folder):
         if name != "tokens":
             assert out.columns == docs.columns, name
         assert out.count() <= 40
+
+
+def test_few_contaminated_rows_meet_texts_without_a_shuffle(spark, folder):
+    """The numbers of contaminated rows are small enough to broadcast, although the index that they come from isn't."""
+    path, _, _ = folder
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "20k")
+    try:
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        out = corpus_pipeline.drop_contaminated(spark, docs, path)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+        assert 0 < out.count() < docs.count()
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_workers_keep_no_freed_memory():
+    """Blocks under one that stays are given back when a task's batches end."""
+    pinned = []
+
+    def run(batches):
+        held = [bytearray(60_000) for _ in range(3000)]
+        pinned.append(bytearray(60_000))
+        del held
+        yield from batches
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    assert list(run(iter([1]))) == [1]
+    kept = resident()
+    assert list(lean(run)(iter([1, 2]))) == [1, 2]
+    assert kept - resident() > 100_000_000

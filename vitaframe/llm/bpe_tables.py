@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import tune, written_by
+from .common import lean, tune, written_by
 from .wordbpe import default_path, vocabulary
 
 BLOCK_WORDS = 2_000_000
@@ -216,8 +216,8 @@ def round_trip(docs: DataFrame, path: str | None = None, ids: bool = False, text
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(n, BUCKETS)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    split = written_by(d.mapInArrow(_split(path, buckets), WORD_SCHEMA), "words", "block", n)
-    answers = split.where("words").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode(path), WORD_SCHEMA)
+    split = written_by(d.mapInArrow(lean(_split(path, buckets)), WORD_SCHEMA), "words", "block", n)
+    answers = split.where("words").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_encode(path)), WORD_SCHEMA)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if texts else ", ids array<int>" if ids else "")
     own = split.where("not words").select("block", "data")
     return own.groupBy("block").cogroup(answers.select("block", "data").groupBy("block")).applyInArrow(_finish(path, ids, texts), schema)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, LOWER, hashes, pieces, spans, tune, written
+from .common import ALNUM, LOWER, hashes, lean, pieces, spans, tune, written
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
@@ -58,13 +58,17 @@ def _unplanes(b: bytes) -> np.ndarray:
 def _flush(shard: int, ids: list, lengths: list, words: list) -> pa.RecordBatch:
     length = np.concatenate(lengths)
     h = np.concatenate(words)
-    # one position is left free after each document, so no phrase runs over into the next
-    at = np.arange(len(h), dtype=np.int64) + np.repeat(np.arange(len(length)), length)
+    words.clear()
     order = np.argsort(h, kind="stable")
     h = h[order]
+    # one position is left free after each document, so no phrase runs over into the next
+    at = np.arange(len(h), dtype=np.uint32)
+    at += np.repeat(np.arange(len(length), dtype=np.uint32), length)
+    at = at[order]
+    del order
     first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
     known = np.array([i is not None for i in ids], bool)
-    row = [np.array([i or 0 for i in ids], np.int64).tobytes(), known.tobytes(), length.astype(np.int64).tobytes(), h[first].tobytes(), np.diff(np.r_[first, len(h)]).astype(np.uint32).tobytes(), _planes(at[order])]
+    row = [np.array([i or 0 for i in ids], np.int64).tobytes(), known.tobytes(), length.astype(np.int64).tobytes(), h[first].tobytes(), np.diff(np.r_[first, len(h)]).astype(np.uint32).tobytes(), _planes(at)]
     return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *(pa.array([x], pa.binary()) for x in row)], names=INDEX_SCHEMA.names)
 
 
@@ -90,7 +94,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The stored positional index of whole texts, one row per shard."""
-    return written(docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(_index, INDEX_SCHEMA), "postings")
+    return written(docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(lean(_index), INDEX_SCHEMA), "postings")
 
 
 def phrases(texts: list[str | None], window: int = WINDOW) -> list[tuple[int, np.ndarray]]:
@@ -172,6 +176,12 @@ class Shard:
         return np.searchsorted(self.starts, position, "right") - 1
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The index rows of a batch, one at a time; their binary fields are read where Arrow has them."""
+    for k in range(batch.num_rows):
+        yield {n: batch.column(n)[k].as_py() if n == "shard" else batch.column(n)[k].as_buffer() for n in INDEX_SCHEMA.names}
+
+
 def _plan(found: list[tuple[int, np.ndarray]]):
     """Windows as rows of numbers of distinct terms, with -1 past the end of short ones."""
     terms = np.unique(np.concatenate([w for _, w in found])) if found else np.zeros(0, np.uint64)
@@ -196,7 +206,7 @@ def _searcher(shared, near: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: _Items = shared.value
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 shard = Shard(row)
                 n = len(shard.ids)
                 hits: list[list[int]] = [[] for _ in range(n)]
@@ -253,7 +263,7 @@ def search(index: DataFrame, benchmark: DataFrame, item_id: str = "item_id", tex
     for names, texts in blocks(benchmark, item_id, text, limit):
         # bounded by the limit, about 100 bytes for each of a block's words
         shared = index.sparkSession.sparkContext.broadcast(_Items(names, texts, window))
-        out.append(index.mapInArrow(_searcher(shared, near), MATCH_SCHEMA))
+        out.append(index.mapInArrow(lean(_searcher(shared, near)), MATCH_SCHEMA))
     found = reduce(DataFrame.union, out)
     if len(out) > 1:
         every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)  # noqa: E731  a list for each pass
@@ -270,7 +280,7 @@ def proximity(index: DataFrame, benchmark: DataFrame, within: int, item_id: str
         def run(batches, shared=shared):
             names, whole = shared.value
             for batch in batches:
-                for row in batch.to_pylist():
+                for row in _rows(batch):
                     shard = Shard(row)
                     got = []
                     for k, words in whole:
@@ -281,7 +291,7 @@ def proximity(index: DataFrame, benchmark: DataFrame, within: int, item_id: str
                                 got.append((shard.ids[d], names[k], s - int(shard.starts[d]), e - int(shard.starts[d])))
                     yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["doc_id", "item_id", "first", "end"])
 
-        out.append(index.mapInArrow(run, "doc_id long, item_id string, first long, end long"))
+        out.append(index.mapInArrow(lean(run), "doc_id long, item_id string, first long, end long"))
     return reduce(DataFrame.union, out)
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NONSPACE, hashes, inside, mix, pieces, rolling, scratch, spans, utf8, written
+from .common import LOWER, NONSPACE, hashes, inside, lean, mix, pieces, rolling, scratch, spans, utf8, written
 from .components import components
 
 SHINGLE = 5
@@ -110,7 +110,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """Set size, set digest, band keys and packed two-bit signature of every document."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sign, SIG_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_sign), SIG_SCHEMA)
 
 
 def estimate(left: str, right: str) -> Column:
@@ -155,7 +155,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets meet the threshold."""
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(lean(_confirm), "a long, b long")
 
 
 def _still_open(bands: DataFrame, part: DataFrame | None) -> DataFrame:
@@ -305,10 +305,10 @@ def _across(open_: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b): confirmed links that tie together all that the open buckets' classes of several components have in common."""
     columns = ["key", "doc_id", "c", "n", "s1", *BITS]
     own = open_.join(reps.select("doc_id", "n", "s1", "keys", *BITS), "doc_id")
-    hopeful = written(_meetings(own, F.count("*") / BLOCK, [*columns, "keys"]).mapInArrow(_hopeful, "key long, doc_id long, s1 long").distinct(), "hopeful")
+    hopeful = written(_meetings(own, F.count("*") / BLOCK, [*columns, "keys"]).mapInArrow(lean(_hopeful), "key long, doc_id long, s1 long").distinct(), "hopeful")
     rows = hopeful.join(open_, ["key", "doc_id"]).join(reps.select("doc_id", "n", "s1", *BITS), ["doc_id", "s1"]).join(texts, "doc_id")
     many = F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("text")) / BLOCK_BYTES)
-    return _meetings(rows, many, [*columns, "text"]).mapInArrow(_tie, "a long, b long")
+    return _meetings(rows, many, [*columns, "text"]).mapInArrow(lean(_tie), "a long, b long")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:

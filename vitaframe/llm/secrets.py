@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import tune
+from .common import lean, tune
 from .wordbpe import default_path, vocabulary
 
 CUT = 0.5
@@ -255,7 +255,7 @@ def _scan(docs: DataFrame, forest: Forest, schema, row) -> DataFrame:
             texts = batch.column(at).to_pylist()
             yield row(batch, at, texts, find(texts, shared.value))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def scan(docs: DataFrame, forest: Forest) -> DataFrame:

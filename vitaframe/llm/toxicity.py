@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, mix, pieces, rolling, row_hashes, scratch, spans, tune, writing, written
+from .common import ALNUM, LOWER, lean, mix, pieces, rolling, row_hashes, scratch, spans, tune, writing, written
 
 LENGTH, STRIDE = 24, 12
 HIDDEN, INPUT, ATTEND = 8, 12, 8
@@ -476,7 +476,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: tuple[int, int] = TRAIN_DOC
         # bounded: at most sum(limit) texts of 2 * TRAIN_BYTES together, read by KEPT + 1 tasks
         sample = written(found.withColumn("nth", nth), "sample")
         turns = sample.select(F.explode(F.array(*(F.lit(k) for k in (*range(KEPT), FOLDS)))).alias("turn"), "toxic", "nth", "text")
-        got = turns.repartitionByRange(KEPT + 1, "turn").mapInArrow(learn, "turn int, network binary, logits binary, toxic binary").collect()
+        got = turns.repartitionByRange(KEPT + 1, "turn").mapInArrow(lean(learn), "turn int, network binary, logits binary, toxic binary").collect()
     whole = next((r for r in got if r.turn == FOLDS), None)
     if whole is None:
         return None
@@ -507,7 +507,7 @@ def score(docs: DataFrame, net: Network | None, name: str = "toxicity") -> DataF
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(doc_scores(shared.value, batch.column(at)))], names=names)
 
     schema = type(docs.schema)([*docs.schema.fields]).add(name, "double")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
