@@ -1,9 +1,11 @@
 """Readers and builders: line numbers over ranges, bounded lines, places of faults, namespaces, trees made in code."""
 
 import resource
+import sys
 import time
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,3 +219,35 @@ def test_equivalence(spark):
     x = J.read_resources(spark.createDataFrame(rows, "n int, raw string, b string")).selectExpr("n", "b raw", "nodes x")
     got = {r.n: r.same for r in J.read_resources(x).select("n", X.equivalent(F.col("x"), F.col("nodes")).alias("same")).collect()}
     assert got == {k: k < len(same) for k in range(len(rows))}
+
+
+def calls(f):
+    """How many calls of Python functions f takes: work without a clock."""
+    n = 0
+
+    def count(_, event, __):
+        nonlocal n
+        n += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        f()
+    finally:
+        sys.setprofile(None)
+    return n
+
+
+def test_reading_takes_few_calls_a_node():
+    """Half of what rows of dicts took: plain members are nodes without a call, and columns are made field by field."""
+    docs = ['{"resourceType":"Observation","status":"final","component":[%s]}' % ",".join('{"code":{"text":"A"},"valueQuantity":{"value":%d.50,"unit":"O"}}' % k for k in range(7)) for _ in range(50)]
+    trees = [J.flatten(d) for d in docs]
+    nodes = sum(len(t[1]) for t in trees)
+    batch = pa.RecordBatch.from_arrays([pa.array(docs)], names=["raw"])
+    assert calls(lambda: list(J.parsed([batch], J._flat))) < 15 * nodes
+
+
+def test_columns_of_odd_trees(spark):
+    """Plain members, grouped ones and metadata side by side: every field of every node as `flatten` has it."""
+    docs = ['{"a":"x","b":1.0,"c":[{"d":true},{"e":"é"}],"f":["x",null,1]}', '{"a":"x","a":"y","_b":{"id":"i","extension":[{"url":"u"}]}}', '{"a":', None, '{"_":1,"__x":"\\ud800","B b":{"resourceType":"T","n":[[1]]}}', "{}"]
+    rows = J.read_resources(spark.createDataFrame(list(enumerate(docs)), "n int, raw string")).orderBy("n").collect()
+    assert [(r.resource_type, [x.asDict() for x in r.nodes], [x.asDict() for x in r.read_issues], r.fatal, r.fatal_offset, r.fatal_expression) for r in rows] == [J.flatten(d) for d in docs]
