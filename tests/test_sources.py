@@ -1,5 +1,7 @@
 """Readers and builders: line numbers over ranges, bounded lines, places of faults, namespaces, trees made in code."""
 
+import json
+import pickle
 import resource
 import sys
 import time
@@ -67,6 +69,20 @@ def test_lines_of_many_ranges(spark, tmp_path):
         N.read_ndjson(spark, str(tmp_path / "none"))
 
 
+def test_many_ranges_are_read_in_runs(spark, tmp_path):
+    """Neighbours go together where there are far more ranges than cores, never across files, and no task carries the others' ranges."""
+    for name in "ab":
+        (tmp_path / name).write_bytes(b"".join(b'{"n":%d}\n' % n for n in range(3000)))
+    df = N.lines(spark, str(tmp_path), range_bytes=100)
+    assert df.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism
+    rows = df.collect()
+    assert sorted((r.source[-1], r.line, r.raw) for r in rows) == sorted((name, n + 1, '{"n":%d}' % n) for name in "ab" for n in range(3000))
+    ranges = [("a", k, k + 10, 0) for k in range(0, 95, 10)] + [("b", 0, 200, 0)]
+    assert N.runs(ranges, 1000) == ranges and N.runs(ranges, 10) == [("a", 0, 30, 0), ("a", 30, 60, 0), ("a", 60, 90, 0), ("a", 90, 100, 0), ("b", 0, 200, 0)]
+    reader = N._Lines({"ranges": json.dumps([("a", k, k + 1, 0) for k in range(10_000)])})
+    assert len(reader.partitions()) == 10_000 and len(pickle.dumps(reader)) < 1000
+
+
 def test_every_range_of_small_files(tmp_path):
     """Lines and counts of all ways to cut a file in three."""
     path = tmp_path / "x"

@@ -127,6 +127,10 @@ class _Reader(DataSourceReader):
         self.ranges = [Range(*r) for r in json.loads(options["ranges"])]
         self.max_bytes = int(options.get("max_bytes", MAX_LINE_BYTES))
 
+    def __getstate__(self) -> dict:
+        """What goes with each task: its own range comes by itself, and a list of all ranges with every range would grow with their square."""
+        return self.__dict__ | {"ranges": []}
+
     def partitions(self) -> list[Range]:
         return self.ranges
 
@@ -192,12 +196,25 @@ def _read(spark: SparkSession, kind: type[DataSource], ranges: list[tuple], max_
     return spark.read.format(kind.name()).option("ranges", json.dumps(ranges)).option("max_bytes", str(max_bytes)).load()
 
 
+def runs(ranges: list[tuple], tasks: int) -> list[tuple]:
+    """Ranges as they are read: neighbours in a file together, where there would be far more of them than `tasks`; of no more than RANGE_BYTES, if they aren't longer by themselves."""
+    most = min(RANGE_BYTES, sum(end - begin for _, begin, end, _ in ranges) // tasks)
+    out: list[tuple] = []
+    for source, begin, end, before in ranges:
+        if out and out[-1][0] == source and out[-1][2] == begin and end - out[-1][1] <= most:
+            out[-1] = (source, out[-1][1], end, before)
+        else:
+            out.append((source, begin, end, before))
+    return out
+
+
 def lines(spark: SparkSession, paths: str | list[str], max_bytes: int = MAX_LINE_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """source, line (from 1), raw and too_long of every line that isn't blank."""
     found = [x for p in ([paths] if isinstance(paths, str) else paths) for x in files(p)]
     ranges = [(source, begin, min(begin + range_bytes, size), 0) for source, size in found for begin in range(0, size, range_bytes)]
     if not ranges:
         return spark.createDataFrame([], LINES)
+    ranges = runs(ranges, 4 * spark.sparkContext.defaultParallelism)
     if len(ranges) > len(found):  # some file has several ranges: what comes before each is counted first
         order = Window.partitionBy("source").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
         counts = _read(spark, _Counts, ranges, max_bytes).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
