@@ -1,6 +1,7 @@
 """Definitions: chains of bases, slices under slices, contradictions, kinds of fixed values; the typed scan; references outside Bundles."""
 
 import json
+import re
 
 import pytest
 
@@ -143,3 +144,44 @@ def test_references_outside_bundles(spark):
     df = read(spark, '{"resourceType":"Basic","contained":[{"resourceType":"Group","id":"a"},{"resourceType":"Group","id":"b"}],"u":{"reference":"#b"},"v":{"reference":"#"},"w":{"reference":"#c"},"x":{"reference":"Group/1"},"y":{"reference":"http://h/Group/1"}}')
     got = {r.expression.split(".")[1]: (r.kind, r.status, r.contained) for r in B.resolve_alone(df, "n").collect()}
     assert got == {"u": ("fragment", "resolved", 1), "v": ("fragment", "resolved", None), "w": ("fragment", "unresolved", None), "x": ("relative", "unresolved", None), "y": ("absolute", "external", None)}
+
+
+def test_members_looked_up_are_those_found(spark):
+    """`kids` and `choice` in what `indexed` makes, of a document and of a resource cut out of one, against what a search of the nodes finds."""
+    from pyspark.sql import functions as F
+
+    from vitaframe.functions import nodes as N
+
+    team = '{"resourceType":"Group","a":[{"b":1,"c":{"b":2}},{"b":[3,4],"b":5}],"_a":[],"valueRange":{"b":6},"_x":{"extension":[{"url":"u"}]}}'
+    inside = '{"resourceType":"Bundle","entry":[{"resource":%s}]}' % team
+    df = read(spark, team, inside)
+    at = F.get(F.filter("nodes", lambda n: n["rtype"] == "Group"), F.lit(0))
+    df = df.withColumn("nodes", F.slice("nodes", at["id"] + 1, at["last"] - at["id"] + 1))
+
+    def asked():
+        found = lambda name: N.each(N.top(name), lambda n: N.kids(n["id"], "b"))
+        return F.struct(found("a").alias("a"), found("none").alias("none"), N.choice(0, "value").alias("value"), N.each(N.choice(0, "value"), lambda n: N.kids(n["id"], "b")).alias("under"), N.top("x").alias("x"), N.kids(F.lit(99), "b").alias("beyond"), N.each(N.top("a"), lambda n: N.kids(n["id"], "b", True)).alias("every"))
+
+    rows = df.select(asked().alias("searched"), N.indexed(asked).alias("looked")).collect()
+    assert [len(r.looked.a) for r in rows] == [3, 3] and all(r.searched == r.looked for r in rows)
+
+
+def test_expressions_of_a_profile_share_members(spark):
+    """Constraints at many foci: the plan gathers members twice for a row, for its rules and for its expressions, not once for each focus and constraint."""
+    many = tuple((f"k{k}", "error", f"b.exists() or c = {k}", "a") for k in range(6))
+    df = read(spark, '{"resourceType":"Basic","a":[{"b":1},{"c":2},{"c":7}]}')
+    profile = P.Profile("u", "Basic", invariants=many)
+    found = structure.explode_findings(df, P.profile_findings(profile), "n")
+    searches = re.findall(r"\.parent = ", found._jdf.queryExecution().analyzed().toString())
+    assert 2 <= len(searches) <= 4
+    assert sorted((r.constraint, r.expression) for r in found.collect()) == sorted((f"k{k}", f"Basic.a[{i}]") for k in range(6) for i, c in ((1, 2), (2, 7)) if k != c)
+
+
+def test_decimals_that_can_be_told_by_their_text(spark):
+    from pyspark.sql import functions as F
+
+    from vitaframe.functions import scalars as S
+
+    pairs = [("1.0", "1.0", True), ("1.0", "1.00", False), ("0.0", "-0.0", True), ("10", "1e1", False), ("1e1", "1E+1", True), ("00.5", "0.5", True), ("17", "18", False)]
+    rows = spark.createDataFrame(pairs, "a string, b string, want boolean").select(S.decimal_equals(F.col("a"), F.col("b")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in rows)
