@@ -194,3 +194,11 @@ def test_bundles_are_cut_and_read_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.split("\n") if "Filter" in line and "size(" in line]
     assert sorted((r.n, r.entry, r.kind, r.status, r.target) for r in found.collect()) == [(0, 0, "absolute", "resolved", 0), (0, 2, "fragment", "resolved", 2)]
+
+
+def test_findings_are_worked_out_once(spark):
+    df = read(spark, '{"resourceType":"Basic","a":1}', '{"resourceType":"Basic"}', '{"resourceType":"Other"}', '{"', None)
+    found = structure.explode_findings(df, P.profile_findings(P.Profile("u", "Basic", rules=(P.Rule("a", min=1), P.Rule("b", min=1)))), "n")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Filter" in line and "size(" in line]
+    assert sorted((r.n, r.ord, r.expression) for r in found.collect()) == [(0, 0, "Basic.b"), (1, 0, "Basic.a"), (1, 1, "Basic.b")]
